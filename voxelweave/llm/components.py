@@ -1,0 +1,55 @@
+"""Connected components of an edge table by alternating large-star and small-star rounds."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .tables import dropped, stored
+
+#: Rounds after which the loop gives up (each about halves the depth of what is left).
+MAX_ROUNDS = 60
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star round. Rows are grouped for a minimum only (partial sums before the shuffle), so
+    a hub with very many neighbours is no problem."""
+    if large:
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        m = F.least("u", "m")
+        moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), m.alias("v"))
+    else:
+        down = edges  # u > v in every row
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        moved = down.join(least, "u").select(
+            F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
+        ).select("e.u", "e.v")
+    return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component): smallest id reachable, for every id in an edge; ids in no edge are left out.
+
+    Edges with a null end and self-loops link nothing. Repeated edges count once. No edge, cluster
+    or id list goes to the driver: only two numbers a round, to see whether anything changed.
+    """
+    now = stored(
+        edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+        .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+        .distinct(),
+        "edges",
+    )
+    state = None
+    for _ in range(MAX_ROUNDS):
+        after = stored(_star(_star(now, True), False), "edges")
+        dropped(now)
+        now = after
+        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if (seen["n"], seen["h"]) == state or seen["n"] == 0:
+            break
+        state = (seen["n"], seen["h"])
+    else:
+        raise RuntimeError("components did not settle")
+    hubs = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(hubs)
