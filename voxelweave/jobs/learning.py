@@ -1,0 +1,74 @@
+"""Training table, grouped folds, boosted trees with sigmoid calibration, scoring."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from voxelweave.operators import linking, stats
+from voxelweave.sources.tables import label_of, table
+
+FEATURES = ["quantity", "price", "lines", "spread", "discount"]
+
+
+def training_table(spark: SparkSession, d: str) -> DataFrame:
+    """(candidate_id, volume, component, y, weight, features): line items summed by order, labelled
+    by order status, weighted by 1 / size of their component (orders of a customer)."""
+    per = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("candidate_id")).agg(
+        F.sum("l_quantity").alias("quantity"), F.avg("l_extendedprice").alias("price"), F.count("*").cast("double").alias("lines"),
+        F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0)).alias("spread"), F.avg("l_discount").alias("discount"),
+        F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("y"),
+    )
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.col("o_orderpriority").alias("volume"), F.col("o_custkey").alias("component"), label_of().alias("label"))
+    return linking.sample_weights(o.join(per, "candidate_id").where("label in (0, 1)"), "component")
+
+
+def folds(rows: DataFrame, group: str, k: int) -> DataFrame:
+    """rows with fold: groups in descending size dealt round, so folds hold whole groups."""
+    size = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    # one row a group: the ranking sees groups, not rows
+    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("_n").desc(), group)) - 1
+    return rows.join(size.select(group, (rank % k).cast("int").alias("fold")), group)
+
+
+def calibrated_trees(train: DataFrame, seed: int = 0):
+    """Boosted trees and a logistic curve over their margin."""
+    trees = Pipeline(stages=[Imputer(inputCols=FEATURES, outputCols=[f"i_{c}" for c in FEATURES], strategy="median"), VectorAssembler(inputCols=[f"i_{c}" for c in FEATURES], outputCol="x"), GBTClassifier(featuresCol="x", labelCol="y", weightCol="weight", maxIter=10, maxDepth=3, seed=seed, predictionCol="tree_y")]).fit(train)
+    margin = VectorAssembler(inputCols=["margin"], outputCol="m")
+    raw = lambda df: margin.transform(trees.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1]))
+    sigmoid = LogisticRegression(featuresCol="m", labelCol="y", weightCol="weight", rawPredictionCol="line", probabilityCol="prob", predictionCol="yes").fit(raw(train))
+    return lambda df: sigmoid.transform(raw(df)).withColumn("p", F.round(vector_to_array("prob")[1], 6))
+
+
+def out_of_fold(rows: DataFrame, k: int) -> DataFrame:
+    """Scores of every row by a model that saw none of its group."""
+    out = None
+    for i in range(k):
+        part = calibrated_trees(rows.where(F.col("fold") != i))(rows.where(F.col("fold") == i)).select("candidate_id", "component", "y", "weight", "p", "fold")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def train_gbt(spark: SparkSession, d: str) -> DataFrame:
+    """Out-of-fold Brier score and average precision of each fold."""
+    rows = folds(training_table(spark, d), "volume", 3).cache()
+    oof = out_of_fold(rows, 3)
+    return stats.brier(oof, "p", "y", "weight", ["fold"]).join(stats.average_precision(oof, "p", "y", "weight", ["fold"]), "fold")
+
+
+def logistic_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    """(feature, coefficient, odds): median-imputed, standardised logistic regression."""
+    rows = training_table(spark, d)
+    steps = [Imputer(inputCols=FEATURES, outputCols=[f"i_{c}" for c in FEATURES], strategy="median"), VectorAssembler(inputCols=[f"i_{c}" for c in FEATURES], outputCol="v"), StandardScaler(inputCol="v", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol="y", weightCol="weight")]
+    c = Pipeline(stages=steps).fit(rows).stages[-1].coefficients
+    return spark.createDataFrame([(f, float(v)) for f, v in zip(FEATURES, c)], "feature string, coefficient double").withColumn("odds", F.exp("coefficient"))
+
+
+def queries() -> dict[str, Callable]:
+    return {f.__name__: f for f in (train_gbt, logistic_coefficients)}
