@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelweave.shipping import ship
+
 #: Rows of a key table that may be broadcast (16 bytes each in a hashed relation: tens of MB).
 BROADCAST_ROWS = 500_000
 
@@ -46,7 +48,9 @@ def dropped(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a Python worker holds a few MB of text at a time."""
+    """Arrow batches of few rows, so that a Python worker holds a few MB of text at a time; the workers
+    also get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
