@@ -185,3 +185,43 @@ def test_raw_volume_source(spark, tmp_path):
     assert raw_volume.infer_dtype(120, 60) == "uint16"
     with pytest.raises(ValueError):
         raw_volume.infer_dtype(100, 60)
+
+
+def test_store_commits_last(spark, tmp_path):
+    from voxelweave.sources.store import Store
+
+    s = Store(spark, f"file://{tmp_path}")
+    peaks = "peak_z int, peak_y int, peak_x int, centroid_z double, centroid_y double, centroid_x double"
+    vox = "peak_z int, peak_y int, peak_x int, z int, y int, x int, residual int, grayscale int, in_grown int"
+    one = spark.createDataFrame([(1, 2, 3, 1.0, 2.0, 3.0), (4, 5, 6, 4.0, 5.0, 6.0)], peaks)
+    s.record(7, "a", one, spark.createDataFrame([(1, 2, 3, 1, 2, 3, 9, 8, 1), (4, 5, 6, 4, 5, 6, 9, 8, 1), (4, 5, 6, 4, 5, 7, 9, 8, 0)], vox))
+    s.record(7, "b", one.limit(0), spark.createDataFrame([], vox))
+    s.record(8, "a", one.limit(1), spark.createDataFrame([(1, 2, 3, 1, 2, 3, 9, 8, 1)], vox))
+    assert sorted(r.candidate_id for r in s.visible().collect()) == [1, 2, 3]
+    names = spark.createDataFrame([("a",), ("b",), ("c",)], "volume_name string")
+    assert [r.volume_name for r in s.pending(names, 7).collect()] == ["c"]
+    s.append("label_events", spark.createDataFrame([(1, 1, 0), (1, 5, 2), (2, 1, -1)], "candidate_id long, at long, label int"))
+    assert {(r.candidate_id, r.label) for r in s.labels().collect()} == {(1, 2), (2, -1)}
+    assert s.delete(7, "a") and not s.delete(99)
+    assert s.read("voxels").count() == 1 and {(r.experiment_id, r.volume_name) for r in s.read("runs").collect()} == {(7, "b"), (8, "a")}
+    assert s.labels().count() == 0
+
+
+def test_raster_sums_and_peak(spark):
+    from voxelweave.operators import simulation
+
+    p = spark.createDataFrame([(1, 10.0, 10.0, 10.0), (2, 5.3, 6.6, 7.1)], "id long, z double, y double, x double")
+    got = simulation.rastered(p, "id", ("z", "y", "x"), 1.0, 4.0).toPandas()
+    assert got[got.id == 1].v.max() == pytest.approx(4.0) and got[(got.id == 1) & (got.z == 10) & (got.y == 10) & (got.x == 10)].v.item() == pytest.approx(4.0)
+    assert (got.groupby("id").size() > 50).all()
+
+
+def test_ar2_has_its_correlations(spark):
+    from voxelweave.operators import simulation
+
+    x = np.random.default_rng(0).standard_normal(20000)
+    rows = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "k int, t int, v double")
+    y = simulation.ar2(rows, ["k"], "t", "v", 0.5, 0.15).orderBy("t").toPandas().filtered.to_numpy()
+    assert np.corrcoef(y[:-1], y[1:])[0, 1] == pytest.approx(0.5, abs=0.03) and np.corrcoef(y[:-2], y[2:])[0, 1] == pytest.approx(0.15, abs=0.03)
+    with pytest.raises(ValueError):
+        simulation.ar2(rows, ["k"], "t", "v", 0.9, 0.1)

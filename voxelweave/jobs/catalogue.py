@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import axial_ok, first_quadrant, rescale, safe_ratio
 from voxelweave.jobs import learning
-from voxelweave.operators import linking, relational, stats, volume, windows
+from voxelweave.operators import linking, relational, simulation, stats, volume, windows
+from voxelweave.sources import store
 from voxelweave.streaming import recorder
 from voxelweave.sources.tables import candidates, cube, hits, label_of, profile, scores, table
 
@@ -594,3 +595,72 @@ def em_core_width(spark, d):
     diff = F.round(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).cast("int")
     h = e.join(table(spark, d, "events").select("event_id", "event_type"), "event_id").withColumn("d", diff).where("d is not null").groupBy("event_type", "d").agg(F.count("*").alias("n"))
     return stats.em_core_width(h, ["event_type"], "d", "n")
+
+
+# Store and simulation
+
+
+@query("""SELECT c_custkey, c_name, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY c_custkey) candidate_id FROM customer
+       WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def minted_ids(spark, d):
+    o = table(spark, d, "orders")
+    new = table(spark, d, "customer").join(o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return store.minted(new.select("c_custkey", "c_name"), o.select(F.col("o_orderkey").alias("candidate_id")), "candidate_id", ["c_custkey"])
+
+
+@query("""WITH log AS (SELECT o_custkey id, min(o_orderkey) match FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
+       new AS (SELECT o_custkey id, max(o_orderkey) match FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
+       SELECT * FROM log WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new""")
+def match_upsert(spark, d):
+    o = table(spark, d, "orders")
+    log = o.where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("match"))
+    new = o.where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderkey").alias("match"))
+    return store.upserted(log, new, "id", overwrite=True)
+
+
+@query(f"""WITH p AS ({POINTS}), t AS (SELECT vec_id, z, cos(radians(15.0)) * y - sin(radians(15.0)) * x ry, sin(radians(15.0)) * y + cos(radians(15.0)) * x x1 FROM p)
+       SELECT vec_id, round(cos(radians(-5.0)) * z - sin(radians(-5.0)) * x1, 6) rz, round(ry, 6) ry, round(sin(radians(-5.0)) * z + cos(radians(-5.0)) * x1, 6) rx FROM t""")
+def rotated_points(spark, d):
+    r = simulation.rotated(_points(spark, d), ("z", "y", "x"), 15.0, 5.0, (0.0, 0.0, 0.0))
+    return r.select("vec_id", *[r6(c).alias(c) for c in ("rz", "ry", "rx")])
+
+
+@query("""WITH t AS (SELECT l_partkey, l_returnflag f, l_extendedprice v, l_quantity q, row_number() OVER (PARTITION BY l_partkey, l_returnflag ORDER BY l_extendedprice DESC) r FROM lineitem),
+       g AS (SELECT l_partkey, f, max(v) peak, sum(v) total, sum(v) / sqrt(sum(q * q)) cnr FROM t WHERE r <= 3 GROUP BY 1, 2)
+       SELECT a.l_partkey, round(b.peak / a.peak, 6) peak_retention, round(b.total / a.total, 6) total_retention, round(b.cnr / a.cnr, 5) cnr_retention, round(a.peak - b.peak, 4) peak_drop
+       FROM g a JOIN g b USING (l_partkey) WHERE a.f = 'A' AND b.f = 'R'""")
+def contrast_retention(spark, d):
+    r = simulation.retention(table(spark, d, "lineitem"), ["l_partkey"], "l_returnflag", "A", "R", "l_extendedprice", 3, "l_quantity")
+    return r.select("l_partkey", r6("peak_retention").alias("peak_retention"), r6("total_retention").alias("total_retention"), F.round("cnr_retention", 5).alias("cnr_retention"), F.round("peak_drop", 4).alias("peak_drop"))
+
+
+@query(f"""WITH {CUBE}, h AS (SELECT volume, v, count(*) n FROM cube GROUP BY 1, 2), c AS (SELECT volume, v, sum(n) OVER u w0, sum(v * n) OVER u s0, sum(n) OVER a w, sum(v * n) OVER a s FROM h
+       WINDOW u AS (PARTITION BY volume ORDER BY v ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY volume)),
+       b AS (SELECT volume, v, round(w0 * (w - w0) * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 3) b FROM c WHERE w0 < w)
+       SELECT volume, v threshold FROM (SELECT *, row_number() OVER (PARTITION BY volume ORDER BY b DESC, v) r FROM b) WHERE r = 1""")
+def otsu_threshold(spark, d):
+    h = cube(spark, d).groupBy("volume", "v").agg(F.count("*").alias("n"))
+    return simulation.otsu(h, ["volume"], "v", "n")
+
+
+@query(f"""WITH {CUBE} SELECT volume, z, count(*) n, sum(v)::BIGINT::DOUBLE total FROM cube WHERE (y - 23.5) * (y - 23.5) + (x - 23.5) * (x - 23.5) < 400 GROUP BY 1, 2""")
+def radial_mask(spark, d):
+    c = cube(spark, d).where(simulation.inside_cylinder(F.col("y"), F.col("x"), (23.5, 23.5), 20.0))
+    return c.groupBy("volume", "z").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@query(f"""WITH p AS ({POINTS}) SELECT vec_id, CAST(greatest(0, least(255, round_even(127.5 + 300.0 * x, 0))) AS INT) gray FROM p""")
+def quantised_noise(spark, d):
+    return _points(spark, d).select("vec_id", simulation.quantised(F.col("x"), 300.0, 255).alias("gray"))
+
+
+@query()
+def particles_injected(spark, d):
+    p = _points(spark, d).select("vec_id", F.col("label").cast("string").alias("volume"), *[(24 + 40 * F.col(c)).alias(c) for c in "zyx"])
+    raster = simulation.rastered(p, "vec_id", ("z", "y", "x"), 1.0, 5.0).join(p.select("vec_id", "volume"), "vec_id")
+    return simulation.injected(cube(spark, d), raster, ["volume", "z", "y", "x"], 255.0)
+
+
+@query()
+def correlated_series(spark, d):
+    return simulation.ar2(profile(spark, d), ["user_id"], "event_id", "value", 0.5, 0.13)
