@@ -22,11 +22,11 @@ class Ftrl:
     rows: labelled documents of each label learned from at most, those of least hashed id."""
 
     bits: int = 20
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.6
-    l2: float = 0.5
-    epochs: int = 4
+    l1: float = 4.0
+    l2: float = 0.1
+    epochs: int = 5
     rows: int = 6000
 
 
