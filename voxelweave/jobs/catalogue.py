@@ -155,7 +155,7 @@ def label_latest_wins(spark, d):
     return linking.latest_label(o, "candidate_id", ["o_orderdate", "o_orderkey"], "code")
 
 
-@query("""SELECT l_returnflag, l_linestatus, t.theta, count(*) n FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem)
+@query("""SELECT l_returnflag, l_linestatus, t.theta::DOUBLE theta, count(*) n FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem)
        CROSS JOIN (VALUES (0.5), (5.0), (15.0)) t(theta) GROUP BY ALL""")
 def condition_grid(spark, d):
     seeds = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").distinct()
