@@ -225,3 +225,17 @@ def test_ar2_has_its_correlations(spark):
     assert np.corrcoef(y[:-1], y[1:])[0, 1] == pytest.approx(0.5, abs=0.03) and np.corrcoef(y[:-2], y[2:])[0, 1] == pytest.approx(0.15, abs=0.03)
     with pytest.raises(ValueError):
         simulation.ar2(rows, ["k"], "t", "v", 0.9, 0.1)
+
+
+def test_file_scans(spark, tmp_path):
+    from voxelweave.sources import files
+
+    (tmp_path / "c.toml").write_text('[[cell]]\nname = "a"\nz_min = 3\nz_max = 9\nvoxel_size = 0.01\n[[experiment]]\nexperiment_number = 6\nsmall_z_bounds = [1, 4]\nmin_fill = 0.1\n[[experiment]]\nexperiment_number = 7\n')
+    got = files.config(spark, f"file://{tmp_path}/c.toml")
+    assert got["cells"].first().z_max == 9 and {r.experiment_number for r in got["experiments"].collect()} == {6, 7}
+    (tmp_path / "m.csv").write_text('name,sigma,n\na,"(1.0, 2.5)",3\nb,,4\n')
+    rows = files.csv(spark, f"file://{tmp_path}/m.csv", "name string, sigma string, n int", ("sigma",), ["name", "sigma"]).collect()
+    assert [(r.name, r.sigma) for r in rows] == [("a", [1.0, 2.5]), ("b", None)]
+    (tmp_path / "p.json").write_text('{"annotations": [{"polygon": {"paths": [[{"x": 1.2, "y": 2}, {"x": 5, "y": 9.5}, {"x": 3, "y": 3}], [{"x": 0, "y": 0}]]}}]}')
+    box = files.boxes(files.polygons(spark, f"file://{tmp_path}/p.json")).collect()
+    assert [(b.x0, b.x1, b.y0, b.y1) for b in box] == [(-3, 9, -2, 14)]
