@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import checked_broadcast, stored
@@ -19,6 +19,11 @@ def source_tokens(docs: DataFrame, text_col: str = "text", source_col: str = "so
     return docs.withColumn("n_tok", words.cast("long")).withColumn("src", F.coalesce(F.col(source_col), F.lit("")))
 
 
+def _hash(*parts: Column | str) -> Column:
+    """Hexadecimal hash of the parts; every order and block number of the mix comes from it."""
+    return F.md5(F.concat_ws("|", *[F.col(p) if isinstance(p, str) else p for p in parts]))
+
+
 def temperature_weights(sources: DataFrame, entropy: float | None, repeats: float | None, budget: float = 1.0) -> DataFrame:
     """(src, tokens, share, alpha, weight): weight = share**alpha / sum(share**alpha).
 
@@ -102,27 +107,29 @@ def mix_sources(
         F.coalesce((passes - F.floor(passes + 1e-9)) * F.col("tokens"), F.lit(0.0)).alias("rest"),
     )
     plan = checked_broadcast(stored(plan, "plan"))
-    block = F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks"))
+    salt = F.lit(str(seed))
+    number = lambda key: F.conv(F.substring(_hash(key, salt), 1, 8), 16, 10).cast("long") % F.col("blocks")
+    block = number("key")
     last = F.col("whole") + 1
     of_block = (
         slim.join(plan, "src").withColumn("block", block).groupBy("src", "block", "whole", "rest").agg(F.sum("n_tok").alias("in_block"))
     )
-    by_block = Window.partitionBy("src").orderBy(F.xxhash64("block", last, F.lit(seed)), "block").rowsBetween(Window.unboundedPreceding, -1)
+    by_block = Window.partitionBy("src").orderBy(_hash("block", last, salt), "block").rowsBetween(Window.unboundedPreceding, -1)
     cuts = of_block.select("src", "block", F.coalesce(F.sum("in_block").over(by_block), F.lit(0)).alias("before"), "in_block")
     cuts = checked_broadcast(stored(cuts, "cuts"))
     keyed = (
         base.select(*plain, "src", "n_tok", F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_key"))
         .join(plan, "src")
-        .withColumn("block", F.pmod(F.xxhash64("_key", F.lit(seed)), F.col("blocks")))
+        .withColumn("block", number("_key"))
         .join(cuts, ["src", "block"])
     )
     fits = F.col("before") + F.col("in_block") <= F.col("rest")
     edge = ~fits & (F.col("before") < F.col("rest"))
-    within = Window.partitionBy("src", "block").orderBy(F.xxhash64("_key", last, F.lit(seed)), "_key").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "block").orderBy(_hash("_key", last, salt), "_key").rowsBetween(Window.unboundedPreceding, -1)
     sure = keyed.where(~edge).withColumn("extra", F.when(fits, 1).otherwise(0))
     cut = keyed.where(edge).withColumn("extra", F.when(F.col("before") + F.coalesce(F.sum("n_tok").over(within), F.lit(0)) < F.col("rest"), 1).otherwise(0))
     both = sure.unionByName(cut).withColumn("copies", F.col("whole") + F.col("extra")).where("copies > 0")
     return both.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
         *plain, "src", "n_tok", "weight", "epoch",
-        F.struct(F.xxhash64("src", "block", "epoch", F.lit(seed)).alias("b"), F.xxhash64("_key", "epoch", F.lit(seed)).alias("d")).alias("place"),
+        F.concat(_hash("src", "block", "epoch", salt), _hash("_key", "epoch", salt)).alias("place"),
     )

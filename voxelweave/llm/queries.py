@@ -72,8 +72,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+def _bisected(number: int) -> str:
+    """One refinement of both exponents in SQL: cells of the grid below those of the step before."""
+    width = f"power(128.0::DOUBLE, -{number})"
+    return f"""
+            t{number} AS (SELECT g.goal, g.lo + i.range * {width} alpha, i.range i, share, n FROM p
+                 CROSS JOIN (SELECT 'e' goal, e lo FROM c{number - 1} UNION ALL SELECT 'r', r FROM c{number - 1}) g CROSS JOIN range(129) i),
+            u{number} AS (SELECT goal, alpha, i, sum(power(share, alpha)) z, sum(power(share, alpha) * ln(share)) pl,
+                 max(power(share, alpha) / share) worst, max(n) n FROM t{number} GROUP BY ALL),
+            c{number} AS (SELECT max(alpha) FILTER (goal = 'e' AND (ln(z) - alpha * pl / z >= 0.95::DOUBLE * ln(n) - 1e-12 OR i = 0)) e,
+                 coalesce(max(alpha) FILTER (goal = 'r' AND worst / z > 4 + 1e-12 AND i < 128), min(alpha) FILTER (goal = 'r')) r,
+                 max(CASE WHEN goal = 'r' AND i = 0 AND worst / z <= 4 + 1e-12 THEN 1 END) free FROM u{number}),"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mix_sources": f"""
+            WITH d AS (SELECT doc_id, coalesce(source, '') src, coalesce(doc_id::VARCHAR, 'null') k,
+                 len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT n_tok FROM documents),
+            s AS (SELECT src, sum(n_tok)::BIGINT tokens, count(*) docs, ceil(count(*) / 512.0)::BIGINT blocks FROM d GROUP BY 1),
+            p AS (SELECT src, tokens, tokens::DOUBLE / (SELECT sum(tokens) FROM s) share, (SELECT count(*) FROM s WHERE tokens > 0) n FROM s WHERE tokens > 0),
+            c0 AS (SELECT 0.0::DOUBLE e, 0.0::DOUBLE r),{_bisected(1)}{_bisected(2)}{_bisected(3)}
+            a AS (SELECT greatest(c3.e, CASE WHEN c1.free = 1 THEN 0 ELSE least(c3.r + power(128.0::DOUBLE, -3), 1) END) alpha FROM c3, c1),
+            w AS (SELECT src, power(share, alpha) / sum(power(share, alpha)) OVER () weight FROM p, a),
+            q AS (SELECT src, blocks, tokens, coalesce(weight, 0) weight, weight * (SELECT sum(tokens) FROM s) / tokens passes FROM s LEFT JOIN w USING (src)),
+            plan AS (SELECT src, blocks, weight, coalesce(floor(passes + 1e-9), 1)::INT AS whole, coalesce((passes - floor(passes + 1e-9)) * tokens, 0) rest FROM q),
+            f AS (SELECT d.*, plan.* EXCLUDE (src), ('0x' || substr(md5(k || '|17'), 1, 8))::BIGINT % blocks block FROM d JOIN plan USING (src)),
+            b AS (SELECT src, block, any_value(whole) AS whole, sum(n_tok) in_block FROM f GROUP BY 1, 2),
+            cut AS (SELECT src, block, in_block, coalesce(sum(in_block) OVER (PARTITION BY src ORDER BY md5(block || '|' || (whole + 1) || '|17'), block
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM b),
+            x AS (SELECT f.*, in_block, bef, coalesce(sum(n_tok) OVER (PARTITION BY src, block ORDER BY md5(k || '|' || (whole + 1) || '|17'), k
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS into_block FROM f JOIN cut USING (src, block)),
+            y AS (SELECT *, whole + CASE WHEN bef + in_block <= rest OR (bef < rest AND bef + into_block < rest) THEN 1 ELSE 0 END copies FROM x)
+            SELECT doc_id, src, n_tok, round(weight, 9) weight, epoch::INT epoch,
+                 md5(src || '|' || block || '|' || epoch || '|17') || md5(k || '|' || epoch || '|17') place
+            FROM (SELECT *, unnest(range(1, copies + 1)) epoch FROM y)""",
         "op7_chat": """
             WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text
                        FROM conversations WHERE conv_id IS NOT NULL),
