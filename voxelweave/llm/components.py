@@ -25,7 +25,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = down.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
         ).select("e.u", "e.v")
-    return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    out = moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    return out if large else out.distinct()  # repeats between the two stars do no harm
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -40,15 +41,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct(),
         "edges",
     )
-    state = None
+    def summary(edges: DataFrame) -> tuple:
+        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        return seen["n"], seen["h"]
+
+    state = summary(now)
     for _ in range(MAX_ROUNDS):
+        if state[0] == 0:
+            break
         after = stored(_star(_star(now, True), False), "edges")
         dropped(now)
         now = after
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == state or seen["n"] == 0:
+        before, state = state, summary(now)
+        if state == before:
             break
-        state = (seen["n"], seen["h"])
     else:
         raise RuntimeError("components did not settle")
     hubs = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,20 @@ class HyperMinHash:
         return 1 << self.p
 
 
+@cache
+def _orders(n: int) -> np.ndarray:
+    """Row i: the place of each slot in the random order of slot i."""
+    rng = np.random.default_rng(31)
+    return np.stack([rng.permutation(n) for _ in range(n)]).astype(np.int16)
+
+
 def _registers(hashes: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
-    """Registers of one document from its sorted distinct shingle hashes (0: empty slot)."""
+    """Registers of one document from its sorted distinct shingle hashes (all 0 without any).
+
+    An empty slot takes over the register of the first filled slot in a fixed random order of its
+    own, so that each register of a short text, too, agrees with another's with the probability
+    of their similarity, and no band rests on one shingle alone.
+    """
     out = np.zeros(cfg.registers, np.uint16)
     if len(hashes):
         slot = (hashes >> U(64 - cfg.p)).astype(np.int64)
@@ -51,7 +64,12 @@ def _registers(hashes: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
         # a float may round up to the next power of two
         zeros = np.where((rest << zeros) >> U(63) == 0, zeros + U(1), zeros)
         mantissa = (rest << zeros << U(1)) >> U(64 - cfg.r)
-        out[slot[first]] = ((zeros + U(1)) << U(cfg.r) | mantissa).astype(np.uint16)
+        filled = slot[first]
+        out[filled] = ((zeros + U(1)) << U(cfg.r) | mantissa).astype(np.uint16)
+        empty = np.flatnonzero(out == 0)
+        if len(empty):
+            order = _orders(cfg.registers)[empty[:, None], filled[None, :]]
+            out[empty] = out[filled[order.argmin(axis=1)]]
     return out
 
 
@@ -120,14 +138,18 @@ def estimate(a: np.ndarray, b: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
+#: Sets smaller than this are compared in full without regard to the estimate.
+FEW = 128
+
+
 def _likely(cfg: HyperMinHash) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, cfg.registers) for c in ("ra", "rb"))
-            # few used registers say little: such pairs are always verified
-            ok = (estimate(a, b, cfg) >= cfg.percent / 100 - cfg.slack) | (((a > 0) | (b > 0)).sum(axis=1) < 64)
+            # the registers of few shingles say little: such pairs are always verified
+            ok = (estimate(a, b, cfg) >= cfg.percent / 100 - cfg.slack) | (np.asarray(batch.column("least")) < FEW)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -155,8 +177,8 @@ def _cross_blocks(cfg: HyperMinHash) -> Callable:
             if not len(y):
                 continue
             e = estimate(regs[y], regs[x][None, :], cfg)
-            few = ((regs[y] > 0) | (regs[x][None, :] > 0)).sum(axis=1) < 64
-            y, e = y[(e >= cfg.percent / 100 - cfg.slack) | few], e[(e >= cfg.percent / 100 - cfg.slack) | few]
+            likely = (e >= cfg.percent / 100 - cfg.slack) | (np.minimum(n[y], n[x]) < FEW)
+            y, e = y[likely], e[likely]
             order = np.lexsort((ids[y], -e, comp[y]))
             y = y[order]
             c = comp[y]
@@ -174,10 +196,12 @@ def _cross_blocks(cfg: HyperMinHash) -> Callable:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, cfg: HyperMinHash) -> DataFrame:
     """The pairs (a, b) that are links by their full shingle sets."""
-    r = nodes.select("doc_id", "regs")
+    r = nodes.select("doc_id", "n", "regs")
     likely = (
-        pairs.join(r.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra")), "a")
-        .join(r.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb")), "b")
+        pairs.join(r.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
+        .join(r.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
+        .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent)
+        .select("a", "b", "ra", "rb", F.least("na", "nb").alias("least"))
         .mapInArrow(_likely(cfg), "a long, b long")
     )
     both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
@@ -219,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = members.where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = stored(_verified(pairs, nodes, sets, cfg), "links")
-    most = 16
+    most = 256
     while True:
         comp = components(links)
         comp = stored(comp, "labels")
@@ -232,6 +256,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).where("parts > 1 and size > 2")
         open_ = labelled.join(mixed, "key").withColumn("outlier", F.col("comp") != F.col("main"))
         open_ = stored(open_.join(nodes.select("doc_id", "n", "regs"), "doc_id"), "open")
+        grown = False
+        if open_.isEmpty():
+            break
         small = open_.where(F.col("size") <= SMALL_BUCKET).select("key", "doc_id", "comp", "n")
         x, y = small.alias("x"), small.alias("y")
         near = x.join(y, F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.comp <> y.comp and 100 * least(x.n, y.n) >= {cfg.percent} * greatest(x.n, y.n)"))
