@@ -86,21 +86,45 @@ def _prepare(cfg: Projections) -> Callable:
     return run
 
 
-def _pairs(cfg: Projections) -> Callable:
+def _least_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest position reachable from each of n positions over the links (i, j)."""
+    label = np.arange(n)
+    a, b = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
+    while len(a):
+        new = label.copy()
+        new[a[first]] = np.minimum(label[a[first]], np.minimum.reduceat(label[b], first))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _linked(cfg: Projections) -> Callable:
+    """Of one pair of cells: for each vector with a link, how many vectors it links with there (copies
+    counted) and the smallest id it reaches. Neither grows beyond the cells' own size, however many
+    pairs are linked."""
+
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("side").combine_chunks())
         own = bool(table.column("own")[0].as_py())
-        ids, raw = np.asarray(table.column("vec_id").combine_chunks()), table.column("u").to_pylist()
-        a_out, b_out = [], []
+        order = np.argsort(np.asarray(table.column("vec_id").combine_chunks()), kind="stable")
+        ids, copies = (np.asarray(table.column(c).combine_chunks())[order] for c in ("vec_id", "copies"))
+        side, raw = side[order], [table.column("u")[int(k)].as_py() for k in order]
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        i_all, j_all = [], []
         for dim in {len(r) // 8 for r in raw}:
-            some = np.array([i for i, r in enumerate(raw) if len(r) // 8 == dim])
+            some = np.array([k for k, r in enumerate(raw) if len(r) // 8 == dim])
             q, x = some[side[some] == 0], some[side[some] == 1]
             if own:
                 x = q
             if not len(q) or not len(x):
                 continue
-            U = np.frombuffer(b"".join(raw[i] for i in q), np.float64).reshape(len(q), dim)
-            V = U if own else np.frombuffer(b"".join(raw[i] for i in x), np.float64).reshape(len(x), dim)
+            U = np.frombuffer(b"".join(raw[k] for k in q), np.float64).reshape(len(q), dim)
+            V = U if own else np.frombuffer(b"".join(raw[k] for k in x), np.float64).reshape(len(x), dim)
             lines = _lines(dim, cfg.lines, cfg.seed)[:, :-1].astype(np.float32)
             pu, pv = U.astype(np.float32) @ lines, V.astype(np.float32) @ lines
             for s in range(0, len(q), 256):
@@ -109,19 +133,26 @@ def _pairs(cfg: Projections) -> Callable:
                     count += np.abs(pu[s : s + 256, k, None] - pv[None, :, k]) <= np.float32(cfg.window)
                 i, j = np.nonzero(count >= cfg.least)
                 ok = np.einsum("ij,ij->i", U[s + i], V[j]) >= cfg.cosine
-                a, b = ids[q[s + i[ok]]], ids[x[j[ok]]]
+                i, j = q[s + i[ok]], x[j[ok]]
                 if own:
-                    a, b = a[a < b], b[a < b]
-                a_out.append(np.minimum(a, b))
-                b_out.append(np.maximum(a, b))
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a_out, b_out))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    i, j = i[i < j], j[i < j]
+                i_all.append(i)
+                j_all.append(j)
+        if i_all:
+            i, j = np.concatenate(i_all), np.concatenate(j_all)
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            root = _least_reachable(len(ids), i, j)
+        hit = links > 0
+        return pa.table({"vec_id": pa.array(ids[hit], pa.int64()), "links": pa.array(links[hit], pa.int64()), "least": pa.array(ids[root[hit]], pa.int64())})
 
     return run
 
 
 def embedding_links(vectors: DataFrame, cfg: Projections = Projections()) -> DataFrame:
-    """(a, b), a < b: links between distinct usable vectors (vec_id, label, u, at).
+    """(vec_id, links, least) for distinct usable vectors (vec_id, label, u, at, copies): for each pair of
+    cells that holds links of a vector, how many vectors it links with there and the smallest id that
+    it reaches there.
 
     Each label's vectors are sorted along the first line into cells at sampled splitters; two cells
     meet only if they come within the calibrated reach. A cell pair is one group, so a hot
@@ -137,7 +168,7 @@ def embedding_links(vectors: DataFrame, cfg: Projections = Projections()) -> Dat
     # number of cells grows with the label, so a cell's size does not
     z = F.least(F.greatest(F.col("at"), F.lit(-4.0)), F.lit(4.0))
     phi = 1 / (1 + F.exp(-1.702 * z))
-    cut = cut.select("label", "vec_id", "u", "at", F.least(F.floor(phi * n), n - 1).cast("int").alias("cell"))
+    cut = cut.select("label", "vec_id", "u", "at", "copies", F.least(F.floor(phi * n), n - 1).cast("int").alias("cell"))
     cut = stored(cut, "cells")
     ranges = stored(cut.groupBy("label", "cell").agg(F.min("at").alias("lo"), F.max("at").alias("hi")), "ranges")
     x, y = ranges.alias("x"), ranges.alias("y")
@@ -145,10 +176,10 @@ def embedding_links(vectors: DataFrame, cfg: Projections = Projections()) -> Dat
         F.col("x.label").alias("label"), F.col("x.cell").alias("cx"), F.col("y.cell").alias("cy")
     )
     meets = stored(meets, "meets")
-    left = cut.join(meets.withColumnRenamed("cx", "cell"), ["label", "cell"]).select("label", F.col("cell").alias("cx"), "cy", "vec_id", "u", F.lit(0).alias("side"))
-    right = cut.join(meets.where("cx <> cy").withColumnRenamed("cy", "cell"), ["label", "cell"]).select("label", "cx", F.col("cell").alias("cy"), "vec_id", "u", F.lit(1).alias("side"))
+    left = cut.join(meets.withColumnRenamed("cx", "cell"), ["label", "cell"]).select("label", F.col("cell").alias("cx"), "cy", "vec_id", "u", "copies", F.lit(0).alias("side"))
+    right = cut.join(meets.where("cx <> cy").withColumnRenamed("cy", "cell"), ["label", "cell"]).select("label", "cx", F.col("cell").alias("cy"), "vec_id", "u", "copies", F.lit(1).alias("side"))
     both = left.unionByName(right).withColumn("own", F.col("cx") == F.col("cy"))
-    return both.groupBy("label", "cx", "cy").applyInArrow(_pairs(cfg), "a long, b long")
+    return both.groupBy("label", "cx", "cy").applyInArrow(_linked(cfg), "vec_id long, links long, least long")
 
 
 def embedding_dedup(
@@ -168,14 +199,12 @@ def embedding_dedup(
     classes = stored(
         keyed.where(usable).groupBy("label", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("u").alias("u"), F.first("at").alias("at")), "classes"
     )
-    links = stored(embedding_links(classes.select(F.col("rep").alias("vec_id"), "label", "u", "at"), cfg), "links")
-    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select(F.col("rep").alias("b"), "copies")
-    direct = ends.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    comp = components(links)
+    links = stored(embedding_links(classes.select(F.col("rep").alias("vec_id"), "label", "u", "at", "copies"), cfg), "links")
+    direct = links.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("others"))
+    comp = components(links, "vec_id", "least")
     per = (
         classes.select("label", "h", "rep", "copies")
-        .join(direct.withColumnRenamed("a", "rep"), "rep", "left")
+        .join(direct, "rep", "left")
         .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
         .select("label", "h", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
