@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash as th
-from .tables import BROADCAST_ROWS, dropped, small_batches, stored
+from .tables import dropped, is_small, small_batches, stored
 
 U = np.uint64
 LENGTH = 400
 #: Bytes of the k-grams that are sampled.
 GRAM = 32
-#: Neighbouring strings named together before single ones.
-BLOCK = 32
+#: Neighbouring strings named together, level by level.
+BLOCKS = (64, 8, 1)
 #: String starts looked at in one go; positions must fit the low 20 bits of a packed hash.
 SEGMENT = 1 << 19
 
@@ -93,7 +93,9 @@ def _runs(length: int) -> Callable:
 
 
 def _blocks(length: int, block: int) -> Callable:
-    """Digest of each aligned block of `block` distances of each run in the rows' lists."""
+    """Digest of each aligned block of `block` distances of each run in the rows' lists, and of the
+    core: the bytes that all strings of the block hold. Strings of two blocks can only be equal if
+    the cores are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,14 +111,17 @@ def _blocks(length: int, block: int) -> Callable:
                 which = np.repeat(np.arange(len(pos)), n)
                 number = th.ragged(low, n)
                 lo, hi = np.maximum(number * block, dmin[which]), np.minimum(number * block + block - 1, dmax[which])
-                s = _digests(view, (pos[which] - hi).tolist(), (pos[which] - lo + length).tolist())
+                at = pos[which]
+                s = _digests(view, (at - hi).tolist(), (at - lo + length).tolist())
+                core = _digests(view, (at - number * block).tolist(), (at - number * block - block + 1 + length).tolist()) if block > 1 else s
+                g = th.mix(core[:, 0].view(np.uint64) ^ th.mix(name[which].view(np.uint64) + number.astype(np.uint64)))
                 m = len(which)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(m, t1[k])), pa.array(np.full(m, t2[k])), pa.array(pos[which]), pa.array(number), pa.array(lo), pa.array(hi),
-                        pa.array(name[which]), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(multi[which]),
+                        pa.array(np.full(m, t1[k])), pa.array(np.full(m, t2[k])), pa.array(at), pa.array(lo), pa.array(hi), pa.array(name[which]),
+                        pa.array(g.view(np.int64)), pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(multi[which]),
                     ],
-                    ["t1", "t2", "pos", "block", "dmin", "dmax", "name", "s1", "s2", "multi"],
+                    ["t1", "t2", "pos", "dmin", "dmax", "name", "g", "s1", "s2", "multi"],
                 )
 
     return run
@@ -125,28 +130,36 @@ def _blocks(length: int, block: int) -> Callable:
 RUN = "t1 long, t2 long, pos long, dmin long, dmax long, name long, s1 long, s2 long"
 
 
-def _matched(docs: DataFrame, runs: DataFrame, length: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Of runs (name, t1, t2, pos, dmin, dmax, multi) that stand for their classes: (ranges of repeated
-    strings, runs for the next finer level)."""
-    lists = runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "dmin", "dmax", "name", "multi")).alias("runs"))
-    lists = stored(lists, "lists")
-    n = lists.agg(F.sum(F.size("runs")).alias("n")).first()["n"] or 0
-    side = F.broadcast(lists) if n <= BROADCAST_ROWS else lists
-    parts = docs.join(side, ["t1", "t2"])
-    rows = parts.select("t1", "t2", "text", "runs").mapInArrow(
-        _blocks(length, block), "t1 long, t2 long, pos long, block long, dmin long, dmax long, name long, s1 long, s2 long, multi boolean"
-    )
-    keys = ["name", "block", "dmin", "dmax", "s1", "s2"]
-    rows = stored(rows.dropDuplicates(["t1", "t2", "pos", "dmin", "name"]), "blocks")
-    classes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos", "multi")).alias("one"))
+def _resolved(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """Of runs with column multi (others elsewhere equal this one and are settled): (ranges of
+    repeated strings, one run of each class whose group holds several classes).
+
+    Rows may repeat: a class is repeated if its smallest and largest place differ.
+    """
+    keys = [group, "dmin", "dmax", "s1", "s2"]
+    place = F.xxhash64("t1", "t2", "pos")
+    classes = rows.groupBy(*keys).agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("multi").alias("m"))
     classes = stored(classes, "classes")
-    hit = rows.where("not multi").join(classes.where("n > 1").select(*keys), keys)
-    ranges = hit.select("t1", "t2", (F.col("pos") - F.col("dmax")).alias("lo"), (F.col("pos") - F.col("dmin")).alias("hi"))
-    open_ = classes.groupBy("name", "block").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name", "block")
-    finer = classes.join(open_, ["name", "block"]).select(
-        "name", "one.t1", "one.t2", "one.pos", "dmin", "dmax", (F.col("one.multi") | (F.col("n") > 1)).alias("multi")
+    kinds = classes.groupBy(group).agg(F.count("*").alias("kinds")).where("kinds > 1").select(group, F.lit(True).alias("open"))
+    useful = classes.join(kinds, group, "left").where("p <> q or open")
+    both = stored(rows.join(useful, keys).select(*rows.columns, "p", "q", "m", "open", place.alias("here")), "both")
+    ranges = both.where("p <> q and not multi").select("t1", "t2", (F.col("pos") - F.col("dmax")).alias("lo"), (F.col("pos") - F.col("dmin")).alias("hi"))
+    one = both.where("open and here = p").select("name", "t1", "t2", "pos", "dmin", "dmax", (F.col("m") | (F.col("p") != F.col("q"))).alias("multi"))
+    return ranges, one.distinct()
+
+
+def _finer(docs: DataFrame, runs: DataFrame, length: int, block: int) -> DataFrame:
+    """Blocks of the given runs, read off their texts."""
+    lists = stored(runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("pos", "dmin", "dmax", "name", "multi")).alias("runs")), "lists")
+    keys = lists.select("t1", "t2")
+    some = docs.join(F.broadcast(keys), ["t1", "t2"], "left_semi") if is_small(keys) else docs
+    rows = some.join(lists, ["t1", "t2"]).select("t1", "t2", "text", "runs")
+    return stored(
+        rows.mapInArrow(
+            _blocks(length, block), "t1 long, t2 long, pos long, dmin long, dmax long, name long, g long, s1 long, s2 long, multi boolean"
+        ),
+        "blocks",
     )
-    return ranges, finer
 
 
 def _cut(length: int) -> Callable:
@@ -202,26 +215,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_ = rows.where(F.octet_length("text") >= length)
     copied = stored(long_.groupBy("t1", "t2").count().where("count > 1").select("t1", "t2", F.lit(True).alias("copied")), "copied")
 
-    runs = stored(long_.select("t1", "t2", "text").mapInArrow(_runs(length), RUN).dropDuplicates(["t1", "t2", "pos", "dmin"]), "runs")
-    names = runs.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    shared = stored(runs.join(names, "name"), "shared")
+    runs = stored(long_.select("t1", "t2", "text").mapInArrow(_runs(length), RUN), "runs")
+    place = F.xxhash64("t1", "t2", "pos")
+    names = runs.groupBy("name").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("name")
+    level = stored(runs.join(names, "name").select(*runs.columns, F.lit(False).alias("multi")), "shared")
     dropped(runs)
-    keys = ["name", "dmin", "dmax", "s1", "s2"]
-    classes = stored(shared.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "pos")).alias("one")), "classes")
-    whole = shared.join(classes.where("n > 1").select(*keys), keys)
-    ranges = whole.select("t1", "t2", (F.col("pos") - F.col("dmax")).alias("lo"), (F.col("pos") - F.col("dmin")).alias("hi"))
-    open_ = classes.groupBy("name").agg(F.count("*").alias("kinds")).where("kinds > 1").select("name")
-    level = classes.join(open_, "name").select("name", "one.t1", "one.t2", "one.pos", "dmin", "dmax", (F.col("n") > 1).alias("multi"))
-    for block in (BLOCK, 1):
-        found, level = _matched(long_.select("t1", "t2", "text"), level, length, block)
+    found, open_ = _resolved(level, "name")
+    ranges = found
+    for block in BLOCKS:
+        found, open_ = _resolved(_finer(long_.select("t1", "t2", "text"), open_, length, block), "g")
         ranges = ranges.unionByName(found)
     # a copied text is removed whole
     per = stored(
         ranges.distinct().join(copied, ["t1", "t2"], "left_anti").groupBy("t1", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "ranges"
     )
     marks = per.join(copied, ["t1", "t2"], "full")
-    size = marks.agg(F.sum(F.greatest(F.size("ranges"), F.lit(1))).alias("n")).first()["n"] or 0
-    out = rows.join(F.broadcast(marks) if size <= BROADCAST_ROWS else marks, ["t1", "t2"], "left")
+    marks = stored(marks, "marks")
+    keys = marks.select("t1", "t2")
+    if is_small(keys):  # texts without a repeat stay where they are
+        rest = rows.join(F.broadcast(keys), ["t1", "t2"], "left_anti").withColumn("copied", F.lit(None).cast("boolean"))
+        rest = rest.withColumn("ranges", F.lit(None).cast(marks.schema["ranges"].dataType))
+        some = rows.join(F.broadcast(keys), ["t1", "t2"], "left_semi").join(marks, ["t1", "t2"])
+        out = some.unionByName(rest)
+    else:
+        out = rows.join(marks, ["t1", "t2"], "left")
     return out.select("doc_id", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "ranges").mapInArrow(
         _cut(length), f"doc_id {kind}, n_bytes long, spans array<struct<first:long,end:long>>, kept binary"
     )
