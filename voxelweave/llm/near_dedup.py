@@ -31,9 +31,9 @@ class HyperMinHash:
     r: int = 10
     bands: int = 32
     percent: int = 75
-    #: Pairs whose corrected estimate is lower than the threshold by more than this are not
-    #: verified: over 5 standard errors of an estimate from 128 registers.
-    slack: float = 0.22
+    #: Pairs whose corrected estimate is lower than the threshold by more standard errors than this
+    #: are not verified.
+    errors: float = 4.7
 
     @property
     def registers(self) -> int:
@@ -138,8 +138,11 @@ def estimate(a: np.ndarray, b: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
-#: Sets smaller than this are compared in full without regard to the estimate.
-FEW = 128
+def possible(similarity: np.ndarray, least: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
+    """Whether an estimate leaves a link possible; least: size of the smaller set. The registers draw
+    from the shingles, so both their numbers limit what an estimate can tell."""
+    t = cfg.percent / 100
+    return similarity >= t - cfg.errors * np.sqrt(t * (1 - t) * (1 / cfg.registers + 1 / np.maximum(least, 1)))
 
 
 def _likely(cfg: HyperMinHash) -> Callable:
@@ -148,8 +151,7 @@ def _likely(cfg: HyperMinHash) -> Callable:
             if batch.num_rows == 0:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, cfg.registers) for c in ("ra", "rb"))
-            # the registers of few shingles say little: such pairs are always verified
-            ok = (estimate(a, b, cfg) >= cfg.percent / 100 - cfg.slack) | (np.asarray(batch.column("least")) < FEW)
+            ok = possible(estimate(a, b, cfg), np.asarray(batch.column("least")), cfg)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
 
     return run
@@ -162,30 +164,32 @@ OUTLIERS, MEMBERS = 256, 4096
 
 
 def _cross_blocks(cfg: HyperMinHash) -> Callable:
-    """Pairs of one outlier block and one member block, in different components, whose estimate
-    and set sizes allow a link; the best `most` partners of each outlier in each component.
-    The flag tells whether some were left for the next round."""
+    """Of one outlier block and one member block, the likeliest pairs: for each two components the
+    `most` with the highest estimates, as one link joins them whole. A pair of nulls tells that some
+    were left for the next round."""
 
     def run(table: pa.Table, most: int) -> pa.Table:
         out = np.asarray(table.column("outlier").combine_chunks().to_numpy(zero_copy_only=False), bool)
-        ids, comp, n = (np.asarray(table.column(c)) for c in ("doc_id", "comp", "n"))
+        ids, comp, n = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "comp", "n"))
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, cfg.registers)
-        o, m = np.flatnonzero(out), np.flatnonzero(~out)
-        pairs, left = [], False
-        for x in o:
+        m = np.flatnonzero(~out)
+        xs, ys, es = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for x in np.flatnonzero(out):
             y = m[(comp[m] != comp[x]) & (100 * np.minimum(n[m], n[x]) >= cfg.percent * np.maximum(n[m], n[x]))]
-            if not len(y):
-                continue
             e = estimate(regs[y], regs[x][None, :], cfg)
-            likely = (e >= cfg.percent / 100 - cfg.slack) | (np.minimum(n[y], n[x]) < FEW)
-            y, e = y[likely], e[likely]
-            order = np.lexsort((ids[y], -e, comp[y]))
-            y = y[order]
-            c = comp[y]
-            start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(y) else np.zeros(0, int)
-            rank = np.arange(len(y)) - np.repeat(start, np.diff(np.concatenate([start, [len(y)]])))
-            left |= bool((rank >= most).any())
-            pairs += [(min(ids[x], z), max(ids[x], z)) for z in ids[y[rank < most]]]
+            ok = possible(e, np.minimum(n[y], n[x]), cfg)
+            xs.append(np.full(int(ok.sum()), x))
+            ys.append(y[ok])
+            es.append(e[ok])
+        x, y, e = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
+        low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+        order = np.lexsort((ids[y], ids[x], -e, high, low))
+        x, y, low, high = x[order], y[order], low[order], high[order]
+        start = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(x) else np.zeros(0, int)
+        rank = np.arange(len(x)) - np.repeat(start, np.diff(np.concatenate([start, [len(x)]])))
+        left = bool((rank >= most).any())
+        x, y = ids[x[rank < most]], ids[y[rank < most]]
+        pairs = list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
         a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
         if left:  # a pair of nulls carries the flag
             return pa.table({"a": pa.array([*a.tolist(), None], pa.int64()), "b": pa.array([*b.tolist(), None], pa.int64())})
@@ -243,7 +247,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     pairs = members.where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = stored(_verified(pairs, nodes, sets, cfg), "links")
-    most = 256
+    most = 8
     while True:
         comp = components(links)
         comp = stored(comp, "labels")
@@ -292,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = stored(links.unionByName(new).distinct(), "links")
         if not more:
             break
-        most *= 8
+        most *= 64
     if grown:
         comp = stored(components(links), "labels")
     label = nodes.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
