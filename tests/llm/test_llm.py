@@ -442,3 +442,18 @@ def test_pipeline_stages(spark, tk):
     for i, n, sha in zip(tokens.doc_id, tokens.n_tokens, tokens.ids_sha256):
         ids = tk.encode_ordinary(text[i])
         assert (n, sha) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
+def test_op5_sees_word_order_and_grows(spark):
+    rng = random.Random(6)
+    lexicon = [a + b for a in ("bal", "cor", "din", "fem") for b in ("tak", "rul", "sop", "wen")]
+    good = [" ".join(rng.choice(lexicon) for _ in range(80)) for _ in range(60)]
+    model = quality.train(spark.createDataFrame([(t,) for t in good], "text string"), order=quality.ORDER)
+    few = quality.train(spark.createDataFrame([(t[:60],) for t in good[:2]], "text string"), order=quality.ORDER)
+    assert model[-1][0].count() > few[-1][0].count()
+    # every byte trigram of the second text is in the first one's language; its five-grams are not
+    tests = ["baltak corrul dinsop", "taktak rulrul sopsop"]
+    rate = {r.doc_id: r.nll / r.n_bytes for r in quality.score(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).collect()}
+    seen = {g for t in good for g in (t[i : i + 5] for i in range(len(t)))}
+    assert sum(tests[1][i : i + 5] not in seen for i in range(len(tests[1]))) > 3 and rate[1] > rate[0] + 0.3
+    assert quality.ORDER >= 5

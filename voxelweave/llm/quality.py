@@ -1,4 +1,4 @@
-"""Quality classifier: interpolated modified Kneser-Ney byte trigrams trained on trusted text."""
+"""Quality classifier: interpolated modified Kneser-Ney byte n-grams trained on trusted text."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import texthash as th
@@ -14,6 +14,12 @@ from .tables import checked_broadcast, small_batches, stored
 
 #: Bytes before a text begins, in the place of its context.
 START = 0
+#: Bytes of an n-gram.
+ORDER = 5
+#: The model of all trusted text; models 0 and 1 leave out one half of it.
+ALL = 2
+#: Bytes of text that ask together for the probabilities of their distinct n-grams.
+GROUP_BYTES = 1 << 23
 #: Pseudo-bytes at the language's mean rate added to each text, so that a few odd letters in a
 #: very short text don't reject it.
 PRIOR_BYTES = 60
@@ -25,129 +31,152 @@ LEAST_TRUSTED = 50
 BINS = 1000
 
 
-def _codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Trigram code of every byte: itself and the two bytes before it, START before a text."""
-    b = data.astype(np.uint32)
-    one, two = np.empty_like(b), np.empty_like(b)
-    one[1:], two[2:] = b[:-1], b[:-2]
+def _codes(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
+    """N-gram code of every byte: itself and the order - 1 bytes before it, START before a text."""
     size = np.diff(offsets)
-    first = offsets[:-1][size > 0]
-    one[first], two[first] = START, START
-    second = offsets[:-1][size > 1] + 1
-    two[second] = START
-    return two << np.uint32(16) | one << np.uint32(8) | b
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = th.text_bytes(batch.column(0))
-        for i, j in th.slices(offsets, 4 * th.CHUNK):
-            code, n = np.unique(_codes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(n, pa.int64())], ["code", "c"])
-
-
-def _discounts(table: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts from the counts of counts of column c."""
-    n = [0, 0, 0, 0, 0]
-    for row in table.where("c between 1 and 4").groupBy("c").count().collect():  # four rows at most
-        n[row["c"]] = row["count"]
-    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-    return tuple(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) if n[k] else 0.5 * k for k in (1, 2, 3))
-
-
-def _level(table: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of n-grams (context.., w, c): (table with their discounted share `p`, contexts with the mass
-    `gamma` left to the lower order)."""
-    d1, d2, d3 = _discounts(table)
-    d = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-    keys = context or [F.lit(0).alias("none")]
-    per = table.groupBy(*keys).agg(F.sum("c").alias("all"), F.sum(d).alias("off"))
-    left = per.select(*(context or ["none"]), "all", (F.col("off") / F.col("all")).alias("gamma"))
-    joined = table.join(left, context) if context else table.crossJoin(F.broadcast(left))
-    return joined.withColumn("p", (F.col("c") - d) / F.col("all")), left
-
-
-def train(trusted: DataFrame, text_col: str = "text") -> dict[str, DataFrame]:
-    """Model tables: tri (code, p), bi (code, p), uni (code, p), g2 (code of two bytes, gamma), g1.
-
-    Counts come from all trusted text, summed per batch, then by trigram shards; lower orders count
-    distinct left neighbours (continuations); the joins are by n-gram and context. tri has at most
-    2**24 rows, whatever the corpus.
-    """
-    small_batches(trusted.sparkSession)
-    raw = trusted.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(_count, "code int, c long")
-    t3 = stored(raw.groupBy("code").agg(F.sum("c").alias("c")), "trigrams").selectExpr(
-        "shiftright(code, 16) & 255 a", "shiftright(code, 8) & 255 b", "code & 255 w", "c"
-    )
-    t2 = stored(t3.groupBy("b", "w").agg(F.count("*").alias("c")), "bigrams")
-    t1 = t2.groupBy("w").agg(F.count("*").alias("c"))
-    p1, g0 = _level(t1, [])
-    uni = p1.select(F.col("w").alias("code"), (F.col("p") + F.col("gamma") / 256).alias("p"))
-    p2, g1 = _level(t2, ["b"])
-    bi = p2.join(uni.withColumnRenamed("code", "w").withColumnRenamed("p", "q"), "w").selectExpr("b * 256 + w code", "p + gamma * q p")
-    p3, g2 = _level(t3, ["a", "b"])
-    tri = p3.withColumn("low", F.expr("b * 256 + w")).join(bi.select(F.col("code").alias("low"), F.col("p").alias("q")), "low").selectExpr(
-        "(a * 256 + b) * 256 + w code", "p + gamma * q p"
-    )
-    return {
-        "tri": tri, "bi": bi, "uni": uni, "g2": g2.selectExpr("a * 256 + b code", "gamma"),
-        "g1": g1.selectExpr("b code", "gamma"), "g0": g0.selectExpr("0 code", "gamma"),
-    }
-
-
-class _Scorer:
-    """-log p of every trigram code as one dense table (64 MB), built once a worker."""
-
-    built: tuple[int, np.ndarray] | None = None
-
-    @classmethod
-    def table(cls, key: int, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        if cls.built is None or cls.built[0] != key:
-            cls.built = None
-            uni = np.full(256, model["g0"][1][0] / 256 if len(model["g0"][1]) else 1 / 256, np.float32)
-            uni[model["uni"][0]] = model["uni"][1]
-            g1, g2 = np.ones(1 << 8, np.float32), np.ones(1 << 16, np.float32)
-            g1[model["g1"][0]], g2[model["g2"][0]] = model["g1"][1], model["g2"][1]
-            bi = (g1[:, None] * uni[None, :]).ravel()
-            bi[model["bi"][0]] = model["bi"][1]
-            p = (g2.reshape(256, 256, 1) * bi.reshape(1, 256, 256)).ravel()
-            p[model["tri"][0]] = model["tri"][1]
-            np.log(p, out=p)
-            np.negative(p, out=p)
-            cls.built = (key, p)
-        return cls.built[1]
-
-
-def _score(model, key: int) -> Callable:
+    into = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    code = data.astype(np.int64)
+    for k in range(1, order):
+        before = np.full(len(data), START, np.int64)
+        before[k:] = data[: len(data) - k]
+        before[into < k] = START
+        code |= before << np.int64(8 * k)
+    return code
+
+
+def _count(order: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
         for batch in batches:
-            table = _Scorer.table(key, model.value) if table is None else table
-            data, offsets = th.text_bytes(batch.column("text"))
-            nll = np.zeros(batch.num_rows)
-            for i, j in th.slices(offsets):
-                at = offsets[i : j + 1] - offsets[i]
-                v = np.concatenate([[0.0], np.cumsum(table[_codes(data[offsets[i] : offsets[j]], at)], dtype=np.float64)])
-                nll[i:j] = np.round(v[at[1:]] - v[at[:-1]], 6)
-            keep = [batch.column(c) for c in batch.schema.names if c != "text"]
-            names = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(nll), pa.array(np.diff(offsets), pa.int64())], [*names, "nll", "n_bytes"])
+            fold = batch.column(1).to_numpy()
+            for f in np.unique(fold):
+                data, offsets = th.text_bytes(batch.column(0).filter(pa.array(fold == f)))
+                for i, j in th.slices(offsets, 4 * th.CHUNK):
+                    code, n = np.unique(_codes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), f, np.int32)), pa.array(code), pa.array(n, pa.int64())], ["fold", "code", "c"])
+
+    return run
+
+
+def _discount(table: DataFrame) -> Column:
+    """Modified Kneser-Ney discount of a count c of model m, from the counts of counts."""
+    n: dict[int, list[int]] = {}
+    for row in table.where("c between 1 and 4").groupBy("m", "c").count().collect():  # four rows a model at most
+        n.setdefault(row["m"], [0] * 5)[row["c"]] = row["count"]
+    out = F.when(F.lit(False), 0.0)
+    for m in range(ALL + 1):
+        k = n.get(m, [0] * 5)
+        y = k[1] / (k[1] + 2 * k[2]) if k[1] else 0.5
+        d = [min(max(i - (i + 1) * y * k[i + 1] / k[i], 0.05), i - 0.05) if k[i] else 0.5 * i for i in (1, 2, 3)]
+        out = out.when(F.col("m") == m, F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2]))
+    return out
+
+
+def _low(n: int) -> str:
+    """The n-gram code without its first byte."""
+    return f"code & {(1 << 8 * (n - 1)) - 1}L"
+
+
+def train(trusted: DataFrame, text_col: str = "text", order: int = 3, fold_col: str | None = None) -> list[tuple[DataFrame, DataFrame]]:
+    """Levels 1 .. order of the model: (m, code, p) of the n-grams seen, (m, context, gamma) of the contexts seen.
+
+    Model ALL has all trusted text; with a fold_col of 0 and 1, models 0 and 1 have all but the texts of
+    their own fold. Counts come per batch, then by n-gram shards; lower orders count distinct left
+    neighbours (continuations); the joins are by n-gram and context. The tables grow with the text.
+    """
+    small_batches(trusted.sparkSession)
+    fold = F.col(fold_col).cast("int") if fold_col else F.lit(ALL)
+    raw = trusted.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), fold.alias("fold")).mapInArrow(_count(order), "fold int, code long, c long")
+    counts = stored(raw.groupBy("fold", "code").agg(F.sum("c").alias("c")), "counts")
+    models = F.expr(f"filter(array(0, 1, {ALL}), m -> m <> fold)") if fold_col else F.array(F.lit(ALL))
+    top = counts.select(F.explode(models).alias("m"), "code", "c").groupBy("m", "code").agg(F.sum("c").alias("c"))
+    grams = {order: stored(top, "grams")}
+    for n in range(order, 1, -1):
+        grams[n - 1] = stored(grams[n].groupBy("m", F.expr(_low(n)).alias("code")).agg(F.count("*").alias("c")), "grams")
+    levels = []
+    for n in range(1, order + 1):
+        table = grams[n].select("m", "code", "c", F.expr("shiftright(code, 8) context"), _discount(grams[n]).alias("d"))
+        left = table.groupBy("m", "context").agg(F.sum("c").alias("all"), (F.sum("d") / F.sum("c")).alias("gamma"))
+        share = table.join(left, ["m", "context"])
+        if n == 1:
+            p = share.select("m", "code", ((F.col("c") - F.col("d")) / F.col("all") + F.col("gamma") / 256).alias("p"))
+        else:
+            below = levels[-1][0].select("m", F.col("code").alias("low"), F.col("p").alias("q"))
+            p = share.withColumn("low", F.expr(_low(n))).join(below, ["m", "low"]).selectExpr("m", "code", "(c - d) / all + gamma * q p")
+        levels.append((stored(p, "level"), stored(left.select("m", "context", "gamma"), "gamma")))
+    return levels
+
+
+def _resolve(need: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(m, code, p) of distinct n-grams (m, code), backed off to lower orders where not seen."""
+    if not model:
+        return need.select("m", "code", F.lit(1 / 256).alias("p"))
+    p, gamma = model[-1]
+    got = stored(need.join(p, ["m", "code"], "left"), "found")
+    rest = got.where("p is null").select("m", "code", F.expr("shiftright(code, 8) context"), F.expr(f"{_low(len(model))} low"))
+    below = _resolve(rest.select("m", F.col("low").alias("code")).distinct(), model[:-1])
+    rest = rest.join(below.select("m", F.col("code").alias("low"), F.col("p").alias("q")), ["m", "low"]).join(gamma, ["m", "context"], "left")
+    return got.where("p is not null").unionByName(rest.select("m", "code", (F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("p")))
+
+
+def _distinct(order: int) -> Callable:
+    """Distinct n-grams of one group of texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        data, offsets = th.text_bytes(table.column("text").combine_chunks())
+        for i, j in th.slices(offsets):
+            parts.append(np.unique(_codes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], order)))
+        code = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        m, g = table.column("m")[0].as_py(), table.column("g")[0].as_py()
+        return pa.table({"m": pa.array(np.full(len(code), m, np.int32)), "g": pa.array(np.full(len(code), g, np.int64)), "code": pa.array(code)})
 
     return run
 
 
-def score(docs: DataFrame, model: dict[str, DataFrame], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep columns, nll (nats of the whole text) and n_bytes of every row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    arrays = {}
-    for name, table in model.items():  # at most 2**24 + 2 * 2**16 + 513 rows of 8 bytes, by construction
-        got = table.toArrow()
-        arrays[name] = (got.column(0).to_numpy().astype(np.int32), got.column(1).to_numpy().astype(np.float32))
-    shared = spark.sparkContext.broadcast(arrays)
-    kept = docs.select(*[F.col(c) for c in keep], F.col(text_col).alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text")
-    return kept.mapInArrow(_score(shared, shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") and shared._jbroadcast else id(arrays)), f"{schema}, nll double, n_bytes long")
+def _score(order: int, keep: list[str]) -> Callable:
+    """Of one group: its texts with the probabilities of its distinct n-grams."""
+
+    def run(texts: pa.Table, probabilities: pa.Table) -> pa.Table:
+        code, p = (np.asarray(probabilities.column(c).combine_chunks()) for c in ("code", "p"))
+        by = np.argsort(code)
+        code, cost = code[by], -np.log(p[by].astype(np.float64))
+        data, offsets = th.text_bytes(texts.column("text").combine_chunks())
+        nll = np.zeros(texts.num_rows)
+        for i, j in th.slices(offsets):
+            at = offsets[i : j + 1] - offsets[i]
+            here = cost[np.searchsorted(code, _codes(data[offsets[i] : offsets[j]], at, order))] if at[-1] else np.zeros(0)
+            v = np.concatenate([[0.0], np.cumsum(here)])
+            nll[i:j] = np.round(v[at[1:]] - v[at[:-1]], 6)
+        out = {c: texts.column(c) for c in keep}
+        return pa.table(out | {"nll": pa.array(nll), "n_bytes": pa.array(np.diff(offsets), pa.int64())})
+
+    return run
+
+
+def score(
+    docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), model_col: str | None = None
+) -> DataFrame:
+    """keep columns, nll (nats of the whole text) and n_bytes of every row, by the model that model_col names.
+
+    Texts are dealt once to groups of about GROUP_BYTES; a group asks for its distinct n-grams, these
+    are looked up by shards, and the answers return to the group.
+    """
+    small_batches(docs.sparkSession)
+    order = len(model)
+    which = F.col(model_col).cast("int") if model_col else F.lit(ALL)
+    rows = docs.select(*[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("text"), which.alias("m"))
+    sizes = rows.groupBy("m").agg(F.sum(F.octet_length("text")).alias("b")).collect()  # a row a model
+    groups = F.lit(1)
+    for row in sizes:
+        groups = F.when(F.col("m") == row["m"], F.lit(1 + row["b"] // GROUP_BYTES)).otherwise(groups)
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64(*keep, "text"), groups.cast("long")))
+    asked = stored(dealt.groupBy("m", "g").applyInArrow(_distinct(order), "m int, g long, code long"), "asked")
+    known = _resolve(asked.select("m", "code").distinct(), model)
+    answers = asked.join(known, ["m", "code"]).select("m", "g", "code", F.col("p").cast("float").alias("p"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
+    return (
+        dealt.groupBy("m", "g").cogroup(answers.groupBy("m", "g")).applyInArrow(_score(order, list(keep)), f"{schema}, nll double, n_bytes long")
+    )
 
 
 def _thresholds(scored: DataFrame) -> DataFrame:
@@ -174,7 +203,9 @@ def classify(
     """(doc_id, lang, perplexity, threshold, kept) for every row of docs.
 
     Trusted text: documents that labels marks with quality 1. perplexity is per byte, smoothed by
-    PRIOR_BYTES at the language's mean rate; a document is kept if it is at most the threshold of its
+    PRIOR_BYTES at the language's mean rate. A trusted text is scored by a model of the other half of the
+    trusted texts (halves by a hash of the text), so that thresholds hold for texts that the model has
+    not seen; all others by the model of all of it. A document is kept if it is at most the threshold of its
     language. Languages (or null) with fewer than LEAST_TRUSTED trusted texts share the overall
     threshold. Null and empty texts have the mean rate of their language and are kept. Without any
     trusted text everything is kept (threshold null). Repeated rows are scored alike; a
@@ -183,9 +214,10 @@ def classify(
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
     good = checked_broadcast(stored(good, "trusted"))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    trusted = slim.join(good, slim["doc_id"] == good["_good"], "left_semi")
-    model = train(trusted)
-    scored = stored(score(slim, model, keep=("doc_id", "lang")), "scores")
+    fold = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2)).cast("int")
+    slim = slim.join(good, slim["doc_id"] == good["_good"], "left").withColumn("m", F.when(F.col("_good").isNotNull(), fold).otherwise(ALL)).drop("_good")
+    model = train(slim.where(f"m <> {ALL}"), order=ORDER, fold_col="m")
+    scored = stored(score(slim, model, keep=("doc_id", "lang"), model_col="m"), "scores")
     limits = stored(_thresholds(scored.join(good, scored["doc_id"] == good["_good"], "left_semi")), "limits")
     own = limits.where("lang is not null")
     every = limits.where("lang is null").select(F.col("mean").alias("mean0"), F.col("limit").alias("limit0"))
