@@ -457,3 +457,23 @@ def test_op5_sees_word_order_and_grows(spark):
     seen = {g for t in good for g in (t[i : i + 5] for i in range(len(t)))}
     assert sum(tests[1][i : i + 5] not in seen for i in range(len(tests[1]))) > 3 and rate[1] > rate[0] + 0.3
     assert quality.ORDER >= 5
+
+
+def test_op6_commented_wrapped_and_whole_texts(spark):
+    def lines(text, mark, width=9):
+        w = text.split()
+        return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    t, whole = licenses.TEMPLATES, licenses.all_templates()
+    data = [(lines(t["Apache-2.0-header"], " * "), "Apache-2.0-header"), (lines(t["GPL-header"], "# "), "GPL-header"), (lines(t["MIT-grant"], "// "), "MIT-grant")]
+    data += [(lines(t["Apache-2.0"], " * ", 3), "Apache-2.0"), ("x Released under the MIT License, see y", "MIT"), ("Licensed under CC BY-NC 4.0", "CC-BY-NC-4.0"), ("(Licensed under CC BY-NC 4.0!)", "CC-BY-NC-4.0")]
+    data += [(lines(whole["AGPL-header"], "; "), "AGPL-header"), (lines(whole["LGPL-header"], "-- "), "LGPL-header")]
+    data += [("Copyright 2020 A B\n" + lines(whole[f"{n}-text"], " * "), f"{n}-text") for n in licenses.TEXTS]
+    two = t["Apache-2.0-header"] + " alpha" * 200 + " " + t["Apache-2.0"]
+    data += [(two, None), ("plain words of no licence at all " * 50, None)]
+    got = defaultdict(set)
+    for r in licenses.scan_licenses(spark.createDataFrame([(k, d[0]) for k, d in enumerate(data)], "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.license)
+    assert all(name in got[k] for k, (_, name) in enumerate(data) if name), [(name, got[k]) for k, (_, name) in enumerate(data)]
+    assert got[7] == {"AGPL-header"} and got[1] == {"GPL-header"}
+    assert got[len(data) - 2] == {"Apache-2.0-header", "Apache-2.0"} and not got[len(data) - 1]
