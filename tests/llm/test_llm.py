@@ -477,3 +477,21 @@ def test_op6_commented_wrapped_and_whole_texts(spark):
     assert all(name in got[k] for k, (_, name) in enumerate(data) if name), [(name, got[k]) for k, (_, name) in enumerate(data)]
     assert got[7] == {"AGPL-header"} and got[1] == {"GPL-header"}
     assert got[len(data) - 2] == {"Apache-2.0-header", "Apache-2.0"} and not got[len(data) - 1]
+
+
+def test_op3_cells_are_bounded_for_near_copies(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal(16)
+    v = [base + 10.0 ** -rng.integers(1, 6) * rng.standard_normal(16) for _ in range(300)] + [rng.standard_normal(16) for _ in range(60)]
+    data = spark.createDataFrame([(k, [float(c) for c in x], 1) for k, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    cfg = embedding_dedup.Projections(cell=20)
+    u = np.array([x / np.sqrt(x @ x) for x in v])
+    at = u @ embedding_dedup._lines(16, cfg.lines, cfg.seed)[:, -1]
+    rows = spark.createDataFrame([(k, "1", u[k].tobytes(), float(at[k]), 1) for k in range(len(v))], "vec_id long, label string, u binary, at double, copies long")
+    cells = embedding_dedup._cells(rows, cfg).groupBy("cell").agg(F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi")).orderBy("cell").collect()
+    assert sum(c.n for c in cells) == len(v) and max(c.n for c in cells) <= 4 * cfg.cell
+    assert all(a.lo <= b.hi for a, b in zip(cells, cells[1:]))
+    near = u @ u.T >= cfg.cosine
+    comp = linked(range(len(v)), list(zip(*np.nonzero(np.triu(near, 1)))))
+    got = {r.vec_id: r for r in embedding_dedup.embedding_dedup(data, cfg).collect()}
+    assert all((got[k].n_links, got[k].component_id) == (near[k].sum() - 1, comp[k]) for k in range(len(v)))

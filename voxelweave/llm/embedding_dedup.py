@@ -9,11 +9,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import dropped, stored
+from .tables import checked_broadcast, stored
+
+#: Steps of the sorted line to the distance at the threshold, in which vectors are counted for cells.
+STEPS = 64
 
 
 @dataclass(frozen=True)
@@ -86,10 +89,11 @@ def _prepare(cfg: Projections) -> Callable:
     return run
 
 
-def _least_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest position reachable from each of n positions over the links (i, j)."""
-    label = np.arange(n)
-    a, b = np.concatenate([i, j]), np.concatenate([j, i])
+def _least_reachable(known: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest position reachable from each position over the links (i, j) and those that gave
+    `known`, the smallest reachable ones so far."""
+    label = np.arange(len(known))
+    a, b = np.concatenate([i, j, label, known]), np.concatenate([j, i, known, label])
     order = np.argsort(a, kind="stable")
     a, b = a[order], b[order]
     first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.zeros(0, int)
@@ -105,8 +109,8 @@ def _least_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def _linked(cfg: Projections) -> Callable:
     """Of one pair of cells: for each vector with a link, how many vectors it links with there (copies
-    counted) and the smallest id it reaches. Neither grows beyond the cells' own size, however many
-    pairs are linked."""
+    counted) and the smallest id it reaches. Links are added up by blocks of 256 queries, so that no
+    more of them are held at a time, however many pairs are linked."""
 
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("side").combine_chunks())
@@ -115,7 +119,6 @@ def _linked(cfg: Projections) -> Callable:
         ids, copies = (np.asarray(table.column(c).combine_chunks())[order] for c in ("vec_id", "copies"))
         side, raw = side[order], [table.column("u")[int(k)].as_py() for k in order]
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        i_all, j_all = [], []
         for dim in {len(r) // 8 for r in raw}:
             some = np.array([k for k, r in enumerate(raw) if len(r) // 8 == dim])
             q, x = some[side[some] == 0], some[side[some] == 1]
@@ -132,44 +135,50 @@ def _linked(cfg: Projections) -> Callable:
                 for k in range(cfg.lines):
                     count += np.abs(pu[s : s + 256, k, None] - pv[None, :, k]) <= np.float32(cfg.window)
                 i, j = np.nonzero(count >= cfg.least)
-                ok = np.einsum("ij,ij->i", U[s + i], V[j]) >= cfg.cosine
+                ok = np.zeros(len(i), bool)
+                for c in range(0, len(i), 1 << 15):
+                    d = slice(c, c + (1 << 15))
+                    ok[d] = np.einsum("ij,ij->i", U[s + i[d]], V[j[d]]) >= cfg.cosine
                 i, j = q[s + i[ok]], x[j[ok]]
                 if own:
                     i, j = i[i < j], j[i < j]
-                i_all.append(i)
-                j_all.append(j)
-        if i_all:
-            i, j = np.concatenate(i_all), np.concatenate(j_all)
-            np.add.at(links, i, copies[j])
-            np.add.at(links, j, copies[i])
-            root = _least_reachable(len(ids), i, j)
+                np.add.at(links, i, copies[j])
+                np.add.at(links, j, copies[i])
+                root = _least_reachable(root, i, j)
         hit = links > 0
         return pa.table({"vec_id": pa.array(ids[hit], pa.int64()), "links": pa.array(links[hit], pa.int64()), "least": pa.array(ids[root[hit]], pa.int64())})
 
     return run
 
 
+def _cells(vectors: DataFrame, cfg: Projections) -> DataFrame:
+    """(label, vec_id, u, at, copies, cell): cells of fewer than twice cfg.cell vectors (but for the
+    hash's chance), wherever these lie, numbered along the line.
+
+    The vectors of each label are counted in short steps along the line (a few thousand a label). Steps
+    of at most cfg.cell vectors make up common cells in order; a larger one, all of whose vectors
+    are within reach of each other, is dealt to several cells by a hash of vec_id.
+    """
+    placed = vectors.withColumn("step", F.floor(F.col("at") / (cfg.distance / STEPS)).cast("long"))
+    counts = placed.groupBy("label", "step").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("label").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored(counts.withColumn("q", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / cfg.cell).cast("long")), "steps")
+    share = F.pmod(F.xxhash64("vec_id"), F.floor(F.col("n") / cfg.cell).cast("long"))
+    # small steps have even numbers; a large step takes as many odd ones as the counts pass over
+    cell = F.when(F.col("n") <= cfg.cell, 2 * F.col("q")).otherwise(2 * (F.col("q") + share) + 1)
+    return placed.join(checked_broadcast(counts), ["label", "step"]).select("label", "vec_id", "u", "at", "copies", cell.alias("cell"))
+
+
 def embedding_links(vectors: DataFrame, cfg: Projections = Projections()) -> DataFrame:
     """(vec_id, links, least) for distinct usable vectors (vec_id, label, u, at, copies): for each pair of
     cells that holds links of a vector, how many vectors it links with there and the smallest id that
     it reaches there.
 
-    Each label's vectors are sorted along the first line into cells at sampled splitters; two cells
-    meet only if they come within the calibrated reach. A cell pair is one group, so a hot
-    label becomes many groups of bounded size.
+    Each label's vectors are sorted along the first line into cells (`_cells`); two cells meet only if
+    they come within the calibrated reach. A cell pair is one group, so a hot label becomes many
+    groups of bounded size.
     """
-    spark = vectors.sparkSession
-    counts = vectors.groupBy("label").count()
-    cut = (
-        vectors.join(F.broadcast(counts), "label") if counts.limit(100_001).count() <= 100_000 else vectors.join(counts, "label")
-    )
-    n = F.greatest(F.ceil(F.col("count") / cfg.cell), F.lit(1)).cast("int")
-    # equal-width cells over the middle of N(0, 1), which a projection of unit vectors follows; the
-    # number of cells grows with the label, so a cell's size does not
-    z = F.least(F.greatest(F.col("at"), F.lit(-4.0)), F.lit(4.0))
-    phi = 1 / (1 + F.exp(-1.702 * z))
-    cut = cut.select("label", "vec_id", "u", "at", "copies", F.least(F.floor(phi * n), n - 1).cast("int").alias("cell"))
-    cut = stored(cut, "cells")
+    cut = stored(_cells(vectors, cfg), "cells")
     ranges = stored(cut.groupBy("label", "cell").agg(F.min("at").alias("lo"), F.max("at").alias("hi")), "ranges")
     x, y = ranges.alias("x"), ranges.alias("y")
     meets = x.join(y, F.expr(f"x.label = y.label and x.cell <= y.cell and y.lo - x.hi <= {cfg.reach}")).select(
