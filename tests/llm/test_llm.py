@@ -495,3 +495,14 @@ def test_op3_cells_are_bounded_for_near_copies(spark):
     comp = linked(range(len(v)), list(zip(*np.nonzero(np.triu(near, 1)))))
     got = {r.vec_id: r for r in embedding_dedup.embedding_dedup(data, cfg).collect()}
     assert all((got[k].n_links, got[k].component_id) == (near[k].sum() - 1, comp[k]) for k in range(len(v)))
+
+
+def test_op5_thresholds_follow_the_number_of_texts(spark):
+    def limits(n):
+        rows = [("a", 1000.0 + k % 7, 1000) for k in range(200)] + [("b", 2000.0 + k % 7, 1000) for k in range(n)] + [(None, 1500.0, 1000)] * 60
+        return {r.lang: r for r in quality._thresholds(spark.createDataFrame(rows, "lang string, nll double, n_bytes long")).collect()}
+
+    small, below, above = limits(3), limits(49), limits(50)
+    assert set(small) == {"a", "b", None} and small["b"].mean != small[None].mean
+    assert abs(below["b"].limit - above["b"].limit) < 0.01 and abs(below["b"].mean - above["b"].mean) < 0.01
+    assert above["b"].mean > small["b"].mean > small["a"].mean and below["a"].limit < below["b"].limit

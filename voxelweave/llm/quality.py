@@ -25,8 +25,9 @@ GROUP_BYTES = 1 << 23
 PRIOR_BYTES = 60
 #: Share of a language's trusted texts that its threshold accepts, and the margin in nats a byte.
 ACCEPT, MARGIN = 0.999, 0.02
-#: Trusted texts a language needs for a threshold of its own; else that of all languages counts.
-LEAST_TRUSTED = 50
+#: Trusted texts of a language as many as these give its own mean and limit the same weight as those of
+#: all languages together.
+PRIOR_TRUSTED = 5
 #: Nats a byte are binned this finely for quantiles.
 BINS = 1000
 
@@ -179,22 +180,34 @@ def score(
     )
 
 
+def _blend(own: Column, every: Column) -> Column:
+    return (F.col("docs") * own + PRIOR_TRUSTED * every) / (F.col("docs") + PRIOR_TRUSTED)
+
+
 def _thresholds(scored: DataFrame) -> DataFrame:
     """(lang, mean, limit) from scored trusted rows: mean nats a byte, and the ACCEPT quantile of
-    the smoothed rate plus MARGIN. lang null stands for all languages together."""
-    mean = scored.groupBy("lang").agg(F.sum("nll").alias("s"), F.sum("n_bytes").alias("b"), F.count("*").alias("docs"))
-    every = mean.agg(F.sum("s").alias("s"), F.sum("b").alias("b"), F.sum("docs").alias("docs")).select(F.lit(None).cast("string").alias("lang"), "s", "b", "docs")
-    mean = mean.where(f"docs >= {LEAST_TRUSTED}").unionByName(every).select("lang", F.coalesce(F.col("s") / F.nullif(F.col("b"), F.lit(0)), F.lit(0.0)).alias("mean"))
+    the smoothed rate plus MARGIN. lang null stands for all languages together; each language's
+    values are blended with those, which count as PRIOR_TRUSTED texts."""
+    per = scored.groupBy("lang").agg(F.sum("nll").alias("s"), F.sum("n_bytes").alias("b"), F.count("*").alias("docs"))
+    rate = F.col("s") / F.nullif(F.col("b"), F.lit(0))
+    every = per.agg(F.sum("s").alias("s"), F.sum("b").alias("b"), F.sum("docs").alias("docs")).where("docs > 0").select("docs", F.coalesce(rate, F.lit(0.0)).alias("mean0"))
+    own = per.where("lang is not null").join(F.broadcast(every.select("mean0")), F.lit(True))
+    mean = own.select("lang", "docs", _blend(F.coalesce(rate, "mean0"), F.col("mean0")).alias("mean")).unionByName(
+        every.select(F.lit(None).cast("string").alias("lang"), "docs", F.col("mean0").alias("mean"))
+    )
     mean = stored(mean, "means")
-    rows = scored.select("lang", "nll", "n_bytes").unionByName(scored.select(F.lit(None).cast("string").alias("lang"), "nll", "n_bytes"))
+    rows = scored.where("lang is not null").select("lang", "nll", "n_bytes").unionByName(scored.select(F.lit(None).cast("string").alias("lang"), "nll", "n_bytes"))
     rate = rows.join(F.broadcast(mean), rows.lang.eqNullSafe(mean.lang)).select(
-        rows.lang, "mean", F.ceil((F.col("nll") + PRIOR_BYTES * F.col("mean")) / (F.col("n_bytes") + PRIOR_BYTES) * BINS).alias("bin")
+        rows.lang, "docs", "mean", F.ceil((F.col("nll") + PRIOR_BYTES * F.col("mean")) / (F.col("n_bytes") + PRIOR_BYTES) * BINS).alias("bin")
     )
-    bins = rate.groupBy("lang", "mean", "bin").agg(F.count("*").alias("c"))
+    bins = rate.groupBy("lang", "docs", "mean", "bin").agg(F.count("*").alias("c"))
     w = Window.partitionBy("lang").orderBy("bin")
     run = bins.select("*", F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy("lang")).alias("all"))
-    limit = run.where(F.col("upto") >= F.col("all") * ACCEPT).groupBy("lang", "mean").agg((F.min("bin") / BINS + MARGIN).alias("limit"))
-    return limit
+    limit = run.where(F.col("upto") >= F.col("all") * ACCEPT).groupBy("lang", "docs", "mean").agg((F.min("bin") / BINS + MARGIN).alias("limit"))
+    limit = stored(limit, "blend")
+    all_limit = limit.where("lang is null").select(F.col("limit").alias("limit0"))
+    blended = F.when(F.col("lang").isNull(), F.col("limit")).otherwise(_blend(F.col("limit"), F.col("limit0")))
+    return limit.join(F.broadcast(all_limit), F.lit(True)).select("lang", "mean", blended.alias("limit"))
 
 
 def classify(
@@ -206,8 +219,8 @@ def classify(
     PRIOR_BYTES at the language's mean rate. A trusted text is scored by a model of the other half of the
     trusted texts (halves by a hash of the text), so that thresholds hold for texts that the model has
     not seen; all others by the model of all of it. A document is kept if it is at most the threshold of its
-    language. Languages (or null) with fewer than LEAST_TRUSTED trusted texts share the overall
-    threshold. Null and empty texts have the mean rate of their language and are kept. Without any
+    language, which is blended with the overall one the more the fewer trusted texts the language has;
+    a null language, or one without any, has the overall threshold. Null and empty texts have the mean rate of their language and are kept. Without any
     trusted text everything is kept (threshold null). Repeated rows are scored alike; a
     label repeated for a document counts once; an empty table gives an empty result.
     """
