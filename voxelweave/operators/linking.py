@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import FALSE_POSITIVE, NEEDS_REVIEW, TRUE_POSITIVES, UNREVIEWED, ground_truth_label
-from voxelweave.functions.storage import cut
+from voxelweave.functions.storage import cut, dropped
 
 
 def overlap_edges(voxels: DataFrame, key: str, place: list[str]) -> DataFrame:
@@ -28,25 +28,60 @@ def star_edges(voxels: DataFrame, key: str, place: list[str]) -> DataFrame:
     return v.join(least, place).where(F.col(key) > F.col("a")).select("a", F.col(key).alias("b")).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, component): smallest id reachable; nodes without an edge stand alone.
+#: Star rounds after which the loop gives up (each about halves the depth of what is left).
+MAX_ROUNDS = 60
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One star round over edges u > v. Rows are grouped for a minimum only, which Spark sums before
+    the shuffle, so a hub with very many neighbours is no problem."""
+    if large:
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    else:
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        moved = edges.join(least, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v")
+    out = moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    return out if large else out.distinct()  # repeats between the two stars do no harm
 
-    Each round hooks every node to its neighbours' smallest label and then jumps to the label's own
-    label, so chains shorten geometrically; a round is cut off by a written table.
+
+def reachable(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component): smallest id reachable, for every id in an edge; ids in no edge are left out.
+
+    Alternating large-star and small-star rounds over written edge tables. Edges with a null end and
+    self-loops link nothing; repeated edges count once. Only two numbers a round reach the driver.
+    Rounds that don't settle are an error.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    both = cut(both.distinct(), "both")
-    labels = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("root")), "labels")
-    for _ in range(100):
-        near = both.join(labels.select(F.col("u").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
-        hooked = labels.join(near, "u").select("u", "root", F.least("root", "near").alias("new"))
-        jump = hooked.select(F.col("u").alias("new"), F.col("new").alias("far"))
-        after = cut(hooked.join(jump, "new", "left").select("u", "root", F.least("new", F.coalesce("far", "new")).alias("new")), "labels")
-        moved = after.where("new <> root").limit(1).count()
-        labels = after.select("u", F.col("new").alias("root"))
-        if not moved:
+    now = cut(
+        edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+        .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
+        .distinct(),
+        "edges",
+    )
+
+    def summary(edges: DataFrame) -> tuple:
+        seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        return seen["n"], seen["h"]
+
+    state, before = summary(now), None
+    for _ in range(MAX_ROUNDS):
+        if state[0] == 0 or state == before:
             break
-    return nodes.select(key).distinct().join(labels.withColumnRenamed("u", key), key, "left").select(key, F.coalesce("root", key).alias("component"))
+        after = cut(_star(_star(now, True), False), "edges")
+        dropped(now)
+        now, before, state = after, state, summary(after)
+    else:
+        raise RuntimeError("components did not settle")
+    hubs = now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(hubs)
+
+
+def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, component): smallest id reachable; nodes without an edge stand alone."""
+    labels = reachable(edges).withColumnRenamed("id", key)
+    return nodes.select(key).distinct().join(labels, key, "left").select(key, F.coalesce("component", key).alias("component"))
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
