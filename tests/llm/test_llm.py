@@ -16,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voxelweave.llm import bpe, chat, components, embedding_dedup, exact_dedup, licenses, mixing, near_dedup, quality, queries, repeats, texthash, toxicity
+from voxelweave.llm import bpe, chat, embedding_dedup, exact_dedup, licenses, mixing, near_dedup, quality, queries, repeats, texthash, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -104,8 +104,9 @@ def test_op1_brute_force(docs, rows):
 def test_op1_large_bucket_without_a_common_hub(spark, monkeypatch):
     """A chain of near copies whose ends are unlike, in buckets that need blocks and several rounds."""
     monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(near_dedup, "MEMBERS", 7)
-    monkeypatch.setattr(near_dedup, "OUTLIERS", 3)
+    monkeypatch.setattr(near_dedup, "SMALL_HUB", 3)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 8000)
+    monkeypatch.setattr(near_dedup, "OUTLIERS", 4000)
     rng = random.Random(9)
     w = words(rng, 200)
     texts = {}
@@ -127,11 +128,39 @@ def test_estimate_is_close():
     assert abs(e - 3000 / 4500) < 0.15
 
 
-def test_components_of_a_path_and_a_hub(spark):
-    path = spark.range(200).selectExpr("id a", "id + 1 b")
-    hub = spark.range(1, 300).selectExpr("1000 a", "1000 + id b").unionByName(spark.createDataFrame([(None, 3), (7, 7)], "a long, b long"))
-    got = {r.id: r.component for r in components.components(path.unionByName(hub)).collect()}
-    assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(300)}
+def test_op1_one_id_with_two_texts_and_two_groups_just_below(spark, monkeypatch):
+    """Two groups of near copies whose members lie below the threshold of each other are all verified
+    and stay apart; an id with two texts is one document."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 4)
+    monkeypatch.setattr(near_dedup, "SMALL_HUB", 3)
+    monkeypatch.setattr(near_dedup, "MEMBERS", 30000)
+    rng = random.Random(4)
+    base, tail = words(rng, 240), words(rng, 40)
+    rows = [(i, " ".join(base[:-1] + words(rng, 1))) for i in range(30)]
+    rows += [(100 + i, " ".join(base[:200] + tail + words(rng, 1))) for i in range(30)]
+    rows += [(5, "one two three four five six seven"), (900, "one two three four five six seven"), (901, " "), (901, None)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in found}
+    assert len(found) == len(rows)
+    for i, t in rows:
+        n = len(shingles(t))
+        assert got[i, n] == (901 if i == 901 else 0 if i < 100 or i == 900 else 100)
+
+
+@pytest.mark.parametrize("table", ["/root/testdata/sf0.01/documents.parquet"])
+def test_op1_whole_table(spark, table):
+    docs = spark.read.parquet(table)
+    sets = {r.doc_id: frozenset(shingles(r.text)) for r in docs.select("doc_id", "text").collect()}
+    where, n = defaultdict(list), Counter()
+    for i, s in sets.items():
+        for x in s:
+            where[x].append(i)
+    for ids in where.values():
+        n.update((a, b) for a in ids for b in ids if a < b)
+    edges = [(a, b) for (a, b), k in n.items() if 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k)]
+    want = linked(sorted(sets), edges)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()}
+    assert len(edges) > 20 and got == want
 
 
 def test_op2_mix(spark, docs, rows):

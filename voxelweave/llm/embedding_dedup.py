@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-from .tables import checked_broadcast, stored
+from voxelweave.operators.linking import reachable
+
+from .tables import checked_broadcast, small_batches, stored
 
 #: Steps of the sorted line to the distance at the threshold, in which vectors are counted for cells.
 STEPS = 64
@@ -201,6 +202,7 @@ def embedding_dedup(
     with nothing. Vectors of different length never link. Repeated rows of one id count as
     separate vectors. An empty table gives an empty result; other columns are ignored.
     """
+    small_batches(table.sparkSession)
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = stored(rows.mapInArrow(_prepare(cfg), "vec_id long, label string, u binary, at double"), "vectors")
     usable = F.col("u").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
@@ -210,7 +212,7 @@ def embedding_dedup(
     )
     links = stored(embedding_links(classes.select(F.col("rep").alias("vec_id"), "label", "u", "at", "copies"), cfg), "links")
     direct = links.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("others"))
-    comp = components(links, "vec_id", "least")
+    comp = reachable(links, "vec_id", "least")
     per = (
         classes.select("label", "h", "rep", "copies")
         .join(direct, "rep", "left")

@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelweave.operators.linking import reachable
+
 from . import texthash as th
-from .components import components
 from .tables import checked_broadcast, dropped, small_batches, stored
 
 U = np.uint64
@@ -110,34 +111,40 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _band_keys(regs: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
+    """64-bit key of each band of register rows (document, band, register)."""
+    weight = th.mix(np.arange(1, regs.shape[2] + 1, dtype=np.uint64)) | U(1)
+    return th.mix((regs.astype(np.uint64) * weight).sum(axis=2) + th.mix(np.arange(cfg.bands, dtype=np.uint64))[None, :])
+
+
 def _bands(cfg: HyperMinHash) -> Callable:
-    """One row per non-empty band: 64-bit key of the band's registers."""
+    """One row per non-empty band: its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = cfg.registers // cfg.bands
-        weight = th.mix(np.arange(1, rows + 1, dtype=np.uint64)) | U(1)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, cfg.bands, rows)
-            key = th.mix((regs.astype(np.uint64) * weight).sum(axis=2) + th.mix(np.arange(cfg.bands, dtype=np.uint64))[None, :])
-            full = regs.any(axis=2)
+            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, cfg.bands, -1)
+            key, full = _band_keys(regs, cfg), regs.any(axis=2)
             doc = np.repeat(np.asarray(batch.column(0)), full.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(key[full].view(np.int64)), pa.array(doc)], ["key", "doc_id"])
 
     return run
 
 
-def estimate(a: np.ndarray, b: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
-    """Jaccard estimates of register rows, corrected for accidental equality: two unequal minima
-    share a register with probability of about 2**-r / 3 (equal zero counts, equal mantissas)."""
-    used = (a > 0) | (b > 0)
-    n = np.maximum(used.sum(axis=-1), 1)
-    same = ((a == b) & used).sum(axis=-1) / n
+def _corrected(same: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
+    """Two unequal minima share a register with probability of about 2**-r / 3 (equal zero counts,
+    equal mantissas)."""
     chance = 2.0**-cfg.r / 3
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
+def estimate(a: np.ndarray, b: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
+    """Jaccard estimates of register rows, corrected for accidental equality."""
+    used = (a > 0) | (b > 0)
+    return _corrected(((a == b) & used).sum(axis=-1) / np.maximum(used.sum(axis=-1), 1), cfg)
+
+
 def possible(similarity: np.ndarray, least: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
     """Whether an estimate leaves a link possible; least: size of the smaller set. The registers draw
     from the shingles, so both their numbers limit what an estimate can tell."""
@@ -152,68 +159,119 @@ def _likely(cfg: HyperMinHash) -> Callable:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, cfg.registers) for c in ("ra", "rb"))
             ok = possible(estimate(a, b, cfg), np.asarray(batch.column("least")), cfg)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "nb")], ["a", "b", "nb"]).filter(pa.array(ok))
 
     return run
 
 
-#: Members of a bucket whose pairs across components Spark may simply join; larger ones go in blocks.
-SMALL_BUCKET = 16
-#: Rows of a block of outliers and of a block of members.
-OUTLIERS, MEMBERS = 256, 4096
+#: Members of a bucket and partners of one document whose pairs Spark may simply join; more go in blocks.
+SMALL_BUCKET, SMALL_HUB = 16, 64
+#: Bytes of shingle sets of a block of outliers and of a block of members.
+OUTLIERS, MEMBERS = 4 << 20, 8 << 20
 
 
-def _cross_blocks(cfg: HyperMinHash) -> Callable:
-    """Of one outlier block and one member block, the likeliest pairs: for each two components the
-    `most` with the highest estimates, as one link joins them whole. A pair of nulls tells that some
-    were left for the next round."""
+def _block_links(cfg: HyperMinHash) -> Callable:
+    """Of one block of a bucket (or of one document and its partners, if there is no key): links between
+    its outliers and its members, confirmed on the full sets; one joins two components, and their other
+    pairs are then left out.
 
-    def run(table: pa.Table, most: int) -> pa.Table:
+    Pairs that the estimate rules out are not verified, nor are those that share an earlier band: they
+    meet in the bucket of that band. The likeliest are verified first.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
         out = np.asarray(table.column("outlier").combine_chunks().to_numpy(zero_copy_only=False), bool)
-        ids, comp, n = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "comp", "n"))
-        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, cfg.registers)
-        m = np.flatnonzero(~out)
-        xs, ys, es = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        ids, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("doc_id", "comp"))
+        sets = table.column("s").combine_chunks()
+        flat, n = np.asarray(sets.flatten()), np.diff(np.asarray(sets.offsets).astype(np.int64))
+        start = np.concatenate([[0], np.cumsum(n)])
+        flat = np.unique(flat, return_inverse=True)[1]
+        now = np.unique(comp, return_inverse=True)[1]
+        banded = "regs" in table.column_names
+        if banded:
+            regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(len(ids), cfg.bands, -1)
+            band = int((_band_keys(regs, cfg).view(np.int64) == table.column("key")[0].as_py()).any(axis=0).argmax())
+        members = np.flatnonzero(~out)
+        has = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+        a, b = [], []
         for x in np.flatnonzero(out):
-            y = m[(comp[m] != comp[x]) & (100 * np.minimum(n[m], n[x]) >= cfg.percent * np.maximum(n[m], n[x]))]
-            e = estimate(regs[y], regs[x][None, :], cfg)
-            ok = possible(e, np.minimum(n[y], n[x]), cfg)
-            xs.append(np.full(int(ok.sum()), x))
-            ys.append(y[ok])
-            es.append(e[ok])
-        x, y, e = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
-        low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
-        order = np.lexsort((ids[y], ids[x], -e, high, low))
-        x, y, low, high = x[order], y[order], low[order], high[order]
-        start = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(x) else np.zeros(0, int)
-        rank = np.arange(len(x)) - np.repeat(start, np.diff(np.concatenate([start, [len(x)]])))
-        left = bool((rank >= most).any())
-        x, y = ids[x[rank < most]], ids[y[rank < most]]
-        pairs = list(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-        a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-        if left:  # a pair of nulls carries the flag
-            return pa.table({"a": pa.array([*a.tolist(), None], pa.int64()), "b": pa.array([*b.tolist(), None], pa.int64())})
+            y = members[(now[members] != now[x]) & (100 * np.minimum(n[members], n[x]) >= cfg.percent * np.maximum(n[members], n[x]))]
+            if banded and len(y):
+                same = regs[y] == regs[x][None]
+                e = _corrected(same.mean(axis=(1, 2)), cfg)
+                ok = possible(e, np.minimum(n[y], n[x]), cfg) & ~same[:, :band].all(axis=2).any(axis=1)
+                y = y[ok][np.argsort(-e[ok], kind="stable")]
+            mine = flat[start[x] : start[x + 1]]
+            has[mine] = True
+            size = 16
+            while len(y):
+                some, y = y[:size], y[size:]
+                shared = np.concatenate([[0], np.cumsum(has[flat[th.ragged(start[some], n[some])]])])[np.cumsum(n[some])]
+                shared = np.diff(np.concatenate([[0], shared]))
+                for k in some[100 * shared >= cfg.percent * (n[some] + n[x] - shared)]:
+                    if now[k] != now[x]:
+                        a.append(min(ids[k], ids[x]))
+                        b.append(max(ids[k], ids[x]))
+                        now[now == now[k]] = now[x]
+                y = y[now[y] != now[x]]
+                size *= 4
+            has[mine] = False
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, cfg: HyperMinHash) -> DataFrame:
-    """The pairs (a, b) that are links by their full shingle sets."""
+    """The pairs (a, b) that are links by their full shingle sets. A document with very many partners is
+    compared with them in blocks, so its set isn't copied for each."""
     r = nodes.select("doc_id", "n", "regs")
     likely = (
         pairs.join(r.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra")), "a")
         .join(r.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb")), "b")
         .where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * cfg.percent)
-        .select("a", "b", "ra", "rb", F.least("na", "nb").alias("least"))
-        .mapInArrow(_likely(cfg), "a long, b long")
+        .select("a", "b", "nb", "ra", "rb", F.least("na", "nb").alias("least"))
+        .mapInArrow(_likely(cfg), "a long, b long, nb long")
     )
-    both = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
+    likely = stored(likely, "likely")
+    hubs = likely.groupBy("a").agg(F.count("*").alias("partners"), F.sum("nb").alias("n")).where(F.col("partners") > SMALL_HUB)
+    hubs = stored(hubs.select("a", F.ceil(F.col("n") * 8 / MEMBERS).cast("long").alias("blocks")), "hubs")
+    few = likely.join(checked_broadcast(hubs), "a", "left_anti")
+    both = few.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b"
     )
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
     checked = both.select("a", "b", (F.size("sa") + F.size("sb")).cast("long").alias("t"), shared.alias("i"))
-    return checked.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * cfg.percent).select("a", "b").distinct()
+    links = checked.where(F.col("i") * 100 >= (F.col("t") - F.col("i")) * cfg.percent).select("a", "b")
+    if not hubs.isEmpty():
+        partner = likely.join(checked_broadcast(hubs), "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.col("b").alias("doc_id"), F.lit(False).alias("outlier"))
+        hub = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc_id"), F.lit(True).alias("outlier"))
+        rows = partner.unionByName(hub).join(sets, "doc_id").withColumn("comp", F.col("doc_id"))
+        links = links.unionByName(rows.groupBy("a", "block").applyInArrow(_block_links(cfg), "a long, b long"))
+    return links.distinct()
+
+
+def _across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, cfg: HyperMinHash) -> DataFrame:
+    """Links (a, b) between the components of buckets that hold several: rows (key, doc_id, comp,
+    outlier, size). Small buckets are joined with themselves, large ones compared in blocks of bounded
+    bytes; each pair of different components that shares a band is looked at."""
+    small = open_.where(F.col("size") <= SMALL_BUCKET).select("key", "doc_id", "comp")
+    x, y = small.alias("x"), small.alias("y")
+    near = x.join(y, F.expr("x.key = y.key and x.doc_id < y.doc_id and x.comp <> y.comp"))
+    links = _verified(near.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), nodes, sets, cfg)
+    large = open_.where(F.col("size") > SMALL_BUCKET).join(nodes.select("doc_id", "n"), "doc_id")
+    plan = large.groupBy("key").agg(
+        F.ceil(F.sum(F.when(F.col("outlier"), F.col("n"))) * 8 / OUTLIERS).cast("long").alias("obs"), F.ceil(F.sum("n") * 8 / MEMBERS).cast("long").alias("mbs")
+    )
+    plan = stored(plan, "plan")
+    if plan.isEmpty():
+        return links
+    large = large.join(checked_broadcast(plan), "key")
+    all_ = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    cols = ["key", "ob", "mb", "doc_id", "comp", "outlier"]
+    o = large.where("outlier").withColumn("ob", F.pmod(F.xxhash64("doc_id"), "obs")).withColumn("mb", all_("mbs"))
+    m = large.withColumn("mb", F.pmod(F.xxhash64("doc_id", F.lit(1)), "mbs")).withColumn("ob", all_("obs")).withColumn("outlier", F.lit(False))
+    rows = o.select(*cols).unionByName(m.select(*cols)).join(nodes.select("doc_id", "regs"), "doc_id").join(sets, "doc_id")
+    return links.unionByName(rows.groupBy("key", "ob", "mb").applyInArrow(_block_links(cfg), "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: HyperMinHash = HyperMinHash()) -> DataFrame:
@@ -223,91 +281,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct runs of five words (its whole word sequence if it has fewer). Texts without words
     link with nothing. Texts with equal sets form one node. Nodes that share a band are candidates:
     first each with the smallest id of its bucket, then - where a bucket still holds several
-    components - each member outside the largest one with all members of the others, in blocks.
-    Links are confirmed on full sets, so only banding can miss a pair.
+    components - each member outside the largest one with all members of the others, in blocks that
+    return links only. Links are confirmed on full sets, so only banding can miss a pair.
 
     A row with a null id stands alone (component_id null, kept). Rows that repeat an id belong to one
-    document. Long texts are hashed in chunks; an empty table gives an empty result; other columns
-    are ignored.
+    document, whatever their texts; one of them without words stands alone. Long texts are hashed in
+    chunks; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = stored(texts.mapInArrow(_sketch(cfg), "doc_id long, n long, d1 long, d2 long, regs binary"), "sketch")
-    groups = sketch.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"))
+    usable = sketch.where("n > 0 and doc_id is not null")
+    groups = usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"))
     nodes = stored(groups.select("n", "d1", "d2", F.col("rep").alias("doc_id"), "regs"), "nodes")
 
     bands = nodes.select("doc_id", "regs").mapInArrow(_bands(cfg), "key long, doc_id long")
     buckets = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key", "first")
     members = stored(bands.join(buckets, "key"), "members")
-
-    wanted = members.select("doc_id").distinct()
-    wanted = stored(wanted, "wanted")
-    sets = stored(texts.join(checked_broadcast(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_sets, "doc_id long, s array<long>"), "sets")
+    wanted = stored(members.select("doc_id").distinct(), "wanted")
+    sets = texts.join(checked_broadcast(wanted), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, s array<long>")
+    sets = stored(sets, "sets")
 
     pairs = members.where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = stored(_verified(pairs, nodes, sets, cfg), "links")
-    most = 8
-    while True:
-        comp = components(links)
-        comp = stored(comp, "labels")
-        labelled = members.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("comp")
-        )
-        sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = sizes.groupBy("key").agg(
-            F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"), F.count("*").alias("parts")
-        ).where("parts > 1 and size > 2")
-        open_ = labelled.join(mixed, "key").withColumn("outlier", F.col("comp") != F.col("main"))
-        open_ = stored(open_.join(nodes.select("doc_id", "n", "regs"), "doc_id"), "open")
-        grown = False
-        if open_.isEmpty():
-            break
-        small = open_.where(F.col("size") <= SMALL_BUCKET).select("key", "doc_id", "comp", "n")
-        x, y = small.alias("x"), small.alias("y")
-        near = x.join(y, F.expr(f"x.key = y.key and x.doc_id < y.doc_id and x.comp <> y.comp and 100 * least(x.n, y.n) >= {cfg.percent} * greatest(x.n, y.n)"))
-        cross = near.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-        large = open_.where(F.col("size") > SMALL_BUCKET)
-        if not large.isEmpty():
-            blocks = F.ceil((F.col("size") - F.col("most")) / OUTLIERS).cast("int")
-            chunks = F.ceil(F.col("size") / MEMBERS).cast("int")
-            o = large.where("outlier").withColumn("ob", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("mb", F.explode(F.sequence(F.lit(0), chunks - 1)))
-            m = (
-                large.withColumn("mb", F.pmod(F.xxhash64("doc_id", F.lit(1)), chunks))
-                .withColumn("ob", F.explode(F.sequence(F.lit(0), blocks - 1)))
-                .withColumn("outlier", F.lit(False))
-            )
-            cols = ["key", "ob", "mb", "doc_id", "comp", "n", "regs", "outlier"]
-            kernel = _cross_blocks(cfg)
-            limit = most
-            cut = (
-                o.select(*[F.col(c).cast("long") if c in ("ob", "mb") else F.col(c) for c in cols])
-                .unionByName(m.select(*[F.col(c).cast("long") if c in ("ob", "mb") else F.col(c) for c in cols]))
-                .groupBy("key", "ob", "mb")
-                .applyInArrow(lambda t: kernel(t, limit), "a long, b long")
-            )
-            cross = cross.unionByName(cut)
-        cross = stored(cross.distinct(), "cross")
-        more = not cross.where("a is null").isEmpty()
-        new = stored(_verified(cross.where("a is not null"), nodes, sets, cfg), "links")
-        grown = not new.isEmpty()
-        dropped(open_)
-        if grown:
-            links = stored(links.unionByName(new).distinct(), "links")
-        if not more:
-            break
-        most *= 64
-    if grown:
-        comp = stored(components(links), "labels")
-    label = nodes.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id")
-    )
-    return sketch.join(label, ["n", "d1", "d2"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    ).select(
-        "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.col("component_id")).alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("kept"),
-    )
+    # an id with several texts links the nodes that stand for these
+    several = usable.groupBy("doc_id").agg(F.min("d1").alias("x"), F.max("d1").alias("y")).where("x <> y").select("doc_id")
+    own = usable.join(several, "doc_id").join(nodes.select("n", "d1", "d2", F.col("doc_id").alias("rep")), ["n", "d1", "d2"])
+    links = _verified(pairs, nodes, sets, cfg).unionByName(own.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    links = stored(links, "links")
+    comp = stored(reachable(links), "labels")
+    labelled = members.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("size"), F.count("*").alias("parts"))
+    open_ = labelled.join(mixed.where("parts > 1 and size > 2"), "key")
+    open_ = stored(open_.select("key", "doc_id", "comp", (F.col("comp") != F.col("main")).alias("outlier"), "size"), "open")
+    dropped(members)
+    if not open_.isEmpty():
+        new = stored(_across(open_, nodes, sets, cfg), "links")
+        if not new.isEmpty():
+            comp = stored(reachable(links.unionByName(new)), "labels")
+    dropped(sets, wanted, open_, links)
+    label = nodes.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("n", "d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
+    root = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    out = sketch.join(label, ["n", "d1", "d2"], "left").select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

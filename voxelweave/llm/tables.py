@@ -1,64 +1,19 @@
-"""Shared helpers: scratch tables on storage every executor sees, size-checked joins, batch sizes."""
+"""What the text kernels need of a session."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from voxelweave.functions.storage import checked_broadcast, dropped, is_small
+from voxelweave.functions.storage import cut as stored
 from voxelweave.shipping import ship
 
-#: Rows of a key table that may be broadcast (16 bytes each in a hashed relation: tens of MB).
-BROADCAST_ROWS = 500_000
-
-_own_scratch: str | None = None
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
-    global _own_scratch
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/") + "/voxelweave"
-    if _own_scratch is None:
-        _own_scratch = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _own_scratch
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet to the shared scratch folder and read back: cuts lineage and
-    survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["checked_broadcast", "dropped", "is_small", "small_batches", "stored"]
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove the scratch files behind a stored() table that is read no more."""
-    spark = df.sparkSession
-    root = scratch_dir(spark)
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for parent in parents:
-        if f"/{root.rsplit('/', 1)[-1]}/" in parent + "/":
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a Python worker holds a few MB of text at a time; the workers
-    also get this package."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Arrow batches of few rows and few bytes, so that a Python worker holds a few MB of text at a time;
+    the workers also get this package. Every operator with a kernel calls this first."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True if df has at most `rows` rows; stops counting just beyond."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its size has been checked, else df (a shuffled join follows)."""
-    return F.broadcast(df) if is_small(df, rows) else df
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
