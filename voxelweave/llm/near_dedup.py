@@ -101,14 +101,19 @@ def _sketch(cfg: HyperMinHash) -> Callable:
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(_documents(*th.text_bytes(batch.column(1))))
-        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["doc_id", "s"]
-        )
+def _sets(cfg: HyperMinHash) -> Callable:
+    """Registers and sorted shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_documents(*th.text_bytes(batch.column(1))))
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+            regs = pa.array([_registers(s, cfg).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), regs, lists], ["doc_id", "regs", "s"])
+
+    return run
 
 
 def _band_keys(regs: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
@@ -118,16 +123,16 @@ def _band_keys(regs: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
 
 
 def _bands(cfg: HyperMinHash) -> Callable:
-    """One row per non-empty band: its key."""
+    """One row per non-empty band of rows (doc_id, n, regs): its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, cfg.bands, -1)
+            regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(batch.num_rows, cfg.bands, -1)
             key, full = _band_keys(regs, cfg), regs.any(axis=2)
-            doc = np.repeat(np.asarray(batch.column(0)), full.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(key[full].view(np.int64)), pa.array(doc)], ["key", "doc_id"])
+            doc, n = (np.repeat(np.asarray(batch.column(c)), full.sum(axis=1)) for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(key[full].view(np.int64)), pa.array(doc), pa.array(n)], ["key", "doc_id", "n"])
 
     return run
 
@@ -245,20 +250,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, cfg: HyperMin
     if not hubs.isEmpty():
         partner = likely.join(checked_broadcast(hubs), "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.col("b").alias("doc_id"), F.lit(False).alias("outlier"))
         hub = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("a").alias("doc_id"), F.lit(True).alias("outlier"))
-        rows = partner.unionByName(hub).join(sets, "doc_id").withColumn("comp", F.col("doc_id"))
+        rows = partner.unionByName(hub).join(sets.drop("regs"), "doc_id").withColumn("comp", F.col("doc_id"))
         links = links.unionByName(rows.groupBy("a", "block").applyInArrow(_block_links(cfg), "a long, b long"))
     return links.distinct()
 
 
 def _across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, cfg: HyperMinHash) -> DataFrame:
-    """Links (a, b) between the components of buckets that hold several: rows (key, doc_id, comp,
+    """Links (a, b) between the components of buckets that hold several: rows (key, doc_id, n, comp,
     outlier, size). Small buckets are joined with themselves, large ones compared in blocks of bounded
     bytes; each pair of different components that shares a band is looked at."""
     small = open_.where(F.col("size") <= SMALL_BUCKET).select("key", "doc_id", "comp")
     x, y = small.alias("x"), small.alias("y")
     near = x.join(y, F.expr("x.key = y.key and x.doc_id < y.doc_id and x.comp <> y.comp"))
     links = _verified(near.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), nodes, sets, cfg)
-    large = open_.where(F.col("size") > SMALL_BUCKET).join(nodes.select("doc_id", "n"), "doc_id")
+    large = open_.where(F.col("size") > SMALL_BUCKET)
     plan = large.groupBy("key").agg(
         F.ceil(F.sum(F.when(F.col("outlier"), F.col("n"))) * 8 / OUTLIERS).cast("long").alias("obs"), F.ceil(F.sum("n") * 8 / MEMBERS).cast("long").alias("mbs")
     )
@@ -270,7 +275,7 @@ def _across(open_: DataFrame, nodes: DataFrame, sets: DataFrame, cfg: HyperMinHa
     cols = ["key", "ob", "mb", "doc_id", "comp", "outlier"]
     o = large.where("outlier").withColumn("ob", F.pmod(F.xxhash64("doc_id"), "obs")).withColumn("mb", all_("mbs"))
     m = large.withColumn("mb", F.pmod(F.xxhash64("doc_id", F.lit(1)), "mbs")).withColumn("ob", all_("obs")).withColumn("outlier", F.lit(False))
-    rows = o.select(*cols).unionByName(m.select(*cols)).join(nodes.select("doc_id", "regs"), "doc_id").join(sets, "doc_id")
+    rows = o.select(*cols).unionByName(m.select(*cols)).join(sets, "doc_id")
     return links.unionByName(rows.groupBy("key", "ob", "mb").applyInArrow(_block_links(cfg), "a long, b long")).distinct()
 
 
@@ -296,11 +301,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = usable.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.min("regs").alias("regs"))
     nodes = stored(groups.select("n", "d1", "d2", F.col("rep").alias("doc_id"), "regs"), "nodes")
 
-    bands = nodes.select("doc_id", "regs").mapInArrow(_bands(cfg), "key long, doc_id long")
+    bands = nodes.select("doc_id", "n", "regs").mapInArrow(_bands(cfg), "key long, doc_id long, n long")
     buckets = bands.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("key", "first")
     members = stored(bands.join(buckets, "key"), "members")
     wanted = stored(members.select("doc_id").distinct(), "wanted")
-    sets = texts.join(checked_broadcast(wanted), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, s array<long>")
+    sets = texts.join(checked_broadcast(wanted), "doc_id", "left_semi").mapInArrow(_sets(cfg), "doc_id long, regs binary, s array<long>")
     sets = stored(sets, "sets")
 
     pairs = members.where("first <> doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -310,11 +315,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(pairs, nodes, sets, cfg).unionByName(own.where("rep <> doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     links = stored(links, "links")
     comp = stored(reachable(links), "labels")
-    labelled = members.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    labelled = members.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
     sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("size"), F.count("*").alias("parts"))
     open_ = labelled.join(mixed.where("parts > 1 and size > 2"), "key")
-    open_ = stored(open_.select("key", "doc_id", "comp", (F.col("comp") != F.col("main")).alias("outlier"), "size"), "open")
+    open_ = stored(open_.select("key", "doc_id", "n", "comp", (F.col("comp") != F.col("main")).alias("outlier"), "size"), "open")
     dropped(members)
     if not open_.isEmpty():
         new = stored(_across(open_, nodes, sets, cfg), "links")
