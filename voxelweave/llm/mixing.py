@@ -13,10 +13,10 @@ STEPS, ARY = 3, 128
 BLOCK_DOCS = 512
 
 
-def source_tokens(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with `n_tok`, its words (runs of anything but white space), and `src` ("" for null)."""
-    words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))
-    return docs.withColumn("n_tok", words.cast("long")).withColumn("src", F.coalesce(F.col(source_col), F.lit("")))
+def source_tokens(docs: DataFrame, text_col: str = "text", source_col: str = "source") -> list[Column]:
+    """`n_tok`, the words of a row of docs (runs of anything but white space), and `src` ("" for null)."""
+    words = F.regexp_count(F.coalesce(docs[text_col], F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"))
+    return [words.cast("long").alias("n_tok"), F.coalesce(docs[source_col].cast("string"), F.lit("")).alias("src")]
 
 
 def _hash(*parts: Column | str) -> Column:
@@ -91,12 +91,13 @@ def mix_sources(
 
     Null source: the source "". Texts without words have no tokens: they come with every whole pass
     and wherever they fall in the partial one. A null id hashes like any value. Repeated rows are
-    separate documents. Columns of docs named like the added ones are replaced. Empty table: empty.
+    separate documents. Columns of docs named like the five added ones are replaced; all others come
+    through unchanged, whatever their names: they travel as one struct. Empty table: empty.
     """
-    base = source_tokens(docs, text_col, source_col)
     added = ["n_tok", "src", "weight", "epoch", "place"]
-    plain = [c for c in docs.columns if c not in added]
-    slim = base.select("src", "n_tok", F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("key"))
+    plain = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added]).alias("doc")
+    base = docs.select(plain, *source_tokens(docs, text_col, source_col), F.coalesce(docs[id_col].cast("string"), F.lit("null")).alias("key"))
+    slim = base.select("src", "n_tok", "key")
     sums = stored(slim.groupBy("src").agg(F.sum("n_tok").alias("tokens"), F.count("*").alias("docs")), "sources")
     weights = temperature_weights(sums.select("src", "tokens"), entropy, repeats, budget)
     total = sums.agg(F.sum("tokens").alias("everything"))
@@ -111,25 +112,18 @@ def mix_sources(
     number = lambda key: F.conv(F.substring(_hash(key, salt), 1, 8), 16, 10).cast("long") % F.col("blocks")
     block = number("key")
     last = F.col("whole") + 1
-    of_block = (
-        slim.join(plan, "src").withColumn("block", block).groupBy("src", "block", "whole", "rest").agg(F.sum("n_tok").alias("in_block"))
-    )
+    of_block = slim.join(plan, "src").withColumn("block", block).groupBy("src", "block", "whole", "rest").agg(F.sum("n_tok").alias("in_block"))
     by_block = Window.partitionBy("src").orderBy(_hash("block", last, salt), "block").rowsBetween(Window.unboundedPreceding, -1)
     cuts = of_block.select("src", "block", F.coalesce(F.sum("in_block").over(by_block), F.lit(0)).alias("before"), "in_block")
     cuts = checked_broadcast(stored(cuts, "cuts"))
-    keyed = (
-        base.select(*plain, "src", "n_tok", F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_key"))
-        .join(plan, "src")
-        .withColumn("block", number("_key"))
-        .join(cuts, ["src", "block"])
-    )
+    keyed = base.join(plan, "src").withColumn("block", block).join(cuts, ["src", "block"])
     fits = F.col("before") + F.col("in_block") <= F.col("rest")
     edge = ~fits & (F.col("before") < F.col("rest"))
-    within = Window.partitionBy("src", "block").orderBy(_hash("_key", last, salt), "_key").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("src", "block").orderBy(_hash("key", last, salt), "key").rowsBetween(Window.unboundedPreceding, -1)
     sure = keyed.where(~edge).withColumn("extra", F.when(fits, 1).otherwise(0))
     cut = keyed.where(edge).withColumn("extra", F.when(F.col("before") + F.coalesce(F.sum("n_tok").over(within), F.lit(0)) < F.col("rest"), 1).otherwise(0))
     both = sure.unionByName(cut).withColumn("copies", F.col("whole") + F.col("extra")).where("copies > 0")
     return both.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        *plain, "src", "n_tok", "weight", "epoch",
-        F.concat(_hash("src", "block", "epoch", salt), _hash("_key", "epoch", salt)).alias("place"),
+        "doc.*", "src", "n_tok", "weight", "epoch",
+        F.concat(_hash("src", "block", "epoch", salt), _hash("key", "epoch", salt)).alias("place"),
     )
