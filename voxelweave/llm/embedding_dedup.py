@@ -108,6 +108,21 @@ def _least_reachable(known: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndar
     return label
 
 
+def _windows(queries: np.ndarray, others: np.ndarray, half: np.float32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every line sorted: (each other vector's rank on each line; where each query's window of +-half begins among
+    the ranks and how many it holds). Unsigned, so that a rank before the window wraps to a large one."""
+    kind = np.uint16 if len(others) < 1 << 15 else np.uint32
+    rank = np.empty((others.shape[1], len(others)), kind)
+    first, width = np.empty((others.shape[1], len(queries)), kind), np.empty((others.shape[1], len(queries)), kind)
+    for k in range(others.shape[1]):
+        order = np.argsort(others[:, k], kind="stable")
+        line = others[order, k]
+        rank[k, order] = np.arange(len(others))
+        first[k] = np.searchsorted(line, queries[:, k] - half, "left")
+        width[k] = np.searchsorted(line, queries[:, k] + half, "right") - first[k]
+    return rank, first, width
+
+
 def _linked(cfg: Projections) -> Callable:
     """Of one pair of cells: for each vector with a link, how many vectors it links with there (copies
     counted) and the smallest id it reaches. Links are added up by blocks of 256 queries, so that no
@@ -130,11 +145,11 @@ def _linked(cfg: Projections) -> Callable:
             U = np.frombuffer(b"".join(raw[k] for k in q), np.float64).reshape(len(q), dim)
             V = U if own else np.frombuffer(b"".join(raw[k] for k in x), np.float64).reshape(len(x), dim)
             lines = _lines(dim, cfg.lines, cfg.seed)[:, :-1].astype(np.float32)
-            pu, pv = U.astype(np.float32) @ lines, V.astype(np.float32) @ lines
+            rank, first, width = _windows(U.astype(np.float32) @ lines, V.astype(np.float32) @ lines, np.float32(cfg.window))
             for s in range(0, len(q), 256):
                 count = np.zeros((min(256, len(q) - s), len(x)), np.uint8)
                 for k in range(cfg.lines):
-                    count += np.abs(pu[s : s + 256, k, None] - pv[None, :, k]) <= np.float32(cfg.window)
+                    count += rank[k, None] - first[k, s : s + 256, None] < width[k, s : s + 256, None]
                 i, j = np.nonzero(count >= cfg.least)
                 ok = np.zeros(len(i), bool)
                 for c in range(0, len(i), 1 << 15):
