@@ -48,30 +48,49 @@ def features(words: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarr
     return slot, np.concatenate(owner)
 
 
+def _slots(bits: int) -> Callable:
+    """Distinct feature slots of each text, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = th.text_bytes(batch.column("text"))
+            parts, ends = [np.zeros(0, np.int32)], [0]
+            for i, j in th.slices(offsets):
+                words, counts = th.word_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], punctuation=True)
+                slot, owner = features(words, counts, bits)
+                code = np.unique(owner << bits | slot)
+                ends += (ends[-1] + np.searchsorted(code >> bits, np.arange(1, j - i + 1))).tolist()
+                parts.append((code & ((1 << bits) - 1)).astype(np.int32))
+            slots = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), slots], ["doc_id", "toxic", "slots"])
+
+    return run
+
+
 def _train(cfg: Ftrl) -> Callable:
+    """FTRL-proximal over the rows in order, epochs times, each time in another fixed order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, labels = [], []
         for batch in batches:
-            labels += batch.column(1).to_pylist()
-            words, counts = th.word_hashes(*th.text_bytes(batch.column(0)), punctuation=True)
-            slot, owner = features(words, counts, cfg.bits)
-            code = np.unique(owner << cfg.bits | slot)
-            cut = np.searchsorted(code >> cfg.bits, np.arange(len(counts) + 1))
-            code &= (1 << cfg.bits) - 1
-            docs += [code[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
+            labels += batch.column("toxic").to_pylist()
+            docs += [x.values.to_numpy() for x in batch.column("slots")]
         size = (1 << cfg.bits) + 1  # the last is the constant
-        z, n, w = np.zeros(size), np.zeros(size), np.zeros(size)
+        z, n = np.zeros(size), np.zeros(size)
+
+        def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return np.where(np.abs(z) <= cfg.l1, 0.0, (np.sign(z) * cfg.l1 - z) / ((cfg.beta + np.sqrt(n)) / cfg.alpha + cfg.l2))
+
         rng = np.random.default_rng(7)
         for _ in range(cfg.epochs):
             for d in rng.permutation(len(docs)):
                 x = np.append(docs[d], size - 1)
                 zi, ni = z[x], n[x]
-                wi = np.where(np.abs(zi) <= cfg.l1, 0.0, (np.sign(zi) * cfg.l1 - zi) / ((cfg.beta + np.sqrt(ni)) / cfg.alpha + cfg.l2))
-                p = 1 / (1 + np.exp(-np.clip(wi.sum(), -30, 30)))
-                g = p - labels[d]
+                wi = weights(zi, ni)
+                g = 1 / (1 + np.exp(-np.clip(wi.sum(), -30, 30))) - labels[d]
                 z[x] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / cfg.alpha * wi
                 n[x] += g * g
-        w = np.where(np.abs(z) <= cfg.l1, 0.0, (np.sign(z) * cfg.l1 - z) / ((cfg.beta + np.sqrt(n)) / cfg.alpha + cfg.l2))
+        w = weights(z, n)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], ["slot", "weight"])
 
@@ -79,15 +98,26 @@ def _train(cfg: Ftrl) -> Callable:
 
 
 def train(docs: DataFrame, labels: DataFrame, cfg: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(slot, weight): the non-zero weights, learned in one task from cfg.rows documents of each
-    label at most. labels: (doc_id, toxic), already without held-out rows."""
+    """(slot, weight): the non-zero weights, learned from cfg.rows documents of each label at most. labels:
+    (doc_id, toxic), already without held-out rows.
+
+    Features are made where the texts are; one task learns from their slots, at most 2**bits of a
+    document. Rows that repeat an id are all learned from, in the order of their slots.
+    """
     small_batches(docs.sparkSession)
     y = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    some = [y.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(cfg.rows) for k in (0, 1)]
-    picked = F.broadcast(stored(some[0].unionByName(some[1]), "labelled"))  # 2 * cfg.rows rows
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(picked, "doc_id")
-    fixed = stored(rows.select("doc_id", "text", "toxic"), "sample").orderBy("doc_id", "text").coalesce(1)
-    return fixed.select("text", "toxic").mapInArrow(_train(cfg), "slot long, weight double")
+    y = stored(y.select("doc_id", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("h")), "labels")
+    all_ = {r["toxic"]: r["count"] for r in y.groupBy("toxic").count().collect()}  # two rows
+    some = None
+    for k, n in sorted(all_.items()):
+        # about twice as many as wanted pass the filter, so a task sends a few rows only
+        one = y.where((F.col("toxic") == k) & (F.col("h") < int(min(1.0, (2 * cfg.rows + 1000) / n) * (1 << 32)))).orderBy("h", "doc_id").limit(cfg.rows)
+        some = one if some is None else some.unionByName(one)
+    some = y.limit(0) if some is None else some
+    picked = F.broadcast(stored(some.select(F.col("doc_id").alias("_id"), "toxic"), "labelled"))  # 2 * cfg.rows rows
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(picked, F.col("doc_id") == F.col("_id"))
+    slots = stored(rows.select("doc_id", "toxic", "text").mapInArrow(_slots(cfg.bits), "doc_id long, toxic int, slots array<int>"), "sample")
+    return slots.orderBy("doc_id", "slots").coalesce(1).mapInArrow(_train(cfg), "slot long, weight double")
 
 
 def _score(weights, bits: int) -> Callable:
