@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -189,6 +190,17 @@ def test_op2_mix(spark, docs, rows):
     assert {c for c in docs.columns} <= {*out[0].asDict()}
 
 
+def test_op2_clashing_columns(spark):
+    names = ["rest", "block", "blocks", "whole", "copies", "extra", "before", "in_block", "_key", "key", "doc", "tokens", "h"]
+    rows = [(k % 90 if k else None, "w " * (k % 7), f"s{k % 3}", *[1000 * j + k for j in range(len(names))]) for k in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    out = mixing.mix_sources(d).collect()
+    same = {(r.doc_id, r.place) for r in mixing.mix_sources(d.select("doc_id", "text", "source")).collect()}
+    assert {(r.doc_id, r.place) for r in out} == same and set(d.columns) <= set(out[0].asDict())
+    for r in out:
+        assert [r[n] - r["rest"] for n in names] == [1000 * j for j in range(len(names))]
+
+
 def test_op2_is_balanced_on_sources_of_equal_size(spark):
     d = spark.range(400).selectExpr("id doc_id", "'a b c' text", "concat('s', id % 4) source")
     out = mixing.mix_sources(d)
@@ -216,6 +228,38 @@ def test_op3_brute_force(spark):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True)
 
 
+@pytest.mark.parametrize("n", [20000])
+def test_op3_tight_group_and_recall(spark, n, tmp_path):
+    """A hot label: one tight group whose pairs all link, and pairs at the threshold itself."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal(24)
+    v = base + 1e-3 * rng.standard_normal((n, 24))
+    side = rng.standard_normal((1000, 24))
+    away = rng.standard_normal((1000, 24))
+    away -= (away * side).sum(axis=1)[:, None] / (side * side).sum(axis=1)[:, None] * side
+    away *= np.linalg.norm(side, axis=1)[:, None] / np.linalg.norm(away, axis=1)[:, None]
+    near = 0.9301 * side + math.sqrt(1 - 0.9301**2) * away
+    v = np.concatenate([v, side, near])
+    pq.write_table(pa.table({"vec_id": np.arange(len(v)), "embedding": list(v), "label": np.ones(len(v), np.int32)}), f"{tmp_path}/v.parquet")
+    data = spark.read.parquet(f"{tmp_path}/v.parquet")
+    cfg = embedding_dedup.Projections()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = np.concatenate([((u[a : a + 2000] @ u.T) >= cfg.cosine).sum(axis=1) - 1 for a in range(0, len(u), 2000)])
+    got = embedding_dedup.embedding_dedup(data, cfg).toPandas().set_index("vec_id")
+    assert got.n_links.reindex(range(len(v))).sum() >= 0.999 * want.sum()
+    # of the pairs near the threshold alone
+    assert (got.n_links.reindex(range(n, len(v))).to_numpy()).sum() >= 0.999 * want[n:].sum() > 1900
+    assert (got.component_id.reindex(range(n)) == 0).all()
+
+
+def test_op3_windows_are_those_of_the_sorted_lines():
+    rng = np.random.default_rng(5)
+    q, x = rng.standard_normal((40, 3)).astype(np.float32), np.round(rng.standard_normal((60, 3)), 1).astype(np.float32)
+    rank, first, width = embedding_dedup._windows(q, x, np.float32(0.25))
+    for k in range(3):
+        assert ((rank[k][None] - first[k][:, None] < width[k][:, None]) == (np.abs(q[:, None, k] - x[None, :, k]) <= 0.25)).mean() > 0.999
+
+
 def test_op3_calibration():
     cfg = embedding_dedup.Projections()
     rng = np.random.default_rng(0)
@@ -297,6 +341,39 @@ def test_op5_held_out(spark):
     assert by[1] > 0.97 and by[0] < 0.2
 
 
+def test_op5_decision(spark):
+    """Threshold and verdict of every document from its own cost, in plain Python."""
+    folder = FOLDER.replace("0.001", "0.01")
+    d, lab = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    got = {r.doc_id: r for r in quality.classify(d, lab, carry=("source",)).collect()}
+    good = {r.doc_id for r in lab.collect() if r.quality == 1}
+    rows = d.select("doc_id", "lang", "text", "source", F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(quality.HELD_OUT)).alias("f")).collect()
+    model = quality.train(spark.createDataFrame([(r.text,) for r in rows if r.doc_id in good and r.f], "text string"), order=quality.ORDER)
+    cost = {r.doc_id: (r.nll, r.n_bytes) for r in quality.score(d, model).collect()}
+    held = [r for r in rows if r.doc_id in good and not r.f]
+
+    def mean(some):
+        return sum(cost[r.doc_id][0] for r in some) / sum(cost[r.doc_id][1] for r in some)
+
+    def limit(some, m):
+        rate = sorted(math.ceil((cost[r.doc_id][0] + 60 * m) / (cost[r.doc_id][1] + 60) * 1000) for r in some)
+        return rate[math.ceil(len(rate) * 0.999) - 1] / 1000 + 0.02
+
+    m0 = mean(held)
+    l0 = limit(held, m0)
+    assert len(held) > 30
+    for lang in {r.lang for r in rows}:
+        own = [r for r in held if r.lang == lang]
+        m = (len(own) * mean(own) + 5 * m0) / (len(own) + 5) if own else m0
+        at = (len(own) * limit(own, m) + 5 * l0) / (len(own) + 5) if own else l0
+        for r in rows:
+            if r.lang == lang:
+                rate = (cost[r.doc_id][0] + 60 * m) / (cost[r.doc_id][1] + 60)
+                g = got[r.doc_id]
+                assert (math.log(g.perplexity), math.log(g.threshold), g.source) == (pytest.approx(rate, abs=1e-5), pytest.approx(at, abs=1e-5), r.source)
+                assert g.kept == (rate <= at) or abs(rate - at) < 1e-5
+
+
 def test_op5_edges(spark, docs, none):
     lab = spark.createDataFrame([(1, 1), (1, 1), (None, 1), (50, 0)], "doc_id long, quality int")
     assert quality.classify(docs, lab).count() == docs.count()
@@ -377,6 +454,16 @@ def test_op8_brute_force(spark, seed):
     assert len(got) == len(texts)
 
 
+def test_op8_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(2))
+    texts = [a, a[:500] + "x" * 30, b, b[100:650], a, None]
+    ids = [1, 1, None, None, 2, None]
+    d = spark.createDataFrame(list(zip(ids, texts, range(6))), "doc_id long, text string, t1 long").withColumn("copied", F.lit("clash"))
+    got = sorted((r.doc_id or -1, r.n_bytes, sum(s.end - s.first for s in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.remove_repeats(d).collect())
+    assert got == sorted((i or -1, *w) for i, w in zip(ids, brute_repeats(texts, 400)))
+
+
 def test_op8_segments_of_a_long_text(spark, monkeypatch):
     monkeypatch.setattr(repeats, "SEGMENT", 700)
     rng = random.Random(4)
@@ -416,6 +503,39 @@ def test_op10_learns(spark):
     assert (neg < 0.5).mean() > 0.98
 
 
+def test_op10_is_ftrl_proximal(spark):
+    """Weights and scores against a plain FTRL-proximal over named features."""
+    rng = random.Random(3)
+    texts = [(k, " ".join(rng.choice(["you", "are", "a", "kind", "vile", "person", "today", "Vile,"]) for _ in range(rng.randrange(0, 9)))) for k in range(40)]
+    labels = [(k, int("vile" in t.lower())) for k, t in texts]
+    cfg = toxicity.Ftrl(l1=0.3, epochs=3)
+    d = spark.createDataFrame([*texts, (77, None), (78, "")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(d, toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"), cfg), cfg).collect()}
+
+    def feats(t):
+        w = [x for x in "".join(c if c.isalnum() else " " for c in t.lower()).split()]
+        return {*w, *zip(w, w[1:]), *((x, None, y) for x, y in zip(w, w[2:])), ()}
+
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        return 0.0 if abs(z[f]) <= cfg.l1 else (math.copysign(cfg.l1, z[f]) - z[f]) / ((cfg.beta + math.sqrt(n[f])) / cfg.alpha + cfg.l2)
+
+    def p(t):
+        return 1 / (1 + math.exp(-sum(weight(f) for f in feats(t))))
+
+    order = np.random.default_rng(7)
+    for _ in range(cfg.epochs):
+        for k in order.permutation(len(texts)):
+            g = p(texts[k][1]) - labels[k][1]
+            w = {f: weight(f) for f in feats(texts[k][1])}
+            for f, v in w.items():
+                z[f] += g - (math.sqrt(n[f] + g * g) - math.sqrt(n[f])) / cfg.alpha * v
+                n[f] += g * g
+    for k, t in [*texts, (77, ""), (78, "")]:
+        assert got[k] == pytest.approx(p(t), abs=1e-5)
+
+
 def test_op10_edges(spark, docs, none):
     lab = spark.createDataFrame([(1, 1), (50, 0), (None, 1), (20, None)], "doc_id long, toxic int")
     w = toxicity.train(docs, lab)
@@ -473,6 +593,41 @@ def test_pipeline_stages(spark, tk):
         assert (n, sha) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
 
 
+def test_pipeline_rows_not_ids(spark, tmp_path):
+    """Repeated and null ids, equal rows, empty tables, clashing columns: no stage takes a good row along with a bad one."""
+    cols = "doc_id long, text string, lang string, source string, n_chars long"
+    extra = ["rest", "block", "blocks", "whole", "copies", "extra", "before", "in_block", "_key", "row", "again", "id", "key", "comp", "n", "_good"]
+
+    def frame(rows):
+        d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], cols)
+        for c in extra:
+            d = d.withColumn(c, F.lit("clash"))
+        return d
+
+    def left(d):
+        return sorted(((r.doc_id, r.text) for r in d.collect()), key=repr)
+
+    _, quality_, exact, near, mix, tokens = [None, *(f for _, f in corpus_pipeline.STAGES)]
+    rows = [(1, "a b c"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "q r s"), (3, None), (4, "")]
+    assert left(exact(spark, frame(rows), "")) == sorted([(1, "a b c"), (2, "a b c d"), (None, "q r s"), (4, "")], key=repr)
+    base = [f"w{k}" for k in range(60)]
+    one, two = " ".join(base), " ".join([*base[:-1], "other"])
+    rows = [(5, one), (5, "quite another text of one id here"), (3, two), (None, one), (None, "this stays as it has no copy"), (None, None), (9, ""), (9, "")]
+    assert left(near(spark, frame(rows), "")) == sorted([(5, "quite another text of one id here"), (3, two), *rows[4:]], key=repr)
+    clean = spark.read.parquet(f"{FOLDER}/documents.parquet").join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id")
+    good = [r.text for r in clean.where("quality = 1").collect()]
+    lab = spark.createDataFrame([(100 + k, 1, 0) for k in range(len(good))] + [(7, 0, 0)], "doc_id long, quality int, toxic int")
+    lab.write.parquet(f"{tmp_path}/labels.parquet")
+    junk = "".join(chr(33 + (k * k * 7) % 90) for k in range(3000))
+    rows = [(100 + k, t) for k, t in enumerate(good)] + [(7, junk), (7, good[0]), (None, junk), (None, good[1]), (8, None)]
+    kept = left(quality_(spark, frame(rows), str(tmp_path)))
+    assert (7, junk) not in kept and (None, junk) not in kept and {(7, good[0]), (None, good[1]), (8, None)} <= set(kept)
+    assert left(mix(spark, frame([(1, "a b"), (1, "a b"), (None, "c d")]), "")) == sorted([(1, "a b"), (1, "a b"), (None, "c d")], key=repr)
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in tokens(spark, frame([(1, "a"), (1, None), (None, "b")]), "").collect()) == [(0, True), (1, False), (1, True)]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame(rows[:1]).limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_op5_sees_word_order_and_grows(spark):
     rng = random.Random(6)
     lexicon = [a + b for a in ("bal", "cor", "din", "fem") for b in ("tak", "rul", "sop", "wen")]
