@@ -9,6 +9,8 @@ import pytest
 from voxelweave.jobs import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
+#: Queries that find nothing in tables so small.
+MAY_BE_EMPTY = ("anti_missing", "contradictions", "bfs_seed", "overlap_edges", "star_edges", "duplicated_keys", "radius_pairs", "radial_crop")
 
 
 @pytest.fixture(scope="module")
@@ -34,4 +36,4 @@ def test_same_rows(spark, db, name):
     cols = sorted(want.columns)
     have = rows(got.select(*[f"`{c}`" for c in cols]).collect())
     assert have == rows(want.select(", ".join(f'"{c}"' for c in cols)).fetchall())
-    assert have or name in ("anti_missing", "contradictions", "bfs_seed", "overlap_edges", "star_edges", "duplicated_keys", "radius_pairs")
+    assert have or name in MAY_BE_EMPTY

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from voxelweave.operators import linking, relational, stats, volume, windows
 from voxelweave.sources import raw_volume
@@ -158,7 +159,7 @@ def test_em_finds_the_core(spark):
     v = np.concatenate([np.zeros(4000), np.rint(rng.normal(0, 6, 6000))]).astype(int)
     rows = spark.createDataFrame([("a", int(x), int(c)) for x, c in zip(*np.unique(v, return_counts=True))], "g string, d int, n long")
     r = stats.em_core_width(rows, ["g"], "d", "n").first()
-    assert r.sd == pytest.approx(6, abs=0.6) and r.w == pytest.approx(0.6, abs=0.08)
+    assert r.sd == pytest.approx(6, abs=0.3) and r.w == pytest.approx(0.4, abs=0.05)
 
 
 def test_resume_groups(spark):
@@ -200,11 +201,139 @@ def test_store_commits_last(spark, tmp_path):
     assert sorted(r.candidate_id for r in s.visible().collect()) == [1, 2, 3]
     names = spark.createDataFrame([("a",), ("b",), ("c",)], "volume_name string")
     assert [r.volume_name for r in s.pending(names, 7).collect()] == ["c"]
-    s.append("label_events", spark.createDataFrame([(1, 1, 0), (1, 5, 2), (2, 1, -1)], "candidate_id long, at long, label int"))
+    s.write("label_events", spark.createDataFrame([(1, 1, 0), (1, 5, 2), (2, 1, -1)], "candidate_id long, at long, label int"))
     assert {(r.candidate_id, r.label) for r in s.labels().collect()} == {(1, 2), (2, -1)}
     assert s.delete(7, "a") and not s.delete(99)
     assert s.read("voxels").count() == 1 and {(r.experiment_id, r.volume_name) for r in s.read("runs").collect()} == {(7, "b"), (8, "a")}
     assert s.labels().count() == 0
+    # what broke off before its marker is invisible, does no harm and is replaced by the next try
+    s.write("experiments", spark.createDataFrame([(8, 80)], "experiment_id long, experiment_number long").select("*", *[F.lit(None).alias(c) for c in ("slab_thickness", "high_threshold_scale", "low_threshold_scale", "baseline_method", "min_seed_voxels", "aniso_factor", "small_vol_cutoff", "z_pad", "small_z_bounds", "min_fill", "max_axial_extent_mm", "enforce_shape_gates")]))
+    s.write("candidates", s.read("candidates").withColumn("volume_name", F.lit("broken")))
+    assert s.flat().count() == 1 and s.visible().count() == 1
+    s.record(8, "broken", one, spark.createDataFrame([], vox))
+    ids = [r.candidate_id for r in s.visible().where("volume_name = 'broken'").collect()]
+    assert len(ids) == 2 and min(ids) > 3
+    assert s.delete(8) and s.visible().count() == 0 and s.read("experiments").count() == 0
+
+
+def test_noise_scale_clips_only_the_first_bad_correlation(spark):
+    from voxelweave.functions.columns import median_noise_scale
+
+    def want(n, a, b):
+        if not 0.3 <= a <= 0.7:
+            a = min(max(a, 0.3), 0.7)
+        else:
+            b = min(max(b, 0.08), 0.18)
+        return 1 - (0.48417 - 0.04204 * a + 0.16959 * a * a - 0.14318 * b + 3.06188 * a * b) / n - (-1.06974 + 8.88342 * a + 5.72699 * b) / n**2
+
+    rows = [(0.5, 0.1), (0.2, 0.3), (0.9, 0.0), (0.4, 0.3), (0.4, 0.01)]
+    d = spark.createDataFrame(rows, "a double, b double")
+    got = [r.s for r in d.select(median_noise_scale(21, F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got == pytest.approx([want(21, *r) for r in rows])
+
+
+def test_paired_intervals_and_signed_ranks(spark):
+    d = spark.createDataFrame([(i, int(i < 12), int(i < 5 or i > 28), 1) for i in range(40)], "item long, a int, b int, c int")
+    r = {(x["first"], x["second"]): x for x in stats.paired_intervals(stats.discordant_pairs(d, "item", ["a", "b", "c"])).collect()}
+    ab = r["a", "b"]
+    assert (ab.only_first, ab.only_second, ab["diff"]) == (7, 11, pytest.approx(-0.1))
+    # the exact interval of 7 of 18 is (0.1730, 0.6425)
+    assert (ab.pair_low, ab.pair_high) == (pytest.approx(18 * (2 * 0.17300 - 1) / 40, abs=2e-3), pytest.approx(18 * (2 * 0.64254 - 1) / 40, abs=2e-3))
+    assert ab.pair_low_all < ab.pair_low and ab.pair_high_all > ab.pair_high and r["a", "c"].apart
+    x = [1.5, -0.5, 0.0, 2.0, -2.0, 3.0, 0.5]
+    t = stats.paired_tests(spark.createDataFrame([("g", v) for v in x], "g string, d double"), ["g"], "d").first()
+    # ranks of sizes 0.5 0.5 1.5 2 2 3: 1.5 1.5 3 4.5 4.5 6; the negative ones sum to 6
+    assert (t.n, t.w) == (7, 6.0) and t.t == pytest.approx(np.mean(x) / (np.std(x, ddof=1) / np.sqrt(7)))
+
+
+def test_surface_mixture_and_axis(spark):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=300), rng.normal(size=300)
+    z = 1 + 2 * x - y + 0.5 * x * x + 0.25 * x * y - 0.75 * y * y
+    d = spark.createDataFrame([("a", float(p), float(q), float(r)) for p, q, r in zip(x, y, z)], "g string, x double, y double, z double")
+    c = stats.quadratic_surface(d, ["g"], "x", "y", "z").first()
+    assert [c[f"c{i}"] for i in range(6)] == pytest.approx([1, 2, -1, 0.5, 0.25, -0.75])
+    v = np.concatenate([rng.normal(-4, 1, 400), rng.normal(5, 2, 600)])
+    m = stats.gaussian_mixture(spark.createDataFrame([(float(a),) for a in v], "v double"), "v", 2).collect()
+    assert [r.mean for r in m] == pytest.approx([-4, 5], abs=0.4) and m[0].weight == pytest.approx(0.4, abs=0.05)
+    line = [("v", k, round(k * 0.2), round(-k * 0.1)) for k in range(60)]
+    a = volume.axis_angles(spark.createDataFrame(line, "p string, z long, y long, x long"), ["p"], ["z", "y", "x"]).first()
+    assert (a.theta, a.phi) == (pytest.approx(-np.degrees(np.arctan(0.1)), abs=0.3), pytest.approx(np.degrees(np.arctan(0.2)), abs=0.3))
+
+
+def test_folds_are_whole_groups_and_scores_out_of_fold(spark):
+    from voxelweave.jobs import learning
+
+    folder = "/root/testdata/sf0.001"
+    rows = learning.folds(learning.training_table(spark, folder), "component", 5)
+    assert rows.groupBy("component").agg(F.count_distinct("fold").alias("k")).agg(F.max("k")).first()[0] == 1
+    per = rows.groupBy("fold").agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
+    assert len(per) == 5 and max(r.y for r in per) - min(r.y for r in per) <= 0.2 * max(r.y for r in per)
+    same = learning.permuted(rows, "candidate_id", "price", 1)
+    assert same.count() == rows.count() and same.agg(F.sum("price")).first()[0] == pytest.approx(rows.agg(F.sum("price")).first()[0])
+    moved = rows.select("candidate_id", F.col("price").alias("was")).join(same, "candidate_id").where("was <> price").count()
+    assert moved > 0.5 * rows.count()
+
+
+@pytest.mark.parametrize("name", ["train_gbt", "network_scores", "logistic_coefficients", "permutation_importance", "blobs_injected"])
+def test_fits_learn_something(spark, name):
+    from voxelweave.jobs import catalogue
+
+    got = catalogue.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    if name in ("train_gbt", "network_scores"):
+        assert len(got) == 5 and all(0 < r.brier < 0.25 and r.ap > 0.6 for r in got)
+    elif name == "logistic_coefficients":
+        odds = {r.feature: r.odds for r in got}
+        assert odds["lines"] > 1.1 and all(r.odds == pytest.approx(np.exp(r.coefficient)) for r in got)
+    elif name == "permutation_importance":
+        drop = {r.feature: r["drop"] for r in got}
+        assert len(drop) == 5 and max(drop, key=drop.get) == "lines"
+    else:
+        assert got and all(0 <= r.v <= 255 for r in got) and len({(r.volume, r.z, r.y, r.x) for r in got}) == len(got)
+
+
+def test_minted_ids_are_dense_over_many_ranges(spark):
+    from voxelweave.sources.store import minted
+
+    rows = spark.range(5000).selectExpr("(id * 7919) % 5003 k", "id % 3 g").repartition(7)
+    got = minted(rows, spark.createDataFrame([(41,)], "id long"), "id", ["k"]).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(42, 5042)) and [r.k for r in got] == sorted(r.k for r in got)
+
+
+def test_running_sums_and_quantiles_of_one_large_group(spark):
+    n = 20000
+    d = spark.range(n).selectExpr("'a' g", "(id * 7919) % 20011 v", "id % 5 w").unionByName(spark.createDataFrame([("b", 1, 2), (None, 3, 1)], "g string, v long, w long"))
+    rows = windows.running(d, ["g"], ["v"], ["w"]).orderBy("g", "v").collect()
+    seen = {}
+    for r in rows:
+        assert r.w_before == seen.get(r.g, 0)
+        seen[r.g] = r.w_before + r.w
+    assert all(r.w_all == seen[r.g] for r in rows)
+    v = np.array([r.v for r in rows if r.g == "a"])
+    q = {r.g: r for r in windows.quantiles(d, ["g"], "v", {"low": 0.1, "mid": 0.5}).collect()}
+    assert (q["a"].low, q["a"].mid) == (pytest.approx(np.quantile(v, 0.1)), pytest.approx(np.median(v))) and q["b"].mid == 1 and q[None].mid == 3
+
+
+def test_interpolation_of_a_long_series(spark):
+    grid = spark.range(200000).selectExpr("1 k", "id / 2 at")
+    knots = spark.range(0, 100001, 10).selectExpr("1 k", "cast(id as double) at", "cast(id * id as double) v")
+    got = windows.interpolated(grid, knots, ["k"], "at", "v").agg(F.count("*").alias("n"), F.max(F.abs(F.col("v") - F.col("at") * F.col("at"))).alias("off")).first()
+    assert got.n == 200000 and 0 < got.off <= 25 + 1e-6
+
+
+def test_tiles_give_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(volume, "TILE", 4)
+    rng = np.random.default_rng(3)
+    mask = rng.random((13, 11, 9)) < 0.35
+    at = np.argwhere(mask)
+    rows = spark.createDataFrame([("v", int(z) - 5, int(y), int(x), int((z * 11 + y) * 9 + x)) for z, y, x in at], "p string, z long, y long, x long, id long")
+    got = {r.id: r.component for r in volume.labelled(rows, ["p"], ["z", "y", "x"], "id").collect()}
+    labels = volume.label3d(mask)
+    ids = {int((z * 11 + y) * 9 + x): int(labels[z, y, x]) for z, y, x in at}
+    least = {}
+    for i, lab in ids.items():
+        least[lab] = min(i, least.get(lab, i))
+    assert got == {i: least[lab] for i, lab in ids.items()}
 
 
 def test_raster_sums_and_peak(spark):

@@ -48,11 +48,23 @@ def physical(features: dict[str, str], s: Column) -> Iterable[Column]:
     return [(F.col(name) * F.pow(s, F.lit(power[kind]))).alias(f"{name}_mm") for name, kind in features.items()]
 
 
-def median_noise_scale(n: int, rho1: Column, rho2: Column, f: float, g: float) -> Column:
-    """Residual sigma scale 1 - f/n - g/n^2 with the correlations clipped to the fitted range."""
-    r1 = F.greatest(F.least(rho1, F.lit(0.70)), F.lit(0.30))
-    r2 = F.greatest(F.least(rho2, F.lit(0.18)), F.lit(0.08))
-    return 1 - f * (1 + r1) / n - g * (1 + r2) / (n * n)
+# Coefficients of the fitted noise scale (constant, r1, r1^2, r2, r1 r2; constant, r1, r2) and the
+# ranges of both correlations that the fit covers.
+SCALE_N = (0.48417, -0.04204, 0.16959, -0.14318, 3.06188)
+SCALE_N2 = (-1.06974, 8.88342, 5.72699)
+R1_RANGE, R2_RANGE = (0.30, 0.70), (0.08, 0.18)
+
+
+def median_noise_scale(n: int, rho1: Column, rho2: Column) -> Column:
+    """Sigma of a value minus the median of its n neighbours (itself included), in units of the noise, from the
+    correlations at lags 1 and 2. Outside the fitted range one correlation is clipped: the first, or else
+    the second."""
+    bad1 = (rho1 < R1_RANGE[0]) | (rho1 > R1_RANGE[1])
+    r1 = F.greatest(F.least(rho1, F.lit(R1_RANGE[1])), F.lit(R1_RANGE[0]))
+    r2 = F.when(bad1, rho2).otherwise(F.greatest(F.least(rho2, F.lit(R2_RANGE[1])), F.lit(R2_RANGE[0])))
+    a, b = SCALE_N, SCALE_N2
+    one = a[0] + a[1] * r1 + a[2] * r1 * r1 + a[3] * r2 + a[4] * r1 * r2
+    return 1 - one / n - (b[0] + b[1] * r1 + b[2] * r2) / (n * n)
 
 
 def mean_residual_scale(n: int, rho1: Column, rho2: Column) -> Column:
@@ -73,11 +85,34 @@ def first_quadrant(angle: Column) -> Column:
     return F.least(a, 180.0 - a)
 
 
-def flip_y(y: Column, height: int) -> Column:
-    return F.lit(height - 1) - y
+def portal_yx(y: Column, x: Column, height: int) -> tuple[Column, Column]:
+    """Raw row and column as the portal shows them: upside down."""
+    return F.lit(height - 1) - y, x
 
 
 def slab_range(portal_z: Column, size_mm: float, thickness: float = 1.0, pad: float = -0.5) -> tuple[Column, Column]:
     """First and last slice of a slab around a portal position, rounded half to even."""
-    start = portal_z - pad
-    return F.bround(start / size_mm, 0).cast("long"), F.bround((start + thickness) / size_mm, 0).cast("long")
+    start = (portal_z - pad) / size_mm
+    return F.bround(start, 0).cast("long"), F.bround(start + thickness / size_mm, 0).cast("long")
+
+
+# Largest depths that a volume of one and of two bytes a voxel may seem to have.
+DEPTH_1, DEPTH_2 = 6000, 12000
+
+
+def infer_depth(size: Column, height: int, width: int) -> tuple[Column, Column]:
+    """Slices and bytes a voxel of a raw volume of so many bytes: what would be too deep for one byte a voxel
+    has two or four."""
+    plain = F.floor(size / (height * width)).cast("long")
+    wide = F.when(plain <= DEPTH_1, 1).when(plain <= DEPTH_2, 2).otherwise(4)
+    return F.floor(plain / wide).cast("long"), wide
+
+
+def displayed(v: Column, lo: Column, hi: Column) -> Column:
+    """Gray value for the screen: contrast 1.2, brightness 10, clipped, truncated."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), 255 * (1.2 * (v - lo) / (hi - lo) + 10 / 255))).cast("int")
+
+
+def rescaled_to(v: Column, lo: Column, hi: Column, top: int) -> Column:
+    """v from its range to [0, top], truncated; a range of one value gives 0."""
+    return F.coalesce(F.floor(safe_ratio(v - lo, hi - lo) * top), F.lit(0)).cast("int")

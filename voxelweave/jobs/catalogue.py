@@ -2,43 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import axial_ok, first_quadrant, rescale, safe_ratio
 from voxelweave.jobs import learning
+from voxelweave.jobs.registry import QUERIES, SQL, Query, query, r6
 from voxelweave.operators import linking, relational, simulation, stats, volume, windows
 from voxelweave.sources import store
 from voxelweave.streaming import recorder
-from voxelweave.sources.tables import candidates, cube, hits, label_of, profile, scores, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return put
+from voxelweave.sources.tables import EDGE, SLICES, candidates, cube, hits, label_of, profile, scores, table
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries) | learning.queries()
-
+    from voxelweave.jobs import reports, scans, stores  # noqa: F401  they register theirs
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(QUERIES) | learning.queries()
 
 
-def r6(c: str | Column) -> Column:
-    return F.round(c, 6)
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(SQL)
 
 
 LABEL = "CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 4 END"
@@ -118,11 +102,11 @@ def duplicated_keys(spark, d):
     return relational.duplicated(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_linenumber"])
 
 
-@query("""SELECT o_orderkey candidate_id FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey
-       AND p.o_orderkey <> o.o_orderkey AND abs(p.o_totalprice - o.o_totalprice) < 5000)""")
+@query("""WITH o AS (SELECT o_orderkey k, o_custkey g, o_totalprice p, epoch(o_orderdate) / 864.0 t FROM orders) SELECT k candidate_id FROM o WHERE NOT EXISTS
+       (SELECT 1 FROM o q WHERE q.g = o.g AND q.k <> o.k AND (q.p - o.p) * (q.p - o.p) + (q.t - o.t) * (q.t - o.t) < 25000000)""")
 def isolation_anti(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), "o_custkey", "o_totalprice")
-    return relational.isolated(o, "candidate_id", ["o_custkey"], "o_totalprice", 5000).select("candidate_id")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), "o_custkey", "o_totalprice", (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 864e6).alias("t"))
+    return relational.isolated(o, "candidate_id", ["o_custkey"], ["o_totalprice", "t"], 5000).select("candidate_id")
 
 
 @query("""(SELECT o_custkey id, 'left' side FROM orders WHERE o_orderstatus = 'F' EXCEPT ALL SELECT o_custkey, 'left' FROM orders WHERE o_orderstatus = 'O')
@@ -226,7 +210,8 @@ def components_labelled(spark, d):
 @query(f"""WITH RECURSIVE {EDGES}, both_ AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
        walk(id) AS (SELECT min(a) FROM edges UNION SELECT both_.b FROM walk JOIN both_ ON both_.a = walk.id) SELECT id FROM walk""")
 def bfs_seed(spark, d):
-    e = linking.overlap_edges(hits(spark, d), "candidate_id", ["volume", "y", "x"])
+    h = hits(spark, d)
+    e = linking.star_edges(h, "candidate_id", ["volume", "y", "x"])
     return linking.closure(e, e.agg(F.min("a").alias("id")))
 
 
@@ -290,6 +275,32 @@ def radius_tracks(spark, d):
     return g.agg(F.count("*").alias("n"), F.min("label").alias("label"), r6(F.avg("x")).alias("cx"), r6(F.max("x") - F.min("x")).alias("spread"))
 
 
+TRACKED = f"""p AS (SELECT vec_id, label % 2 volume, label // 2 AS level, vec_id % 13 n_seed, vec_id % 3 regions, x, y, z FROM ({POINTS})), e AS (SELECT a.vec_id a, b.vec_id b FROM p a JOIN p b ON a.volume = b.volume AND a.vec_id <> b.vec_id
+          WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.0049), walk(id, seen) AS (SELECT vec_id, vec_id FROM p UNION SELECT walk.id, e.b FROM walk JOIN e ON e.a = walk.seen), c AS (SELECT id, min(seen) track FROM walk GROUP BY 1)"""
+
+
+def _tracked(spark, d):
+    p = _points(spark, d).select(
+        "vec_id", (F.col("label") % 2).alias("volume"), F.expr("label div 2").cast("int").alias("level"), (F.col("vec_id") % 13).alias("n_seed"), (F.col("vec_id") % 3).alias("regions"), "x", "y", "z"
+    )
+    return linking.tracked(p, "vec_id", ["x", "y", "z"], 0.07, ["volume"])
+
+
+@query(f"""WITH RECURSIVE {TRACKED}, best AS (SELECT track, level, max(n_seed) n, arg_max(regions, (n_seed, -vec_id)) regions FROM c JOIN p ON vec_id = id GROUP BY 1, 2)
+       SELECT track, count(*) present, round(avg(n), 6) seed_mean, max(n) - min(n) seed_range, round(CASE WHEN avg(n) > 0 THEN stddev_pop(n) / avg(n) ELSE 0 END, 6) seed_cv, max(CASE WHEN regions > 1 THEN 1 ELSE 0 END) any_merge FROM best GROUP BY 1""")
+def object_tracks(spark, d):
+    """Objects followed over the levels of a sweep: the strongest of an object's candidates at each level."""
+    return linking.track_summary(_tracked(spark, d), "level", "n_seed", "regions", "vec_id").select("track", "present", r6("seed_mean").alias("seed_mean"), "seed_range", r6("seed_cv").alias("seed_cv"), "any_merge")
+
+
+@query(f"""WITH RECURSIVE {TRACKED} SELECT track, max(CASE WHEN level = 0 THEN 1 ELSE 0 END) level_0, max(CASE WHEN level = 1 THEN 1 ELSE 0 END) level_1, max(CASE WHEN level = 2 THEN 1 ELSE 0 END) level_2, max(CASE WHEN level = 3 THEN 1 ELSE 0 END) level_3,
+       max(CASE WHEN level = 4 THEN 1 ELSE 0 END) level_4, max(n_seed) size, round(avg(x), 6) radial FROM c JOIN p ON vec_id = id GROUP BY 1""")
+def object_windows(spark, d):
+    """Objects by windows: 1 where a window found the object; its largest size and mean place."""
+    t = _tracked(spark, d)
+    return t.groupBy("track").agg(*[F.max((F.col("level") == k).cast("int")).alias(f"level_{k}") for k in range(5)], F.max("n_seed").alias("size"), r6(F.avg("x")).alias("radial"))
+
+
 @query(f"""WITH RECURSIVE {MEMBERS} SELECT component, max(CASE WHEN label = 0 THEN 1 ELSE 0 END) found_0, max(CASE WHEN label = 1 THEN 1 ELSE 0 END) found_1,
        max(CASE WHEN label = 4 THEN 1 ELSE 0 END) found_4 FROM members GROUP BY 1""")
 def detection_matrix(spark, d):
@@ -514,8 +525,9 @@ def tumbling_day(spark, d):
 
 # Volumes
 
-CUBE = """cube AS (SELECT volume, z, y, x, sum(q)::BIGINT::DOUBLE v, (ascii(volume) * 64 * 48 * 48 + (z * 48 + y) * 48 + x)::BIGINT id FROM (SELECT l_returnflag volume,
-          ((l_shipdate::DATE - DATE '1990-01-01') // 7 % 64)::BIGINT z, l_partkey % 48 y, l_suppkey % 48 x, l_quantity q FROM lineitem) GROUP BY 1, 2, 3, 4)"""
+CUBE = """cube AS (SELECT volume, z, y, x, sum(q)::BIGINT::DOUBLE v, (((n * 128 + z) * 24 + y) * 24 + x)::BIGINT id FROM (SELECT l_returnflag || '-' || (l_partkey // 2000) volume,
+          l_partkey // 2000 * 32 + ascii(l_returnflag) - 64 n, ((l_shipdate::DATE - DATE '1990-01-01') // 42)::BIGINT z, l_partkey % 2000 // 84 y, l_suppkey % 24 x, l_quantity q FROM lineitem)
+          GROUP BY volume, n, z, y, x)"""
 FACE = "((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x))"
 OBJECTS = f"""{CUBE}, low AS (SELECT * FROM cube WHERE v >= 30), e AS (
           SELECT a.id a, b.id b FROM low a JOIN low b ON a.volume = b.volume AND a.z = b.z AND a.y = b.y AND abs(a.x - b.x) = 1 UNION ALL
@@ -536,7 +548,8 @@ def _objects(spark, d):
        FROM (SELECT *, max(v) OVER (PARTITION BY component) m FROM objects) GROUP BY 1, 2""")
 def hysteresis_objects(spark, d):
     f = volume.features(_objects(spark, d), ["volume"], ["z", "y", "x"], "v", 48)
-    top = F.ascii("volume") * 64 * 48 * 48 + (F.col("peak_z") * 48 + F.col("peak_y")) * 48 + F.col("peak_x")
+    whole = SLICES * EDGE * EDGE
+    top = F.col("component") - F.col("component") % whole + (F.col("peak_z") * EDGE + F.col("peak_y")) * EDGE + F.col("peak_x")
     return f.select(
         "volume", "component", "n_voxels", "n_seed", "peak", *[r6(f"centroid_{c}").alias(f"centroid_{c}") for c in "zyx"], "z_extent", r6("fill").alias("fill"),
         (top - F.col("component")).alias("peak_offset"),
@@ -552,7 +565,7 @@ def surface_ratios(spark, d):
 @query()
 def detect_slabs(spark, d):
     v = cube(spark, d).select("volume", "z", "y", "x", "v")
-    return volume.detect_slabs(v, 48, 48, volume.Detection(high=48, low=30, seeds=1, extent=10, slab=16))
+    return volume.detect_slabs(v, EDGE, EDGE, volume.Detection(high=48, low=30, seeds=1, extent=10, slab=16))
 
 
 @query(f"WITH {CUBE} SELECT volume, y, x, max(v) mip FROM cube GROUP BY ALL")
@@ -643,9 +656,9 @@ def otsu_threshold(spark, d):
     return simulation.otsu(h, ["volume"], "v", "n")
 
 
-@query(f"""WITH {CUBE} SELECT volume, z, count(*) n, sum(v)::BIGINT::DOUBLE total FROM cube WHERE (y - 23.5) * (y - 23.5) + (x - 23.5) * (x - 23.5) < 400 GROUP BY 1, 2""")
+@query(f"""WITH {CUBE} SELECT volume, z, count(*) n, sum(v)::BIGINT::DOUBLE total FROM cube WHERE (y - 11.5) * (y - 11.5) + (x - 11.5) * (x - 11.5) < 100 GROUP BY 1, 2""")
 def radial_mask(spark, d):
-    c = cube(spark, d).where(simulation.inside_cylinder(F.col("y"), F.col("x"), (23.5, 23.5), 20.0))
+    c = cube(spark, d).where(simulation.inside_cylinder(F.col("y"), F.col("x"), (11.5, 11.5), 10.0))
     return c.groupBy("volume", "z").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
@@ -655,8 +668,8 @@ def quantised_noise(spark, d):
 
 
 @query()
-def particles_injected(spark, d):
-    p = _points(spark, d).select("vec_id", F.col("label").cast("string").alias("volume"), *[(24 + 40 * F.col(c)).alias(c) for c in "zyx"])
+def blobs_injected(spark, d):
+    p = _points(spark, d).select("vec_id", F.col("label").cast("string").alias("volume"), *[(12 + 20 * F.col(c)).alias(c) for c in "zyx"])
     raster = simulation.rastered(p, "vec_id", ("z", "y", "x"), 1.0, 5.0).join(p.select("vec_id", "volume"), "vec_id")
     return simulation.injected(cube(spark, d), raster, ["volume", "z", "y", "x"], 255.0)
 

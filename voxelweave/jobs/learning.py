@@ -11,7 +11,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxelweave.functions.storage import checked_broadcast, cut
 from voxelweave.operators import linking, stats
+from voxelweave.operators.windows import running
 from voxelweave.sources.tables import label_of, table
 
 FEATURES = ["quantity", "price", "lines", "spread", "discount"]
@@ -30,11 +32,12 @@ def training_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def folds(rows: DataFrame, group: str, k: int) -> DataFrame:
-    """rows with fold: groups in descending size dealt round, so folds hold whole groups."""
-    size = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    # one row a group: the ranking sees groups, not rows
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("_n").desc(), group)) - 1
-    return rows.join(size.select(group, (rank % k).cast("int").alias("fold")), group)
+    """rows with fold: groups go whole, those with most positives first, forth and back over the folds, so that
+    folds are alike in positives and in size. Groups are ranked by running sums, never in one task."""
+    size = rows.groupBy(group).agg(F.sum("y").alias("_pos"), F.count("*").alias("_n"), F.lit(1).alias("_one")).withColumn("_rank", -F.col("_pos") * (1 << 32) - F.col("_n"))
+    rank = running(size, [], ["_rank", group], ["_one"]).withColumn("_at", F.col("_one_before") % (2 * k))
+    fold = F.when(F.col("_at") < k, F.col("_at")).otherwise(2 * k - 1 - F.col("_at")).cast("int")
+    return rows.join(checked_broadcast(cut(rank.select(group, fold.alias("fold")), "folds")), group)
 
 
 def calibrated_trees(train: DataFrame, seed: int = 0):
@@ -56,9 +59,9 @@ def out_of_fold(rows: DataFrame, k: int) -> DataFrame:
 
 
 def train_gbt(spark: SparkSession, d: str) -> DataFrame:
-    """Out-of-fold Brier score and average precision of each fold."""
-    rows = folds(training_table(spark, d), "volume", 3).cache()
-    oof = out_of_fold(rows, 3)
+    """Out-of-fold Brier score and average precision of each of five folds, grouped by volume and stratified."""
+    rows = cut(folds(training_table(spark, d), "volume", 5), "training")
+    oof = cut(out_of_fold(rows, 5), "scored")
     return stats.brier(oof, "p", "y", "weight", ["fold"]).join(stats.average_precision(oof, "p", "y", "weight", ["fold"]), "fold")
 
 
@@ -72,19 +75,39 @@ def permuted(rows: DataFrame, key: str, column: str, seed: int, buckets: int = 6
     return base.withColumn("_r", F.row_number().over(here)).join(mixed, ["_b", "_r"]).drop(column, "_b", "_r").withColumnRenamed("_v", column)
 
 
-def permutation_importance(spark: SparkSession, d: str, repeats: int = 1) -> DataFrame:
-    """(feature, drop): mean loss of average precision on a held-out fold when a feature is shuffled."""
-    rows = folds(training_table(spark, d), "volume", 3).cache()
-    model, held = calibrated_trees(rows.where("fold <> 0")), rows.where("fold = 0")
+def permutation_importance(spark: SparkSession, d: str, repeats: int = 3, k: int = 5) -> DataFrame:
+    """(feature, drop, sd): mean loss of average precision when a feature is shuffled, over repeats and held-out
+    folds. All shuffled versions of a fold are scored together."""
+    rows = cut(folds(training_table(spark, d), "volume", k), "training")
+    scored = None
+    for i in range(k):
+        held = rows.where(F.col("fold") == i)
+        tried = None
+        for f in [None, *FEATURES]:
+            for r in range(repeats if f else 1):
+                one = (permuted(held, "candidate_id", f, r) if f else held).select("candidate_id", *FEATURES, "y", "weight", F.lit(f or "none").alias("feature"), F.lit(r).alias("round"))
+                tried = one if tried is None else tried.unionByName(one)
+        part = calibrated_trees(rows.where(F.col("fold") != i))(tried).select("feature", "round", F.lit(i).alias("fold"), "p", "y", "weight")
+        scored = part if scored is None else scored.unionByName(part)
+    ap = cut(stats.average_precision(scored, "p", "y", "weight", ["feature", "round", "fold"]), "precision")
+    full = ap.where("feature = 'none'").select("fold", F.col("ap").alias("full"))
+    lost = ap.where("feature <> 'none'").join(F.broadcast(full), "fold").withColumn("lost", F.col("full") - F.col("ap"))  # a row a fold
+    return lost.groupBy("feature").agg(F.avg("lost").alias("drop"), F.stddev_samp("lost").alias("sd"))
+
+
+def network_scores(spark: SparkSession, d: str) -> DataFrame:
+    """(fold, brier, ap) of a small neural network beside the trees, on the same folds."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+
+    rows = cut(folds(training_table(spark, d), "volume", 5), "training")
     out = None
-    for f in [None, *FEATURES]:
-        for k in range(repeats if f else 1):
-            part = model(permuted(held, "candidate_id", f, k) if f else held).select(F.lit(f or "none").alias("feature"), "p", "y", "weight")
-            ap = stats.average_precision(part, "p", "y", "weight", ["feature"])
-            out = ap if out is None else out.unionByName(ap)
-    mean = out.groupBy("feature").agg(F.avg("ap").alias("ap"))
-    full = mean.where("feature = 'none'").select(F.col("ap").alias("full"))
-    return mean.where("feature <> 'none'").crossJoin(F.broadcast(full)).select("feature", (F.col("full") - F.col("ap")).alias("drop"))
+    for i in range(5):
+        steps = [Imputer(inputCols=FEATURES, outputCols=[f"i_{c}" for c in FEATURES], strategy="median"), VectorAssembler(inputCols=[f"i_{c}" for c in FEATURES], outputCol="v"), StandardScaler(inputCol="v", outputCol="x", withMean=True), MultilayerPerceptronClassifier(featuresCol="x", labelCol="y", layers=[len(FEATURES), 16, 2], maxIter=40, seed=0)]
+        model = Pipeline(stages=steps).fit(rows.where(F.col("fold") != i))
+        part = model.transform(rows.where(F.col("fold") == i)).select("fold", "y", "weight", F.round(vector_to_array("probability")[1], 6).alias("p"))
+        out = part if out is None else out.unionByName(part)
+    out = cut(out, "scored")
+    return stats.brier(out, "p", "y", "weight", ["fold"]).join(stats.average_precision(out, "p", "y", "weight", ["fold"]), "fold")
 
 
 def logistic_coefficients(spark: SparkSession, d: str) -> DataFrame:
@@ -96,4 +119,4 @@ def logistic_coefficients(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (train_gbt, permutation_importance, logistic_coefficients)}
+    return {f.__name__: f for f in (train_gbt, permutation_importance, network_scores, logistic_coefficients)}

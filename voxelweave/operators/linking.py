@@ -159,3 +159,20 @@ def radius_pairs(points: DataFrame, key: str, axes: list[str], radius: float, gr
     home = points.select(*group, F.col(key).alias("b"), *[F.col(c).alias(f"q{i}") for i, c in enumerate(axes)], *[c.alias(f"c{i}") for i, c in enumerate(cell)])
     d2 = sum(((F.col(f"p{i}") - F.col(f"q{i}")) * (F.col(f"p{i}") - F.col(f"q{i}")) for i in range(1, len(axes))), (F.col("p0") - F.col("q0")) * (F.col("p0") - F.col("q0")))
     return near.join(home, [*group, *[f"c{i}" for i in range(len(axes))]]).where((F.col("a") < F.col("b")) & (d2 <= radius * radius)).select("a", "b", F.sqrt(d2).alias("distance"))
+
+
+def tracked(points: DataFrame, key: str, axes: list[str], radius: float, group: list[str]) -> DataFrame:
+    """points with track: the smallest key of those of the group that steps of at most radius reach."""
+    c = components(points, radius_pairs(points, key, axes, radius, group), key)
+    return points.join(c.withColumnRenamed("component", "track"), key)
+
+
+def track_summary(rows: DataFrame, level: str, seeds: str, regions: str, key: str) -> DataFrame:
+    """(track, present, seed_mean, seed_range, seed_cv, any_merge) over the levels of a sweep; at each level the
+    candidate with most seeds counts, the smallest key of equals."""
+    best = rows.groupBy("track", level).agg(F.max(F.struct(F.col(seeds).alias("n"), (-F.col(key)).alias("k"), F.col(regions).alias("m"))).alias("b"))
+    n, m = F.col("b.n"), F.col("b.m")
+    cv = F.when(F.avg(n) > 0, F.stddev_pop(n) / F.avg(n)).otherwise(0.0)
+    return best.groupBy("track").agg(
+        F.count("*").alias("present"), F.avg(n).alias("seed_mean"), (F.max(n) - F.min(n)).alias("seed_range"), cv.alias("seed_cv"), F.max((m > 1).cast("int")).alias("any_merge")
+    )

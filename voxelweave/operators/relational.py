@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelweave.operators.linking import radius_pairs
+
 
 def review_filter(rows: DataFrame, equals: dict[str, object] | None = None, within: dict[str, Sequence] | None = None, ranges: dict[str, tuple] | None = None) -> DataFrame:
     """Rows that pass all conditions; a missing value passes none. ranges: (low, high), None open."""
@@ -53,13 +55,12 @@ def duplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(n, keys, "left_semi")
 
 
-def isolated(points: DataFrame, key: str, group: list[str], axis: str, distance: float) -> DataFrame:
-    """Points that have no other point of their group nearer than distance along axis: neighbours in
-    sorted order suffice."""
-    w = Window.partitionBy(*group).orderBy(axis, key)
-    gap = F.least(F.col(axis) - F.lag(axis).over(w), F.lead(axis).over(w) - F.col(axis))
-    near = F.coalesce(gap < distance, F.lit(False))
-    return points.withColumn("_near", near).where(~F.col("_near")).drop("_near")
+def isolated(points: DataFrame, key: str, group: list[str], axes: list[str], distance: float) -> DataFrame:
+    """Points without another of their group nearer than distance in the plane (or along the line) of axes. Cells of
+    that width limit the comparison to neighbouring ones."""
+    pairs = radius_pairs(points, key, axes, distance, group).where(F.col("distance") < distance)
+    near = pairs.select(F.col("a").alias(key)).unionByName(pairs.select(F.col("b").alias(key)))
+    return points.join(near.distinct(), key, "left_anti")
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -85,9 +86,14 @@ def top_k(rows: DataFrame, group: list[str], order: list[Column], k: int) -> Dat
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def seeded_key(key: str, seed: int) -> Column:
+    """A random order of keys that a seed fixes, whatever the partitioning."""
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows in the order of a hash of key and seed: the same rows whatever the partitioning."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    """n rows in the order of seeded_key: the same rows whatever the partitioning."""
+    return rows.orderBy(seeded_key(key, seed), key).limit(n)
 
 
 def grid(spark, **axes: Sequence) -> DataFrame:

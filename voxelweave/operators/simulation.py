@@ -1,4 +1,4 @@
-"""Simulated particles: rotation of points, rasters, correlated noise, retention, thresholds."""
+"""Points and blobs: rotation of points, rasters, correlated noise, retention, thresholds."""
 
 from __future__ import annotations
 
@@ -59,12 +59,12 @@ def otsu(hist: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
     return ok.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("b"), F.col(value))).alias("threshold"))
 
 
-def rastered(particles: DataFrame, key: str, zyx: tuple[str, str, str], sigma: float, amplitude: float, truncation: float = 2.5) -> DataFrame:
-    """(key, z, y, x, v): Gaussian particles integrated over voxels, scaled so that the voxel under the
+def rastered(blobs: DataFrame, key: str, zyx: tuple[str, str, str], sigma: float, amplitude: float, truncation: float = 2.5) -> DataFrame:
+    """(key, z, y, x, v): Gaussian blobs integrated over voxels, scaled so that the voxel under the
     centre holds the amplitude, within truncation sigmas."""
     r = math.ceil(truncation * sigma)
     span = F.sequence(F.lit(-r), F.lit(r))
-    base = particles.select(key, *[F.col(c).cast("double").alias(a) for c, a in zip(zyx, ("cz", "cy", "cx"))])
+    base = blobs.select(key, *[F.col(c).cast("double").alias(a) for c, a in zip(zyx, ("cz", "cy", "cx"))])
     cells = base.withColumn("dz", F.explode(span)).withColumn("dy", F.explode(span)).withColumn("dx", F.explode(span))
 
     def weight(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,13 +83,13 @@ def rastered(particles: DataFrame, key: str, zyx: tuple[str, str, str], sigma: f
             got = pd.DataFrame(out | {"v": amplitude * v / peak})
             yield got[far <= (truncation * sigma) ** 2]
 
-    kind = particles.schema[key].dataType.simpleString()
+    kind = blobs.schema[key].dataType.simpleString()
     return cells.mapInPandas(weight, f"{key} {kind}, z long, y long, x long, v double")
 
 
-def injected(volume: DataFrame, particles: DataFrame, place: list[str], top: float) -> DataFrame:
-    """Voxels plus particle voxels, summed and clipped to [0, top]."""
-    both = volume.select(*place, "v").unionByName(particles.select(*place, "v"))
+def injected(volume: DataFrame, blobs: DataFrame, place: list[str], top: float) -> DataFrame:
+    """Voxels plus blob voxels, summed and clipped to [0, top]."""
+    both = volume.select(*place, "v").unionByName(blobs.select(*place, "v"))
     return both.groupBy(*place).agg(F.greatest(F.lit(0.0), F.least(F.lit(float(top)), F.sum("v"))).alias("v"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import right_closed_bin, safe_ratio
+from voxelweave.operators.windows import quantiles, running
 
 
 def two_level_ci(rows: DataFrame, keys: list[str], seed: str, metrics: list[str]) -> DataFrame:
@@ -24,11 +26,9 @@ def two_level_ci(rows: DataFrame, keys: list[str], seed: str, metrics: list[str]
 
 def describe(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """count, mean, sd, min, quartiles and max by group; quartiles interpolate exactly."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), q.alias("q"), F.max(value).alias("most")
-    )
-    return out.select(*keys, "n", "mean", "sd", "least", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "most")
+    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most"))
+    q = quantiles(rows, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return out.join(q, keys, "left").select(*keys, "n", "mean", "sd", "least", "q25", "q50", "q75", "most")
 
 
 def calibration(rows: DataFrame, p: str, y: str, w: str, bins: int = 10, keys: list[str] | None = None) -> DataFrame:
@@ -56,22 +56,21 @@ def threshold_metrics(rows: DataFrame, p: str, y: str, w: str, thresholds: list[
 def auc(rows: DataFrame, score: str, y: str, keys: list[str]) -> DataFrame:
     """Area under the ROC by mid-ranks of tied scores; null unless both classes occur.
 
-    Scores are counted first, so the running sum sees distinct scores only.
+    Scores are counted first and ranked by running sums over ranges of them.
     """
     pos = F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos")
-    ties = rows.groupBy(*keys, score).agg(F.count("*").alias("n"), pos)
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2
+    ties = running(rows.groupBy(*keys, score).agg(F.count("*").alias("n"), pos), keys, [score], ["n"])
+    rank = F.col("n_before") + (F.col("n") + 1) / 2
     g = ties.withColumn("r", rank * F.col("pos")).groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("pos").cast("double").alias("n1"), (F.sum("n") - F.sum("pos")).cast("double").alias("n0"))
     return g.select(*keys, safe_ratio(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"))
 
 
 def average_precision(rows: DataFrame, score: str, y: str, w: str, keys: list[str]) -> DataFrame:
     """Weighted average precision: ties grouped, step-wise sum of precision times recall gained."""
-    t = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0.0)).alias("tp"), F.sum(w).alias("all"))
-    down = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    step = t.withColumn("prec", F.sum("tp").over(down) / F.sum("all").over(down))
-    g = step.groupBy(*keys).agg(F.sum(F.col("tp") * F.col("prec")).alias("s"), F.sum("tp").alias("t"))
+    t = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0.0)).alias("tp"), F.sum(w).alias("weight"))
+    up = running(t, keys, [score], ["tp", "weight"])
+    down = lambda c: F.col(f"{c}_all") - F.col(f"{c}_before")  # noqa: E731  of this score and all higher ones
+    g = up.withColumn("prec", down("tp") / down("weight")).groupBy(*keys).agg(F.sum(F.col("tp") * F.col("prec")).alias("s"), F.sum("tp").alias("t"))
     return g.select(*keys, safe_ratio(F.col("s"), F.col("t")).alias("ap"))
 
 
@@ -93,8 +92,9 @@ def histogram(rows: DataFrame, value: str, lo: float, hi: float, bins: int) -> D
 def robust_noise(rows: DataFrame, keys: list[str], value: str, clip: float = 3.5) -> DataFrame:
     """1.4826 * median absolute deviation, again after values beyond clip deviations are dropped."""
     def mad(d: DataFrame, tag: str) -> DataFrame:
-        m = d.groupBy(*keys).agg(F.median(value).alias("m" + tag))
-        return d.join(m, keys).groupBy(*keys, "m" + tag).agg(F.median(F.abs(F.col(value) - F.col("m" + tag))).alias("d" + tag))
+        m = quantiles(d, keys, value, {"m" + tag: 0.5})
+        away = d.join(m, keys).select(*keys, F.abs(F.col(value) - F.col("m" + tag)).alias("away"))
+        return m.join(quantiles(away, keys, "away", {"d" + tag: 0.5}), keys)
 
     first = mad(rows, "1")
     near = rows.join(first, keys).where(F.abs(F.col(value) - F.col("m1")) <= clip * F.col("d1"))
@@ -175,22 +175,37 @@ def clopper_pearson(counts: DataFrame, k: str, n: str, alpha: float = 0.05) -> D
     return counts.mapInPandas(bounds, schema)
 
 
-def em_core_width(hist: DataFrame, keys: list[str], value: str, n: str, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """Weight, mean and width of the Gaussian part of a spike-at-zero plus Gaussian mixture, fitted by
-    expectation-maximisation to a histogram (keys, value, n): at most some hundred rows a group,
-    however many voxels were counted."""
+def em_core_width(hist: DataFrame, keys: list[str], value: str, n: str, cutoff: float = 2.0, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(keys, w, mu, sd): weight of the spike at zero, mean and width of the Gaussian core of a histogram (keys,
+    value, n) of differences, by expectation-maximisation. Values beyond cutoff widths don't count in the core,
+    and the width is corrected for that. A group is its distinct values, some hundreds, however many
+    voxels were counted."""
+    half = np.exp(-0.5 * cutoff**2) / np.sqrt(2 * np.pi)
+    inside = math.erf(cutoff / math.sqrt(2))
+    widen = 1 / np.sqrt(1 - 2 * cutoff * half / inside)
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         v, c = pdf[value].to_numpy(float), pdf[n].to_numpy(float)
-        w, mu, sd = 0.5, float((v * c).sum() / c.sum()), max(float(np.sqrt((c * v * v).sum() / c.sum())), 1e-3)
+        zero = v == 0
+        zeros, total = c[zero].sum(), c.sum()
+        w = float(np.clip(zeros / total, 1e-6, 1 - 1e-6))
+        mu, sd = 0.0, 1.0
+        if total > zeros:
+            mu = float((c * v)[~zero].sum() / (total - zeros))
+            sd = float(np.sqrt((c * (v - mu) ** 2)[~zero].sum() / (total - zeros)))
+        sd = max(sd, 1e-6)
         for _ in range(iterations):
-            g = w * np.exp(-0.5 * ((v - mu) / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
-            spike = (1 - w) * (np.abs(v) < 0.5)
-            r = c * g / np.maximum(g + spike, 1e-300)
-            new_w, new_mu = r.sum() / c.sum(), (r * v).sum() / max(r.sum(), 1e-12)
-            new_sd = max(np.sqrt((r * (v - new_mu) ** 2).sum() / max(r.sum(), 1e-12)), 1e-3)
-            done = abs(new_sd - sd) < tolerance
-            w, mu, sd = float(new_w), float(new_mu), float(new_sd)
-            if done:
+            bell = np.exp(-0.5 * (mu / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
+            spike = w / (w + (1 - w) * bell) if w + (1 - w) * bell > 1e-8 else 1.0
+            core = c * np.where(zero, 1 - spike, 1.0) * (np.abs(v - mu) <= cutoff * sd)
+            before = (w, mu, sd)
+            w = float(np.clip(zeros * spike / total, 1e-6, 1 - 1e-6))
+            if core.sum() > 0:
+                mu = float((core * v).sum() / core.sum())
+                sd = max(float(np.sqrt((core * (v - mu) ** 2).sum() / core.sum())) * widen, 1e-6)
+            else:
+                sd *= widen
+            if max(abs(a - b) for a, b in zip(before, (w, mu, sd))) < tolerance:
                 break
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), w, mu, sd]], columns=[*keys, "w", "mu", "sd"])
 
@@ -209,3 +224,112 @@ def paired(rows: DataFrame, keys: list[str], arm: str, first: object, second: ob
 def pick(rows: DataFrame, level: str, conditions: Column) -> DataFrame:
     """The largest level that meets conditions, one row (null if none does)."""
     return rows.where(conditions).agg(F.max(level).alias("picked"))
+
+
+def column_differences(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(metric, max_abs, mean_abs) of columns on the keys that both have. Pairs of missing values agree; one
+    missing value of a pair makes the column infinitely different."""
+    sides = [d.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, columns, "metric", v) for d, v in ((left, "_a"), (right, "_b"))]
+    gone = lambda c: F.col(c).isNull() | F.isnan(c)
+    j = sides[0].join(sides[1], [*keys, "metric"]).withColumn("_odd", gone("_a") != gone("_b"))
+    d = F.when(~gone("_a") & ~gone("_b"), F.abs(F.col("_a") - F.col("_b")))
+    g = j.groupBy("metric").agg(F.max("_odd").alias("odd"), F.coalesce(F.max(d), F.lit(0.0)).alias("most"), F.coalesce(F.avg(d), F.lit(0.0)).alias("mean"))
+    value = lambda c: F.when(F.col("odd"), float("inf")).otherwise(F.col(c))
+    return g.select("metric", value("most").alias("max_abs"), value("mean").alias("mean_abs"))
+
+
+def discordant_pairs(matrix: DataFrame, item: str, arms: list[str]) -> DataFrame:
+    """(first, second, n, only_first, only_second, diff) for each unordered pair of 0/1 columns, in one pass."""
+    pairs = [(a, b) for i, a in enumerate(arms) for b in arms[i + 1 :]]
+    one = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in pairs])
+    p = matrix.select(F.explode(one).alias("p")).select("p.*")
+    g = p.groupBy("first", "second").agg(F.count("*").alias("n"), F.count_if((F.col("x") == 1) & (F.col("y") == 0)).alias("only_first"), F.count_if((F.col("x") == 0) & (F.col("y") == 1)).alias("only_second"))
+    return g.withColumn("diff", (F.col("only_first") - F.col("only_second")) / F.col("n"))
+
+
+def paired_intervals(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """discordant_pairs with the exact conditional interval of diff (low, high) and the one for all pairs together
+    (low_all, high_all: alpha divided by their number). All zero without discordant items."""
+    m = pairs.count()  # one row a pair of arms
+    disc = pairs.withColumn("disc", F.col("only_first") + F.col("only_second"))
+    for a, tag in ((alpha, ""), (alpha / max(m, 1), "_all")):
+        disc = clopper_pearson(disc, "only_first", "disc", a)
+        back = lambda c: F.when(F.col("disc") == 0, 0.0).otherwise(F.col("disc") * (2 * F.col(c) - 1) / F.col("n"))  # noqa: B023, E731
+        disc = disc.withColumn("_l", back("low")).withColumn("_h", back("high")).drop("low", "high").withColumnsRenamed({"_l": f"pair_low{tag}", "_h": f"pair_high{tag}"})
+    return disc.drop("disc").withColumn("apart", (F.col("pair_low_all") > 0) | (F.col("pair_high_all") < 0))
+
+
+def paired_tests(differences: DataFrame, keys: list[str], d: str) -> DataFrame:
+    """(n, mean_diff, t, w, z) by group: the paired t statistic; the smaller signed-rank sum of the differences that
+    aren't 0, ties at mid-ranks, and its normal deviate."""
+    s = differences.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd"))
+    size = differences.where(F.col(d) != 0).groupBy(*keys, F.abs(d).alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col(d) > 0).alias("up"))
+    rank = running(size, keys, ["size"], ["c"]).withColumn("r", F.col("c_before") + (F.col("c") + 1) / 2)
+    c = F.col("c").cast("double")
+    w = rank.groupBy(*keys).agg(F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * (F.col("c") - F.col("up"))).alias("minus"), F.sum("c").cast("double").alias("m"), F.sum(c * c * c - c).alias("ties"))
+    m = F.col("m")
+    sd = F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48)
+    least = F.least("plus", "minus")
+    w = w.select(*keys, least.alias("w"), safe_ratio(least - m * (m + 1) / 4, sd).alias("z"))
+    t = safe_ratio(F.col("mean_diff"), F.col("sd") / F.sqrt("n"))
+    return s.join(w, keys).select(*keys, "n", "mean_diff", t.alias("t"), "w", "z")
+
+
+def accuracy_f_beta(rows: DataFrame, p: str, y: str, thresholds: list[float], beta2: float) -> DataFrame:
+    """(threshold, accuracy, f_beta) for p >= threshold; f_beta is null without a hit. One aggregate."""
+    hit = lambda t, k: F.count_if((F.col(p) >= t) & (F.col(y) == k)).cast("double")
+    g = rows.agg(*[hit(t, k).alias(f"h{i}_{k}") for i, t in enumerate(thresholds) for k in (0, 1)], F.count_if(F.col(y) == 1).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
+    each = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.col(f"h{i}_1").alias("tp"), F.col(f"h{i}_0").alias("fp")) for i, t in enumerate(thresholds)])
+    x = g.select("pos", "n", F.explode(each).alias("x")).select("pos", "n", "x.*")
+    right = F.col("tp") + F.col("n") - F.col("pos") - F.col("fp")
+    f = F.when(F.col("tp") > 0, (1 + beta2) * F.col("tp") / ((1 + beta2) * F.col("tp") + beta2 * (F.col("pos") - F.col("tp")) + F.col("fp")))
+    return x.select("threshold", (right / F.col("n")).alias("accuracy"), f.alias("f_beta"))
+
+
+def robust_line(points: DataFrame, keys: list[str], key: str, x: str, y: str, near: float, sampled: int) -> DataFrame:
+    """(keys, inliers, slope, intercept): of the lines through two of `sampled` points a group, in a fixed random
+    order, the one with most points within `near` of it, fitted again to those by least squares."""
+    order = Window.partitionBy(*keys).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit("0"))), key)
+    few = points.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sampled)
+    lists = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_r").alias("i"), F.col(x).alias("px"), F.col(y).alias("py")))).alias("_s"))
+    pair = lists.select(*keys, F.explode("_s").alias("a"), F.col("_s")).select(*keys, "a", F.explode("_s").alias("b")).where("a.i < b.i and a.px <> b.px")
+    slope = (F.col("b.py") - F.col("a.py")) / (F.col("b.px") - F.col("a.px"))
+    lines = pair.select(*keys, F.col("a.i").alias("i"), F.col("b.i").alias("j"), slope.alias("m"), (F.col("a.py") - slope * F.col("a.px")).alias("q"))
+    off = F.abs(F.col(y) - F.col("m") * F.col(x) - F.col("q")) <= near
+    votes = points.join(lines, keys).groupBy(*keys, "i", "j", "m", "q").agg(F.count_if(off).alias("n"))
+    best = votes.groupBy(*keys).agg(F.min_by(F.struct("m", "q"), F.struct(-F.col("n"), "i", "j")).alias("l")).select(*keys, "l.m", "l.q")
+    g = points.join(best, keys).where(off).groupBy(*keys)
+    fit = g.agg(F.count("*").alias("inliers"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count_distinct(x).alias("_d"))
+    return fit.where("_d > 1").drop("_d")
+
+
+def quadratic_surface(rows: DataFrame, keys: list[str], x: str, y: str, z: str) -> DataFrame:
+    """(keys, c0 .. c5): least-squares z = c0 + c1 x + c2 y + c3 x^2 + c4 x y + c5 y^2. Spark adds up the moments;
+    only a 6 x 6 system a group is solved in Python."""
+    terms = [F.lit(1.0), F.col(x), F.col(y), F.col(x) * F.col(x), F.col(x) * F.col(y), F.col(y) * F.col(y)]
+    sums = [F.sum(a * b).alias(f"m{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms) if i <= j]
+    g = rows.groupBy(*keys).agg(*sums, *[F.sum(a * F.col(z)).alias(f"r{i}") for i, a in enumerate(terms)])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            m = np.empty((len(b), 6, 6))
+            for i in range(6):
+                for j in range(i, 6):
+                    m[:, i, j] = m[:, j, i] = b[f"m{i}_{j}"]
+            r = b[[f"r{i}" for i in range(6)]].to_numpy()
+            c = np.stack([np.linalg.lstsq(a, v, rcond=None)[0] for a, v in zip(m, r)]) if len(b) else np.zeros((0, 6))
+            yield b[keys].assign(**{f"c{i}": c[:, i] for i in range(6)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return g.mapInPandas(solve, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + "".join(f", c{i} double" for i in range(6)))
+
+
+def gaussian_mixture(rows: DataFrame, value: str, k: int, seed: int = 0) -> DataFrame:
+    """(component, weight, mean, sd) of a fitted mixture, in order of the means."""
+    from pyspark.ml.clustering import GaussianMixture
+    from pyspark.ml.feature import VectorAssembler
+
+    x = VectorAssembler(inputCols=[value], outputCol="_x", handleInvalid="skip").transform(rows.select(F.col(value).cast("double").alias(value)))
+    model = GaussianMixture(featuresCol="_x", k=k, seed=seed).fit(x)
+    parts = sorted((float(g.mean[0]), float(w), float(g.cov.toArray()[0, 0]) ** 0.5) for w, g in zip(model.weights, model.gaussians))
+    return rows.sparkSession.createDataFrame([(i, w, m, s) for i, (m, w, s) in enumerate(parts)], "component int, weight double, mean double, sd double")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import safe_ratio
-from voxelweave.operators.linking import components
+from voxelweave.functions.storage import checked_broadcast, cut
+from voxelweave.operators.linking import reachable
+from voxelweave.operators.windows import quantiles
 
 
 @dataclass(frozen=True)
@@ -34,13 +37,57 @@ def neighbours(voxels: DataFrame, place: list[str], axes: list[str], key: str) -
     return asks.join(voxels.select(*place, *axes, F.col(key).alias("b")), [*place, *axes]).select("a", "b")
 
 
+#: Edge of the tiles that are labelled at a time.
+TILE = 32
+
+
+def _tile_labels(axes: list[str], key: str) -> Callable:
+    """Voxels of one tile with the smallest key of their connected part of it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        at = np.stack([np.asarray(t.column(c).combine_chunks()) for c in axes])
+        at -= at.min(axis=1)[:, None]
+        keys = np.asarray(t.column(key).combine_chunks())
+        mask = np.zeros(at.max(axis=1) + 1, bool)
+        mask[tuple(at)] = True
+        part = label3d(mask)[tuple(at)]
+        _, part = np.unique(part, return_inverse=True)
+        least = np.full(part.max() + 1, keys.max())
+        np.minimum.at(least, part, keys)
+        return t.append_column("part", pa.array(least[part], pa.int64()))
+
+    return run
+
+
+def labelled(voxels: DataFrame, place: list[str], axes: list[str], key: str) -> DataFrame:
+    """voxels with their component (6-connected, smallest key).
+
+    Tiles of TILE voxels an edge are labelled by a NumPy kernel; only the parts that touch across tile
+    borders become edges, so the rounds that join them work on few rows.
+    """
+    tile = [F.floor(F.col(c) / TILE).cast("long").alias(f"_{c}") for c in axes]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in voxels.schema)
+    keys = [*place, *[f"_{c}" for c in axes]]
+    types = ", ".join(f"_{c} long" for c in axes)
+    parts = voxels.select("*", *tile).groupBy(*keys).applyInArrow(_tile_labels(axes, key), f"{schema}, {types}, part long")
+    parts = cut(parts.drop(*[f"_{c}" for c in axes]), "parts")
+    edges = None
+    for axis in axes:
+        here = F.pmod(F.col(axis), F.lit(TILE))
+        upper = parts.where(here == TILE - 1).select(*place, *[(F.col(c) + int(c == axis)).alias(c) for c in axes], F.col("part").alias("a"))
+        lower = parts.where(here == 0).select(*place, *axes, F.col("part").alias("b"))
+        one = upper.join(lower, [*place, *axes]).select("a", "b").distinct()
+        edges = one if edges is None else edges.unionByName(one)
+    roots = checked_broadcast(cut(reachable(edges).withColumnRenamed("id", "part"), "roots"))
+    return parts.join(roots, "part", "left").select(*voxels.columns, F.coalesce("component", "part").alias("component"))
+
+
 def hysteresis(voxels: DataFrame, place: list[str], axes: list[str], value: str, low: float, high: float, key: str) -> DataFrame:
     """voxels >= low with their component (6-connected, smallest key), for components that hold a
     voxel >= high."""
-    v = voxels.where(F.col(value) >= low)
-    labelled = v.join(components(v, neighbours(v, place, axes, key), key), key)
-    seeds = labelled.groupBy("component").agg(F.max(value).alias("_top")).where(F.col("_top") >= high)
-    return labelled.join(seeds.select("component"), "component", "left_semi")
+    found = labelled(voxels.where(F.col(value) >= low), place, axes, key)
+    seeds = found.groupBy("component").agg(F.max(value).alias("_top")).where(F.col("_top") >= high)
+    return found.join(checked_broadcast(cut(seeds.select("component"), "seeds")), "component", "left_semi")
 
 
 def features(objects: DataFrame, place: list[str], axes: list[str], value: str, high: float) -> DataFrame:
@@ -99,8 +146,13 @@ def _detect(cfg: Detection, height: int, width: int) -> Callable:
         labels = label3d(cube >= cfg.low)
         seed = label3d(cube >= cfg.high)
         rows = []
-        for lab in np.unique(labels[cube >= cfg.high]):
-            p = np.argwhere(labels == lab)
+        places = np.flatnonzero(labels)
+        places = places[np.argsort(labels.ravel()[places], kind="stable")]
+        number, begin = np.unique(labels.ravel()[places], return_index=True)
+        ends = np.append(begin[1:], len(places))
+        strong = np.isin(number, np.unique(labels[cube >= cfg.high]))
+        for a, b in zip(begin[strong], ends[strong]):
+            p = np.stack(np.unravel_index(places[a:b], cube.shape), axis=1)
             v = cube[tuple(p.T)]
             s = seed[tuple(p.T)]
             n_seed = int(np.bincount(s[s > 0]).max()) if (s > 0).any() else 0
@@ -144,10 +196,29 @@ def contrast_range(voxels: DataFrame, keys: list[str], value: str, high: float =
     """(lo, hi): most frequent value (the smallest of equals) and an exact upper percentile."""
     n = voxels.groupBy(*keys, value).agg(F.count("*").alias("n"))
     lo = n.groupBy(*keys).agg(F.max_by(value, F.struct("n", -F.col(value))).alias("lo"))
-    return lo.join(voxels.groupBy(*keys).agg(F.percentile(value, F.lit(high)).alias("hi")), keys)
+    return lo.join(quantiles(voxels, keys, value, {"hi": high}), keys)
 
 
 def regional_sd(voxels: DataFrame, keys: list[str], axes: list[str], value: str, edge: int) -> DataFrame:
     """Sample deviation of the means of edge**n cubes."""
     cubes = voxels.groupBy(*keys, *[F.floor(F.col(c) / edge).alias(c) for c in axes]).agg(F.avg(value).alias("m"))
     return cubes.groupBy(*keys).agg(F.stddev_samp("m").alias("sd"), F.count("*").alias("cubes"))
+
+
+def axis_angles(voxels: DataFrame, keys: list[str], axes: list[str]) -> DataFrame:
+    """(keys, theta, phi): degrees by which the principal axis of the voxels leans from the first of axes, towards the
+    third and the second. Spark adds up the covariances; a 3 x 3 matrix a group is solved in Python."""
+    pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i:]]
+    g = voxels.groupBy(*keys).agg(*[F.covar_pop(a, b).alias(f"{a}{b}") for a, b in pairs])
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            m = np.empty((len(t), 3, 3))
+            for a, b in pairs:
+                m[:, axes.index(a), axes.index(b)] = m[:, axes.index(b), axes.index(a)] = t[a + b]
+            v = np.linalg.eigh(m)[1][:, :, -1] if len(t) else np.zeros((0, 3))
+            v = v * np.where(v[:, :1] < 0, -1, 1)
+            yield t[keys].assign(theta=np.degrees(np.arctan2(v[:, 2], v[:, 0])), phi=np.degrees(np.arctan2(v[:, 1], v[:, 0])))
+
+    kinds = {f.name: f.dataType.simpleString() for f in voxels.schema}
+    return g.mapInPandas(solve, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", theta double, phi double")

@@ -7,18 +7,57 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelweave.functions.storage import checked_broadcast, cut
+
 
 def _window(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], sums: list[str]) -> DataFrame:
+    """rows with, for each column c of sums, c_before (its sum over the rows of the same keys that come earlier
+    in order) and c_all (over all rows of the keys).
+
+    Rows are sorted into ranges of keys and order, which are written; totals of the ranges are windowed,
+    and only within a range are rows summed in order. So a group of any size takes many tasks.
+    """
+    parts = cut(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    early = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
+    totals = totals.select(
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"),
+        *[F.coalesce(F.sum(f"_{c}").over(early), F.lit(0)).alias(f"_{c}_early") for c in sums], *[F.sum(f"_{c}").over(every).alias(f"{c}_all") for c in sums],
+    )
+    same = F.col("_part") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    local = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.join(checked_broadcast(cut(totals, "totals")), same)
+    before = [(F.col(f"_{c}_early") + F.coalesce(F.sum(c).over(local), F.lit(0))).alias(f"{c}_before") for c in sums]
+    return out.select(*rows.columns, *before, *[f"{c}_all" for c in sums])
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles by group, named by shares, interpolated between neighbouring ranks; missing values don't
+    count. Values are counted first and ranked by running sums, so no group needs to fit in a task."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    r = running(n, keys, [value], ["n"])
+    at = {name: F.lit(q) * (F.col("n_all") - 1) for name, q in shares.items()}
+    holds = lambda i: F.when((F.col("n_before") <= i) & (i < F.col("n_before") + F.col("n")), F.col(value))
+    ends = [F.max(holds(f(p))).alias(f"_{e}_{name}") for name, p in at.items() for e, f in (("lo", F.floor), ("hi", F.ceil))]
+    g = r.groupBy(*keys, "n_all").agg(*ends)
+    cols = [(F.col(f"_lo_{name}") + (p - F.floor(p)) * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name) for name, p in at.items()]
+    return g.select(*keys, *cols)
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("i", F.row_number().over(_window(keys, order)) - 1).withColumn("size", F.count("*").over(Window.partitionBy(*keys)))
 
 
-def clamped_windows(rows: DataFrame, keys: list[str], order: list[str], value: str, width: int) -> DataFrame:
-    """Per row, median and maximum of exactly `width` rows around it; near an end the window shifts
-    inwards instead of shrinking. width is odd; series shorter than it give nothing.
+def clamped_windows(rows: DataFrame, keys: list[str], order: list[str], value: str, width: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row, median and maximum of exactly `width` rows around it, and its carry columns; near an end the
+    window shifts inwards instead of shrinking. width is odd; series shorter than it give nothing.
 
     The value array of a series' neighbourhood comes from one window frame of 2 * width - 1 rows, cut
     to the clamped range: no self-join.
@@ -30,9 +69,9 @@ def clamped_windows(rows: DataFrame, keys: list[str], order: list[str], value: s
     start = F.greatest(F.lit(0), F.least(F.col("i") - width // 2, F.col("size") - width))
     first = F.greatest(F.lit(0), F.col("i") - (width - 1))
     vals = F.collect_list(F.col(value).cast("double")).over(around)
-    cut = n.withColumn("v", F.slice(vals, start - first + 1, F.lit(width)))
     sorted_ = F.array_sort("v")
-    return cut.select(*keys, *order, F.element_at(sorted_, width // 2 + 1).alias("mid"), F.array_max("v").alias("most"))
+    near = n.withColumn("v", F.slice(vals, start - first + 1, F.lit(width)))
+    return near.select(*keys, *order, *carry, F.element_at(sorted_, width // 2 + 1).alias("mid"), F.array_max("v").alias("most"))
 
 
 def sliding_mean(rows: DataFrame, keys: list[str], order: list[str], value: str, width: int) -> DataFrame:
@@ -66,14 +105,14 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], value: str, low:
 def interpolated(grid: DataFrame, knots: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """grid (keys, at) with `value` interpolated linearly between knots, constant beyond the ends.
 
-    Knots and grid points are sorted together once; the last knot before and the first after each
-    point come from two windows.
+    Knots and grid points are sorted together; the last knot before and the first after each point come from
+    two growing windows, one in either direction, so the work is linear in a series.
     """
     k = knots.select(*keys, F.col(at), F.struct(F.col(at).alias("x"), F.col(value).alias("v")).alias("knot"))
     both = grid.select(*keys, at, F.lit(None).cast(k.schema["knot"].dataType).alias("knot"), F.lit(1).alias("asked")).unionByName(k.withColumn("asked", F.lit(0)))
     back = Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(at).rangeBetween(0, Window.unboundedFollowing)
-    s = both.withColumn("p", F.last("knot", True).over(back)).withColumn("q", F.first("knot", True).over(ahead)).where("asked = 1")
+    ahead = Window.partitionBy(*keys).orderBy(F.col(at).desc()).rangeBetween(Window.unboundedPreceding, 0)
+    s = both.withColumn("p", F.last("knot", True).over(back)).withColumn("q", F.last("knot", True).over(ahead)).where("asked = 1")
     t = (F.col(at) - F.col("p.x")) / (F.col("q.x") - F.col("p.x"))
     v = F.when(F.col("p").isNull(), F.col("q.v")).when(F.col("q").isNull() | (F.col("q.x") == F.col("p.x")), F.col("p.v"))
     return s.select(*keys, at, v.otherwise(F.col("p.v") + F.try_divide(F.col("q.v") - F.col("p.v"), F.col("q.x") - F.col("p.x")) * (F.col(at) - F.col("p.x"))).alias(value))
@@ -107,6 +146,5 @@ def strongest_edge(profile: DataFrame, keys: list[str], order: str, value: str)
 
 def ecdf(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, share): share of rows up to each distinct value."""
-    n = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    up = Window.partitionBy(*keys).orderBy(value)
-    return n.select(*keys, value, (F.sum("n").over(up) / F.sum("n").over(Window.partitionBy(*keys))).alias("share"))
+    n = running(rows.groupBy(*keys, value).agg(F.count("*").alias("n")), keys, [value], ["n"])
+    return n.select(*keys, value, ((F.col("n_before") + F.col("n")) / F.col("n_all")).alias("share"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxelweave.functions.storage import cut
+
 # Column names and types of the store's tables.
 SCHEMAS = {
     "experiments": "experiment_id long, experiment_number long, slab_thickness long, high_threshold_scale double, low_threshold_scale double, baseline_method string, min_seed_voxels long, aniso_factor double, small_vol_cutoff long, z_pad long, small_z_bounds array<long>, min_fill double, max_axial_extent_mm double, enforce_shape_gates boolean",
@@ -17,16 +18,19 @@ SCHEMAS = {
     "scores": "candidate_id long, ml_prob double, ml_prob_particle_max double, ml_prob_max_source_candidate_id long, cluster_ml_label int, in_sample boolean",
     "label_events": "candidate_id long, at long, label int",
 }
+PLACE = {"experiment_id": "long", "volume_name": "string"}
+#: Columns by which a table is partitioned; others aren't.
+PARTITIONS = {"experiments": ["experiment_id"]} | dict.fromkeys(("candidates", "voxels", "runs", "scores"), [*PLACE])
 
 
 def minted(rows: DataFrame, existing: DataFrame, key: str, order: list[str]) -> DataFrame:
     """rows with dense new ids above those of existing, in the given order.
 
-    Rows are range-sorted, counted by partition and numbered within partitions, so no task sees all of
-    them; only the partitions' counts are windowed.
+    Rows are range-sorted, written with the number of their range, counted by range and numbered within it,
+    so no task sees all of them and no range changes between the two readings.
     """
     top = existing.agg(F.coalesce(F.max(key), F.lit(0)).alias("_top"))
-    parts = rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    parts = cut(rows.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "minted")
     n = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = n.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -43,83 +47,89 @@ def upserted(log: DataFrame, new: DataFrame, key: str, overwrite: bool = False)
 
 @dataclass
 class Store:
-    """Tables as folders of immutable versions; a small pointer file per table names the current one,
-    and moving it is the commit. runs is written last and readers join it, so an interrupted
-    recording leaves nothing visible."""
+    """Parquet tables in folders, those of a volume partitioned by (experiment_id, volume_name).
+
+    A recording overwrites its own partitions only, so one that broke off is simply run again; its row
+    in `runs` is written last, and what has none is not visible. A delete removes that row first. Each
+    commit is Spark's own; a table whose folder exists is never taken for an empty one.
+    """
 
     spark: SparkSession
     root: str
 
-    def _pointer(self, table: str) -> str:
-        return f"{self.root}/{table}/current"
-
-    def read(self, table: str) -> DataFrame:
-        try:
-            version = self.spark.read.text(self._pointer(table)).first()
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            version = None
-        if version is None:
-            return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(*version[0].split(";"))
-
-    def _commit(self, table: str, paths: list[str]) -> None:
-        self.spark.createDataFrame([(";".join(paths),)], "p string").coalesce(1).write.mode("overwrite").text(self._pointer(table))
-
-    def _paths(self, table: str) -> list[str]:
-        try:
-            return self.spark.read.text(self._pointer(table)).first()[0].split(";")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return []
-
-    def _write(self, table: str, rows: DataFrame) -> str:
-        path = f"{self.root}/{table}/v-{uuid.uuid4().hex}"
-        names = [f.split()[0] for f in SCHEMAS[table].split(", ")]
-        rows.select(*names).write.parquet(path)
+    def _path(self, table: str, experiment: int | None = None, volume: str | None = None) -> str:
+        path = f"{self.root}/{table}"
+        if experiment is not None:
+            path += f"/experiment_id={experiment}"
+        if volume is not None:
+            path += "/volume_name=" + self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(volume)
         return path
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        self._commit(table, [*self._paths(table), self._write(table, rows)])
+    def _fs(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _schema(self, table: str) -> str:
+        own = SCHEMAS[table]
+        extra = [f"{c} {PLACE[c]}" for c in PARTITIONS.get(table, []) if f"{c} {PLACE[c]}" not in own]
+        return ", ".join([own, *extra])
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        self._commit(table, [self._write(table, rows)])
+    def read(self, table: str) -> DataFrame:
+        """The table; empty only where its folder was never made. Tables of volumes have the place columns."""
+        fs, at = self._fs(self._path(table))
+        if not fs.exists(at):
+            return self.spark.createDataFrame([], self._schema(table))
+        return self.spark.read.schema(self._schema(table)).parquet(self._path(table))
+
+    def write(self, table: str, rows: DataFrame, mode: str = "append") -> None:
+        """Append rows, or replace ("overwrite") the partitions that they fall in - the whole of a table
+        without partitions."""
+        names = [f.split()[0] for f in self._schema(table).split(", ")]
+        out = rows.select(*names).write.mode(mode)
+        if table in PARTITIONS:
+            out = out.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS[table])
+        out.parquet(self._path(table))
 
     def delete(self, experiment: int, volume: str | None = None) -> bool:
-        """Remove an experiment, or one volume of it, children first; False if there was nothing."""
-        doomed = self.read("candidates").where(F.col("experiment_id") == experiment)
-        runs = (F.col("experiment_id") == experiment) & (F.lit(True) if volume is None else F.col("volume_name") == volume)
-        if volume is not None:
-            doomed = doomed.where(F.col("volume_name") == volume)
-        found = not doomed.isEmpty() or not self.read("runs").where(runs).isEmpty()
-        ids = doomed.select("candidate_id")
-        for table in ("voxels", "scores", "label_events", "candidates"):
-            self.replace(table, self.read(table).join(ids, "candidate_id", "left_anti"))
-        self.replace("runs", self.read("runs").where(~runs))
-        if volume is None:
-            self.replace("experiments", self.read("experiments").where(F.col("experiment_id") != experiment))
+        """Remove an experiment, or one volume of it: first its runs, then the rest; False if there was
+        nothing. Only folders of this experiment are touched."""
+        found = False
+        for table in ("runs", "voxels", "scores", "candidates", *(["experiments"] if volume is None else [])):
+            fs, at = self._fs(self._path(table, experiment, volume))
+            found = bool(fs.delete(at, True)) or found
         return found
 
     def record(self, experiment: int, volume: str, candidates: DataFrame, voxels: DataFrame) -> None:
-        """Append a volume's candidates and voxels (joined by peak), then its completion marker; a
-        volume without candidates still gets one."""
+        """A volume's candidates and voxels (joined by peak), then its completion marker; a volume without
+        candidates still gets one. Recorded again, it replaces what was there."""
         peak = ["peak_z", "peak_y", "peak_x"]
-        new = minted(candidates, self.read("candidates"), "candidate_id", peak).withColumn("experiment_id", F.lit(experiment).cast("long")).withColumn("volume_name", F.lit(volume)).withColumn("particle", F.lit(None).cast("int"))
-        self.append("candidates", new)
-        stored = self.read("candidates").where((F.col("experiment_id") == experiment) & (F.col("volume_name") == volume))
-        self.append("voxels", voxels.join(stored.select("candidate_id", *peak), peak))
-        counts = stored.agg(F.count("*").alias("n_candidates")).crossJoin(voxels.agg(F.count("*").alias("n_voxels")))
-        self.append("runs", counts.select(F.lit(experiment).cast("long").alias("experiment_id"), F.lit(volume).alias("volume_name"), "n_candidates", "n_voxels"))
+        place = [F.lit(experiment).cast("long").alias("experiment_id"), F.lit(volume).alias("volume_name")]
+        self.delete(experiment, volume)
+        known = self.read("candidates").select("candidate_id").unionByName(self.read("label_events").select("candidate_id"))  # an id is never used again
+        new = minted(candidates.select(*[c for c in candidates.columns if c not in PLACE]), known, "candidate_id", peak)
+        new = cut(new.select("*", *place, *([] if "particle" in new.columns else [F.lit(None).cast("int").alias("particle")])), "recorded")
+        self.write("candidates", new, "overwrite")
+        held = voxels.join(new.select("candidate_id", *peak), peak)
+        self.write("voxels", held.select("*", *place), "overwrite")
+        counts = new.agg(F.count("*").alias("n_candidates")).crossJoin(voxels.agg(F.count("*").alias("n_voxels")))
+        self.write("runs", counts.select("*", *place), "overwrite")
 
     def visible(self, table: str = "candidates") -> DataFrame:
-        return self.read(table).join(self.read("runs").select("experiment_id", "volume_name").distinct(), ["experiment_id", "volume_name"], "left_semi")
+        """Rows of volumes whose recording was completed."""
+        return self.read(table).join(self.read("runs").select(*PLACE).distinct(), [*PLACE], "left_semi")
 
     def pending(self, volumes: DataFrame, experiment: int) -> DataFrame:
         """Volumes (column volume_name) that have no run yet."""
         return volumes.join(self.read("runs").where(F.col("experiment_id") == experiment).select("volume_name"), "volume_name", "left_anti")
 
     def labels(self) -> DataFrame:
-        """(candidate_id, label): the latest event of each candidate."""
-        return self.read("label_events").groupBy("candidate_id").agg(F.max_by("label", "at").alias("label"))
+        """(candidate_id, label): the latest event of each candidate that is still there."""
+        latest = self.read("label_events").groupBy("candidate_id").agg(F.max_by("label", "at").alias("label"))
+        return latest.join(self.read("candidates").select("candidate_id"), "candidate_id", "left_semi")
+
+    def flat(self) -> DataFrame:
+        """Visible candidates with their experiment's settings, latest label and score; what is missing is null."""
+        return (
+            self.visible().join(self.read("experiments"), "experiment_id").join(self.labels(), "candidate_id", "left")
+            .join(self.read("scores").drop(*PLACE), "candidate_id", "left")
+        )

@@ -48,12 +48,33 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select("user_id", "ts", "event_id", "value")
 
 
-def cube(spark: SparkSession, folder: str, edge: int = 48) -> DataFrame:
-    """(volume, z, y, x, v, id): a voxel volume binned from line items, z by ship week."""
+#: Parts of a voxel volume, and slices, rows and columns that a volume may have.
+PARTS, SLICES, EDGE = 2000, 128, 24
+
+
+def cube(spark: SparkSession, folder: str) -> DataFrame:
+    """(volume, z, y, x, v, id): voxel volumes binned from line items, so that their number grows with the
+    table: a volume is a return flag and a range of PARTS part numbers, z six weeks of shipping, y the
+    place in the range, x the supplier."""
     t = table(spark, folder, "lineitem")
+    block = F.floor(F.col("l_partkey") / PARTS).cast("long")
     v = t.select(
-        F.col("l_returnflag").alias("volume"), (F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")) / 7) % 64).cast("long").alias("z"),
-        (F.col("l_partkey") % edge).alias("y"), (F.col("l_suppkey") % edge).alias("x"), F.col("l_quantity").alias("q"),
-    ).groupBy("volume", "z", "y", "x").agg(F.sum("q").cast("long").cast("double").alias("v"))
-    code = F.ascii("volume") * 64 * edge * edge + (F.col("z") * edge + F.col("y")) * edge + F.col("x")
-    return v.withColumn("id", code.cast("long"))
+        F.concat_ws("-", "l_returnflag", block).alias("volume"), (block * 32 + F.ascii("l_returnflag") - 64).cast("long").alias("number"),
+        F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")) / 42).cast("long").alias("z"),
+        F.floor(F.col("l_partkey") % PARTS / 84).cast("long").alias("y"), (F.col("l_suppkey") % EDGE).alias("x"), F.col("l_quantity").alias("q"),
+    ).groupBy("volume", "number", "z", "y", "x").agg(F.sum("q").cast("long").cast("double").alias("v"))
+    code = ((F.col("number") * SLICES + F.col("z")) * EDGE + F.col("y")) * EDGE + F.col("x")
+    return v.select("volume", "z", "y", "x", "v", code.cast("long").alias("id"))
+
+
+def scan(spark: SparkSession, folder: str) -> DataFrame:
+    """(volume, z, y, x, g): the same volumes binned more coarsely, nearly all of their voxels filled, with a mean
+    measure as an 8-bit gray value. Volumes grow in number with the table."""
+    t = table(spark, folder, "lineitem")
+    block = F.floor(F.col("l_partkey") / PARTS).cast("long")
+    v = t.select(
+        F.concat_ws("-", "l_returnflag", block).alias("volume"), F.floor(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")) / 42).cast("long").alias("z"),
+        F.floor(F.col("l_partkey") % PARTS / 250).cast("long").alias("y"), (F.col("l_suppkey") % 8).alias("x"), F.col("l_quantity").alias("q"),
+    )
+    g = v.groupBy("volume", "z", "y", "x").agg(F.sum("q").cast("long").alias("s"), F.count("*").alias("n"))
+    return g.select("volume", "z", "y", "x", F.expr("5 * s div n").alias("g"))
