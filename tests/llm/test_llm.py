@@ -357,7 +357,8 @@ def test_op5_decision(spark):
 
     def limit(some, m):
         rate = sorted(math.ceil((cost[r.doc_id][0] + 60 * m) / (cost[r.doc_id][1] + 60) * 1000) for r in some)
-        return rate[math.ceil(len(rate) * 0.999) - 1] / 1000 + 0.02
+        at = rate[math.ceil(len(rate) * 0.999) - 1] / 1000
+        return at + 0.02 + 5 * max(at - m, 0) / math.sqrt(len(some))
 
     m0 = mean(held)
     l0 = limit(held, m0)

@@ -30,8 +30,11 @@ HELD_CODES = 1 << 21
 #: Pseudo-bytes at the language's mean rate added to each text, so that a few odd letters in a
 #: very short text don't reject it.
 PRIOR_BYTES = 60
-#: Share of a language's trusted texts that its threshold accepts, and the margin in nats a byte.
+#: Share of a language's held-out texts that its threshold accepts, and the margin in nats a byte.
 ACCEPT, MARGIN = 0.999, 0.02
+#: The highest of few texts lies below what others reach; the threshold is raised by so many times its distance
+#: from the mean, divided by the root of their number.
+SHORTFALL = 5.0
 #: Trusted texts of a language as many as these give its own mean and limit the same weight as those of
 #: all languages together.
 PRIOR_TRUSTED = 5
@@ -207,7 +210,7 @@ def _blend(own: Column, every: Column) -> Column:
 
 def _thresholds(scored: DataFrame) -> DataFrame:
     """(lang, mean, limit) from scored trusted rows: mean nats a byte, and the ACCEPT quantile of
-    the smoothed rate plus MARGIN. lang null stands for all languages together; each language's
+    the smoothed rate plus MARGIN and what SHORTFALL adds. lang null stands for all languages together; each language's
     values are blended with those, which count as PRIOR_TRUSTED texts."""
     per = scored.groupBy("lang").agg(F.sum("nll").alias("s"), F.sum("n_bytes").alias("b"), F.count("*").alias("docs"))
     rate = F.col("s") / F.nullif(F.col("b"), F.lit(0))
@@ -224,7 +227,9 @@ def _thresholds(scored: DataFrame) -> DataFrame:
     bins = rate.groupBy("lang", "docs", "mean", "bin").agg(F.count("*").alias("c"))
     w = Window.partitionBy("lang").orderBy("bin")
     run = bins.select("*", F.sum("c").over(w).alias("upto"), F.sum("c").over(Window.partitionBy("lang")).alias("all"))
-    limit = run.where(F.col("upto") >= F.col("all") * ACCEPT).groupBy("lang", "docs", "mean").agg((F.min("bin") / BINS + MARGIN).alias("limit"))
+    at = F.min("bin") / BINS
+    raised = at + MARGIN + SHORTFALL * F.greatest(at - F.col("mean"), F.lit(0.0)) / F.sqrt("docs")
+    limit = run.where(F.col("upto") >= F.col("all") * ACCEPT).groupBy("lang", "docs", "mean").agg(raised.alias("limit"))
     limit = stored(limit, "blend")
     all_limit = limit.where("lang is null").select(F.col("limit").alias("limit0"))
     blended = F.when(F.col("lang").isNull(), F.col("limit")).otherwise(_blend(F.col("limit"), F.col("limit0")))
