@@ -218,6 +218,7 @@ def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def _codec(path: str, pattern: str) -> Callable:
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:

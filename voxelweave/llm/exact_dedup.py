@@ -9,12 +9,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import texthash as th
 from .tables import small_batches
 
 #: Characters of a text that the splitters are sampled from, before its 64-bit hash.
 SPLIT_CHARS = 32
 
 
+@th.lean
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Equal texts of one batch become one row: a hot text leaves a map task as a few rows."""
     for batch in batches:
@@ -25,6 +27,7 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ).combine_chunks().to_batches()
 
 
+@th.lean
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows in, one row per run of equal texts out: each text is compared in full with the
     one before it. Only the run still open is carried from batch to batch."""

@@ -85,6 +85,7 @@ def _documents(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _sketch(cfg: HyperMinHash) -> Callable:
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, d1, d2, regs = [], [], [], []
@@ -104,6 +105,7 @@ def _sketch(cfg: HyperMinHash) -> Callable:
 def _sets(cfg: HyperMinHash) -> Callable:
     """Registers and sorted shingle hashes of each text."""
 
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(_documents(*th.text_bytes(batch.column(1))))
@@ -125,6 +127,7 @@ def _band_keys(regs: np.ndarray, cfg: HyperMinHash) -> np.ndarray:
 def _bands(cfg: HyperMinHash) -> Callable:
     """One row per non-empty band of rows (doc_id, n, regs): its key."""
 
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:

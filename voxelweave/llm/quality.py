@@ -58,6 +58,7 @@ def _codes(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
 def _count(order: int) -> Callable:
     """Counts of a task's n-grams, summed over its batches."""
 
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
@@ -131,6 +132,7 @@ def _pack(order: int) -> Callable:
     """Rows, text last, as compressed parts of packs, and the distinct n-grams of each pack. A pack is what one
     task reads, or PACK_BYTES of it; a longer text stands alone."""
 
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, size, code = TaskContext.get().partitionId() << 32, 0, np.zeros(0, np.int64)
         how = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))
@@ -173,6 +175,7 @@ def _score(order: int) -> Callable:
             nll = np.round(v[offsets[1:]] - v[offsets[:-1]], 6)
             rows = rows.drop_columns(rows.column_names[-1:])
             parts.append(rows.append_column("nll", pa.array(nll)).append_column("n_bytes", pa.array(np.diff(offsets), pa.int64())))
+        th.released()
         return pa.concat_tables(parts)
 
     return run

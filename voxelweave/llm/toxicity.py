@@ -51,6 +51,7 @@ def features(words: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarr
 def _slots(bits: int) -> Callable:
     """Distinct feature slots of each text, in order."""
 
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = th.text_bytes(batch.column("text"))
@@ -70,6 +71,7 @@ def _slots(bits: int) -> Callable:
 def _train(cfg: Ftrl) -> Callable:
     """FTRL-proximal over the rows in order, epochs times, each time in another fixed order."""
 
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, labels = [], []
         for batch in batches:
@@ -121,6 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Ftrl = Ftrl(), id_col: str =
 
 
 def _score(weights, bits: int) -> Callable:
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros((1 << bits) + 1, np.float32)
         w[weights.value[0]] = weights.value[1]
