@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import texthash as th
-from .tables import dropped, is_small, small_batches, stored
+from .tables import checked_broadcast, dropped, is_small, small_batches, stored
 
 U = np.uint64
 LENGTH = 400
@@ -71,6 +71,7 @@ def _digests(view: memoryview, first: list[int], end: list[int]) -> np.ndarray:
 
 
 def _runs(length: int) -> Callable:
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = th.text_bytes(batch.column("text"))
@@ -97,6 +98,7 @@ def _blocks(length: int, block: int) -> Callable:
     core: the bytes that all strings of the block hold. Strings of two blocks can only be equal if
     the cores are."""
 
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, runs = batch.column("text"), batch.column("runs")
@@ -140,9 +142,11 @@ def _resolved(rows: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
     place = F.xxhash64("t1", "t2", "pos")
     classes = rows.groupBy(*keys).agg(F.min(place).alias("p"), F.max(place).alias("q"), F.max("multi").alias("m"))
     classes = stored(classes, "classes")
-    kinds = classes.groupBy(group).agg(F.count("*").alias("kinds")).where("kinds > 1").select(group, F.lit(True).alias("open"))
-    useful = classes.join(kinds, group, "left").where("p <> q or open")
-    both = stored(rows.join(useful, keys).select(*rows.columns, "p", "q", "m", "open", place.alias("here")), "both")
+    kinds = stored(classes.groupBy(group).agg(F.count("*").alias("kinds")).where("kinds > 1").select(group, F.lit(True).alias("open")), "kinds")
+    useful = stored(classes.join(checked_broadcast(kinds), group, "left").where("p <> q or open"), "useful")
+    # both sides are written, so Spark can split a class that very many texts hold
+    both = stored(rows.join(checked_broadcast(useful), keys).select(*rows.columns, "p", "q", "m", "open", place.alias("here")), "both")
+    dropped(classes, kinds, useful)
     ranges = both.where("p <> q and not multi").select("t1", "t2", (F.col("pos") - F.col("dmax")).alias("lo"), (F.col("pos") - F.col("dmin")).alias("hi"))
     one = both.where("open and here = p").select("name", "t1", "t2", "pos", "dmin", "dmax", (F.col("m") | (F.col("p") != F.col("q"))).alias("multi"))
     return ranges, one.distinct()
@@ -163,6 +167,7 @@ def _finer(docs: DataFrame, runs: DataFrame, length: int, block: int) -> DataFra
 
 
 def _cut(length: int) -> Callable:
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = th.text_bytes(batch.column("text"))
@@ -203,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other bytes.
 
     Texts count as UTF-8 bytes (null: empty); shorter ones keep all. Equal texts are found first:
-    all their bytes repeat, and they are searched once. Strings are compared by 128-bit digests. Rows
+    all their bytes repeat, and one of them is searched for all. Strings are compared by 128-bit digests. Rows
     need no distinct ids; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -215,15 +220,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_ = rows.where(F.octet_length("text") >= length)
     copied = stored(long_.groupBy("t1", "t2").count().where("count > 1").select("t1", "t2", F.lit(True).alias("copied")), "copied")
 
-    runs = stored(long_.select("t1", "t2", "text").mapInArrow(_runs(length), RUN), "runs")
+    # one of equal texts stands for all
+    again = checked_broadcast(copied.select("t1", "t2"))
+    one = long_.join(again, ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.first("text").alias("text"))
+    texts = long_.join(again, ["t1", "t2"], "left_anti").select("t1", "t2", "text").unionByName(stored(one, "texts"))
+
+    runs = stored(texts.mapInArrow(_runs(length), RUN), "runs")
     place = F.xxhash64("t1", "t2", "pos")
-    names = runs.groupBy("name").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("name")
-    level = stored(runs.join(names, "name").select(*runs.columns, F.lit(False).alias("multi")), "shared")
+    names = stored(runs.groupBy("name").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("name"), "names")
+    level = stored(runs.join(checked_broadcast(names), "name").select(*runs.columns, F.lit(False).alias("multi")), "shared")
     dropped(runs)
     found, open_ = _resolved(level, "name")
     ranges = found
     for block in BLOCKS:
-        found, open_ = _resolved(_finer(long_.select("t1", "t2", "text"), open_, length, block), "g")
+        found, open_ = _resolved(_finer(texts, open_, length, block), "g")
         ranges = ranges.unionByName(found)
     # a copied text is removed whole
     per = stored(
