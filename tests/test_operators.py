@@ -292,6 +292,40 @@ def test_fits_learn_something(spark, name):
         assert got and all(0 <= r.v <= 255 for r in got) and len({(r.volume, r.z, r.y, r.x) for r in got}) == len(got)
 
 
+def test_csv_sinks(spark, tmp_path):
+    from voxelweave.sources import files
+
+    path = f"file://{tmp_path}/out"
+    one = spark.createDataFrame([("v1", 7, 1.23456, None), ("v2", 8, None, "x")], "volume string, n int, at double, note string")
+    files.append_csv(one, path, ["volume"])
+    files.append_csv(one.where("n = 7").withColumn("at", F.lit(2.0)), path, ["volume"])
+    got = {tuple(r) for r in spark.read.option("header", True).csv(path).select("volume", "n", "at", "note").collect()}
+    assert got == {("v1", "7", "2.0000", None), ("v2", "8", None, "x")}
+    assert [r.n for r in files.new_only(one, spark.createDataFrame([("v2",)], "volume string"), ["volume"]).collect()] == [7]
+
+
+def test_rotation_geometry(spark):
+    from voxelweave.operators import geometry
+
+    m = geometry.plane_rotation(90, (1, 2))
+    off = geometry.about_centre(m, (1, 3, 3))
+    rows = [("a", 0, y, x, float(10 * y + x)) for y in range(3) for x in range(3)]
+    v = spark.createDataFrame(rows, "p string, z long, y long, x long, v double")
+    got = {(r.y, r.x): r.v for r in geometry.resampled(v, ["p"], "v", m, off).collect()}
+    want = np.rot90(np.array([[10 * y + x for x in range(3)] for y in range(3)]))
+    assert got == {(y, x): pytest.approx(float(want[y, x])) for y in range(3) for x in range(3)}
+    assert geometry.input_box(np.eye(3), np.zeros(3), [2, 0, 0], [4, 3, 3], (9, 3, 3)) == [(0, 6), (0, 3), (0, 3)]
+    assert geometry.chunk_size((100, 10, 10), 2, 0, 1000) == 5 and geometry.chunk_size((1, 100, 100), 8, 0, 10) == 1
+
+
+def test_diagonal_components(spark, monkeypatch):
+    monkeypatch.setattr(volume, "TILE", 2)
+    rows = spark.createDataFrame([("v", 0, 0, 1), ("v", 1, 1, 2), ("v", 2, 2, 3), ("v", 2, 0, 4)], "p string, y long, x long, id long")
+    got = {r.id: r.component for r in volume.labelled(rows, ["p"], ["y", "x"], "id", diagonal=True).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 2 - 1}
+    assert {r.component for r in volume.labelled(rows, ["p"], ["y", "x"], "id").collect()} == {1, 2, 3, 4}
+
+
 def test_minted_ids_are_dense_over_many_ranges(spark):
     from voxelweave.sources.store import minted
 

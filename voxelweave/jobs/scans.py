@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelweave.functions.columns import displayed, rescaled_to, safe_ratio
 from voxelweave.functions.storage import cut
 from voxelweave.jobs.registry import query, r6
-from voxelweave.operators import residual, volume, windows
+from voxelweave.operators import geometry, residual, volume, windows
 from voxelweave.operators.windows import quantiles
 from voxelweave.sources.tables import EDGE, SLICES, scan
 
@@ -255,3 +255,104 @@ def radial_crop(spark, d):
 def axis_angles(spark, d):
     """Tilt of each volume's bright part: angles of the principal axis of its voxels."""
     return volume.axis_angles(scan(spark, d).where("g > 130"), ["volume"], AXES)
+
+
+# Rotation, outlines, planes
+
+
+@query(f"""WITH {SCAN}, m AS (SELECT cos(radians(4.0)) ct, sin(radians(4.0)) st, cos(radians(-3.0)) cp, sin(radians(-3.0)) sp),
+       a AS (SELECT volume, z, y, x, round(cp * z + sp * x + (73.5 - cp * 73.5 - sp * 3.5), 9) iz, round(-sp * st * z + ct * y + cp * st * x + (3.5 + sp * st * 73.5 - ct * 3.5 - cp * st * 3.5), 9) iy,
+       round(-sp * ct * z - st * y + cp * ct * x + (3.5 + sp * ct * 73.5 + st * 3.5 - cp * ct * 3.5), 9) ix FROM scan, m),
+       r AS (SELECT a.*, floor(iz)::BIGINT + i.range cz, floor(iy)::BIGINT + j.range cy, floor(ix)::BIGINT + k.range cx, CASE i.range WHEN 1 THEN iz - floor(iz) ELSE 1 - (iz - floor(iz)) END * CASE j.range WHEN 1 THEN iy - floor(iy) ELSE 1 - (iy - floor(iy)) END
+       * CASE k.range WHEN 1 THEN ix - floor(ix) ELSE 1 - (ix - floor(ix)) END w FROM a, range(2) i, range(2) j, range(2) k)
+       SELECT r.volume, r.z, r.y, r.x, round(sum(w * coalesce(s.g, 0)), 5) g FROM r LEFT JOIN scan s ON s.volume = r.volume AND s.z = r.cz AND s.y = r.cy AND s.x = r.cx GROUP BY 1, 2, 3, 4""")
+def rotated_volume(spark, d):
+    """Both tilts taken out in one resampling about the middle of the volume."""
+    shape = (148, 8, 8)
+    matrix = geometry.plane_rotation(4.0, (1, 2)) @ geometry.plane_rotation(-3.0, (0, 2))
+    out = geometry.resampled(scan(spark, d), ["volume"], "g", matrix, geometry.about_centre(matrix, shape))
+    return out.select("volume", *AXES, F.round("g", 5).alias("g"))
+
+
+def _outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of star-shaped outlines: the points of each label in the order of their angle."""
+    p = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", (12 + 20 * F.col("embedding")[1].cast("double")).alias("y"), (12 + 20 * F.col("embedding")[0].cast("double")).alias("x"))
+    w = Window.partitionBy("label").orderBy(F.round(F.atan2(F.col("y") - 12, F.col("x") - 12), 9), "vec_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
+    return p.select("label", F.col("y").alias("y0"), F.col("x").alias("x0"), nxt("y").alias("y1"), nxt("x").alias("x1"))
+
+
+OUTLINE = """p AS (SELECT vec_id, label, 12 + 20 * embedding[2]::DOUBLE y, 12 + 20 * embedding[1]::DOUBLE x FROM embeddings), o AS (SELECT *, round(atan2(y - 12, x - 12), 9) a FROM p),
+          e AS (SELECT label, y y0, x x0, coalesce(lead(y) OVER w, first(y) OVER v) y1, coalesce(lead(x) OVER w, first(x) OVER v) x1 FROM o WINDOW w AS (PARTITION BY label ORDER BY a, vec_id), v AS (PARTITION BY label ORDER BY a, vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+          s AS (SELECT i.range r, j.range c, (i.range + 0.5) / 4 sy, (j.range + 0.5) / 4 sx FROM range(96) i, range(96) j),
+          inside AS (SELECT label, r, c FROM s JOIN e ON least(y0, y1) <= sy AND greatest(y0, y1) > sy GROUP BY 1, 2, 3, sy, sx HAVING count(*) FILTER (x0 + (sy - y0) * (x1 - x0) / (y1 - y0) <= sx) % 2 = 1),
+          cover AS (SELECT label, (r // 4)::INT y, (c // 4)::INT x, count(*) / 16.0::DOUBLE coverage FROM inside GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {OUTLINE} SELECT label, y, x, coverage FROM cover")
+def outline_coverage(spark, d):
+    return geometry.polygon_coverage(_outlines(spark, d), ["label"], 24, 24, 4)
+
+
+@query(f"""WITH {OUTLINE}, mask AS (SELECT DISTINCT y, x FROM cover WHERE label = 0 AND coverage >= 0.5) SELECT label, round(sum(coverage * (m IS NOT NULL)::INT) / (sum(coverage) + (SELECT count(*) FROM mask) - sum(coverage * (m IS NOT NULL)::INT)), 6) iou
+       FROM cover LEFT JOIN (SELECT y, x, 1 m FROM mask) USING (y, x) GROUP BY 1""")
+def outline_iou(spark, d):
+    """Overlap of each outline with the first one's mask."""
+    cover = cut(geometry.polygon_coverage(_outlines(spark, d), ["label"], 24, 24, 4), "coverage")
+    mask = cover.where("label = 0 and coverage >= 0.5").select("y", "x")
+    return geometry.coverage_iou(cover, mask, ["label"]).select("label", r6("iou").alias("iou"))
+
+
+def _walk8(rows: str, name: str) -> str:
+    near = "a.volume = b.volume AND a.z = b.z AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 AND a.id <> b.id"
+    return f"""{name}_w(id, seen) AS (SELECT id, id FROM {rows} UNION SELECT w.id, b.id FROM {name}_w w JOIN {rows} a ON a.id = w.seen JOIN {rows} b ON {near}), {name} AS (SELECT id, min(seen) component FROM {name}_w GROUP BY 1)"""
+
+
+IDS = "(((ascii(volume) - 64 + 32 * split_part(volume, '-', 2)::BIGINT) * 128 + z) * 24 + y) * 24 + x"
+BRIGHT = f"{SCAN}, bright AS (SELECT *, {IDS} id FROM scan WHERE g >= 150), {_walk8('bright', 'parts')}"
+
+
+def _bright(spark: SparkSession, d: str, low: float) -> DataFrame:
+    number = F.ascii("volume") - 64 + 32 * F.split_part("volume", F.lit("-"), F.lit(2)).cast("long")
+    v = scan(spark, d).withColumn("id", (((number * SLICES + F.col("z")) * EDGE + F.col("y")) * EDGE + F.col("x")).cast("long"))
+    return v.where(F.col("g") >= low)
+
+
+@query(f"""WITH RECURSIVE {BRIGHT}
+       SELECT volume, z, component, count(*) area, max(g) peak, round(avg(y), 6) cy, round(avg(x), 6) cx FROM bright JOIN parts USING (id) GROUP BY 1, 2, 3 HAVING count(*) >= 2""")
+def slice_objects(spark, d):
+    """Bright objects of each slice, connected over corners too, of at least two pixels."""
+    found = volume.labelled(_bright(spark, d, 150), ["volume", "z"], ["y", "x"], "id", diagonal=True)
+    g = found.groupBy("volume", "z", "component").agg(F.count("*").alias("area"), F.max("g").alias("peak"), r6(F.avg("y")).alias("cy"), r6(F.avg("x")).alias("cx"))
+    return g.where("area >= 2")
+
+
+@query(f"""WITH RECURSIVE {BRIGHT}, kept AS (SELECT component FROM bright JOIN parts USING (id) GROUP BY 1 HAVING max(g) >= 180 AND count(*) >= 3), metal AS (SELECT volume, z, y, x FROM bright JOIN parts USING (id) WHERE component IN (SELECT component FROM kept)),
+       wide AS (SELECT volume, z, y, x FROM metal UNION SELECT volume, z, y + 1, x FROM metal UNION SELECT volume, z, y - 1, x FROM metal UNION SELECT volume, z, y, x + 1 FROM metal UNION SELECT volume, z, y, x - 1 FROM metal)
+       SELECT volume, z, y, x FROM wide WHERE y BETWEEN 0 AND 7 AND x BETWEEN 0 AND 7""")
+def metal_mask(spark, d):
+    """Metal of each slice: parts above a lower level that hold a pixel above the threshold and have three pixels at
+    least, grown by one pixel."""
+    found = volume.hysteresis(_bright(spark, d, 150), ["volume", "z"], ["y", "x"], "g", 150, 180, "id", diagonal=True)
+    big = found.groupBy("component").agg(F.count("*").alias("n")).where("n >= 3").select("component")
+    metal = found.join(big, "component", "left_semi").select("volume", *AXES)
+    steps = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))])
+    wide = metal.select("volume", "z", F.col("y"), F.col("x"), F.explode(steps).alias("s")).select("volume", "z", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
+    return wide.where("y between 0 and 7 and x between 0 and 7").distinct()
+
+
+@query(f"""WITH {SNR}, hot AS (SELECT * FROM snr WHERE snr >= 1.0), n AS (SELECT a.volume, a.z, a.y, a.x, count(*) n FROM hot a JOIN hot b ON a.volume = b.volume AND abs(a.z - b.z) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY 1, 2, 3, 4)
+       SELECT volume, z, y, x, n FROM n WHERE n > 5""")
+def enhanced_voxels(spark, d):
+    """Voxels with more than five strong ones among the 27 around them."""
+    return residual.crowded(_snr(spark, d).where("snr >= 1.0"), 5)
+
+
+@query(f"WITH RECURSIVE {FOUND} SELECT component, y, x, round(least(sum(snr * 0.5), max(max(snr)) OVER (PARTITION BY component)), 7) confidence FROM objects GROUP BY 1, 2, 3")
+def confidence_projection(spark, d):
+    """Objects projected along the axis: half their strength added up, at most their largest."""
+    o = _found(spark, d)[1]
+    top = o.groupBy("component").agg(F.max("snr").alias("top"))
+    p = o.groupBy("component", "y", "x").agg(F.sum(F.col("snr") * 0.5).alias("s")).join(top, "component")
+    return p.select("component", "y", "x", F.round(F.least("s", "top"), 7).alias("confidence"))

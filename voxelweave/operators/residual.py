@@ -136,3 +136,12 @@ def noise_collapse(voxels: DataFrame, key: str, highs: list[float], sizes: list[
     return n.groupBy("volume", "high").agg(*[F.count_if(F.col("c") >= m).alias(f"m{m}") for m in sizes]).unpivot(["volume", "high"], [f"m{m}" for m in sizes], "m", "n").select(
         "volume", "high", F.substring("m", 2, 9).cast("int").alias("m"), "n"
     )
+
+
+def crowded(voxels: DataFrame, least: int) -> DataFrame:
+    """(volume, z, y, x, n): voxels with more than `least` of the table's among the 27 around them, itself included.
+    Each voxel tells its neighbourhood; the counts are added up before the shuffle."""
+    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip(at, AXES)]) for at in itertools.product((-1, 0, 1), repeat=3)])).alias("o")
+    told = voxels.select("volume", *AXES, around).select("volume", *[(F.col(c) + F.col(f"o.d{c}")).alias(c) for c in AXES])
+    n = told.groupBy("volume", *AXES).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    return n.join(voxels.select("volume", *AXES), ["volume", *AXES], "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,13 @@ def neighbours(voxels: DataFrame, place: list[str], axes: list[str], key: str) -
 TILE = 32
 
 
-def _tile_labels(axes: list[str], key: str) -> Callable:
+def _steps(n: int, diagonal: bool) -> list[tuple[int, ...]]:
+    """Steps to the neighbours ahead: over faces, or over edges and corners too."""
+    all_ = [o for o in itertools.product((-1, 0, 1), repeat=n) if o > (0,) * n]
+    return all_ if diagonal else [o for o in all_ if sum(map(abs, o)) == 1]
+
+
+def _tile_labels(axes: list[str], key: str, diagonal: bool) -> Callable:
     """Voxels of one tile with the smallest key of their connected part of it."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -50,8 +57,7 @@ def _tile_labels(axes: list[str], key: str) -> Callable:
         keys = np.asarray(t.column(key).combine_chunks())
         mask = np.zeros(at.max(axis=1) + 1, bool)
         mask[tuple(at)] = True
-        part = label3d(mask)[tuple(at)]
-        _, part = np.unique(part, return_inverse=True)
+        _, part = np.unique(label3d(mask, diagonal)[tuple(at)], return_inverse=True)
         least = np.full(part.max() + 1, keys.max())
         np.minimum.at(least, part, keys)
         return t.append_column("part", pa.array(least[part], pa.int64()))
@@ -59,8 +65,8 @@ def _tile_labels(axes: list[str], key: str) -> Callable:
     return run
 
 
-def labelled(voxels: DataFrame, place: list[str], axes: list[str], key: str) -> DataFrame:
-    """voxels with their component (6-connected, smallest key).
+def labelled(voxels: DataFrame, place: list[str], axes: list[str], key: str, diagonal: bool = False) -> DataFrame:
+    """voxels with their component (smallest key), connected over faces or, if diagonal, over edges and corners too.
 
     Tiles of TILE voxels an edge are labelled by a NumPy kernel; only the parts that touch across tile
     borders become edges, so the rounds that join them work on few rows.
@@ -69,23 +75,24 @@ def labelled(voxels: DataFrame, place: list[str], axes: list[str], key: str) ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in voxels.schema)
     keys = [*place, *[f"_{c}" for c in axes]]
     types = ", ".join(f"_{c} long" for c in axes)
-    parts = voxels.select("*", *tile).groupBy(*keys).applyInArrow(_tile_labels(axes, key), f"{schema}, {types}, part long")
+    parts = voxels.select("*", *tile).groupBy(*keys).applyInArrow(_tile_labels(axes, key, diagonal), f"{schema}, {types}, part long")
     parts = cut(parts.drop(*[f"_{c}" for c in axes]), "parts")
     edges = None
-    for axis in axes:
-        here = F.pmod(F.col(axis), F.lit(TILE))
-        upper = parts.where(here == TILE - 1).select(*place, *[(F.col(c) + int(c == axis)).alias(c) for c in axes], F.col("part").alias("a"))
-        lower = parts.where(here == 0).select(*place, *axes, F.col("part").alias("b"))
-        one = upper.join(lower, [*place, *axes]).select("a", "b").distinct()
+    for step in _steps(len(axes), diagonal):
+        leaves = F.lit(False)
+        for c, o in zip(axes, step):
+            if o:
+                leaves = leaves | (F.pmod(F.col(c), F.lit(TILE)) == (TILE - 1 if o > 0 else 0))
+        from_ = parts.where(leaves).select(*place, *[(F.col(c) + o).alias(c) for c, o in zip(axes, step)], F.col("part").alias("a"))
+        one = from_.join(parts.select(*place, *axes, F.col("part").alias("b")), [*place, *axes]).select("a", "b").distinct()
         edges = one if edges is None else edges.unionByName(one)
     roots = checked_broadcast(cut(reachable(edges).withColumnRenamed("id", "part"), "roots"))
     return parts.join(roots, "part", "left").select(*voxels.columns, F.coalesce("component", "part").alias("component"))
 
 
-def hysteresis(voxels: DataFrame, place: list[str], axes: list[str], value: str, low: float, high: float, key: str) -> DataFrame:
-    """voxels >= low with their component (6-connected, smallest key), for components that hold a
-    voxel >= high."""
-    found = labelled(voxels.where(F.col(value) >= low), place, axes, key)
+def hysteresis(voxels: DataFrame, place: list[str], axes: list[str], value: str, low: float, high: float, key: str, diagonal: bool = False) -> DataFrame:
+    """voxels >= low with their component (smallest key), for components that hold a voxel >= high."""
+    found = labelled(voxels.where(F.col(value) >= low), place, axes, key, diagonal)
     seeds = found.groupBy("component").agg(F.max(value).alias("_top")).where(F.col("_top") >= high)
     return found.join(checked_broadcast(cut(seeds.select("component"), "seeds")), "component", "left_semi")
 
@@ -115,20 +122,20 @@ def surface_ratio(objects: DataFrame, place: list[str], axes: list[str], key: st
     return marked.groupBy("component").agg((1 - F.sum(F.coalesce("in", F.lit(0))) / F.count("*")).alias("surface"))
 
 
-def label3d(mask: np.ndarray) -> np.ndarray:
-    """6-connected component numbers (0: background) by label minima over face neighbours."""
+def label3d(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """Component numbers (0: background) by label minima over neighbours, of any number of axes."""
     labels = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    cuts = []
+    for step in _steps(mask.ndim, diagonal):
+        ahead = tuple(slice(max(o, 0), n + min(o, 0)) for o, n in zip(step, mask.shape))
+        here = tuple(slice(max(-o, 0), n + min(-o, 0)) for o, n in zip(step, mask.shape))
+        cuts.append((here, ahead))
     while True:
         new = labels.copy()
-        for axis in range(mask.ndim):
-            lead, tail = [slice(None)] * mask.ndim, [slice(None)] * mask.ndim
-            lead[axis], tail[axis] = slice(1, None), slice(None, -1)
-            a, b = new[tuple(lead)], new[tuple(tail)]
-            both = (a > 0) & (b > 0)
-            m = np.minimum(a, b)
-            new[tuple(lead)] = np.where(both, m, a)
-            b = new[tuple(tail)]
-            new[tuple(tail)] = np.where(both, np.minimum(b, m), b)
+        for here, ahead in cuts:
+            for one, other in ((here, ahead), (ahead, here)):
+                a, b = new[one], new[other]
+                new[one] = np.where((a > 0) & (b > 0), np.minimum(a, b), a)
         flat = new.ravel()
         root = np.where(flat > 0, flat[np.maximum(flat, 1) - 1], 0)  # jump to the label's own label
         new = root.reshape(mask.shape)

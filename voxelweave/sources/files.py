@@ -50,3 +50,22 @@ def boxes(outlines: DataFrame, margin: int = 4) -> DataFrame:
     return outlines.select(
         "file", "path", (F.floor(F.array_min(x)) - margin).alias("x0"), (F.ceil(F.array_max(x)) + margin).alias("x1"), (F.floor(F.array_min(y)) - margin).alias("y0"), (F.ceil(F.array_max(y)) + margin).alias("y1")
     )
+
+
+def fixed(rows: DataFrame, decimals: int = 4) -> DataFrame:
+    """rows with every fraction as a string of so many decimals, as tables for people have them; null stays null."""
+    fraction = {f.name for f in rows.schema if f.dataType.simpleString() in ("float", "double")}
+    return rows.select(*[F.format_string(f"%.{decimals}f", F.col(f"`{c}`").cast("double")).alias(c) if c in fraction else F.col(f"`{c}`") for c in rows.columns])
+
+
+def append_csv(rows: DataFrame, path: str, keys: list[str], decimals: int = 4) -> None:
+    """Add rows to a folder of CSV files, one subfolder for each value of keys; what is there for those values is
+    replaced, so a run that is repeated leaves no row twice. Each file has a header. Missing fractions stay empty."""
+    missing = [F.when(F.col(f"`{c}`") != "null", F.col(f"`{c}`")).alias(c) if c not in keys else F.col(f"`{c}`") for c in rows.columns]
+    out = fixed(rows, decimals).select(*[F.col(f"`{c}`").cast("string").alias(c) if c not in keys else F.col(f"`{c}`") for c in rows.columns]).select(*missing)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy(*keys).csv(path)
+
+
+def new_only(rows: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key the log lacks: what a resumed recording still has to add."""
+    return rows.join(log.select(*keys).distinct(), keys, "left_anti")
