@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voxelweave.functions.columns import displayed, rescaled_to, safe_ratio
 from voxelweave.functions.storage import cut
 from voxelweave.jobs.registry import query, r6
-from voxelweave.operators import geometry, residual, volume, windows
+from voxelweave.operators import geometry, residual, thresholds, volume, windows
 from voxelweave.operators.windows import quantiles
 from voxelweave.sources.tables import EDGE, SLICES, scan
 
@@ -356,3 +356,18 @@ def confidence_projection(spark, d):
     top = o.groupBy("component").agg(F.max("snr").alias("top"))
     p = o.groupBy("component", "y", "x").agg(F.sum(F.col("snr") * 0.5).alias("s")).join(top, "component")
     return p.select("component", "y", "x", F.round(F.least("s", "top"), 7).alias("confidence"))
+
+
+@query()
+def metal_thresholds(spark, d):
+    """The gray value that divides metal from the rest, by volume."""
+    h = scan(spark, d).groupBy("volume", "g").agg(F.count("*").alias("n"))
+    return thresholds.metal_threshold(h, ["volume"], "g", "n")
+
+
+@query(f"WITH {SCAN} SELECT volume, z, y, x, g - round((coalesce(lag(g) OVER w, g) + g + coalesce(lead(g) OVER w, g)) / 3.0, 6) r FROM scan WINDOW w AS (PARTITION BY volume, y, x ORDER BY z)")
+def rolling_residual(spark, d):
+    """Gray value minus the mean of the slice and its two neighbours; at an end the slice stands for the missing one."""
+    w = Window.partitionBy("volume", "y", "x").orderBy("z")
+    near = (F.coalesce(F.lag("g").over(w), F.col("g")) + F.col("g") + F.coalesce(F.lead("g").over(w), F.col("g"))) / 3
+    return scan(spark, d).select("volume", *AXES, (F.col("g") - F.round(near, 6)).alias("r"))
