@@ -10,7 +10,7 @@ from voxelweave.jobs import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
 #: Queries that find nothing in tables so small.
-MAY_BE_EMPTY = ("anti_missing", "contradictions", "bfs_seed", "overlap_edges", "star_edges", "duplicated_keys", "radius_pairs", "radial_crop")
+MAY_BE_EMPTY = ("anti_missing", "contradictions", "bfs_seed", "overlap_edges", "star_edges", "duplicated_keys", "radius_pairs", "radial_crop", "enhanced_voxels")
 
 
 @pytest.fixture(scope="module")
