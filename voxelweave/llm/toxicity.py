@@ -104,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Ftrl = Ftrl(), id_col: str =
     (doc_id, toxic), already without held-out rows.
 
     Features are made where the texts are; one task learns from their slots, at most 2**bits of a
-    document. Rows that repeat an id are all learned from, in the order of their slots.
+    document. Rows that repeat an id are all learned from, in the order of a hash of their slots.
     """
     small_batches(docs.sparkSession)
     y = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Ftrl = Ftrl(), id_col: str =
     picked = F.broadcast(stored(some.select(F.col("doc_id").alias("_id"), "toxic"), "labelled"))  # 2 * cfg.rows rows
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(picked, F.col("doc_id") == F.col("_id"))
     slots = stored(rows.select("doc_id", "toxic", "text").mapInArrow(_slots(cfg.bits), "doc_id long, toxic int, slots array<int>"), "sample")
-    return slots.orderBy("doc_id", "slots").coalesce(1).mapInArrow(_train(cfg), "slot long, weight double")
+    one = slots.coalesce(1).sortWithinPartitions("doc_id", F.xxhash64("slots"))  # 2 * cfg.rows documents
+    return one.mapInArrow(_train(cfg), "slot long, weight double")
 
 
 def _score(weights, bits: int) -> Callable:
