@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with their SQL where SQL can express them."""
+"""Registered queries of the thirteen operators, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, exact_dedup, licenses, mixing, near_dedup, quality, repeats, toxicity
+from . import ann, bpe, chat, embedding_dedup, exact_dedup, hard_negatives, licenses, mixing, near_dedup, quality, repeats, structure, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = _table(spark, sf_dir, "conversations")
+    summary, turns = structure.repair(structure.damaged(chats))
+    every = chats.select(F.col("conv_id").alias("conv")).distinct()
+    rows = every.join(summary, F.col("conv").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    shas = structure.digests(turns)
+    rows = rows.join(shas, F.col("conv").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    sha = F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return rows.select(F.col("conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), sha)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), noisy)
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_near_dedup, op2_mix_sources, op3_embedding_dedup, op4_byte_bpe, op5_quality, op6_licenses, op7_chat, op8_repeats, op9_exact_dedup, op10_toxicity]
+    own += [op11_structure, op12_hard_negatives, op13_nearest]
     return {f.__name__: f for f in own}
 
 
@@ -85,8 +107,70 @@ def _bisected(number: int) -> str:
                  max(CASE WHEN goal = 'r' AND i = 0 AND worst / z <= 4 + 1e-12 THEN 1 END) free FROM u{number}),"""
 
 
+def _repair_sql() -> str:
+    """The edit costs as a recursion over a conversation's rows: for each state the cheapest edits so far, as a text of
+    the cost in eight digits and the letters, so that the least text is the cheapest, first in ASCII order."""
+    plus = lambda x, cost, letters: f"(lpad((substr({x}, 1, 8)::BIGINT + {cost})::VARCHAR, 8, '0') || substr({x}, 9) || '{letters}')"
+    never = "'9'"
+    # before a row (or at the end) turns may be inserted
+    ins = {
+        "n": "n", "s": "s", "u": f"least(u, {plus('n', 3, 'I')}, {plus('s', 3, 'I')}, {plus('a', 3, 'I')})",
+        "a": f"least(a, {plus('u', 3, 'I')}, {plus('n', 6, 'II')}, {plus('s', 6, 'II')})",
+    }
+    edit = {k: [plus(k, 4, "D")] for k in "nsua"}
+    more = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    for state, after in (("n", "u"), ("s", "u"), ("a", "u"), ("u", "a")):
+        edit[after].append(f"CASE WHEN fault IN ('ok', 'truncated') THEN {plus(state, f'3 + {more}', 'R')} ELSE {never} END")
+    for initial, state, after in (("s", "n", "s"), ("u", "n", "u"), ("u", "s", "u"), ("u", "a", "u"), ("a", "u", "a")):
+        edit[after].append(f"CASE WHEN fault IN ('ok', 'truncated') AND initial = '{initial}' THEN {plus(state, more, 'K')} ELSE {never} END")
+    never0 = "'09999999'"
+    bits = "flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda b: [ord(b)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, e: xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))), 4294967295)"
+    return f"""
+            WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') text, {crc} % 20 kind FROM conversations),
+            d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END text,
+                unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) c FROM k WHERE kind <> 0),
+            o AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) k,
+                regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) last FROM d),
+            f AS (SELECT *, substr(role, 1, 1) initial, CASE WHEN last = '' THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+                WHEN last IN ('.', '!', '?') THEN 'ok' ELSE 'truncated' END fault FROM o),
+            g AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY k) prev FROM f),
+            counts AS (SELECT conv, any_value(conv_id) conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) gaps,
+                count(*) FILTER (fault = 'blank') blank, count(*) FILTER (fault = 'duplicate') duplicate, count(*) FILTER (fault = 'truncated') truncated,
+                count(*) FILTER (prev IS NOT NULL AND prev || initial NOT IN ('su', 'ua', 'au')) illegal, count(*) n_rows FROM g GROUP BY conv),
+            dp AS (SELECT conv, 0::BIGINT k, '00000000' n, {never0} s, {never0} u, {never0} a FROM counts
+                UNION ALL
+                SELECT conv, k, {", ".join(f"least({', '.join(edit[x])}) {x}" for x in "nsua")}
+                FROM (SELECT i.conv, f.k, initial, fault, {", ".join(f"{ins[x]} {x}" for x in "nsua")} FROM (SELECT conv, k, n, s, u, a FROM dp) i JOIN f ON i.conv = f.conv AND f.k = i.k + 1)),
+            won AS (SELECT conv, least(n, {ins["a"]}) best FROM (SELECT conv, n, s, u, a FROM dp JOIN counts USING (conv) WHERE k = n_rows)),
+            e AS (SELECT conv, substr(best, 1, 8)::BIGINT AS cost, substr(best, 9) audit FROM won),
+            l AS (SELECT conv, j, substr(audit, j, 1) letter FROM (SELECT conv, audit, unnest(range(1, len(audit) + 1)) j FROM e)),
+            m AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv ORDER BY j) k FROM l),
+            t AS (SELECT m.conv, j, letter, f.role, f.text, f.initial,
+                row_number() OVER (PARTITION BY m.conv ORDER BY j) i,
+                first_value(letter = 'K' AND f.initial = 's') OVER (PARTITION BY m.conv ORDER BY j) sys FROM m LEFT JOIN f ON m.conv = f.conv AND m.k = f.k WHERE letter <> 'D'),
+            r AS (SELECT conv, string_agg(CASE WHEN letter = 'K' THEN role WHEN (i - CASE WHEN sys THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+                || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) whole FROM t GROUP BY conv)
+            SELECT x.conv_id, coalesce(gaps, 0)::BIGINT gaps, coalesce(blank, 0)::BIGINT blank, coalesce(duplicate, 0)::BIGINT duplicate,
+                coalesce(truncated, 0)::BIGINT truncated, coalesce(illegal, 0)::BIGINT illegal, coalesce(e.cost, 0)::BIGINT AS cost, coalesce(audit, '') audit, sha256(coalesce(whole, '')) repaired_sha256
+            FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, ' ') conv FROM conversations) x
+            LEFT JOIN counts USING (conv) LEFT JOIN e USING (conv) LEFT JOIN r USING (conv)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_structure": _repair_sql(),
+        "op12_hard_negatives": """
+            WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) q
+                 FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (SELECT a.vec_id anchor_id, b.vec_id id, a.label = b.label same, list_inner_product(a.q, b.q)::BIGINT score
+                 FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+            p AS (SELECT anchor_id, id positive_id, score positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+            n AS (SELECT p.*, s.id negative_id, score negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.id) AS rank
+                 FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+            SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
         "op2_mix_sources": f"""
             WITH d AS (SELECT doc_id, coalesce(source, '') src, coalesce(doc_id::VARCHAR, 'null') k,
                  len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT n_tok FROM documents),
