@@ -154,12 +154,20 @@ def test_exact_binomial_interval(spark):
     assert got == {(0, 10): (0.0, 0.3085), (5, 10): (0.1871, 0.8129), (10, 10): (0.6915, 1.0), (0, 0): (0.0, 1.0)}
 
 
-def test_em_finds_the_core(spark):
+def test_core_of_known_mixtures(spark):
+    """Spike, core and far values in known shares; the law is met whatever the spike."""
     rng = np.random.default_rng(0)
-    v = np.concatenate([np.zeros(4000), np.rint(rng.normal(0, 6, 6000))]).astype(int)
-    rows = spark.createDataFrame([("a", int(x), int(c)) for x, c in zip(*np.unique(v, return_counts=True))], "g string, d int, n long")
-    r = stats.em_core_width(rows, ["g"], "d", "n").first()
-    assert r.sd == pytest.approx(6, abs=0.3) and r.w == pytest.approx(0.4, abs=0.05)
+    rows, truth = [], {}
+    for k, (w, mu, sd, far) in enumerate([(0.4, 0, 6, 0), (0, 0, 3, 0), (0.7, 1.5, 4, 0), (0.2, -2, 9, 0.02), (0.1, 0.3, 1.2, 0)]):
+        n = 40000
+        v = np.concatenate([np.zeros(int(n * w)), rng.uniform(-200, 200, int(n * far)), rng.normal(mu, sd, int(n * (1 - w - far)))])
+        rows += [(str(k), int(x), int(c)) for x, c in zip(*np.unique(np.rint(v).astype(int), return_counts=True))]
+        truth[str(k)] = w, mu, sd
+    rows += [("none", 0, 5), ("one", 3, 9), ("flat", -3, 7), ("flat", 3, 7)]
+    got = {r.g: r for r in stats.core_width(spark.createDataFrame(rows, "g string, d int, n long"), ["g"], "d", "n").collect()}
+    for g, (w, mu, sd) in truth.items():
+        assert got[g].sd == pytest.approx(sd, rel=0.05) and got[g].w == pytest.approx(w, abs=0.02) and got[g].mu == pytest.approx(mu, abs=0.25)
+    assert set(got) == {*truth, "none", "one", "flat"} and got["none"].sd is None and got["one"].sd is None
 
 
 def test_resume_groups(spark):

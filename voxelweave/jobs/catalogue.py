@@ -15,7 +15,7 @@ from voxelweave.sources.tables import EDGE, SLICES, candidates, cube, hits, labe
 
 
 def queries() -> dict[str, Query]:
-    from voxelweave.jobs import reports, scans, stores  # noqa: F401  they register theirs
+    from voxelweave.jobs import reports, scans, stores, volumes  # noqa: F401  they register theirs
 
     return dict(QUERIES) | learning.queries()
 
@@ -603,11 +603,11 @@ def clopper_pearson(spark, d):
 
 
 @query()
-def em_core_width(spark, d):
+def core_width(spark, d):
     e = profile(spark, d)
     diff = F.round(F.col("value") - F.lag("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).cast("int")
     h = e.join(table(spark, d, "events").select("event_id", "event_type"), "event_id").withColumn("d", diff).where("d is not null").groupBy("event_type", "d").agg(F.count("*").alias("n"))
-    return stats.em_core_width(h, ["event_type"], "d", "n")
+    return stats.core_width(h, ["event_type"], "d", "n")
 
 
 # Store and simulation

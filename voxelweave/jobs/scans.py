@@ -91,10 +91,10 @@ def scan_candidates(spark, d):
     return f.select("volume", "component", "n_voxels", "n_seed", "peak", *[F.round(f"centroid_{c}", 5).alias(f"centroid_{c}") for c in AXES], "z_extent")
 
 
-@query(f"""WITH RECURSIVE {RINGS} SELECT component, round(median(snr) - (SELECT median(snr) FROM ring WHERE ring.component = e.component AND d > 1 AND r <> 0), 6) edge_contrast,
-       round((SELECT median(snr) FROM ring WHERE ring.component = e.component AND d = 1 AND r <> 0) - (SELECT median(snr) FROM ring WHERE ring.component = e.component AND d = 2 AND r <> 0), 6) decay_drop FROM edge e GROUP BY 1""")
+@query(f"""WITH RECURSIVE {RINGS} SELECT component, round(median(snr) - (SELECT median(snr) FROM ring WHERE ring.component = e.component AND d > 1 AND r <> 0), 4) edge_contrast,
+       round((SELECT median(snr) FROM ring WHERE ring.component = e.component AND d = 1 AND r <> 0) - (SELECT median(snr) FROM ring WHERE ring.component = e.component AND d = 2 AND r <> 0), 4) decay_drop FROM edge e GROUP BY 1""")
 def shell_features(spark, d):
-    return residual.shell_features(*_found(spark, d), "id").select("component", r6("edge_contrast").alias("edge_contrast"), r6("decay_drop").alias("decay_drop"))
+    return residual.shell_features(*_found(spark, d), "id").select("component", F.round("edge_contrast", 4).alias("edge_contrast"), F.round("decay_drop", 4).alias("decay_drop"))
 
 
 @query(f"""WITH RECURSIVE {RINGS}, own AS (SELECT component, median(g) gs_median, quantile_cont(g, 0.9) gs_p90, max(g) gs_peak, quantile_cont(g, 0.75) - quantile_cont(g, 0.25) gs_iqr FROM objects GROUP BY 1),

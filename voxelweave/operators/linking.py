@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,12 +49,35 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out if large else out.distinct()  # repeats between the two stars do no harm
 
 
-def reachable(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that one task may settle: a few MB.
+FEW_EDGES = 100_000
+
+
+def _settled(edges: pa.Table) -> pa.Table:
+    """Stars of all parts of a few edges: label minima over the edges, then each label's own label."""
+    ids, ends = np.unique(np.concatenate([np.asarray(edges["u"]), np.asarray(edges["v"])]), return_inverse=True)
+    u, v = ends[: len(edges)], ends[len(edges) :]
+    root = np.arange(len(ids))
+    while True:
+        new = root.copy()
+        np.minimum.at(new, u, root[v])
+        np.minimum.at(new, v, root[u])
+        np.minimum.at(new, root[u], new[u])
+        np.minimum.at(new, root[v], new[v])
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    far = root < np.arange(len(ids))
+    return pa.table({"u": pa.array(ids[far], pa.int64()), "v": pa.array(ids[root[far]], pa.int64())})
+
+
+def reachable(edges: DataFrame, a: str = "a", b: str = "b", few: int = 0) -> DataFrame:
     """(id, component): smallest id reachable, for every id in an edge; ids in no edge are left out.
 
     Alternating large-star and small-star rounds over written edge tables. Edges with a null end and
     self-loops link nothing; repeated edges count once. Only two numbers a round reach the driver.
-    Rounds that don't settle are an error.
+    Once at most `few` edges are left, one task settles them. Rounds that don't settle are an error.
     """
     now = cut(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
@@ -69,6 +94,11 @@ def reachable(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if state[0] == 0 or state == before:
             break
+        if state[0] <= few:
+            after = cut(now.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_settled, "u long, v long"), "edges")
+            dropped(now)
+            now = after
+            break
         after = cut(_star(_star(now, True), False), "edges")
         dropped(now)
         now, before, state = after, state, summary(after)
@@ -80,7 +110,7 @@ def reachable(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, component): smallest id reachable; nodes without an edge stand alone."""
-    labels = reachable(edges).withColumnRenamed("id", key)
+    labels = reachable(edges, few=FEW_EDGES).withColumnRenamed("id", key)
     return nodes.select(key).distinct().join(labels, key, "left").select(key, F.coalesce("component", key).alias("component"))
 
 

@@ -175,38 +175,64 @@ def clopper_pearson(counts: DataFrame, k: str, n: str, alpha: float = 0.05) -> D
     return counts.mapInPandas(bounds, schema)
 
 
-def em_core_width(hist: DataFrame, keys: list[str], value: str, n: str, cutoff: float = 2.0, iterations: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """(keys, w, mu, sd): weight of the spike at zero, mean and width of the Gaussian core of a histogram (keys,
-    value, n) of differences, by expectation-maximisation. Values beyond cutoff widths don't count in the core,
-    and the width is corrected for that. A group is its distinct values, some hundreds, however many
-    voxels were counted."""
-    half = np.exp(-0.5 * cutoff**2) / np.sqrt(2 * np.pi)
-    inside = math.erf(cutoff / math.sqrt(2))
-    widen = 1 / np.sqrt(1 - 2 * cutoff * half / inside)
+def _discrete_normal(v: np.ndarray, c: np.ndarray) -> tuple[float, float] | None:
+    """(mu, sd) of the most likely normal law on the whole numbers v, observed c times each; None if none has a peak.
+    Its log density is linear in (v, v^2), so the likelihood is concave and Newton's method meets both means."""
+    if len(v) < 3:
+        return None
+    at, scale = v.mean(), max(float(v.std()), 1.0)
+    t = np.stack([(v - at) / scale, ((v - at) / scale) ** 2])
+    share = c / c.sum()
+    theta = np.array([0.0, -0.5])
+    for _ in range(200):
+        law = theta @ t
+        p = np.exp(law - law.max())
+        p /= p.sum()
+        mean = t @ p
+        spread = (t * p) @ t.T - np.outer(mean, mean)
+        step = np.linalg.lstsq(spread, t @ share - mean, rcond=None)[0]
+        theta = theta + step * min(1.0, 2.0 / max(1e-300, np.abs(step).max()))
+        if np.abs(step).max() < 1e-10:
+            break
+    if theta[1] >= 0:
+        return None
+    return float(at - scale * theta[0] / (2 * theta[1])), float(scale * math.sqrt(-0.5 / theta[1]))
+
+
+def core_width(hist: DataFrame, keys: list[str], value: str, n: str, reach: float = 2.0) -> DataFrame:
+    """(keys, w, mu, sd): what a histogram (keys, value, n) of whole differences holds: a normal core of mean mu and
+    width sd, far values, and a spike of weight w at zero. Nulls where too few values tell a core.
+
+    The core is the most likely normal law on the whole numbers within `reach` widths of its mean, zero left out, which
+    the spike disturbs; the range starts from the quartiles and follows the law until it stays. The spike is
+    what zero holds beyond the law. A group is its distinct values, however many voxels were counted.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, c = pdf[value].to_numpy(float), pdf[n].to_numpy(float)
-        zero = v == 0
-        zeros, total = c[zero].sum(), c.sum()
-        w = float(np.clip(zeros / total, 1e-6, 1 - 1e-6))
-        mu, sd = 0.0, 1.0
-        if total > zeros:
-            mu = float((c * v)[~zero].sum() / (total - zeros))
-            sd = float(np.sqrt((c * (v - mu) ** 2)[~zero].sum() / (total - zeros)))
-        sd = max(sd, 1e-6)
-        for _ in range(iterations):
-            bell = np.exp(-0.5 * (mu / sd) ** 2) / (sd * np.sqrt(2 * np.pi))
-            spike = w / (w + (1 - w) * bell) if w + (1 - w) * bell > 1e-8 else 1.0
-            core = c * np.where(zero, 1 - spike, 1.0) * (np.abs(v - mu) <= cutoff * sd)
-            before = (w, mu, sd)
-            w = float(np.clip(zeros * spike / total, 1e-6, 1 - 1e-6))
-            if core.sum() > 0:
-                mu = float((core * v).sum() / core.sum())
-                sd = max(float(np.sqrt((core * (v - mu) ** 2).sum() / core.sum())) * widen, 1e-6)
-            else:
-                sd *= widen
-            if max(abs(a - b) for a, b in zip(before, (w, mu, sd))) < tolerance:
+        g = pdf.groupby(value)[n].sum()
+        v, c = g.index.to_numpy(float), g.to_numpy(float)
+        other = v != 0
+        found: tuple[float, float] | None = None
+        if c[other].sum() > 0:
+            below = np.cumsum(c[other]) / c[other].sum()
+            low, high = (v[other][np.searchsorted(below, q)] for q in (0.25, 0.75))
+            found, seen = ((low + high) / 2, max((high - low) / 1.349, 0.75)), set()
+        while found:
+            first, last = math.ceil(found[0] - reach * found[1]), math.floor(found[0] + reach * found[1])
+            if (first, last) in seen:
                 break
+            seen.add((first, last))
+            whole = np.arange(first, last + 1)
+            whole = whole[whole != 0].astype(float)
+            count = g.reindex(whole, fill_value=0).to_numpy(float)
+            found = _discrete_normal(whole, count) if count.sum() else None
+        if not found:
+            w = mu = sd = None
+        else:
+            mu, sd = found
+            law = np.exp(-0.5 * ((whole - mu) / sd) ** 2)
+            expected = count.sum() * math.exp(-0.5 * (mu / sd) ** 2) / law.sum()
+            w = float(max(0.0, c[~other].sum() - expected) / c.sum())
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), w, mu, sd]], columns=[*keys, "w", "mu", "sd"])
 
     kinds = {f.name: f.dataType.simpleString() for f in hist.schema}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import safe_ratio
 from voxelweave.functions.storage import checked_broadcast, cut
-from voxelweave.operators.linking import reachable
+from voxelweave.operators.linking import FEW_EDGES, reachable
 from voxelweave.operators.windows import quantiles
 
 
@@ -77,16 +77,19 @@ def labelled(voxels: DataFrame, place: list[str], axes: list[str], key: str, dia
     types = ", ".join(f"_{c} long" for c in axes)
     parts = voxels.select("*", *tile).groupBy(*keys).applyInArrow(_tile_labels(axes, key, diagonal), f"{schema}, {types}, part long")
     parts = cut(parts.drop(*[f"_{c}" for c in axes]), "parts")
-    edges = None
-    for step in _steps(len(axes), diagonal):
-        leaves = F.lit(False)
-        for c, o in zip(axes, step):
-            if o:
-                leaves = leaves | (F.pmod(F.col(c), F.lit(TILE)) == (TILE - 1 if o > 0 else 0))
-        from_ = parts.where(leaves).select(*place, *[(F.col(c) + o).alias(c) for c, o in zip(axes, step)], F.col("part").alias("a"))
-        one = from_.join(parts.select(*place, *axes, F.col("part").alias("b")), [*place, *axes]).select("a", "b").distinct()
-        edges = one if edges is None else edges.unionByName(one)
-    roots = checked_broadcast(cut(reachable(edges).withColumnRenamed("id", "part"), "roots"))
+    # a voxel on a tile's border asks for its neighbours beyond; only voxels on a border can answer
+    last = lambda c: F.pmod(F.col(c), F.lit(TILE))
+    rim = F.lit(False)
+    for c in axes:
+        rim = rim | last(c).isin(0, TILE - 1)
+    steps = F.array(*[F.struct(*[F.lit(o).alias(c) for c, o in zip(axes, step)]) for step in _steps(len(axes), diagonal)])
+    beyond = F.lit(False)
+    for c in axes:
+        beyond = beyond | ((last(c) == 0) & (F.col(f"o.{c}") < 0)) | ((last(c) == TILE - 1) & (F.col(f"o.{c}") > 0))
+    border = parts.where(rim)
+    asks = border.withColumn("o", F.explode(steps)).where(beyond).select(*place, *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in axes], F.col("part").alias("a"))
+    edges = asks.join(border.select(*place, *axes, F.col("part").alias("b")), [*place, *axes]).select("a", "b").distinct()
+    roots = checked_broadcast(cut(reachable(edges, few=FEW_EDGES).withColumnRenamed("id", "part"), "roots"))
     return parts.join(roots, "part", "left").select(*voxels.columns, F.coalesce("component", "part").alias("component"))
 
 
