@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.functions.storage import cut
+from voxelweave.functions.storage import cut, scratch
 from voxelweave.jobs.registry import query, r6
-from voxelweave.operators import contours
-from voxelweave.sources.tables import EDGE, cube
+from voxelweave.jobs.scans import METAL, RESIDUAL, SCAN, WIDTH
+from voxelweave.operators import contours, geometry, morphology, recursive, residual, stats, thresholds
+from voxelweave.sources import raw_volume, residual_store
+from voxelweave.sources.tables import EDGE, cube, scan
 
 AXES = ["z", "y", "x"]
 CUBE = """cube AS (SELECT volume, z, y, x, sum(q)::BIGINT::DOUBLE v, (((n * 128 + z) * 24 + y) * 24 + x)::BIGINT id FROM (SELECT l_returnflag || '-' || (l_partkey // 2000) volume,
@@ -80,3 +86,150 @@ def can_circles(spark, d):
 def can_gated(spark, d):
     """Strong voxels inside the metal of their slab, the input of detection there."""
     return contours.gated(cube(spark, d).where("v >= 30").select("volume", *AXES, "v"), _can(spark, d)[1], SLAB)
+
+
+# ---------------------------------------------------------------- stored residuals and raw volumes
+
+
+@query(f"WITH {RESIDUAL} SELECT volume, z, y, x, r, g FROM res WHERE z BETWEEN 60 AND 69")
+def residual_range(spark, d):
+    """Ten slices of a residual that was written once as a table of ranges of slices."""
+    path = f"{scratch(spark)}/residuals-{uuid.uuid4().hex}"
+    residual_store.write_residuals(residual.residuals(scan(spark, d), WIDTH, METAL).select("volume", *AXES, "r", "g"), path)
+    return residual_store.read_residuals(spark, path, 60, 69).select("volume", *[F.col(c).cast("long").alias(c) for c in (*AXES, "r", "g")])
+
+
+@query(f"WITH {SCAN} SELECT volume, z, sum(g)::BIGINT total, count(*) FILTER (g > 0) filled FROM scan WHERE z BETWEEN 50 AND 59 GROUP BY 1, 2")
+def raw_volume_range(spark, d):
+    """Gray volumes written as raw slices, ten of them read back without opening the others."""
+    path = f"{raw_volume.local_path(scratch(spark))}/raw-{uuid.uuid4().hex}"
+    raw_volume.write_volume(raw_volume.as_slices(scan(spark, d), "g", 8, 8), path)
+    v = raw_volume.as_voxels(raw_volume.read_volume(spark, path, slices=4, first=50, last=59))
+    return v.groupBy("volume", "z").agg(F.sum("v").cast("long").alias("total"), F.count_if(F.col("v") > 0).alias("filled")).where("filled > 0")
+
+
+# ---------------------------------------------------------------- resampling
+
+SHAPE = (110, 8, 8)
+TURN = geometry.plane_rotation(9.0, (1, 2)) @ geometry.plane_rotation(-2.0, (0, 2))
+SHIFT = geometry.about_centre(TURN, SHAPE)
+
+
+def _linear(matrix: np.ndarray, offset: np.ndarray, i: int, names: tuple[str, ...] = ("z", "y", "x")) -> str:
+    return "(" + " + ".join(f"{float(matrix[i, j])!r}::DOUBLE * {c}" for j, c in enumerate(names)) + f" + {float(offset[i])!r}::DOUBLE)"
+
+
+def _mirror(i: str, n: int) -> str:
+    m = f"(abs({i}) % {2 * n - 2})"
+    return f"CASE WHEN {m} >= {n} THEN {2 * n - 2} - {m} ELSE {m} END"
+
+
+def _spline_sql() -> str:
+    steps, before = [], "grid"
+    for axis, n in zip(AXES, SHAPE):
+        same = " AND ".join(f"s.{c} = d.{c}" for c in AXES if c != axis)
+        steps.append(f"c{axis} AS (SELECT d.volume, d.z, d.y, d.x, sum(h * s.v) v FROM {before} d CROSS JOIN taps JOIN {before} s ON s.volume = d.volume AND {same} AND s.{axis} = {_mirror(f'(d.{axis} + k)', n)} GROUP BY 1, 2, 3, 4)")
+        before = f"c{axis}"
+    at = ", ".join(f"{_linear(TURN, SHIFT, i)} r{c}" for i, c in enumerate(AXES))
+    snap = ", ".join(f"CASE WHEN abs(r{c} - round(r{c})) < 1e-9 THEN round(r{c}) ELSE r{c} END a{c}" for c in AXES)
+    inside = " AND ".join(f"a{c} BETWEEN 0 AND {n - 1}" for c, n in zip(AXES, SHAPE))
+    bell = lambda c: f"CASE WHEN abs(a{c} - floor(a{c}) - o{c}.range) < 1 THEN (4 - 6 * abs(a{c} - floor(a{c}) - o{c}.range) ** 2 + 3 * abs(a{c} - floor(a{c}) - o{c}.range) ** 3) / 6 ELSE (2 - abs(a{c} - floor(a{c}) - o{c}.range)) ** 3 / 6 END"
+    reads = " AND ".join(f"s.{c} = {_mirror(f'(floor(a{c})::BIGINT + o{c}.range)', n)}" for c, n in zip(AXES, SHAPE))
+    return f"""WITH {SCAN}, grid AS (SELECT v0.volume, z.range z, y.range y, x.range x, coalesce(g, 0)::DOUBLE v FROM (SELECT DISTINCT volume FROM scan) v0 CROSS JOIN range({SHAPE[0]}) z CROSS JOIN range({SHAPE[1]}) y CROSS JOIN range({SHAPE[2]}) x
+          LEFT JOIN scan ON scan.volume = v0.volume AND scan.z = z.range AND scan.y = y.range AND scan.x = x.range), taps AS (SELECT range k, sqrt(3) * power(sqrt(3) - 2, abs(range)) h FROM range(-24, 25)), {", ".join(steps)},
+          pos AS (SELECT volume, z, y, x, {snap} FROM (SELECT volume, z, y, x, {at} FROM grid)),
+          got AS (SELECT t.volume, t.z, t.y, t.x, sum(({bell("z")}) * ({bell("y")}) * ({bell("x")}) * s.v) v FROM pos t CROSS JOIN range(-1, 3) oz CROSS JOIN range(-1, 3) oy CROSS JOIN range(-1, 3) ox JOIN cx s ON s.volume = t.volume AND {reads} WHERE {inside} GROUP BY 1, 2, 3, 4)
+          SELECT volume, z, y, x, round(coalesce(got.v, 0), 3) + 0.0 g FROM grid LEFT JOIN got USING (volume, z, y, x)"""
+
+
+@query(_spline_sql())
+def rotated_spline(spark, d):
+    """Volumes turned about two axes, read by cubic splines."""
+    v = recursive.resampled_spline(scan(spark, d), ["volume"], "g", TURN, SHIFT, SHAPE)
+    return v.select("volume", *AXES, (F.round("g", 3) + F.lit(0.0)).alias("g"))
+
+
+ALIGNED = geometry.aligned_maps(SHAPE, 7.0, -4.0)
+
+
+def _within(margin: float) -> str:
+    tests = []
+    for matrix, offset, axes in ALIGNED:
+        tests += [f"{_linear(matrix, offset, i)} BETWEEN {margin if i in axes else 0} - 1e-9 AND {n - 1 - (margin if i in axes else 0)} + 1e-9" for i, n in enumerate(SHAPE)]
+    return " AND ".join(tests)
+
+
+@query(f"""WITH {SCAN}, lines AS (SELECT DISTINCT volume, z, y FROM scan), ok AS (SELECT volume, z, y, min(x) lo, max(x) hi FROM (SELECT * FROM lines CROSS JOIN range(8)) l(volume, z, y, x) WHERE {_within(0.5)} GROUP BY 1, 2, 3) SELECT volume, z, y, coalesce(lo, 8)::INT x_min, coalesce(hi + 1, 0)::INT x_max FROM lines LEFT JOIN ok USING (volume, z, y)""")
+def valid_after_alignment(spark, d):
+    """Range of x in each line of a volume that two turns fill from real voxels."""
+    return geometry.valid_intervals(scan(spark, d).select("volume", "z", "y").distinct(), SHAPE, ALIGNED, 0.5)
+
+
+WIDE = (128, EDGE, EDGE)
+TILT = geometry.plane_rotation(20.0, (1, 2))
+TILTED = geometry.about_centre(TILT, WIDE)
+
+
+@query(f"""WITH {CUBE}, support AS (SELECT volume, z // 16 part, {", ".join(f"round({_linear(TILT, TILTED, i)}, 9) a{c}" for i, c in enumerate(AXES))} FROM cube WHERE v >= 120),
+       box AS (SELECT volume, part, {", ".join(f"greatest(floor(min(a{c})) - 1, 0) {c}0, least(ceil(max(a{c})) + 1, {n - 1}) {c}1" for c, n in zip(AXES, WIDE))} FROM support GROUP BY 1, 2)
+       SELECT volume, part, row_number() OVER (PARTITION BY volume, part ORDER BY v DESC, z, y, x)::INT AS rank, z, y, x, v FROM box JOIN cube USING (volume) WHERE z BETWEEN z0 AND z1 AND y BETWEEN y0 AND y1 AND x BETWEEN x0 AND x1 QUALIFY rank <= 10""")
+def top_in_turned_boxes(spark, d):
+    """The ten largest values in the box around each group of strong voxels after a turn."""
+    v = cube(spark, d).select("volume", *AXES, "v")
+    strong = v.where("v >= 120").withColumn("part", F.floor(F.col("z") / 16))
+    boxes = geometry.moved_boxes(strong, ["volume", "part"], TILT, TILTED, 1, WIDE)
+    return geometry.top_in_boxes(v, boxes, ["volume", "part"], "volume", "v", 10)
+
+
+# ---------------------------------------------------------------- morphology, landmarks, noise models
+
+STEPS = "(VALUES " + ", ".join(str(s) for s in morphology.ball(1)) + ") s(dz, dy, dx)"
+
+
+@query(f"""WITH {CUBE}, m AS (SELECT volume, z, y, x FROM cube WHERE v >= 60), wide AS (SELECT DISTINCT volume, z + dz z, y + dy y, x + dx x FROM m CROSS JOIN {STEPS})
+       SELECT volume, z - dz z, y - dy y, x - dx x FROM wide CROSS JOIN {STEPS} GROUP BY ALL HAVING count(*) = 7""")
+def closed_voxels(spark, d):
+    """Strong voxels with what is narrower than a ball of one voxel between them."""
+    return morphology.closed(cube(spark, d).where("v >= 60").select("volume", *AXES), ["volume"], morphology.ball(1))
+
+
+BELL = np.exp(-0.5 * np.arange(-2, 3) ** 2) / np.exp(-0.5 * np.arange(-2, 3) ** 2).sum()
+KERNEL = "(VALUES " + ", ".join(f"({a - 2}, {b - 2}, {float(BELL[a] * BELL[b])!r}::DOUBLE)" for a, b in itertools.product(range(5), repeat=2)) + ") k(dy, dx, w)"
+
+
+@query(f"""WITH {CUBE}, img AS (SELECT volume, y, x, least(max(v), 255) v FROM cube GROUP BY 1, 2, 3), top AS (SELECT volume, y ty, x tx FROM img QUALIFY row_number() OVER (PARTITION BY volume ORDER BY v DESC, y, x) = 1),
+       stamp AS (SELECT volume, y, x, v / 4 s FROM img JOIN top USING (volume) WHERE abs(y - ty) <= 2 AND abs(x - tx) <= 2),
+       told AS (SELECT volume, yy + dy y, xx + dx x, s * w s FROM (SELECT volume, s, unnest([y, -1 - y, 47 - y]) yy, x FROM stamp) a CROSS JOIN LATERAL (SELECT unnest([a.x, -1 - a.x, 47 - a.x]) xx) b CROSS JOIN {KERNEL}),
+       soft AS (SELECT volume, y, x, sum(s) s FROM told WHERE y BETWEEN 0 AND 23 AND x BETWEEN 0 AND 23 GROUP BY 1, 2, 3),
+       scale AS (SELECT volume, max(stamp.s) / any_value(p) f FROM stamp JOIN (SELECT volume, max(s) p FROM soft GROUP BY 1) USING (volume) GROUP BY 1)
+       SELECT volume, y, x, greatest(0, least(255, round_even(v + 0.75 * coalesce(s * f, 0), 0)))::INT v FROM img LEFT JOIN (SELECT soft.volume, y, x, s, f FROM soft JOIN scale USING (volume)) USING (volume, y, x)""")
+def blended_image(spark, d):
+    """The surroundings of a projection's brightest pixel, softened and added to it."""
+    img = cut(cube(spark, d).groupBy("volume", "y", "x").agg(F.least(F.max("v"), F.lit(255.0)).alias("v")), "image")
+    top = img.groupBy("volume").agg(F.max_by(F.struct(F.col("y").alias("ty"), F.col("x").alias("tx")), F.struct("v", -F.col("y"), -F.col("x"))).alias("t"))
+    stamp = img.join(top, "volume").where("abs(y - t.ty) <= 2 and abs(x - t.tx) <= 2").select("volume", "y", "x", (F.col("v") / 4).alias("strength"))
+    return morphology.blended(img, stamp, ["volume"], "v", (EDGE, EDGE))
+
+
+@query()
+def local_objects(spark, d):
+    """The object at the brightest voxel of each volume and quarter, projected with confidence."""
+    v = cube(spark, d).select("volume", *AXES, "v")
+    top = v.withColumn("part", F.floor(F.col("z") / 25)).groupBy("volume", "part").agg(F.max_by(F.struct(*AXES), F.struct("v", *[-F.col(c) for c in AXES])).alias("p"))
+    points = top.select(F.concat_ws("/", "volume", "part").alias("point"), "volume", *[f"p.{c}" for c in AXES])
+    return morphology.extracted(v, points, "v")
+
+
+@query()
+def raw_landmarks(spark, d):
+    """Air, core, brightest and metal level of every volume, from some slices."""
+    h = thresholds.sampled_slices(scan(spark, d), ["volume"], "g", 10)
+    return thresholds.raw_landmarks(h, ["volume"], "g")
+
+
+@query()
+def noise_model_eigenvalues(spark, d):
+    """Least eigenvalue of each slice's noise correlation over windows of three widths; a model is none if it is negative."""
+    n = residual.slice_noise(scan(spark, d)).where("rho1 is not null")
+    rows = n.select("volume", "z", "rho1", "rho2", F.explode(F.array(*[F.lit(k) for k in (5, 11, 25)])).alias("n"))
+    return rows.select("volume", "z", "n", r6(stats.least_eigenvalue(F.col("n"), F.col("rho1"), F.col("rho2"))).alias("least"))

@@ -6,7 +6,7 @@ import itertools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ["z", "y", "x"]
@@ -89,3 +89,72 @@ def coverage_iou(coverage: DataFrame, mask: DataFrame, keys: list[str]) -> DataF
     all_ = mask.agg(F.count("*").alias("n"))
     return g.crossJoin(F.broadcast(all_)).select(*keys, (F.col("both") / (F.col("c") + F.col("n") - F.col("both"))).alias("iou"))  # one count
 
+
+
+def aligned_maps(shape: tuple[int, int, int], theta: float, phi: float) -> list[tuple[np.ndarray, np.ndarray, tuple[int, int]]]:
+    """(matrix, offset, axes) of the arrays that a two-step alignment reads, each seen from the output: the one between
+    the steps, turned back by phi in (z, x), and the source, turned by theta in (y, x) as well."""
+    found, m, o = [], np.eye(3), np.zeros(3)
+    for degrees, axes in ((-phi, (0, 2)), (theta, (1, 2))):
+        if degrees:
+            turn = plane_rotation(degrees, axes)
+            m, o = turn @ m, turn @ o + about_centre(turn, shape)
+            found.append((m, o, axes))
+    return found
+
+
+def valid_intervals(lines: DataFrame, shape: tuple[int, int, int], maps: list[tuple[np.ndarray, np.ndarray, tuple[int, int]]], margin: float = 1.0) -> DataFrame:
+    """lines (z, y, ...) with x_min and x_max: the half-open range of x for which every map leads into its array, `margin`
+    voxels from the edge along the axes of its turn. Each bound is linear in x, so it cuts the line to a range,
+    and the ranges meet in one; (size, 0) if it is empty."""
+    low, high, possible = F.lit(0.0), F.lit(shape[2] - 1.0), F.lit(True)
+    for matrix, offset, axes in maps:
+        for i, n in enumerate(shape):
+            inset = margin if i in axes else 0.0
+            base = float(matrix[i, 0]) * F.col("z") + float(matrix[i, 1]) * F.col("y") + float(offset[i])
+            slope = float(matrix[i, 2])
+            if abs(slope) < 1e-12:
+                possible = possible & base.between(inset, n - 1 - inset)
+                continue
+            ends = [(F.lit(bound) - base) / slope for bound in (inset, n - 1 - inset)]
+            low, high = F.greatest(low, F.least(*ends)), F.least(high, F.greatest(*ends))
+    possible = possible & (low <= high)
+    clipped = lambda c: F.greatest(F.lit(0), F.least(F.lit(shape[2]), c)).cast("int")
+    return lines.withColumn("x_min", clipped(F.when(possible, F.ceil(low - 1e-9)).otherwise(shape[2]))).withColumn("x_max", clipped(F.when(possible, F.floor(high + 1e-9) + 1).otherwise(0)))
+
+
+def moved_boxes(points: DataFrame, keys: list[str], matrix: np.ndarray, offset: np.ndarray, halo: int, shape: tuple[int, int, int]) -> DataFrame:
+    """(keys, z0, z1, y0, y1, x0, x1): box (ends included) of each group's points carried by matrix @ point + offset,
+    widened by halo and clipped; groups that leave the volume are left out."""
+    at = [F.round(sum((float(matrix[i, j]) * F.col(c) for j, c in enumerate(AXES[1:], 1)), float(matrix[i, 0]) * F.col("z") + float(offset[i])), 9) for i in range(3)]
+    ends = []
+    for c, a, n in zip(AXES, at, shape):
+        ends += [F.greatest(F.floor(F.min(a)) - halo, F.lit(0)).cast("long").alias(f"{c}0"), F.least(F.ceil(F.max(a)) + halo, F.lit(n - 1)).cast("long").alias(f"{c}1")]
+    return points.groupBy(*keys).agg(*ends).where(" and ".join(f"{c}0 <= {c}1" for c in AXES))
+
+
+def top_in_boxes(voxels: DataFrame, boxes: DataFrame, keys: list[str], volume: str, value: str, k: int, tile: int = 8) -> DataFrame:
+    """(keys, rank, z, y, x, value): the k largest values in each box (keys, volume, z0, z1, ...), ties in order of z, y, x.
+
+    Boxes meet tiles of voxels. Tiles wholly inside a box hold a voxel as large as their maximum each, so the k-th largest
+    of these maxima bounds what is needed: only tiles with as large a maximum give their voxels, which
+    are then ranked.
+    """
+    own = voxels.select(volume, *AXES, value, *[F.floor(F.col(c) / tile).cast("long").alias(f"_{c}") for c in AXES])
+    tiles = own.groupBy(volume, *[f"_{c}" for c in AXES]).agg(F.max(value).alias("_most"))
+    asked = boxes
+    for c in AXES:
+        asked = asked.withColumn(f"_{c}", F.explode(F.sequence(F.floor(F.col(f"{c}0") / tile).cast("long"), F.floor(F.col(f"{c}1") / tile).cast("long"))))
+    whole = F.lit(True)
+    for c in AXES:
+        whole = whole & (F.col(f"_{c}") * tile >= F.col(f"{c}0")) & (F.col(f"_{c}") * tile + tile - 1 <= F.col(f"{c}1"))
+    met = asked.join(tiles, [volume, *[f"_{c}" for c in AXES]])
+    w = Window.partitionBy(*keys).orderBy(F.col("_most").desc())
+    bound = met.where(whole).withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k).select(*keys, F.col("_most").alias("_bound"))
+    need = met.join(bound, keys, "left").where("_bound is null or _most >= _bound")
+    inside = F.lit(True)
+    for c in AXES:
+        inside = inside & F.col(c).between(F.col(f"{c}0"), F.col(f"{c}1"))
+    found = need.join(own, [volume, *[f"_{c}" for c in AXES]]).where(inside)
+    w = Window.partitionBy(*keys).orderBy(F.col(value).desc(), *AXES)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*keys, "rank", *AXES, value)

@@ -359,3 +359,32 @@ def gaussian_mixture(rows: DataFrame, value: str, k: int, seed: int = 0) -> Data
     model = GaussianMixture(featuresCol="_x", k=k, seed=seed).fit(x)
     parts = sorted((float(g.mean[0]), float(w), float(g.cov.toArray()[0, 0]) ** 0.5) for w, g in zip(model.weights, model.gaussians))
     return rows.sparkSession.createDataFrame([(i, w, m, s) for i, (m, w, s) in enumerate(parts)], "component int, weight double, mean double, sd double")
+
+
+def least_eigenvalue(n: Column, first: Column, second: Column, steps: int = 60) -> Column:
+    """Least eigenvalue of the n x n matrix with ones on the diagonal and `first` and `second` beside it, by bisection: the
+    number of negative pivots of the matrix less a shift is the number of eigenvalues below the shift (Sturm),
+    and the pivots of so narrow a band come one after the other from the two before."""
+
+    def below(shift: Column) -> Column:
+        start = F.struct(F.lit(1.0).alias("d1"), F.lit(1.0).alias("d2"), F.lit(0.0).alias("e1"), F.lit(0.0).alias("f1"), F.lit(0.0).alias("f2"), F.lit(False).alias("found"))
+
+        def pivot(s: Column, i: Column) -> Column:
+            # d1, d2: the last two pivots; e1: the last row's next factor; f1, f2: factors two rows on, of the last two rows
+            d = (1.0 - shift) - s["e1"] * s["e1"] * s["d1"] - s["f2"] * s["f2"] * s["d2"]
+            d = F.when(F.abs(d) < 1e-300, F.lit(-1e-300)).otherwise(d)
+            e = (first - s["f1"] * s["e1"] * s["d1"]) / d
+            return F.struct(d.alias("d1"), s["d1"].alias("d2"), e.alias("e1"), (second / d).alias("f1"), s["f1"].alias("f2"), (s["found"] | (d < 0)).alias("found"))
+
+        return F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, pivot, lambda s: s["found"])
+
+    reach = 2 * (F.abs(first) + F.abs(second))
+    ends = F.struct((1.0 - reach).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def halved(s: Column, _: Column) -> Column:
+        middle = (s["lo"] + s["hi"]) / 2
+        yes = below(middle)
+        return F.struct(F.when(yes, s["lo"]).otherwise(middle).alias("lo"), F.when(yes, middle).otherwise(s["hi"]).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, halved, lambda s: (s["lo"] + s["hi"]) / 2)
+    return F.when(n >= 1, found)
