@@ -559,7 +559,7 @@ def test_empty_tables(spark, none):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
     got = queries.queries()[name](spark, FOLDER)
     want = con.sql(queries.oracle_sql()[name])

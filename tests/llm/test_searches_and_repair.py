@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelweave.llm import ann, hard_negatives, queries, structure, vectors
+from voxelweave.llm import ann, embedding_dedup, hard_negatives, queries, structure, vectors
 
 CHAT = "conv_id long, turn long, role string, text string, n long, block string, place int, fault string"
 VEC = "vec_id long, embedding array<double>, label int, ids string, score int, block int"
@@ -266,3 +266,27 @@ def test_collapsed_keeps_the_smallest_ids(spark):
     rows = spark.createDataFrame([(i % 50, bytes([i % 3])) for i in range(500)], "vec_id long, u binary")
     got = {bytes(r["u"]): r["ids"] for r in vectors.collapsed(rows, ["u"], 4).collect()}
     assert got == {bytes([k]): sorted({i % 50 for i in range(500) if i % 3 == k})[:4] for k in range(3)}
+
+
+def test_embedding_links_of_repeated_ids(spark):
+    """An id with several vectors or labels: every row has its own links and component."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((12, 20))
+    rows = []
+    for k in range(150):
+        v = base[k % 12] + 0.1 * rng.standard_normal(20) * (1 + k % 3)
+        rows.append((int(rng.integers(0, 60)), v.tolist(), int(rng.integers(0, 3))))
+    rows += rows[:10] + [(5, base[0].tolist(), 0), (5, (-base[0]).tolist(), 0), (5, base[0].tolist(), 1), (7, (base[0] * 1e200).tolist(), 0), (8, (base[0] * 1e-200).tolist(), 0)]
+    got = embedding_dedup.embedding_dedup(vector_table(spark, rows)).collect()
+    units = np.array([np.array(v) / np.abs(v).max() for _, v, _ in rows])
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    label = np.array([lab for _, _, lab in rows])
+    link = (units @ units.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    root = np.arange(len(rows))
+    for _ in range(len(rows)):
+        root = np.minimum(root, np.where(link, root, len(rows)).min(axis=1))
+    ids = np.array([i for i, _, _ in rows])
+    least = {r: ids[root == r].min() for r in set(root.tolist())}
+    want = sorted((int(ids[k]), int(link[k].sum()), int(least[root[k]]), bool(ids[k] == least[root[k]])) for k in range(len(rows)))
+    assert sorted(map(tuple, got)) == want

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from voxelweave.operators.linking import reachable
 
 from .tables import checked_broadcast, small_batches, stored
+from .vectors import as_bytes, matrix
 
 #: Steps of the sorted line to the distance at the threshold, in which vectors are counted for cells.
 STEPS = 64
@@ -69,23 +70,20 @@ def _lines(dim: int, n: int, seed: int) -> np.ndarray:
 
 def _prepare(cfg: Projections) -> Callable:
     """Unit vectors as raw doubles with their place on the first line; unusable vectors: null."""
+    usable = as_bytes(np.asarray, zeros=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, at = [], []
-            for v in batch.column(2).to_pylist():
-                x = None if v is None or any(c is None for c in v) else np.array(v, np.float64)
-                norm = 0.0 if x is None or not len(x) else float(np.sqrt(x @ x))
-                if not (0 < norm < math.inf):
-                    raw.append(None)
-                    at.append(None)
-                    continue
-                u = x / norm
-                raw.append(u.tobytes())
-                at.append(float(u @ _lines(len(u), cfg.lines, cfg.seed)[:, -1]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(at, pa.float64())], ["vec_id", "label", "u", "at"]
-            )
+        for batch in usable(batches):
+            raw: list = [None] * len(batch)
+            at = np.full(len(batch), np.nan)
+            good = np.flatnonzero(np.asarray(batch.column("u").is_valid()))
+            for dim, (rows, x) in matrix(batch.column("u").take(pa.array(good)), np.float64).items():
+                x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square is too large or too small
+                u = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+                at[good[rows]] = u @ _lines(dim, cfg.lines, cfg.seed)[:, -1]
+                for i, v in zip(good[rows], u):
+                    raw[i] = v.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary()), pa.array(at, mask=np.isnan(at))], ["vec_id", "label", "u", "at"])
 
     return run
 
@@ -212,10 +210,10 @@ def embedding_dedup(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
-    Equal vectors of a label are compared once, by their smallest id, and counted in full. Vectors
+    Equal vectors of a label are one numbered node, compared once and counted in full. Vectors
     that are null, empty, zero or hold null or non-finite components, or have a null label or id, link
-    with nothing. Vectors of different length never link. Repeated rows of one id count as
-    separate vectors. An empty table gives an empty result; other columns are ignored.
+    with nothing. Vectors of different length never link. Rows that repeat an id are
+    separate vectors, each with its own links; all of a component's rows with its smallest id are kept. An empty table gives an empty result; other columns are ignored.
     """
     small_batches(table.sparkSession)
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -223,17 +221,15 @@ def embedding_dedup(
     usable = F.col("u").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     keyed = rows.withColumn("h", F.when(usable, F.sha2("u", 256)))
     classes = stored(
-        keyed.where(usable).groupBy("label", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("u").alias("u"), F.first("at").alias("at")), "classes"
-    )
-    links = stored(embedding_links(classes.select(F.col("rep").alias("vec_id"), "label", "u", "at", "copies"), cfg), "links")
-    direct = links.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("others"))
-    comp = reachable(links, "vec_id", "least")
-    per = (
-        classes.select("label", "h", "rep", "copies")
-        .join(direct, "rep", "left")
-        .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("label", "h", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
+        keyed.where(usable).groupBy("label", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("u").alias("u"), F.first("at").alias("at"))
+        .withColumn("node", F.monotonically_increasing_id()), "classes"
+    )
+    links = stored(embedding_links(classes.select(F.col("node").alias("vec_id"), "label", "u", "at", "copies"), cfg), "links")
+    direct = links.groupBy(F.col("vec_id").alias("node")).agg(F.sum("links").alias("others"))
+    comp = reachable(links, "vec_id", "least").withColumnRenamed("id", "node")
+    nodes = classes.select("node", "label", "h", "rep", "copies").join(direct, "node", "left").join(comp, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
+    per = nodes.join(least, "root").select("label", "h", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     out = keyed.select("vec_id", "label", "h").join(per, ["label", "h"], "left")
     root = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.col("vec_id").eqNullSafe(root).alias("kept"))

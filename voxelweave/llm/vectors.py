@@ -17,7 +17,7 @@ BLOCK_ROWS = 1 << 16
 BLOCKS = 16
 
 
-def _as_bytes(make: Callable[[np.ndarray], np.ndarray], zeros: bool) -> Callable:
+def as_bytes(make: Callable[[np.ndarray], np.ndarray], zeros: bool) -> Callable:
     """Vectors of the last column as raw bytes of make(all components); unusable ones: null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +42,7 @@ def raw_vectors(table: DataFrame, carry: dict[str, Column], vector: Column, make
     """carry's columns (long) and u: a vector's components as raw bytes of make(doubles). Vectors that are null, empty,
     or hold null or non-finite components (or only zeros, unless `zeros`) are left out."""
     rows = table.select(*[c.cast("long").alias(n) for n, c in carry.items()], vector.cast("array<double>").alias("v"))
-    return rows.mapInArrow(_as_bytes(make, zeros), ", ".join(f"{n} long" for n in carry) + ", u binary").where("u is not null")
+    return rows.mapInArrow(as_bytes(make, zeros), ", ".join(f"{n} long" for n in carry) + ", u binary").where("u is not null")
 
 
 def collapsed(rows: DataFrame, same: list[str], k: int) -> DataFrame:
