@@ -509,7 +509,7 @@ def test_op10_is_ftrl_proximal(spark):
     rng = random.Random(3)
     texts = [(k, " ".join(rng.choice(["you", "are", "a", "kind", "vile", "person", "today", "Vile,"]) for _ in range(rng.randrange(0, 9)))) for k in range(40)]
     labels = [(k, int("vile" in t.lower())) for k, t in texts]
-    cfg = toxicity.Ftrl(l1=0.3, epochs=3)
+    cfg = toxicity.Ftrl(l1=0.3, epochs=3, trials=())
     d = spark.createDataFrame([*texts, (77, None), (78, "")], "doc_id long, text string")
     got = {r.doc_id: r.score for r in toxicity.score(d, toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"), cfg), cfg).collect()}
 

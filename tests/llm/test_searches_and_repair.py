@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voxelweave.llm import ann, embedding_dedup, hard_negatives, queries, structure, vectors
+from voxelweave.llm import ann, embedding_dedup, hard_negatives, queries, structure, toxicity, vectors
 
 CHAT = "conv_id long, turn long, role string, text string, n long, block string, place int, fault string"
 VEC = "vec_id long, embedding array<double>, label int, ids string, score int, block int"
@@ -290,3 +291,14 @@ def test_embedding_links_of_repeated_ids(spark):
     least = {r: ids[root == r].min() for r in set(root.tolist())}
     want = sorted((int(ids[k]), int(link[k].sum()), int(least[root[k]]), bool(ids[k] == least[root[k]])) for k in range(len(rows)))
     assert sorted(map(tuple, got)) == want
+
+
+def test_penalty_and_constant_come_from_inner_folds():
+    """The penalty with the best recall at the allowed share of false finds, and no clean row more than that needs."""
+    cfg = toxicity.Ftrl(trials=(1.0, 2.0), false=0.1)
+    clean = [float(k) for k in range(-20, 0)]
+    rows = [(0, 0, c) for c in clean] + [(0, 1, x) for x in (-9.5, -1.5, 3.0)] + [(1, 0, c) for c in clean] + [(1, 1, x) for x in (-2.5, 2.0, 3.0)]
+    table = pa.table({n: pa.array([r[i] for r in rows]) for i, n in enumerate(("penalty", "toxic", "logit"))})
+    best, shift = toxicity._chosen(table, cfg)
+    assert best.l1 == 2.0 and shift == 2.75  # between the clean row at -3 and the toxic one at -2.5
+    assert toxicity._chosen(table.slice(0, 0), cfg) == (cfg, 0.0)

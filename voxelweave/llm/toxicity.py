@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,9 @@ U = np.uint64
 @dataclass(frozen=True)
 class Ftrl:
     """bits: log2 of the weight table. alpha, beta: per-coordinate rates; l1, l2: penalties.
-    rows: labelled documents of each label learned from at most, those of least hashed id."""
+    rows: labelled documents of each label learned from at most, those of least hashed id. trials: values of l1, of
+    which inner folds of the learned rows choose one; false: share of their clean documents that may score
+    0.5 or more when they are held out, which sets the constant. Without trials l1 and the constant stay."""
 
     bits: int = 20
     alpha: float = 1.0
@@ -28,6 +30,9 @@ class Ftrl:
     l2: float = 0.1
     epochs: int = 5
     rows: int = 6000
+    trials: tuple[float, ...] = (4.0, 8.0, 16.0)
+    folds: int = 3
+    false: float = 0.005
 
 
 def features(words: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,43 +73,84 @@ def _slots(bits: int) -> Callable:
     return run
 
 
-def _train(cfg: Ftrl) -> Callable:
-    """FTRL-proximal over the rows in order, epochs times, each time in another fixed order."""
+def _fit(docs: list[np.ndarray], labels: list[int], cfg: Ftrl) -> np.ndarray:
+    """Weights by FTRL-proximal over the rows in order, epochs times, each time in another fixed order."""
+    size = (1 << cfg.bits) + 1  # the last is the constant
+    z, n = np.zeros(size), np.zeros(size)
 
+    def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(np.abs(z) <= cfg.l1, 0.0, (np.sign(z) * cfg.l1 - z) / ((cfg.beta + np.sqrt(n)) / cfg.alpha + cfg.l2))
+
+    rng = np.random.default_rng(7)
+    for _ in range(cfg.epochs):
+        for d in rng.permutation(len(docs)):
+            x = np.append(docs[d], size - 1)
+            zi, ni = z[x], n[x]
+            wi = weights(zi, ni)
+            g = 1 / (1 + np.exp(-np.clip(wi.sum(), -30, 30))) - labels[d]
+            z[x] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / cfg.alpha * wi
+            n[x] += g * g
+    return weights(z, n)
+
+
+def _train(cfg: Ftrl, shift: float = 0.0) -> Callable:
     @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, labels = [], []
         for batch in batches:
             labels += batch.column("toxic").to_pylist()
             docs += [x.values.to_numpy() for x in batch.column("slots")]
-        size = (1 << cfg.bits) + 1  # the last is the constant
-        z, n = np.zeros(size), np.zeros(size)
-
-        def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-            return np.where(np.abs(z) <= cfg.l1, 0.0, (np.sign(z) * cfg.l1 - z) / ((cfg.beta + np.sqrt(n)) / cfg.alpha + cfg.l2))
-
-        rng = np.random.default_rng(7)
-        for _ in range(cfg.epochs):
-            for d in rng.permutation(len(docs)):
-                x = np.append(docs[d], size - 1)
-                zi, ni = z[x], n[x]
-                wi = weights(zi, ni)
-                g = 1 / (1 + np.exp(-np.clip(wi.sum(), -30, 30))) - labels[d]
-                z[x] += g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / cfg.alpha * wi
-                n[x] += g * g
-        w = weights(z, n)
+        w = _fit(docs, labels, cfg)
+        w[-1] += shift
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], ["slot", "weight"])
 
     return run
 
 
+def _trial(cfg: Ftrl) -> Callable:
+    """Scores of one fold by weights of the others, with one penalty."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("o", "ascending")]).combine_chunks()
+        number = rows["trial"][0].as_py()
+        penalty, fold = divmod(number, cfg.folds)
+        held = np.asarray(rows["fold"]) == fold
+        docs = [x.values.to_numpy() for x in rows["slots"].chunk(0)]
+        labels = rows["toxic"].to_pylist()
+        w = _fit([d for d, h in zip(docs, held) if not h], [y for y, h in zip(labels, held) if not h], replace(cfg, l1=cfg.trials[penalty]))
+        logit = [float(w[d].sum() + w[-1]) for d, h in zip(docs, held) if h]
+        return pa.table({"penalty": pa.array([penalty] * len(logit), pa.int32()), "toxic": pa.array([y for y, h in zip(labels, held) if h], pa.int32()), "logit": pa.array(logit, pa.float64())})
+
+    return run
+
+
+def _chosen(tried: pa.Table, cfg: Ftrl) -> tuple[Ftrl, float]:
+    """(cfg with the penalty that finds most toxic rows while it flags at most cfg.false of the clean ones, the first of
+    equals; what its constant gains for that)."""
+    best: tuple[float, int, float] | None = None
+    penalty, toxic, logit = (np.asarray(tried[c]) for c in ("penalty", "toxic", "logit"))
+    for p in range(len(cfg.trials)):
+        clean, bad = np.sort(logit[(penalty == p) & (toxic == 0)])[::-1], logit[(penalty == p) & (toxic == 1)]
+        if not len(clean) or not len(bad):
+            continue
+        allowed = int(cfg.false * len(clean))
+        limit = clean[allowed] if allowed < len(clean) else clean[-1]  # scores above this one flag `allowed` clean rows
+        above = bad[bad > limit]
+        # no clean row more than these toxic ones need
+        middle = (clean[clean < above.min()].max(initial=above.min() - 1) + above.min()) / 2 if len(above) else limit
+        found = (float(np.mean(bad > middle)), -p, float(-middle))
+        best = found if best is None or found[:2] > best[:2] else best
+    return (cfg, 0.0) if best is None else (replace(cfg, l1=cfg.trials[-best[1]]), best[2])
+
+
 def train(docs: DataFrame, labels: DataFrame, cfg: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(slot, weight): the non-zero weights, learned from cfg.rows documents of each label at most. labels:
     (doc_id, toxic), already without held-out rows.
 
     Features are made where the texts are; one task learns from their slots, at most 2**bits of a
-    document. Rows that repeat an id are all learned from, in the order of a hash of their slots.
+    document. Before, each fold of these rows is scored by weights learned from the other folds, one task for each
+    fold and penalty; these scores choose the penalty and the constant. Rows that repeat an id are all learned from, in the order of a hash of their slots.
     """
     small_batches(docs.sparkSession)
     y = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -119,8 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, cfg: Ftrl = Ftrl(), id_col: str =
     picked = F.broadcast(stored(some.select(F.col("doc_id").alias("_id"), "toxic"), "labelled"))  # 2 * cfg.rows rows
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(picked, F.col("doc_id") == F.col("_id"))
     slots = stored(rows.select("doc_id", "toxic", "text").mapInArrow(_slots(cfg.bits), "doc_id long, toxic int, slots array<int>"), "sample")
+    shift = 0.0
+    if cfg.trials:
+        fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(cfg.folds)).cast("int")
+        trial = F.explode(F.sequence(F.lit(0), F.lit(len(cfg.trials) * cfg.folds - 1)))
+        rows = slots.select("doc_id", "toxic", "slots", F.xxhash64("slots").alias("o"), fold.alias("fold"), trial.alias("trial"))
+        tried = rows.groupBy("trial").applyInArrow(_trial(cfg), "penalty int, toxic int, logit double")
+        cfg, shift = _chosen(tried.toArrow(), cfg)  # a few numbers for each of 2 * cfg.rows documents
     one = slots.coalesce(1).sortWithinPartitions("doc_id", F.xxhash64("slots"))  # 2 * cfg.rows documents
-    return one.mapInArrow(_train(cfg), "slot long, weight double")
+    return one.mapInArrow(_train(cfg, shift), "slot long, weight double")
 
 
 def _score(weights, bits: int) -> Callable:
