@@ -156,3 +156,31 @@ def test_metal_mask(spark):
     core = got | {(5, 5)}
     got = {(r["y"], r["x"]) for r in contours.metal_mask(t, ["volume", "slab"], "v", 180, 4, 30, (12, 6)).collect()}
     assert got == {(y + a, x + b) for y, x in core for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) if x + b < 6}
+
+
+def test_candidate_rows_of_known_objects(spark):
+    """Axes, surface, seeds and radial position of a rod and of two joined balls in a can."""
+    from voxelweave.operators import candidates
+
+    cells = {(z, 10, 10): (9, 40.0) for z in range(5, 12)}  # a rod along z
+    for c in (20, 24):  # two seeds joined by weaker voxels
+        for a in (-1, 0, 1):
+            for b in (-1, 0, 1):
+                cells[8, 12 + a, c + b] = (5 if a or b else 9, 60.0)
+    cells[8, 12, 22] = (4, 60.0)
+    rows = []
+    for z, y, x in np.ndindex(16, 24, 32):
+        snr, g = cells.get((z, y, x), (0.5, 10.0))
+        rows.append(("v", z, y, x, int((z * 24 + y) * 32 + x), g, float(snr), float(snr)))
+    voxels = spark.createDataFrame(rows, "volume string, z long, y long, x long, id long, g double, r double, snr double").cache()
+    objects = volume.hysteresis(voxels, ["volume"], ["z", "y", "x"], "snr", 3.0, 8.0, "id").cache()
+    circles = spark.createDataFrame([("v", 0, 10.0, 10.0, 20.0, 99)], "volume string, slab long, yc double, xc double, r double, points long")
+    rod, pair = candidates.candidate_rows(voxels, objects, "id", 8.0, 100.0, (24, 32), circles).orderBy("component").collect()
+    assert (rod["n_voxels"], rod["z_extent"], rod["fill"], rod["surface_ratio"], rod["n_seed"], rod["n_seed_regions"]) == (7, 7, 1.0, 1.0, 7, 1)
+    assert rod["axis_z"] == pytest.approx(1) and rod["l1"] == pytest.approx(4 + 1 / 12) and rod["l3"] == pytest.approx(1 / 12) and rod["radial_pos"] == 0
+    assert rod["seed_offset"] == 0 and rod["edge_contrast"] == pytest.approx(8.5) and rod["decay_drop"] == 0 and rod["gs_contrast"] == pytest.approx(30)
+    assert (pair["n_voxels"], pair["n_seed"], pair["n_seed_regions"], pair["n_seed_total"]) == (19, 1, 2, 2)
+    assert pair["normal_z"] == pytest.approx(1) and pair["seed_offset"] == pytest.approx(2) and pair["r_peak"] == 9
+    assert pair["radial_pos"] == pytest.approx(np.hypot(2, 12) / 20) and pair["seed_grown_ratio"] == pytest.approx(18 / (18 + 16 * 5 + 4))
+    far = candidates.candidate_rows(voxels, objects, "id", 8.0, 100.0, (24, 32)).orderBy("component").first()
+    assert far["radial_pos"] == pytest.approx(np.hypot(2, 6))

@@ -65,8 +65,9 @@ def train_gbt(spark: SparkSession, d: str) -> DataFrame:
     return stats.brier(oof, "p", "y", "weight", ["fold"]).join(stats.average_precision(oof, "p", "y", "weight", ["fold"]), "fold")
 
 
-def permuted(rows: DataFrame, key: str, column: str, seed: int, buckets: int = 64) -> DataFrame:
-    """rows with `column` shuffled among the rows of each hash bucket, so no task ranks all rows."""
+def permuted(rows: DataFrame, key: str, column: str, seed: int, size: int = 10_000) -> DataFrame:
+    """rows with `column` shuffled among the rows of each hash bucket of about `size` rows, so no task ranks all rows."""
+    buckets = rows.count() // size + 1
     b = F.pmod(F.xxhash64(key), F.lit(buckets))
     here = Window.partitionBy("_b").orderBy(key)
     there = Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(seed)), key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import infer_depth, physical, portal_yx, safe_ratio, slab_range
 from voxelweave.jobs.registry import query, r6
-from voxelweave.operators import relational, stats
+from voxelweave.operators import relational, stats, windows
 from voxelweave.operators.windows import quantiles
 from voxelweave.sources.tables import label_of, profile, table
 
@@ -170,14 +170,15 @@ def slice_levels(spark, d):
     return e.groupBy("level").agg(F.min("event_id").alias("first_seen"))
 
 
-@query("""SELECT candidate_id, p, place FROM (SELECT l_orderkey candidate_id, l_linenumber, p, row_number() OVER (ORDER BY p DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey) place FROM
-       (SELECT *, CASE WHEN l_discount < 0.03 THEN NULL ELSE l_discount END p FROM lineitem)) WHERE place <= 500""")
+@query("""SELECT l_orderkey candidate_id, l_linenumber AS line, p, row_number() OVER (ORDER BY p DESC NULLS LAST, l_orderkey, l_linenumber, l_partkey) place FROM
+       (SELECT *, CASE WHEN l_discount < 0.03 THEN NULL ELSE l_discount END p FROM lineitem)""")
 def review_order(spark, d):
-    """The first page of the review list: scores descending, missing ones last, ties by three keys."""
+    """Place of every row in the review list: scores descending, missing ones last, ties by three keys. Sorted ranges
+    carry the counts, so no task sees the whole list."""
     t = table(spark, d, "lineitem").withColumn("p", F.when(F.col("l_discount") >= 0.03, F.col("l_discount")))
-    top = t.orderBy(F.col("p").desc_nulls_last(), "l_orderkey", "l_linenumber", "l_partkey").limit(500)
-    w = Window.orderBy(F.col("p").desc_nulls_last(), "l_orderkey", "l_linenumber", "l_partkey")  # of the page only
-    return top.select(F.col("l_orderkey").alias("candidate_id"), "p", F.row_number().over(w).alias("place"))
+    t = t.withColumn("behind", F.when(F.col("p").isNull(), F.lit(float("inf"))).otherwise(-F.col("p").cast("double"))).withColumn("one", F.lit(1))
+    t = windows.running(t, [], ["behind", "l_orderkey", "l_linenumber", "l_partkey"], ["one"])
+    return t.select(F.col("l_orderkey").alias("candidate_id"), F.col("l_linenumber").alias("line"), "p", (F.col("one_before") + 1).alias("place"))
 
 
 @query("SELECT min(o_orderkey) first_open FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")

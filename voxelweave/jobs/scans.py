@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import displayed, rescaled_to, safe_ratio
-from voxelweave.functions.storage import cut
+from voxelweave.functions.storage import checked_broadcast, cut
 from voxelweave.jobs.registry import query, r6
 from voxelweave.operators import geometry, residual, thresholds, volume, windows
 from voxelweave.operators.windows import quantiles
@@ -91,10 +91,10 @@ def scan_candidates(spark, d):
     return f.select("volume", "component", "n_voxels", "n_seed", "peak", *[F.round(f"centroid_{c}", 5).alias(f"centroid_{c}") for c in AXES], "z_extent")
 
 
-@query(f"""WITH RECURSIVE {RINGS} SELECT component, round(median(snr) - (SELECT median(snr) FROM ring WHERE ring.component = e.component AND d > 1 AND r <> 0), 4) edge_contrast,
-       round((SELECT median(snr) FROM ring WHERE ring.component = e.component AND d = 1 AND r <> 0) - (SELECT median(snr) FROM ring WHERE ring.component = e.component AND d = 2 AND r <> 0), 4) decay_drop FROM edge e GROUP BY 1""")
+@query(f"""WITH RECURSIVE {RINGS} SELECT component, round(median(snr) - (SELECT median(snr) FROM ring WHERE ring.component = e.component AND d > 1 AND r <> 0) + 1e-9::DOUBLE, 4) edge_contrast,
+       round((SELECT median(snr) FROM ring WHERE ring.component = e.component AND d = 1 AND r <> 0) - (SELECT median(snr) FROM ring WHERE ring.component = e.component AND d = 2 AND r <> 0) + 1e-9::DOUBLE, 4) decay_drop FROM edge e GROUP BY 1""")
 def shell_features(spark, d):
-    return residual.shell_features(*_found(spark, d), "id").select("component", F.round("edge_contrast", 4).alias("edge_contrast"), F.round("decay_drop", 4).alias("decay_drop"))
+    return residual.shell_features(*_found(spark, d), "id").select("component", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("edge_contrast", "decay_drop")])  # off the middle between two roundings
 
 
 @query(f"""WITH RECURSIVE {RINGS}, own AS (SELECT component, median(g) gs_median, quantile_cont(g, 0.9) gs_p90, max(g) gs_peak, quantile_cont(g, 0.75) - quantile_cont(g, 0.25) gs_iqr FROM objects GROUP BY 1),
@@ -236,7 +236,7 @@ def axial_crop(spark, d):
     v = scan(spark, d)
     p = v.groupBy("volume", "z").agg(F.avg("g").alias("m"))
     edge = windows.strongest_edge(p, ["volume"], "z", "m").select("volume", "at")
-    out = v.join(F.broadcast(edge), "volume").where(F.col("z").between(F.col("at") - 10, F.col("at") + 10))  # one row a volume
+    out = v.join(checked_broadcast(cut(edge, "edge")), "volume").where(F.col("z").between(F.col("at") - 10, F.col("at") + 10))  # one row a volume
     return out.select("volume", (F.col("z") - F.col("at") + 10).alias("new_z"), (7 - F.col("y")).alias("new_y"), "x", "g")
 
 
@@ -247,7 +247,7 @@ def radial_crop(spark, d):
     v = scan(spark, d)
     c = v.where("g > 130").groupBy("volume").agg(*[F.bround(F.sum(F.col("g") * F.col(k)) / F.sum("g"), 0).cast("long").alias(f"c{k}") for k in "yx"])
     inside = (F.abs(F.col("y") - F.col("cy")) <= 3) & (F.abs(F.col("x") - F.col("cx")) <= 3) & F.col("cy").between(3, 5) & F.col("cx").between(3, 5)
-    out = v.join(F.broadcast(c), "volume").where(inside)  # one row a volume
+    out = v.join(checked_broadcast(cut(c, "centres")), "volume").where(inside)  # one row a volume
     return out.select("volume", "z", (F.col("y") - F.col("cy") + 3).alias("new_y"), (F.col("x") - F.col("cx") + 3).alias("new_x"), "g")
 
 

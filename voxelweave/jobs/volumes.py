@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from voxelweave.functions.storage import cut, scratch
 from voxelweave.jobs.registry import query, r6
-from voxelweave.jobs.scans import METAL, RESIDUAL, SCAN, WIDTH
-from voxelweave.operators import contours, geometry, morphology, recursive, residual, stats, thresholds
+from voxelweave.jobs.scans import HIGH, METAL, RESIDUAL, RINGS, SCAN, WIDTH, _found, _walk
+from voxelweave.operators import candidates, contours, geometry, morphology, recursive, residual, stats, thresholds
 from voxelweave.sources import raw_volume, residual_store
 from voxelweave.sources.tables import EDGE, cube, scan
 
@@ -233,3 +233,37 @@ def noise_model_eigenvalues(spark, d):
     n = residual.slice_noise(scan(spark, d)).where("rho1 is not null")
     rows = n.select("volume", "z", "rho1", "rho2", F.explode(F.array(*[F.lit(k) for k in (5, 11, 25)])).alias("n"))
     return rows.select("volume", "z", "n", r6(stats.least_eigenvalue(F.col("n"), F.col("rho1"), F.col("rho2"))).alias("least"))
+
+
+# ---------------------------------------------------------------- candidates
+
+WHOLE = ("n_voxels", "n_seed", "n_seed_regions", "n_seed_total", "z_min", "z_max", "z_extent", "y_extent", "x_extent", "peak_z", "peak_y", "peak_x", "gs_peak")
+PARTS_OF = (
+    "centroid_z", "centroid_y", "centroid_x", "fill", "snr_cluster", "r_peak", "r_peak_ratio", "peak_offset", "seed_offset", "snr_peak", "linearity", "planarity", "sphericity", "l1", "l2", "l3",
+    "edge_contrast", "decay_drop", "seed_grown_ratio", "fill_pca", "diag", "surface_ratio", "radial_pos", "gs_median", "gs_p90", "gs_iqr", "gs_shell_median", "gs_contrast", "metal_threshold",
+)
+
+
+@query(f"""WITH RECURSIVE {RINGS}, seeds AS (SELECT * FROM objects WHERE snr >= {HIGH}), {_walk("seeds", "regions")},
+       w AS (SELECT volume, component, count(*) n_voxels, count(*) FILTER (snr >= {HIGH}) n_seed_total, min(z) z_min, max(z) z_max, max(z) - min(z) + 1 z_extent, max(y) - min(y) + 1 y_extent, max(x) - min(x) + 1 x_extent,
+          sum(r * z) / sum(r)::DOUBLE centroid_z, sum(r * y) / sum(r)::DOUBLE centroid_y, sum(r * x) / sum(r)::DOUBLE centroid_x, sum(snr) / sqrt(count(*)) snr_cluster, max(r)::DOUBLE r_peak, max(r) / avg(r) r_peak_ratio, max(snr) snr_peak,
+          coalesce(sum(r) FILTER (snr >= {HIGH}), 0) / sum(r)::DOUBLE seed_grown_ratio, covar_pop(z, z) + 1 / 12.0::DOUBLE a, covar_pop(z, y) b, covar_pop(z, x) c, covar_pop(y, y) + 1 / 12.0::DOUBLE d, covar_pop(y, x) e, covar_pop(x, x) + 1 / 12.0::DOUBLE f,
+          median(g) gs_median, quantile_cont(g, 0.9) gs_p90, max(g) gs_peak, quantile_cont(g, 0.75) - quantile_cont(g, 0.25) gs_iqr FROM objects GROUP BY 1, 2),
+       peak AS (SELECT component, z peak_z, y peak_y, x peak_x FROM objects QUALIFY row_number() OVER (PARTITION BY component ORDER BY r DESC, z, y, x) = 1),
+       part AS (SELECT seeds.component, regions.component region, count(*) n, sum(r * z) / sum(r)::DOUBLE z, sum(r * y) / sum(r)::DOUBLE y, sum(r * x) / sum(r)::DOUBLE x FROM seeds JOIN regions USING (id) GROUP BY 1, 2),
+       so AS (SELECT component, max(n) n_seed, count(*) n_seed_regions, max(sqrt((z - centroid_z) ** 2 + (y - centroid_y) ** 2 + (x - centroid_x) ** 2)) seed_offset FROM part JOIN w USING (component) GROUP BY 1),
+       q AS (SELECT *, (a + d + f) / 3 q, sqrt(((a - (a + d + f) / 3) ** 2 + (d - (a + d + f) / 3) ** 2 + (f - (a + d + f) / 3) ** 2 + 2 * (b * b + c * c + e * e)) / 6) p FROM w),
+       t AS (SELECT *, CASE WHEN p > 1e-12 THEN acos(greatest(-1, least(1, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - c * e) + c * (b * e - c * (d - q))) / (2 * p * p * p)))) / 3 ELSE 0 END phi FROM q),
+       l AS (SELECT *, 3 * q - l1 - l3 l2 FROM (SELECT *, q + 2 * p * cos(phi) l1, q + 2 * p * cos(phi + 2 * pi() / 3) l3 FROM t)),
+       sh AS (SELECT component, median(snr) FILTER (d > 1 AND r <> 0) shell, median(snr) FILTER (d = 1 AND r <> 0) - median(snr) FILTER (d = 2 AND r <> 0) decay_drop, median(g) FILTER (d > 1 AND r <> 0 AND g <= {METAL}) gs_shell_median FROM ring GROUP BY 1),
+       rim AS (SELECT component, median(snr) edge, median(g) ge, count(*) surface FROM edge GROUP BY 1),
+       everything AS (SELECT *, n_voxels / (z_extent * y_extent * x_extent)::DOUBLE fill, sqrt((peak_z - centroid_z) ** 2 + (peak_y - centroid_y) ** 2 + (peak_x - centroid_x) ** 2) peak_offset, (l1 - l2) / l1 linearity, (l2 - l3) / l1 planarity, l3 / l1 sphericity,
+          edge - shell edge_contrast, ge - gs_shell_median gs_contrast, n_voxels / (4 * pi() * 3 ** 1.5 * sqrt(l1 * l2 * l3)) fill_pca, 2 * sqrt(3 * l1) / greatest(z_extent, y_extent, x_extent) diag, surface / n_voxels::DOUBLE surface_ratio,
+          sqrt((centroid_y - 4) ** 2 + (centroid_x - 4) ** 2) radial_pos, {METAL}.0::DOUBLE metal_threshold FROM l LEFT JOIN peak USING (component) LEFT JOIN so USING (component) LEFT JOIN sh USING (component) LEFT JOIN rim USING (component))
+       SELECT volume, component, {", ".join(f"{c}::BIGINT {c}" for c in WHOLE)}, {", ".join(f"round({c} + 1e-9::DOUBLE, 4) + 0.0 {c}" for c in PARTS_OF)} FROM everything""")
+def candidate_rows(spark, d):
+    """Every feature of every candidate, from gray values in one job."""
+    voxels, objects = _found(spark, d)
+    # sums of whole ten-thousandths are moved off the middle before they are rounded
+    rows = candidates.candidate_rows(voxels, objects, "id", HIGH, METAL, (8, 8))
+    return rows.select("volume", "component", *[F.col(c).cast("long").alias(c) for c in WHOLE], *[(F.round(F.col(c) + 1e-9, 4) + F.lit(0.0)).alias(c) for c in PARTS_OF])

@@ -13,6 +13,7 @@ from voxelweave.functions.storage import cut
 SCHEMAS = {
     "experiments": "experiment_id long, experiment_number long, slab_thickness long, high_threshold_scale double, low_threshold_scale double, baseline_method string, min_seed_voxels long, aniso_factor double, small_vol_cutoff long, z_pad long, small_z_bounds array<long>, min_fill double, max_axial_extent_mm double, enforce_shape_gates boolean",
     "candidates": "candidate_id long, experiment_id long, volume_name string, particle int, peak_z int, peak_y int, peak_x int, centroid_z double, centroid_y double, centroid_x double",
+    "features": "candidate_id long, n_voxels long, n_seed long, n_seed_regions long, n_seed_total long, z_min int, z_max int, z_extent int, y_extent int, x_extent int, fill double, snr_cluster double, r_peak double, r_peak_ratio double, peak_offset double, seed_offset double, snr_peak double, linearity double, planarity double, sphericity double, axis_z double, normal_z double, edge_contrast double, decay_drop double, seed_grown_ratio double, fill_pca double, diag double, radial_pos double, gs_median double, gs_p90 double, gs_peak double, gs_shell_median double, gs_contrast double, gs_iqr double, metal_threshold double, l1 double, l2 double, l3 double, surface_ratio double, z_extent_max int",
     "voxels": "candidate_id long, z int, y int, x int, residual int, grayscale int, in_grown int",
     "runs": "experiment_id long, volume_name string, n_candidates long, n_voxels long",
     "scores": "candidate_id long, ml_prob double, ml_prob_particle_max double, ml_prob_max_source_candidate_id long, cluster_ml_label int, in_sample boolean",
@@ -20,7 +21,7 @@ SCHEMAS = {
 }
 PLACE = {"experiment_id": "long", "volume_name": "string"}
 #: Columns by which a table is partitioned; others aren't.
-PARTITIONS = {"experiments": ["experiment_id"]} | dict.fromkeys(("candidates", "voxels", "runs", "scores"), [*PLACE])
+PARTITIONS = {"experiments": ["experiment_id"]} | dict.fromkeys(("candidates", "features", "voxels", "runs", "scores"), [*PLACE])
 
 
 def minted(rows: DataFrame, existing: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -94,14 +95,14 @@ class Store:
         """Remove an experiment, or one volume of it: first its runs, then the rest; False if there was
         nothing. Only folders of this experiment are touched."""
         found = False
-        for table in ("runs", "voxels", "scores", "candidates", *(["experiments"] if volume is None else [])):
+        for table in ("runs", "voxels", "features", "scores", "candidates", *(["experiments"] if volume is None else [])):
             fs, at = self._fs(self._path(table, experiment, volume))
             found = bool(fs.delete(at, True)) or found
         return found
 
     def record(self, experiment: int, volume: str, candidates: DataFrame, voxels: DataFrame) -> None:
-        """A volume's candidates and voxels (joined by peak), then its completion marker; a volume without
-        candidates still gets one. Recorded again, it replaces what was there."""
+        """A volume's candidates, their features (those columns that candidates has) and voxels (joined by peak), then
+        its completion marker; a volume without candidates still gets one. Recorded again, it replaces what was there."""
         peak = ["peak_z", "peak_y", "peak_x"]
         place = [F.lit(experiment).cast("long").alias("experiment_id"), F.lit(volume).alias("volume_name")]
         self.delete(experiment, volume)
@@ -109,6 +110,10 @@ class Store:
         new = minted(candidates.select(*[c for c in candidates.columns if c not in PLACE]), known, "candidate_id", peak)
         new = cut(new.select("*", *place, *([] if "particle" in new.columns else [F.lit(None).cast("int").alias("particle")])), "recorded")
         self.write("candidates", new, "overwrite")
+        known = {c: k for c, k in (f.split() for f in self._schema("features").split(", ")) if c not in ("candidate_id", *PLACE)}
+        if any(c in new.columns for c in known):
+            values = [(F.col(c) if c in new.columns else F.lit(None)).cast("long" if k == "long" else k).alias(c) for c, k in known.items()]
+            self.write("features", new.select("candidate_id", *values, *PLACE), "overwrite")
         held = voxels.join(new.select("candidate_id", *peak), peak)
         self.write("voxels", held.select("*", *place), "overwrite")
         counts = new.agg(F.count("*").alias("n_candidates")).crossJoin(voxels.agg(F.count("*").alias("n_voxels")))
