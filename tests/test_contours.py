@@ -135,8 +135,8 @@ def test_can_gates_detection(spark):
     assert circles.count() == 2
     strong = voxels.where("v between 100 and 190")
     cfg = volume.Detection(high=100, low=90, seeds=1, extent=5, slab=10)
-    every = volume.detect_slabs(strong, 64, 64, cfg)
-    found = contours.radial_position(volume.detect_slabs(contours.gated(strong, inside, 10), 64, 64, cfg), circles, 10).collect()
+    every = volume.detect_slabs(strong, cfg)
+    found = contours.radial_position(volume.detect_slabs(contours.gated(strong, inside, 10), cfg), circles, 10).collect()
     assert every.count() == 4 and {(r["peak_y"], r["peak_x"]) for r in found} == {(30, 30), (33, 25)}
     assert all(0 <= r["radial_pos"] < 0.5 for r in found)
     none = spark.createDataFrame([("b", 3, 1, 1, 5.0)], voxels.schema)

@@ -54,7 +54,7 @@ def test_slabs_do_not_change_objects(spark):
     rows = cube_rows(spark, cube)
     results = []
     for slab in (40, 20, 6):
-        found = volume.detect_slabs(rows, 16, 16, volume.Detection(high=6, low=3, seeds=2, extent=8, slab=slab)).collect()
+        found = volume.detect_slabs(rows, volume.Detection(high=6, low=3, seeds=2, extent=8, slab=slab)).collect()
         results.append(sorted((r.n_voxels, r.n_seed, round(r.centroid_z, 6), r.peak_z, r.peak_y, r.peak_x) for r in found))
     assert results[0] == results[1] == results[2] and results[0]
     labels, seed = flood(cube >= 3), flood(cube >= 6)
@@ -70,7 +70,7 @@ def test_slabs_do_not_change_objects(spark):
 def test_streak_and_constant_volume(spark):
     cube = np.zeros((30, 4, 4))
     cube[5:25, 1, 1] = 9
-    assert volume.detect_slabs(cube_rows(spark, cube), 4, 4, volume.Detection(high=6, low=3, seeds=1, extent=10, slab=16)).count() == 0
+    assert volume.detect_slabs(cube_rows(spark, cube), volume.Detection(high=6, low=3, seeds=1, extent=10, slab=16)).count() == 0
 
 
 def test_chain_closes_and_volumes_stay_apart(spark):
@@ -430,3 +430,46 @@ def test_file_scans(spark, tmp_path):
     (tmp_path / "p.json").write_text('{"annotations": [{"polygon": {"paths": [[{"x": 1.2, "y": 2}, {"x": 5, "y": 9.5}, {"x": 3, "y": 3}], [{"x": 0, "y": 0}]]}}]}')
     box = files.boxes(files.polygons(spark, f"file://{tmp_path}/p.json")).collect()
     assert [(b.x0, b.x1, b.y0, b.y1) for b in box] == [(-3, 9, -2, 14)]
+
+
+def test_sparse_parts_match_flood():
+    rng = np.random.default_rng(5)
+    for share in (0.02, 0.2, 0.5):
+        mask = rng.random((9, 11, 7)) < share
+        for diagonal in (False, True):
+            at = np.argwhere(mask)
+            dense = volume.label3d(mask, diagonal)[mask]
+            assert (np.unique(dense, return_inverse=True)[1] == np.unique(volume.parts(at + [100, 0, 9], diagonal), return_inverse=True)[1]).all()
+    assert volume.parts(np.array([[0, 0, 5], [0, 1, 0]])).tolist() == [0, 1]  # the end of a row and the start of the next
+
+
+def test_long_series_in_blocks_equal_whole_ones(spark):
+    """Every window over blocks of seven rows gives what one window a series gives."""
+    rng = np.random.default_rng(8)
+    rows = [("long", t, float(v)) for t, v in enumerate(rng.integers(0, 60, 150))] + [("short", t, float(v)) for t, v in enumerate(rng.integers(0, 60, 3))] + [(None, t, float(t)) for t in range(20)]
+    df = spark.createDataFrame([*rows, ("gap", 0, 50.0), ("gap", 1, None), ("gap", 2, 50.0)], "k string, t long, v double")
+    full = df.where("v is not null")
+    knots = full.where("t % 9 = 4 or t > 100 and t % 40 = 0")
+    both = {
+        "clamped": lambda **n: windows.clamped_windows(full, ["k"], ["t"], "v", 5, **n),
+        "clamped_wide": lambda **n: windows.clamped_windows(full, ["k"], ["t"], "v", 11, **n),
+        "sliding": lambda **n: windows.sliding_mean(full, ["k"], ["t"], "v", 9, **n),
+        "smooth": lambda **n: windows.gaussian_smooth(full, ["k"], ["t"], "v", 1.5, **n),
+        "noise": lambda **n: windows.difference_noise(full, ["k"], ["t"], "v", **n),
+        "contiguity": lambda **n: windows.contiguity(full, ["k"], ["t"], "v", 20, 0.2, 4, **n),
+        "interpolated": lambda **n: windows.interpolated(full.select("k", "t"), knots, ["k"], "t", "v", **n),
+        "islands": lambda **n: windows.islands(df, ["k"], ["t"], "v", 10, 40, long=n.get("long", windows.SERIES)),
+    }
+    tidy = lambda d: sorted((tuple(round(c, 9) if isinstance(c, float) else c for c in r) for r in d.collect()), key=repr)
+    for name, f in both.items():
+        whole, blocks = tidy(f()), tidy(f(long=10, size=7))
+        assert whole == blocks and whole, name
+    # the case of a gap: a missing value ends a run
+    assert windows.islands(df, ["k"], ["t"], "v", 10, 40).where("k = 'gap'").count() == 2
+    assert windows.sliding_mean(full.where("t < 0"), ["k"], ["t"], "v", 2).count() == 0
+
+
+def test_running_sums_of_few_rows_are_the_same(spark):
+    df = spark.createDataFrame([(k, t, t * t % 7) for k in ("a", None) for t in range(40)], "k string, t long, v long")
+    assert sorted(map(repr, windows.running(df, ["k"], ["t"], ["v"]).collect())) == sorted(map(repr, windows.running(df, ["k"], ["t"], ["v"], few=1000).collect()))
+    assert sorted(map(repr, windows.running(df, ["k"], ["t"], ["v"], few=10).collect())) == sorted(map(repr, windows.running(df, ["k"], ["t"], ["v"]).collect()))

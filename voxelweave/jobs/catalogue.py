@@ -562,10 +562,21 @@ def surface_ratios(spark, d):
     return volume.surface_ratio(_objects(spark, d), ["volume"], ["z", "y", "x"], "id").select("component", r6("surface").alias("surface"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBJECTS}, hi AS (SELECT * FROM objects WHERE v >= 48), f AS (SELECT e.a, e.b FROM e JOIN hi p ON p.id = e.a JOIN hi q ON q.id = e.b),
+       climb(id, seen) AS (SELECT id, id FROM hi UNION SELECT climb.id, f.b FROM climb JOIN f ON f.a = climb.seen),
+       core AS (SELECT component, max(n) n_seed FROM (SELECT component, root, count(*) n FROM (SELECT id, min(seen) root FROM climb GROUP BY 1) JOIN hi USING (id) GROUP BY 1, 2) GROUP BY 1),
+       m AS (SELECT volume, component, count(*) n_voxels, max(z) - min(z) + 1 z_extent, sum(v * z) / sum(v) cz, sum(v * y) / sum(v) cy, sum(v * x) / sum(v) cx, max(v) peak, min(id) FILTER (v = m) top,
+         var_pop(z) + 1 / 12 a, var_pop(y) + 1 / 12 b, var_pop(x) + 1 / 12 c, covar_pop(z, y) d, covar_pop(z, x) e, covar_pop(y, x) f FROM (SELECT *, max(v) OVER (PARTITION BY component) m FROM objects) GROUP BY 1, 2),
+       q AS (SELECT *, (a + b + c) / 3 q FROM m WHERE z_extent <= 10), p AS (SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) p FROM q),
+       r AS (SELECT *, CASE WHEN p < 1e-9 THEN 0 ELSE acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / 2 / p ** 3))) / 3 END r FROM p),
+       l AS (SELECT *, q + 2 * p * cos(r) l1, q + 2 * p * cos(r + 2 * pi() / 3) l3 FROM r)
+       SELECT volume, n_voxels, n_seed, z_extent, round(cz, 6) centroid_z, round(cy, 6) centroid_y, round(cx, 6) centroid_x, peak, top // 576 % 128 peak_z, top // 24 % 24 peak_y, top % 24 peak_x,
+         abs(round((2 * l1 - 3 * q + l3) / l1, 4)) linearity, abs(round((3 * q - l1 - 2 * l3) / l1, 4)) planarity, abs(round(l3 / l1, 4)) sphericity FROM l JOIN core USING (component)""")
 def detect_slabs(spark, d):
     v = cube(spark, d).select("volume", "z", "y", "x", "v")
-    return volume.detect_slabs(v, EDGE, EDGE, volume.Detection(high=48, low=30, seeds=1, extent=10, slab=16))
+    t = volume.detect_slabs(v, volume.Detection(high=48, low=30, seeds=1, extent=10, slab=16))
+    shape = [F.abs(F.round(c, 4)).alias(c) for c in ("linearity", "planarity", "sphericity")]
+    return t.select("volume", "n_voxels", "n_seed", "z_extent", *[r6(f"centroid_{c}").alias(f"centroid_{c}") for c in "zyx"], "peak", "peak_z", "peak_y", "peak_x", *shape)
 
 
 @query(f"WITH {CUBE} SELECT volume, y, x, max(v) mip FROM cube GROUP BY ALL")

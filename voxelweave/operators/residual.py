@@ -18,8 +18,8 @@ PLANE = ["volume", "y", "x"]
 
 def residuals(scan: DataFrame, width: int, metal: float) -> DataFrame:
     """(volume, z, y, x, g, r): gray value minus the truncated median of the `width` slices around it; 0 where
-    their maximum is above the metal threshold."""
-    w = clamped_windows(scan, PLANE, ["z"], "g", width, carry=("g",))
+    their maximum is above the metal threshold. A line of voxels is as long as a volume is deep, so lines aren't counted."""
+    w = clamped_windows(scan, PLANE, ["z"], "g", width, carry=("g",), long=0)
     r = F.when(F.col("most") > metal, F.lit(0)).otherwise(F.col("g") - F.floor("mid")).cast("long")
     return w.select("volume", "z", "y", "x", "g", r.alias("r"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import right_closed_bin, safe_ratio
-from voxelweave.operators.windows import quantiles, running
+from voxelweave.operators.windows import FEW, quantiles, running
 
 
 def two_level_ci(rows: DataFrame, keys: list[str], seed: str, metrics: list[str]) -> DataFrame:
@@ -59,7 +59,7 @@ def auc(rows: DataFrame, score: str, y: str, keys: list[str]) -> DataFrame:
     Scores are counted first and ranked by running sums over ranges of them.
     """
     pos = F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos")
-    ties = running(rows.groupBy(*keys, score).agg(F.count("*").alias("n"), pos), keys, [score], ["n"])
+    ties = running(rows.groupBy(*keys, score).agg(F.count("*").alias("n"), pos), keys, [score], ["n"], FEW)
     rank = F.col("n_before") + (F.col("n") + 1) / 2
     g = ties.withColumn("r", rank * F.col("pos")).groupBy(*keys).agg(F.sum("r").alias("r"), F.sum("pos").cast("double").alias("n1"), (F.sum("n") - F.sum("pos")).cast("double").alias("n0"))
     return g.select(*keys, safe_ratio(F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"))
@@ -68,7 +68,7 @@ def auc(rows: DataFrame, score: str, y: str, keys: list[str]) -> DataFrame:
 def average_precision(rows: DataFrame, score: str, y: str, w: str, keys: list[str]) -> DataFrame:
     """Weighted average precision: ties grouped, step-wise sum of precision times recall gained."""
     t = rows.groupBy(*keys, score).agg(F.sum(F.when(F.col(y) == 1, F.col(w)).otherwise(0.0)).alias("tp"), F.sum(w).alias("weight"))
-    up = running(t, keys, [score], ["tp", "weight"])
+    up = running(t, keys, [score], ["tp", "weight"], FEW)
     down = lambda c: F.col(f"{c}_all") - F.col(f"{c}_before")  # noqa: E731  of this score and all higher ones
     g = up.withColumn("prec", down("tp") / down("weight")).groupBy(*keys).agg(F.sum(F.col("tp") * F.col("prec")).alias("s"), F.sum("tp").alias("t"))
     return g.select(*keys, safe_ratio(F.col("s"), F.col("t")).alias("ap"))
@@ -290,7 +290,7 @@ def paired_tests(differences: DataFrame, keys: list[str], d: str) -> DataFrame:
     aren't 0, ties at mid-ranks, and its normal deviate."""
     s = differences.groupBy(*keys).agg(F.count(d).alias("n"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd"))
     size = differences.where(F.col(d) != 0).groupBy(*keys, F.abs(d).alias("size")).agg(F.count("*").alias("c"), F.count_if(F.col(d) > 0).alias("up"))
-    rank = running(size, keys, ["size"], ["c"]).withColumn("r", F.col("c_before") + (F.col("c") + 1) / 2)
+    rank = running(size, keys, ["size"], ["c"], FEW).withColumn("r", F.col("c_before") + (F.col("c") + 1) / 2)
     c = F.col("c").cast("double")
     w = rank.groupBy(*keys).agg(F.sum(F.col("r") * F.col("up")).alias("plus"), F.sum(F.col("r") * (F.col("c") - F.col("up"))).alias("minus"), F.sum("c").cast("double").alias("m"), F.sum(c * c * c - c).alias("ties"))
     m = F.col("m")

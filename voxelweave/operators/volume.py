@@ -147,35 +147,60 @@ def label3d(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
         labels = new
 
 
-def _detect(cfg: Detection, height: int, width: int) -> Callable:
+def parts(at: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """For voxels at (n, axes) whole coordinates, all different, the smallest row number of each one's connected part.
+    Work and memory follow the voxels, not the box around them."""
+    span = at.max(axis=0) - at.min(axis=0) + 3  # a margin, so that no step leads round an edge
+    stride = np.append(np.cumprod(span[:0:-1])[::-1], 1).astype(np.int64)
+    code = (at - at.min(axis=0) + 1) @ stride
+    order = np.argsort(code)
+    code = code[order]
+    ends = []
+    for step in _steps(at.shape[1], diagonal):
+        to = np.minimum(np.searchsorted(code, code + np.dot(step, stride)), len(code) - 1)
+        met = np.flatnonzero(code[to] == code + np.dot(step, stride))
+        ends.append((order[met], order[to[met]]))
+    a, b = (np.concatenate(e) for e in zip(*ends))
+    root = np.arange(len(at))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (a, b):
+            np.minimum.at(new, root[end], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _detect(cfg: Detection) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         volume, core = pdf["volume"].iloc[0], int(pdf["slab"].iloc[0])
-        z0 = int(pdf["z"].min())
-        cube = np.zeros((int(pdf["z"].max()) - z0 + 1, height, width))
-        cube[pdf["z"] - z0, pdf["y"], pdf["x"]] = pdf["v"]
-        labels = label3d(cube >= cfg.low)
-        seed = label3d(cube >= cfg.high)
+        at, value = pdf[["z", "y", "x"]].to_numpy(np.int64), pdf["v"].to_numpy(float)
+        part = parts(at)
+        strong = value >= cfg.high
+        seed = np.full(len(at), -1)
+        if strong.any():
+            seed[strong] = parts(at[strong])
+        places = np.argsort(part, kind="stable")
+        begin = np.flatnonzero(np.diff(part[places], prepend=-1))
         rows = []
-        places = np.flatnonzero(labels)
-        places = places[np.argsort(labels.ravel()[places], kind="stable")]
-        number, begin = np.unique(labels.ravel()[places], return_index=True)
-        ends = np.append(begin[1:], len(places))
-        strong = np.isin(number, np.unique(labels[cube >= cfg.high]))
-        for a, b in zip(begin[strong], ends[strong]):
-            p = np.stack(np.unravel_index(places[a:b], cube.shape), axis=1)
-            v = cube[tuple(p.T)]
-            s = seed[tuple(p.T)]
-            n_seed = int(np.bincount(s[s > 0]).max()) if (s > 0).any() else 0
+        for here in np.split(places, begin[1:]):
+            s = seed[here]
+            if not (s >= 0).any():
+                continue
+            p, v = at[here], value[here]
+            n_seed = int(np.bincount(s[s >= 0]).max())
             extent = int(p[:, 0].max() - p[:, 0].min() + 1)
             centre = (p * v[:, None]).sum(axis=0) / v.sum()
-            z = centre[0] + z0
             # the slab whose core holds the centroid owns the object
-            if n_seed < cfg.seeds or extent > cfg.extent or not core * cfg.slab <= z < (core + 1) * cfg.slab:
+            if n_seed < cfg.seeds or extent > cfg.extent or not core * cfg.slab <= centre[0] < (core + 1) * cfg.slab:
                 continue
             top = p[np.lexsort((p[:, 2], p[:, 1], p[:, 0], -v))[0]]
             shifted = p - p.mean(axis=0)
             l1, l2, l3 = sorted(np.linalg.eigvalsh(shifted.T @ shifted / len(p) + np.eye(3) / 12), reverse=True)
-            rows.append((volume, len(p), n_seed, extent, z, centre[1], centre[2], float(v.max()), int(top[0]) + z0, int(top[1]), int(top[2]), (l1 - l2) / l1, (l2 - l3) / l1, l3 / l1))
+            rows.append((volume, len(p), n_seed, extent, *centre, float(v.max()), *(int(c) for c in top), (l1 - l2) / l1, (l2 - l3) / l1, l3 / l1))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTED.split(", ")])
 
     return run
@@ -184,17 +209,17 @@ def _detect(cfg: Detection, height: int, width: int) -> Callable:
 DETECTED = "volume string, n_voxels long, n_seed long, z_extent long, centroid_z double, centroid_y double, centroid_x double, peak double, peak_z long, peak_y long, peak_x long, linearity double, planarity double, sphericity double"
 
 
-def detect_slabs(voxels: DataFrame, height: int, width: int, cfg: Detection = Detection()) -> DataFrame:
+def detect_slabs(voxels: DataFrame, cfg: Detection = Detection()) -> DataFrame:
     """Objects of voxel rows (volume, z, y, x, v) found slab by slab.
 
     Each voxel goes to its slab and, within `extent` slices of an edge, to the neighbouring one too;
-    a slab is one bounded group for a NumPy kernel. The intensity-weighted centroid decides which slab
+    a slab's voxels of at least `low` are one group for a NumPy kernel that follows them, not the plane. The intensity-weighted centroid decides which slab
     owns an object, so results don't depend on the slab size for objects within the extent.
     """
     core = F.floor(F.col("z") / cfg.slab)
     slabs = F.sequence(F.floor((F.col("z") - cfg.extent) / cfg.slab), F.floor((F.col("z") + cfg.extent) / cfg.slab))
     spread = voxels.where(F.col("v") >= cfg.low).withColumn("slab", F.explode(slabs)).where((F.abs(core - F.col("slab")) <= 1) & (F.col("slab") >= 0))
-    return spread.groupBy("volume", "slab").applyInPandas(_detect(cfg, height, width), DETECTED)
+    return spread.groupBy("volume", "slab").applyInPandas(_detect(cfg), DETECTED)
 
 
 def mip(voxels: DataFrame, keys: list[str], value: str) -> DataFrame:
