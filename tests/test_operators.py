@@ -1,12 +1,15 @@
 """Kernels and operators against brute force on small fixtures."""
 
+import math
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from voxelweave.operators import linking, relational, stats, volume, windows
+from voxelweave.jobs import learning
+from voxelweave.operators import experiments, linking, relational, stats, volume, windows
 from voxelweave.sources import raw_volume
 
 
@@ -473,3 +476,92 @@ def test_running_sums_of_few_rows_are_the_same(spark):
     df = spark.createDataFrame([(k, t, t * t % 7) for k in ("a", None) for t in range(40)], "k string, t long, v long")
     assert sorted(map(repr, windows.running(df, ["k"], ["t"], ["v"]).collect())) == sorted(map(repr, windows.running(df, ["k"], ["t"], ["v"], few=1000).collect()))
     assert sorted(map(repr, windows.running(df, ["k"], ["t"], ["v"], few=10).collect())) == sorted(map(repr, windows.running(df, ["k"], ["t"], ["v"]).collect()))
+
+
+def test_recall_by_size_bands_and_intervals(spark):
+    """Counts by hand; interval ends satisfy the binomial tails that define them."""
+    rng = np.random.default_rng(2)
+    objects = [(i, float(rng.integers(0, 9)), [1, 0, None][i % 3], float(rng.integers(-5, 40)), int(rng.random() < 0.6), int(rng.random() < 0.3)) for i in range(200)]
+    objects += [(200, None, 1, 3.0, 1, 1), (201, 5.0, 0, None, 1, 0)]
+    df = spark.createDataFrame(objects, "id long, size double, truth int, radial double, a int, b int")
+    got = {(r.level, r.window): r for r in experiments.recall_intervals(experiments.recall_by_size(df, ["a", "b"], "size", "truth", [0, 4]), 2).collect()}
+    tail = lambda p, n, lo, hi: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(lo, hi + 1))
+    for level in (0.0, 4.0):
+        here = [o for o in objects if o[1] is not None and o[1] >= level]
+        for w, at in (("a", 4), ("b", 5)):
+            r = got[level, w]
+            assert (r.n, r.hits) == (sum(o[2] == 1 for o in here), sum(o[2] == 1 and o[at] for o in here))
+            assert (r.n_false, r.false_hits) == (sum(o[2] == 0 for o in here), sum(o[2] == 0 and o[at] for o in here))
+            for alpha, low, high in ((0.05, r.low, r.high), (0.025, r.low_all, r.high_all)):
+                assert abs(tail(low, r.n, r.hits, r.n) - alpha / 2) < 1e-6 and abs(tail(high, r.n, 0, r.hits) - alpha / 2) < 1e-6
+    bands = {(r.level, r.band): r for r in experiments.radial_bands(df, "radial", "size", "truth", [4], [0, 10, 30]).collect()}
+    false = [o for o in objects if o[1] is not None and o[1] >= 4 and o[2] == 0]
+    for band, lo, hi in ((0, 0, 10), (1, 10, 30)):
+        r, inside = bands[4.0, band], [o for o in false if o[3] is not None and lo <= o[3] < hi]
+        assert r.n_false == len(inside) and abs(r.of_false - len(inside) / len(false)) < 1e-12 and abs(r.of_band - len(inside) / (len(inside) + r.n_true)) < 1e-12
+    assert len(bands) == 2 and experiments.recall_by_size(df.where("id < 0"), ["a"], "size", "truth", [0]).count() == 0
+
+
+def test_rank_codes_and_outer_labels(spark):
+    df = spark.createDataFrame([(1, 4.0), (2, 2.0), (3, None), (4, 4.0), (5, float("nan")), (6, -1.0)], "k int, v double")
+    assert {r.k: r.code for r in experiments.rank_codes(df, "v").collect()} == {1: 2, 2: 1, 3: None, 4: 2, 5: None, 6: 0}
+    image = [("a", 2, 0, 3), ("a", 2, 3, 5), ("a", 0, 2, 5), ("a", 4, 2, 3), ("a", 0, 0, 9), ("b", 1, 1, 7), ("c", 2, 2, 0), ("d", 2, 1, 8)]
+    rows = spark.createDataFrame(image, "k string, y int, x int, label int")
+    # a: 3 and 5 twice each, so the smaller; b has labels beside the centre lines only; d is the only one, first and last
+    assert sorted(tuple(r) for r in experiments.outer_label_vote(rows, ["k"], "label", 5, 5).collect()) == [("a", 3, 2), ("d", 8, 2)]
+
+
+def test_peak_views_match_flood(spark):
+    """A view's noise, thresholds and parts against flood fill, with and without a least area of cores."""
+    rng = np.random.default_rng(4)
+    image = np.where(rng.random((20, 20)) < 0.5, rng.integers(3, 16, (20, 20)), 0).astype(float)
+    image[7:10, 11:14] = 14
+    y, x = np.unravel_index(image.argmax(), image.shape)
+    noise = min(2.7, np.sort(image[max(y - 1, 0) : y + 2, max(x - 1, 0) : x + 2].ravel())[-2:].mean() / 4.2)
+    rows = spark.createDataFrame([("a", int(i), int(j), float(image[i, j]), int(i * 20 + j)) for i in range(20) for j in range(20)], "k string, y int, x int, v double, id long")
+    peaks = spark.createDataFrame([("a", int(y), int(x))], "k string, y int, x int")
+    low, high = image > 2.8 * noise, image > 4 * noise
+    grown, cores = volume.label3d(low, True), volume.label3d(high, True)
+    for area in (1, 4):
+        large = np.isin(cores, [c for c in np.unique(cores[cores > 0]) if (cores == c).sum() >= area])
+        want = np.argwhere(np.isin(grown, np.unique(grown[large & high])) & low)
+        got = experiments.peak_views(rows, peaks, "k", "v", "id", area).collect()
+        assert sorted((r.y, r.x) for r in got) == sorted(map(tuple, want.tolist())) and got
+
+
+def test_held_out_auc_leaves_each_group_out(spark):
+    """Against a penalised logistic fit by Newton's steps on all other groups; a group of one class gives no row."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(240, len(learning.FEATURES)))
+    y = (x[:, 0] - 0.5 * x[:, 1] + rng.normal(size=240) > 0).astype(int)
+    group = [[*"abcd", None][i % 5] for i in range(240)] + ["one"] * 6
+    x, y = np.vstack([x, rng.normal(size=(6, x.shape[1]))]), np.append(y, [1] * 6)
+    rows = spark.createDataFrame([(g, int(c), *map(float, v)) for g, c, v in zip(group, y, x)], ["volume", "y", *learning.FEATURES])
+    got = {r.held: (r.n, r.positives, r.auc) for r in learning.held_out_auc(rows, "volume", learning.penalised_logistic).collect()}
+    assert set(got) == {*"abcd", None}
+    group = np.array([g or "-" for g in group])
+    for g in [*"abcd", "-"]:
+        fit, held = group != g, group == g
+        mean, sd = x[fit].mean(axis=0), x[fit].std(axis=0, ddof=1)
+        a, b = np.c_[np.ones(fit.sum()), (x[fit] - mean) / sd], np.zeros(x.shape[1] + 1)
+        ridge = np.diag([0.0] + [1.0] * x.shape[1])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-a @ b))
+            b -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge, a.T @ (p - y[fit]) + ridge @ b)
+        s = np.c_[np.ones(held.sum()), (x[held] - mean) / sd] @ b
+        up, down = s[y[held] == 1], s[y[held] == 0]
+        auc = ((up[:, None] > down).sum() + 0.5 * (up[:, None] == down).sum()) / up.size / down.size
+        n, positives, have = got[None if g == "-" else g]
+        assert (n, positives) == (held.sum(), y[held].sum()) and abs(have - auc) < 0.005
+    with pytest.raises(ValueError):
+        learning.held_out_auc(rows, "volume", learning.penalised_logistic, most=3)
+
+
+def test_training_windows_and_cleaning(spark):
+    every = learning.training_table(spark, "/root/testdata/sf0.001")
+    some = learning.training_table(spark, "/root/testdata/sf0.001", windows=[1996, 1997])
+    assert some.count() == every.where("window in (1996, 1997)").count() > 0
+    # weights are of the pool, not of the whole table: a component's add up to 1
+    assert all(abs(r[0] - 1) < 1e-9 for r in some.groupBy("component").agg(F.sum("weight")).select("sum(weight)").collect())
+    dirty = spark.createDataFrame([(float("inf"), 1.0), (float("nan"), 2.0), (None, -float("inf"))], "quantity double, price double")
+    assert [tuple(r) for r in learning.cleaned(dirty, ["quantity", "price"]).collect()] == [(0.0, 1.0), (0.0, 2.0), (0.0, 0.0)]

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxelweave.functions.columns import clean
 from voxelweave.functions.storage import checked_broadcast, cut
 from voxelweave.operators import linking, stats
 from voxelweave.operators.windows import running
@@ -19,18 +20,30 @@ from voxelweave.sources.tables import label_of, table
 FEATURES = ["quantity", "price", "lines", "spread", "discount"]
 
 
-def training_table(spark: SparkSession, d: str) -> DataFrame:
-    """(candidate_id, volume, component, y, weight, features): line items summed by order, labelled
-    by order status, weighted by 1 / size of their component (orders of a customer)."""
+#: Windows (years of order) of the plain training pool, and the one that widens it.
+PLAIN, WIDER = [1996, 1997, 1998], [1996, 1997, 1998, 1999]
+
+
+def training_table(spark: SparkSession, d: str, windows: list[int] | None = None) -> DataFrame:
+    """(candidate_id, volume, window, component, y, weight, features): line items summed by order, labelled
+    by order status, weighted by 1 / size of their component (orders of a customer). With `windows`, only orders
+    of those years, and components count what is left."""
     per = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("candidate_id")).agg(
         F.sum("l_quantity").alias("quantity"), F.avg("l_extendedprice").alias("price"), F.count("*").cast("double").alias("lines"),
         F.coalesce(F.stddev_samp("l_quantity"), F.lit(0.0)).alias("spread"), F.avg("l_discount").alias("discount"),
         F.max(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("y"),
     )
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.col("o_orderpriority").alias("volume"), F.col("o_custkey").alias("component"), label_of().alias("label"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"), F.col("o_orderpriority").alias("volume"), F.col("o_custkey").alias("component"), F.year("o_orderdate").alias("window"), label_of().alias("label"))
+    if windows is not None:
+        o = o.where(F.col("window").isin(windows))
     return linking.sample_weights(o.join(per, "candidate_id").where("label in (0, 1)"), "component")
 
 
+def cleaned(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows whose columns hold 0 where a value is missing, NaN or infinite."""
+    return rows.withColumns({c: clean(F.col(c)) for c in columns})
+
+
 def folds(rows: DataFrame, group: str, k: int) -> DataFrame:
     """rows with fold: groups go whole, those with most positives first, forth and back over the folds, so that
     folds are alike in positives and in size. Groups are ranked by running sums, never in one task."""
@@ -65,6 +78,64 @@ def train_gbt(spark: SparkSession, d: str) -> DataFrame:
     return stats.brier(oof, "p", "y", "weight", ["fold"]).join(stats.average_precision(oof, "p", "y", "weight", ["fold"]), "fold")
 
 
+def penalised_logistic(train: DataFrame):
+    """Logistic regression on standardised features, the squared weights penalised as much as one row."""
+    n = train.count()
+    steps = [VectorAssembler(inputCols=FEATURES, outputCol="v"), StandardScaler(inputCol="v", outputCol="x", withMean=True), LogisticRegression(featuresCol="x", labelCol="y", regParam=1 / max(n, 1), standardization=False, maxIter=2000)]
+    m = Pipeline(stages=steps).fit(train)
+    return lambda df: m.transform(df).withColumn("p", vector_to_array("probability")[1])
+
+
+def held_out_auc(rows: DataFrame, group: str, fit: Callable, most: int = 100) -> DataFrame:
+    """(held, n, positives, auc) for each group (null is one) with both classes, by the model that `fit` makes from all
+    other rows, groups of one class included. A model is fitted for each group, so more than `most` are an
+    error; folds() puts many groups into few. Group names and counts reach the driver, no rows."""
+    rows = cut(cleaned(rows, FEATURES).select(F.col(group).alias("held"), "y", *FEATURES), "training")
+    size = rows.groupBy("held").agg(F.count("*").alias("n"), F.sum("y").alias("positives"))
+    both = size.where("positives > 0 and positives < n")
+    names = [r[0] for r in both.select("held").take(most + 1)]
+    if len(names) > most:
+        raise ValueError(f"more than {most} groups: use folds of groups")
+    scored = both.select("held").limit(0).select("held", F.lit(0).alias("y"), F.lit(0.0).alias("p"))
+    for name in names:
+        out = F.col("held").eqNullSafe(F.lit(name))
+        scored = scored.unionByName(fit(rows.where(~out))(rows.where(out)).select("held", "y", "p"))
+    a = stats.auc(scored, "p", "y", ["held"]).withColumnRenamed("held", "_held")
+    return both.join(F.broadcast(a), F.col("held").eqNullSafe(F.col("_held"))).select("held", "n", "positives", "auc")  # a row a group
+
+
+def leave_one_out_auc(spark: SparkSession, d: str) -> DataFrame:
+    """AUC of each volume by a logistic model and by trees that saw all others."""
+    rows = cut(training_table(spark, d), "pool")
+    by = {"logistic": penalised_logistic, "trees": lambda train: calibrated_trees(train.withColumn("weight", F.lit(1.0)))}
+    line, trees = (held_out_auc(rows, "volume", fit).withColumn("model", F.lit(name)) for name, fit in by.items())
+    return line.unionByName(trees)
+
+
+def _pool(spark: SparkSession, d: str, windows: list[int]) -> DataFrame:
+    """Out-of-fold scores of a pool, with windows."""
+    rows = cut(folds(training_table(spark, d, windows), "volume", 5), "training")
+    return cut(out_of_fold(rows, 5).join(rows.select("candidate_id", "window"), "candidate_id"), "scored")
+
+
+def widened_window(spark: SparkSession, d: str) -> DataFrame:
+    """(pool, n, particles, positives, ap, brier): the plain training pool beside one with a further window, both scored out
+    of fold with the same grouping."""
+    out = None
+    for name, windows in (("plain", PLAIN), ("wider", WIDER)):
+        s = _pool(spark, d, windows).withColumn("pool", F.lit(name))
+        n = s.groupBy("pool").agg(F.count("*").alias("n"), F.count_distinct("component").alias("particles"), F.sum("y").alias("positives"))
+        one = n.join(stats.average_precision(s, "p", "y", "weight", ["pool"]), "pool").join(stats.brier(s, "p", "y", "weight", ["pool"]), "pool")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def window_auc(spark: SparkSession, d: str) -> DataFrame:
+    """(window, n, auc): out-of-fold AUC of each window; null where it has one class only."""
+    s = _pool(spark, d, WIDER)
+    return s.groupBy("window").agg(F.count("*").alias("n")).join(stats.auc(s, "p", "y", ["window"]), "window")
+
+
 def permuted(rows: DataFrame, key: str, column: str, seed: int, size: int = 10_000) -> DataFrame:
     """rows with `column` shuffled among the rows of each hash bucket of about `size` rows, so no task ranks all rows."""
     buckets = rows.count() // size + 1
@@ -120,4 +191,4 @@ def logistic_coefficients(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (train_gbt, permutation_importance, network_scores, logistic_coefficients)}
+    return {f.__name__: f for f in (train_gbt, permutation_importance, network_scores, logistic_coefficients, leave_one_out_auc, widened_window, window_auc)}
