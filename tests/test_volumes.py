@@ -2,14 +2,16 @@
 
 import itertools
 import json
+import math
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelweave.jobs import stages
 from voxelweave.operators import geometry, morphology, stats, thresholds
-from voxelweave.sources import raw_volume, residual_store
+from voxelweave.sources import files, raw_volume, residual_store, settings, store
 
 
 def table(spark, cube, name="v"):
@@ -261,3 +263,82 @@ def test_blending_equals_dense_arrays(spark):
         assert r["v"] == want[r["y"], r["x"]]
     with pytest.raises(ValueError):
         morphology.blended(pixels, marks, ["k"], "v", (12, 10), blur=0.5)
+
+
+CELL = """[[cell]]
+name = "a"
+z_min = 1
+z_max = 90
+voxel_size = 0.0164
+form_factor = "round"
+nominal_diameter_mm = 18.0
+nominal_height_mm = 65.0
+voxels_x = 10
+voxels_y = 10
+
+[[experiment]]
+experiment_number = 7
+slab_thickness = 5
+high_threshold_scale = 4.0
+low_threshold_scale = 2.99
+baseline_method = "median"
+min_seed_voxels = 2
+aniso_factor = 1.5
+small_vol_cutoff = 5
+z_pad = 1
+small_z_bounds = %s
+max_axial_extent_mm = 0.15
+"""
+
+
+def test_settings_of_cells_and_experiments(spark, tmp_path):
+    for name, bounds in (("good", "[1, 4]"), ("bad", "[1]")):
+        (tmp_path / f"{name}.toml").write_text(CELL % bounds)
+    got = files.config(spark, f"file://{tmp_path}/good.toml")
+    r = settings.accessors(got["cells"], got["experiments"]).first()
+    assert (r.z_extent_max, r.diameter, r.height, r.small_z_low, r.small_z_high, r.slab_thickness) == (math.ceil(0.15 / 0.0164), round(18 / 0.0164), round(65 / 0.0164), 1, 4, 5)
+    bad = files.config(spark, f"file://{tmp_path}/bad.toml")
+    with pytest.raises(Exception, match="two numbers"):
+        settings.accessors(bad["cells"], bad["experiments"]).collect()
+    numbers = spark.createDataFrame([(7, 3)], "experiment_number long, experiment_id long")
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    s.write("experiments", settings.experiment_rows(got["experiments"], numbers, 0.25, False), "overwrite")
+    e = s.read("experiments").first()
+    assert (e.experiment_id, e.min_fill, e.enforce_shape_gates, e.small_z_bounds, e.baseline_method) == (3, 0.25, False, [1, 4], "median")
+    with pytest.raises(ValueError, match="z_pad"):
+        settings.experiment_rows(got["experiments"].drop("z_pad"), numbers, 0.25, False)
+
+
+def test_sweep_from_arguments(spark):
+    plain = settings.Sweep()
+    same, got = settings.from_arguments(plain, [])
+    assert same == plain and not got.dry_run
+    new, got = settings.from_arguments(plain, ["--noise-seeds", "1", "2", "--voxels-z", "8", "--phi-angles-deg", "0.5", "--dry-run"])
+    assert (new.noise_seeds, new.voxels_z, new.phi_angles_deg, new.bit_depths) == ((1, 2), 8, (0.5,), plain.bit_depths) and got.dry_run
+    c = new.conditions(spark)
+    assert c.count() == c.drop("voxels_z").distinct().count() == 2 * 2 * 1 * 1 * 3 * 11 * 1 and c.where("voxels_z = 8 and measurement_top_k = 7").count() == c.count()
+
+
+def test_stages_log_and_stop(spark, tmp_path):
+    v = spark.createDataFrame([("a", 0, 1), ("a", 1, 5)], "volume string, z long, g long")
+    steps = [stages.Step("twice", lambda t: t.withColumn("g", F.col("g") * 2)), stages.Step("off", lambda t: t.limit(0), on=False), stages.Step("more", lambda t: t.withColumn("g", F.col("g") + 1))]
+    log = f"file://{tmp_path}/log"
+    for k in range(2):
+        code, out = stages.staged(v, steps, "in", f"file://{tmp_path}/out{k}", log, {"depth": 8})
+        assert code == 0 and sorted(r.g for r in out.collect()) == [3, 11]
+
+    def refuse(t):
+        raise stages.Invalid("too deep")
+
+    assert stages.staged(v, [*steps, stages.Step("refuse", refuse)], "in", f"file://{tmp_path}/none", log) == (1, None)
+    runs = spark.read.parquet(log).collect()
+    assert len(runs) == 2 and all(set(r.seconds) == {"twice", "more", "save"} and r.settings == {"depth": "8"} and r.total >= max(r.seconds.values()) for r in runs)
+    with pytest.raises(Exception, match="exists"):
+        stages.staged(v, steps, "in", f"file://{tmp_path}/out0", log)
+
+
+def test_csv_rows_are_added_or_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/rows"
+    for replace, want in ((True, 1), (False, 2), (False, 3), (True, 1)):
+        files.append_csv(spark.createDataFrame([(1, 0.5)], "k int, v double"), path, ["k"], replace=replace)
+        assert [r.v for r in spark.read.csv(path, header=True).collect()] == ["0.5000"] * want

@@ -15,7 +15,7 @@ from voxelweave.sources.tables import EDGE, SLICES, candidates, cube, hits, labe
 
 
 def queries() -> dict[str, Query]:
-    from voxelweave.jobs import experiments, reports, scans, stores, volumes  # noqa: F401  they register theirs
+    from voxelweave.jobs import experiments, reports, scans, stages, stores, volumes  # noqa: F401  they register theirs
 
     return dict(QUERIES) | learning.queries()
 

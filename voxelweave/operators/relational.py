@@ -100,6 +100,6 @@ def grid(spark, **axes: Sequence) -> DataFrame:
     """Every combination of the axes' values."""
     out = None
     for name, values in axes.items():
-        one = spark.createDataFrame([(v,) for v in values], [name])
+        one = spark.createDataFrame([(v,) for v in values], [name]).coalesce(1)  # else partitions multiply with the axes
         out = one if out is None else out.crossJoin(one)
     return out

@@ -58,12 +58,12 @@ def fixed(rows: DataFrame, decimals: int = 4) -> DataFrame:
     return rows.select(*[F.format_string(f"%.{decimals}f", F.col(f"`{c}`").cast("double")).alias(c) if c in fraction else F.col(f"`{c}`") for c in rows.columns])
 
 
-def append_csv(rows: DataFrame, path: str, keys: list[str], decimals: int = 4) -> None:
+def append_csv(rows: DataFrame, path: str, keys: list[str], decimals: int = 4, replace: bool = True) -> None:
     """Add rows to a folder of CSV files, one subfolder for each value of keys; what is there for those values is
-    replaced, so a run that is repeated leaves no row twice. Each file has a header. Missing fractions stay empty."""
+    replaced, so a run that is repeated leaves no row twice, or with replace=False stays beside the new rows. Each file has a header. Missing fractions stay empty."""
     missing = [F.when(F.col(f"`{c}`") != "null", F.col(f"`{c}`")).alias(c) if c not in keys else F.col(f"`{c}`") for c in rows.columns]
     out = fixed(rows, decimals).select(*[F.col(f"`{c}`").cast("string").alias(c) if c not in keys else F.col(f"`{c}`") for c in rows.columns]).select(*missing)
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy(*keys).csv(path)
+    out.write.mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy(*keys).csv(path)
 
 
 def new_only(rows: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
