@@ -299,6 +299,21 @@ def test_op4_odd_pieces(tk):
     assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:])] == [tk.encode_ordinary(t) for t in texts]
 
 
+def test_op4_remembers_bounded_bytes(tk, monkeypatch):
+    """Long distinct pieces do not pile up in a worker, and a task leaves none behind."""
+    monkeypatch.setattr(bpe, "HELD", 1 << 16, raising=False)
+    e = bpe.encoder(PATH, public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(200)) for _ in range(10)) for _ in range(50)]
+    got = [e.encode([t])[0].tolist() for t in texts]
+    assert sum(map(len, e.pieces)) < 1 << 16
+    assert got == [tk.encode_ordinary(t) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(["some words", None, "words"])], ["doc_id", "text"])
+    (out,) = bpe._codec(PATH, public_tokenizers.PATTERN)(iter([batch]))
+    assert out.column("n_tokens").to_pylist() == [len(tk.encode_ordinary(t)) for t in ("some words", "", "words")]
+    assert not e.pieces
+
+
 def test_op5_model_is_kneser_ney(spark):
     texts = ["abracadabra", "abba", "a bad cab", "", None, "cabbage", "dada", "abcabcabcabc"]
     model = quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))

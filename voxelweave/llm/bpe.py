@@ -16,10 +16,11 @@ from . import texthash as th
 from .tables import small_batches
 
 NONE = np.int64(1) << np.int64(60)
-#: Distinct pieces whose ids a worker remembers; beyond it starts anew (speed only).
-REMEMBERED = 600_000
+#: Bytes of distinct pieces and their ids that a task remembers, PIECE more a piece for Python's objects; beyond
+#: these it starts anew (speed only).
+HELD, PIECE = 48 << 20, 150
 #: Leaves of the segment trees built at a time.
-LEAVES = 1 << 19
+LEAVES = 1 << 17
 
 
 class Vocabulary:
@@ -172,16 +173,15 @@ class _Pieces(dict):
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.v, self.find = vocabulary, regex.compile(pattern).findall
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
-        self.pieces = _Pieces()
+    def forget(self) -> None:
+        """Drops the remembered pieces."""
+        self.pieces, self.held = _Pieces(), 0
         self.ids, self.counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids in each)."""
-        if len(self.pieces) > REMEMBERED:
-            self._reset()
         number = self.pieces.__getitem__
         found, per = [], []
         for text in texts:
@@ -189,7 +189,9 @@ class Encoder:
             per.append(len(got))
             found.append(np.fromiter(map(number, got), np.int64, len(got)))
         if self.pieces.new:
-            ids, counts = self.v.merged([p.encode("utf-8", "surrogatepass") for p in self.pieces.new])
+            raw = [p.encode("utf-8", "surrogatepass") for p in self.pieces.new]
+            ids, counts = self.v.merged(raw)
+            self.held += sum(map(len, raw)) + PIECE * len(raw) + ids.nbytes + counts.nbytes
             self.ids, self.counts = [np.concatenate([*self.ids, ids])], [np.concatenate([*self.counts, counts])]
             self.pieces.new.clear()
         counts = self.counts[0]
@@ -198,6 +200,8 @@ class Encoder:
         flat = self.ids[0][th.ragged(starts[which], counts[which])]
         totals = np.concatenate([[0], np.cumsum(counts[which])])
         ends = np.cumsum(np.array(per, np.int64)) if per else np.zeros(0, np.int64)
+        if self.held > HELD:
+            self.forget()
         return flat, np.diff(np.concatenate([[0], totals[ends]])) if per else np.zeros(0, np.int64)
 
 
@@ -218,9 +222,7 @@ def _binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def _codec(path: str, pattern: str) -> Callable:
-    @th.lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, pattern)
+    def encoded(e: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(1)
             _, offsets = th.text_bytes(column)
@@ -240,6 +242,14 @@ def _codec(path: str, pattern: str) -> Callable:
                     ["doc_id", "n_tokens", "ids", "decoded"],
                 )
 
+    @th.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path, pattern)
+        try:
+            yield from encoded(e, batches)
+        finally:
+            e.forget()  # the worker goes on to other stages
+
     return run
 
 

@@ -161,6 +161,7 @@ def possible(similarity: np.ndarray, least: np.ndarray, cfg: HyperMinHash) -> np
 
 
 def _likely(cfg: HyperMinHash) -> Callable:
+    @th.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows == 0:

@@ -162,7 +162,7 @@ def _pack(order: int) -> Callable:
 def _score(order: int) -> Callable:
     """Of one pack: its rows with the cost of their text instead of it."""
 
-    def run(packs: pa.Table, probabilities: pa.Table) -> pa.Table:
+    def scored(packs: pa.Table, probabilities: pa.Table) -> pa.Table:
         code, p = (np.asarray(probabilities.column(c).combine_chunks()) for c in ("code", "p"))
         by = np.argsort(code)
         code, cost = code[by], -np.log(p[by].astype(np.float64))
@@ -175,9 +175,13 @@ def _score(order: int) -> Callable:
             nll = np.round(v[offsets[1:]] - v[offsets[:-1]], 6)
             rows = rows.drop_columns(rows.column_names[-1:])
             parts.append(rows.append_column("nll", pa.array(nll)).append_column("n_bytes", pa.array(np.diff(offsets), pa.int64())))
-        th.released()
         return pa.concat_tables(parts)
 
+    def run(packs: pa.Table, probabilities: pa.Table) -> pa.Table:
+        out = scored(packs, probabilities)
+        th.released()  # once its arrays are free
+        return out
+
     return run
 
 
