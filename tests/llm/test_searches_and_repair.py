@@ -263,6 +263,33 @@ def test_radius_retrieves_every_code_inside():
         assert hit[apart <= radius].all()
 
 
+def test_few_rows_of_uniform_vectors_are_compared(monkeypatch):
+    """The score to reach follows from the rank a block's row has among all blocks: of uniform vectors most rows of
+    a block stay outside the radius, and what is retrieved equals the codes inside it."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = ann.Index(1.0, {64: ann.learn(x[:3000], 64, 1.0, rounds=3)})
+    code = index.codes[64].of(ann.lifted(x, 1.0))
+    block = np.arange(8000) % 16 == 0
+    q = pa.table({"id": np.arange(40) * 16, "key": np.zeros(40, np.int64), "u": [v.tobytes() for v in x[:640:16]], "code": [c.tobytes() for c in index.codes[64].of(ann.unit(x[:640:16]))]})
+    rows = lambda some: pa.table({"ids": [[i] for i in np.flatnonzero(some)], "u": [v.tobytes() for v in x[some]], "code": [c.tobytes() for c in code[some]]})
+    q = q.append_column("reach", ann._first_scores(index, getattr(ann, "likely_rank", lambda k, _: k)(20, 16))(q, rows(block))["reach"])
+    score = x[:640:16] @ x.T
+    score[np.arange(40), np.arange(40) * 16] = -9
+    reach = np.asarray(q["reach"])
+    assert ((score >= reach[:, None]).sum(axis=1) >= 20).mean() >= 0.9
+    radius = index.codes[64].radius(reach)
+    apart = np.bitwise_count(np.asarray(index.codes[64].of(ann.unit(x[:640:16])))[:, None] ^ code[None]).sum(axis=2)
+    assert (apart <= radius[:, None]).mean() < 0.35
+    whole = ann._search(index, 20)(q, rows(np.ones(8000, bool))).to_pandas()
+    monkeypatch.setattr(ann, "_buckets", lambda limit: np.zeros(limit.shape, np.int64), raising=False)
+    assert whole.equals(ann._search(index, 20)(q, rows(np.ones(8000, bool))).to_pandas())  # by probing
+    for i, of in whole.groupby("id"):
+        inside = np.flatnonzero((apart[i // 16] <= radius[i // 16]) & (score[i // 16] >= reach[i // 16]))
+        assert set(of["found"]) == set(inside[np.argsort(-score[i // 16, inside], kind="stable")][:20])
+
+
 def test_collapsed_keeps_the_smallest_ids(spark):
     rows = spark.createDataFrame([(i % 50, bytes([i % 3])) for i in range(500)], "vec_id long, u binary")
     got = {bytes(r["u"]): r["ids"] for r in vectors.collapsed(rows, ["u"], 4).collect()}

@@ -115,45 +115,78 @@ def _words(column: pa.ChunkedArray, at: np.ndarray, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(raw[i] for i in at), kind).reshape(len(at), -1)
 
 
-def _first_scores(index: Index, k: int) -> Callable:
-    """Of queries with one block of rows: a score that at least k of its rows reach (those whose codes come nearest);
-    without k rows, minus infinity. This grows the radius until k codes are inside, all at once."""
+def likely_rank(k: int, blocks: int) -> int:
+    """The least rank within one of so many random blocks whose row is seldom (one query in a hundred) among the k best of
+    all blocks, so that k rows of all blocks are likely to reach its score; k at most."""
+    p = 1 / blocks
+    beyond = [sum(math.comb(k, i) * p**i * (1 - p) ** (k - i) for i in range(r, k + 1)) for r in range(1, k + 1)]
+    return next((r for r, x in enumerate(beyond, 1) if x <= 0.01), k)
+
+
+def _first_scores(index: Index, rank: int, looked: int = 128) -> Callable:
+    """Of queries with one block of rows: the score of that rank among the `looked` rows whose codes come nearest; with
+    fewer rows than that, minus infinity."""
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         reach = np.full(len(queries), -math.inf)
         own, ids = np.asarray(queries["id"]), rows["ids"].to_pylist()
         theirs = matrix(rows["u"], np.float64)
         for dim, (qa, q) in matrix(queries["u"], np.float64).items():
-            if dim not in theirs:
+            if dim not in theirs or len(theirs[dim][0]) < rank:
                 continue
             ra, x = theirs[dim]
-            qc, rc = _words(queries["code"], qa, np.uint64), _words(rows["code"], ra, np.uint64)
+            qc, rc = _words(queries["code"], qa, np.uint64), _columns(_words(rows["code"], ra, np.uint64))
             alone = np.array([ids[r][0] if len(ids[r]) == 1 else -1 for r in ra], np.int64)
             many = np.array([len(ids[r]) > 1 for r in ra])
-            for s in range(0, len(qa), 64):
-                part = slice(s, s + 64)
-                apart = sum(np.bitwise_count(qc[part, w, None] ^ rc[None, :, w]).astype(np.int64) for w in range(qc.shape[1]))
+            near = min(looked, len(ra))
+            step = _step(len(ra))
+            for s in range(0, len(qa), step):
+                part = slice(s, s + step)
+                apart = _apart(qc[part], rc)
                 apart[(alone[None] == own[qa[part], None]) & ~many[None]] = BITS + 1  # the query itself
-                if len(ra) < k:
-                    continue
-                near = np.argpartition(apart, k - 1, axis=1)[:, :k]
-                score = np.einsum("qd,qkd->qk", q[part], x[near]).min(axis=1)
-                full = np.take_along_axis(apart, near, 1).max(axis=1) <= BITS
-                reach[qa[part]] = np.where(full, score, -math.inf)
+                at = np.argpartition(apart, near - 1, axis=1)[:, :near]
+                score = np.einsum("qd,qkd->qk", q[part], x[at])
+                score[np.take_along_axis(apart, at, 1) > BITS] = -math.inf
+                reach[qa[part]] = np.partition(score, near - rank, axis=1)[:, near - rank]
         return pa.table({"id": queries["id"], "key": queries["key"], "reach": pa.array(reach)})
 
     return run
 
 
+def _columns(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(codes.T)
+
+
+def _step(rows: int) -> int:
+    """Queries that are compared with so many codes at a time: working arrays of 2 MB, which stay in the cache."""
+    return max(1, min(64, (1 << 18) // max(1, rows)))
+
+
+def _apart(queries: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Hamming distances of queries (rows of words) to codes (columns of words)."""
+    out = np.zeros((len(queries), columns.shape[1]), np.int16)
+    for w, words in enumerate(columns):
+        out += np.bitwise_count(queries[:, w, None] ^ words[None])
+    return out
+
+
 def _probe(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """One table a substring: its distinct values and, of every code, the number of its value."""
     return [np.unique(codes[:, s], return_inverse=True) for s in range(codes.shape[1])]
 
 
+def _buckets(limit: np.ndarray) -> np.ndarray:
+    """Values of a substring that differ from a given one in up to `limit` bits."""
+    upto = np.cumsum([0, *[math.comb(SUB, i) for i in range(SUB + 1)]])
+    return upto[np.clip(limit + 1, 0, SUB + 1)]
+
+
 def _search(index: Index, k: int) -> Callable:
     """Each query's k best of a block. A code within radius r of a query agrees with it up to r // n bits in one of the
     first r % n + 1 of n substrings, or up to one fewer in one of the others (pigeonhole); rows of all
-    buckets that near are checked on whole codes, those inside the radius on their vectors."""
+    buckets that near are checked on whole codes, those inside the radius on their vectors. A query
+    whose radius asks for more buckets than the block has codes looks at each code once instead:
+    the same ones are inside."""
 
     def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
         own, reach = np.asarray(queries["id"]), np.asarray(queries["reach"])
@@ -166,26 +199,33 @@ def _search(index: Index, k: int) -> Callable:
             norm = np.sqrt(np.einsum("ij,ij->i", q, q))
             radius = index.of(dim).radius(reach[qa] / (norm * index.most))
             qs, rs = _words(queries["code"], qa, np.uint16), _words(rows["code"], ra, np.uint16)
-            qc, rc = _words(queries["code"], qa, np.uint64), _words(rows["code"], ra, np.uint64)
-            tables, n = _probe(rs), rs.shape[1]
+            qc, rc = _words(queries["code"], qa, np.uint64), _columns(_words(rows["code"], ra, np.uint64))
+            n = rs.shape[1]
             limit = radius[:, None] // n - (np.arange(n)[None] > radius[:, None] % n)
-            step = max(1, min(64, (1 << 22) // max(1, len(ra))))
-            for s in range(0, len(qa), step):
-                part = slice(s, s + step)
-                hit = np.zeros((len(qs[part]), len(ra)), bool)
-                for t, (values, number) in enumerate(tables):
-                    near = np.bitwise_count(qs[part, t, None] ^ values[None]) <= limit[part, t, None]
-                    hit |= near[:, number]
-                i, j = np.nonzero(hit)
-                apart = sum(np.bitwise_count(qc[s + i, w] ^ rc[j, w]).astype(np.int64) for w in range(qc.shape[1]))
-                inside = apart <= radius[s + i]
-                i, j = i[inside], j[inside]
+            every = _buckets(limit).sum(axis=1) >= len(ra)
+            tables = [] if every.all() else _probe(rs)
+            step, order = _step(len(ra)), np.argsort(every, kind="stable")
+            cuts = [*range(0, int((~every).sum()), step), *range(int((~every).sum()), len(qa), step), len(qa)]
+            for first, end in zip(cuts[:-1], cuts[1:]):
+                part = order[first:end]
+                if every[part[0]]:
+                    i, j = np.nonzero(_apart(qc[part], rc) <= radius[part, None])
+                else:
+                    hit = np.zeros((len(part), len(ra)), bool)
+                    for t, (values, number) in enumerate(tables):
+                        near = np.bitwise_count(qs[part, t, None] ^ values[None]) <= limit[part, t, None]
+                        hit |= near[:, number]
+                    i, j = np.nonzero(hit)
+                    apart = sum(np.bitwise_count(qc[part[i], w] ^ rc[w, j]).astype(np.int64) for w in range(len(rc)))
+                    inside = apart <= radius[part[i]]
+                    i, j = i[inside], j[inside]
+                i = part[i]
                 score = np.empty(len(i))
                 for c in range(0, len(i), 1 << 15):
                     d = slice(c, c + (1 << 15))
-                    score[d] = np.einsum("ij,ij->i", q[s + i[d]], x[j[d]])
-                good = score >= reach[qa[s + i]] - 1e-9 * index.most * norm[s + i]
-                got.append(best_ids(qa[s + i[good]], score[good], ra[j[good]], ids, own, k))
+                    score[d] = np.einsum("ij,ij->i", q[i[d]], x[j[d]])
+                good = score >= reach[qa[i]] - 1e-9 * index.most * norm[i]
+                got.append(best_ids(qa[i[good]], score[good], ra[j[good]], ids, own, k))
         query, found, score = (np.concatenate(c) for c in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
         return pa.table({
             "id": pa.array(own[query], pa.int64()), "key": pa.array(np.asarray(queries["key"])[query], pa.int64()),
@@ -200,9 +240,10 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
     inner product that are found.
 
     Rotations are learned on about SAMPLE vectors; all vectors are coded and indexed, dealt to blocks by a hash of
-    their bytes. A query first takes, in one block, a score that k rows reach; the radius that belongs
-    to it then holds nearly every better row, and all codes within it are retrieved from every
-    block. Codes choose only what is compared: scores are those of the vectors, in doubles.
+    their bytes. A query first takes, in one block, a score that k rows of all blocks are likely to reach;
+    the radius that belongs to it then holds nearly every better row, and all codes within it are
+    retrieved from every block. Queries that find fewer than k rows so search again, with a radius
+    that holds every code. Codes choose only what is compared: scores are those of the vectors, in doubles.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take no part.
     Vectors of different length are not compared. Rows with a query's id are the query itself; an id
@@ -229,10 +270,21 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
     queries = rows.where(F.col("vec_id") % every == 0).distinct().mapInArrow(_coded(index, True), "vec_id long, u binary, code binary")
     queries = stored(queries.select(F.col("vec_id").alias("id"), F.xxhash64("u", F.lit(1)).alias("key"), "u", "code"), "queries")
     n = queries.count()
-    first = against(queries.withColumn("block", home), coded, n, _first_scores(index, k), "id long, key long, reach double")
-    asked = queries.join(stored(first, "reach"), ["id", "key"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = against(asked, coded, n, _search(index, k), "id long, key long, found long, score double")
-    return ranked(found, ["id", "key"], k).select(F.col("id").alias("query_id"), "rank", F.col("found").alias("vec_id"), "score")
+    rank = likely_rank(k, blocks)
+    first = against(queries.withColumn("block", home), coded, n, _first_scores(index, rank), "id long, key long, reach double")
+    asked = stored(queries.join(stored(first, "first"), ["id", "key"], "left").withColumn("reach", F.coalesce("reach", F.lit(-math.inf))), "reach")
+
+    def searched(asked: DataFrame, n: int) -> DataFrame:
+        everywhere = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        return ranked(against(everywhere, coded, n, _search(index, k), "id long, key long, found long, score double"), ["id", "key"], k)
+
+    found = stored(searched(asked, n), "found")
+    short = asked.where(F.col("reach") > -math.inf).join(found.where(F.col("rank") == k).select("id", "key"), ["id", "key"], "left_anti")
+    short = stored(short.withColumn("reach", F.lit(-math.inf)), "short")
+    few = short.count()
+    if few:
+        found = found.join(short.select("id", "key"), ["id", "key"], "left_anti").unionByName(searched(short, few))
+    return found.select(F.col("id").alias("query_id"), "rank", F.col("found").alias("vec_id"), "score")
 
 
 def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
