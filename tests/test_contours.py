@@ -184,3 +184,30 @@ def test_candidate_rows_of_known_objects(spark):
     assert pair["radial_pos"] == pytest.approx(np.hypot(2, 12) / 20) and pair["seed_grown_ratio"] == pytest.approx(18 / (18 + 16 * 5 + 4))
     far = candidates.candidate_rows(voxels, objects, "id", 8.0, 100.0, (24, 32)).orderBy("component").first()
     assert far["radial_pos"] == pytest.approx(np.hypot(2, 6))
+
+
+def test_candidate_rows_broadcast_nothing_by_object(spark, monkeypatch):
+    """Objects in many volumes: the rows of one pass are those of the features taken alone, and where no table counts as
+    small, all that the last plan broadcasts are the carried totals of one ranking."""
+    from pyspark.sql import functions as F
+
+    from voxelweave.functions import storage
+    from voxelweave.operators import candidates, residual, windows
+
+    v = spark.range(60 * 1000).selectExpr(
+        "concat('v', id div 1000) volume", "id div 100 % 10 z", "id div 10 % 10 y", "id % 10 x", "id", "pmod(hash(id), 200) g", "pmod(hash(id, 1), 90) - 45 r", "pmod(hash(id, 1), 90) / 18.0D - 2.5D snr"
+    ).cache()
+    objects = storage.cut(volume.hysteresis(v, ["volume"], ["z", "y", "x"], "snr", 1.6, 2.2, "id"), "objects")
+    assert objects.select("component").distinct().count() > 500
+    taken = []
+    monkeypatch.setattr(storage, "is_small", lambda df, rows=0: False)
+    monkeypatch.setattr(windows, "is_small", lambda df, rows=0: False)
+    write = windows.cut
+    monkeypatch.setattr(windows, "cut", lambda df, tag: taken.append((tag, out := write(df, tag))) or out)
+    got = candidates.candidate_rows(v, objects, "id", 2.2, 190.0, (10, 10))
+    plan = got._jdf.queryExecution().executedPlan().toString()  # tables so small are under Spark's own limit
+    assert plan.count("BroadcastHashJoin") == sum(tag == "totals" for tag, _ in taken) == 1
+    names = ["edge_contrast", "decay_drop", "gs_median", "gs_p90", "gs_peak", "gs_iqr", "gs_shell_median", "gs_contrast"]
+    apart = residual.shell_features(v, objects, "id").join(residual.grayscale_features(v, objects, "id", 190.0), "component")
+    tidy = lambda d: sorted(map(tuple, d.select("component", *[F.col(c).cast("double") for c in names]).collect()))
+    assert tidy(got) == tidy(apart)

@@ -478,6 +478,30 @@ def test_running_sums_of_few_rows_are_the_same(spark):
     assert sorted(map(repr, windows.running(df, ["k"], ["t"], ["v"], few=10).collect())) == sorted(map(repr, windows.running(df, ["k"], ["t"], ["v"]).collect()))
 
 
+def test_carried_totals_do_not_grow_with_the_groups(spark, monkeypatch):
+    """Of 3,000 groups only those that reach over an edge between ranges have totals; sums are those of plain windows."""
+    carried = []
+    write = windows.cut
+
+    def counted(df, tag):
+        out = write(df, tag)
+        if tag == "totals":
+            carried.append(out.count())
+        return out
+
+    monkeypatch.setattr(windows, "cut", counted)
+    many = spark.range(9000).selectExpr("if(id % 3000 = 7, null, id % 3000) k", "id t", "if(id % 3000 = 9, null, id % 11) v")
+    large = spark.range(9000, 15000).selectExpr("1500L k", "id t", "if(id < 14000, null, id % 7) v")
+    both, joined = many.unionByName(large), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(joined, "false")  # else tables so small are one range
+    try:
+        rows = sorted(map(repr, windows.running(both, ["k"], ["t"], ["v"]).collect()))
+    finally:
+        spark.conf.unset(joined)
+    assert rows == sorted(map(repr, windows._summed(both, ["k"], ["t"], ["v"]).collect())) and len(rows) == 15000
+    assert 2 <= carried[0] <= 2 * (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1)
+
+
 def test_recall_by_size_bands_and_intervals(spark):
     """Counts by hand; interval ends satisfy the binomial tails that define them."""
     rng = np.random.default_rng(2)

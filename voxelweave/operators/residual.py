@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import median_noise_scale, safe_ratio
-from voxelweave.functions.storage import checked_broadcast, cut
+from voxelweave.functions.storage import cut, light_broadcast
 from voxelweave.operators.volume import labelled, neighbours
 from voxelweave.operators.windows import clamped_windows, quantiles
 
@@ -52,7 +52,7 @@ def snr(scan: DataFrame, width: int, metal: float) -> DataFrame:
     without any estimate are left out. Only (volume, z) rows are broadcast, after a size check."""
     sigma = cut(residual_sigma(slice_noise(scan), width), "sigma")
     mean = sigma.groupBy("volume").agg(F.avg("sigma_r").alias("sigma_v"))
-    r = residuals(scan, width, metal).join(checked_broadcast(mean), "volume").join(checked_broadcast(sigma), ["volume", "z"], "left")
+    r = residuals(scan, width, metal).join(light_broadcast(mean), "volume").join(light_broadcast(sigma), ["volume", "z"], "left")
     return r.select("volume", "z", "y", "x", "g", "r", F.round(F.col("r") / F.coalesce("sigma_r", "sigma_v"), 6).alias("snr"))
 
 
@@ -70,7 +70,7 @@ def inner_edge(objects: DataFrame, key: str) -> DataFrame:
     """Voxels of objects with a face on something else."""
     n = neighbours(objects.select("volume", "component", *AXES, key), ["volume", "component"], AXES, key)
     inside = n.select(F.col("a").alias(key)).unionByName(n.select(F.col("b").alias(key))).groupBy(key).count().where("count = 6").select(key)
-    return objects.join(inside, key, "left_anti")
+    return objects.join(inside.hint("merge"), key, "left_anti")
 
 
 def _medians(rows: DataFrame, value: str, name: str) -> DataFrame:
@@ -100,6 +100,27 @@ def grayscale_features(voxels: DataFrame, objects: DataFrame, key: str, metal: f
     return out.select("component", "gs_median", "gs_p90", "gs_peak", (F.col("q75") - F.col("q25")).alias("gs_iqr"), "gs_shell_median", (F.col("edge") - F.col("gs_shell_median")).alias("gs_contrast"))
 
 
+def _tagged(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(component, what, v): a row for each value of a row that is not missing."""
+    each = F.array(*[F.struct(F.lit(what).alias("what"), v.cast("double").alias("v")) for what, v in values.items()])
+    return rows.select("component", F.explode(each).alias("e")).select("component", "e.what", "e.v").where("v is not null")
+
+
+def surroundings(voxels: DataFrame, objects: DataFrame, key: str, metal: float, radius: int = 3) -> DataFrame:
+    """All of shell_features and grayscale_features but the peak. Rings and edges are found once, and the values of
+    all kinds are ranked together, so one shuffle serves every quantile and nothing is broadcast by object."""
+    d, g, snr = F.col("d"), F.col("g"), F.col("snr")
+    ring = rings(objects, radius).where("d > 0").join(voxels.select("volume", *AXES, "r", "g", "snr").hint("merge"), ["volume", *AXES]).where("r <> 0")
+    ring = _tagged(ring, {"shell": F.when(d > 1, snr), "one": F.when(d == 1, snr), "two": F.when(d == 2, snr), "gs_shell": F.when((d > 1) & (g <= metal), g)})
+    rows = ring.unionByName(_tagged(inner_edge(objects, key), {"edge": snr, "gs_edge": g})).unionByName(_tagged(objects, {"gs": g}))
+    q = quantiles(rows, ["component", "what"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9})
+    at = lambda what, share="q50": F.max(F.when(F.col("what") == what, F.col(share)))
+    return q.groupBy("component").agg(
+        (at("edge") - at("shell")).alias("edge_contrast"), (at("one") - at("two")).alias("decay_drop"), at("gs").alias("gs_median"), at("gs", "q90").alias("gs_p90"),
+        (at("gs", "q75") - at("gs", "q25")).alias("gs_iqr"), at("gs_shell").alias("gs_shell_median"), (at("gs_edge") - at("gs_shell")).alias("gs_contrast"),
+    )
+
+
 def seed_offsets(objects: DataFrame, value: str, high: float, key: str) -> DataFrame:
     """(component, n_seed_regions, seed_offset): parts of an object above `high`, and the largest distance of one's
     weighted centre from the object's: two merged objects show here."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.functions.columns import safe_ratio
-from voxelweave.functions.storage import checked_broadcast, cut
+from voxelweave.functions.storage import cut, light_broadcast
 from voxelweave.operators.linking import FEW_EDGES, reachable
 from voxelweave.operators.windows import quantiles
 
@@ -35,7 +35,7 @@ def neighbours(voxels: DataFrame, place: list[str], axes: list[str], key: str) -
     ahead of it along each axis."""
     ahead = F.array(*[F.struct(*[(F.col(c) + int(c == axis)).alias(c) for c in axes]) for axis in axes])
     asks = voxels.select(*place, F.col(key).alias("a"), F.explode(ahead).alias("n")).select(*place, "a", *[F.col(f"n.{c}").alias(c) for c in axes])
-    return asks.join(voxels.select(*place, *axes, F.col(key).alias("b")), [*place, *axes]).select("a", "b")
+    return asks.join(voxels.select(*place, *axes, F.col(key).alias("b")).hint("merge"), [*place, *axes]).select("a", "b")
 
 
 #: Edge of the tiles that are labelled at a time.
@@ -88,8 +88,8 @@ def labelled(voxels: DataFrame, place: list[str], axes: list[str], key: str, dia
         beyond = beyond | ((last(c) == 0) & (F.col(f"o.{c}") < 0)) | ((last(c) == TILE - 1) & (F.col(f"o.{c}") > 0))
     border = parts.where(rim)
     asks = border.withColumn("o", F.explode(steps)).where(beyond).select(*place, *[(F.col(c) + F.col(f"o.{c}")).alias(c) for c in axes], F.col("part").alias("a"))
-    edges = asks.join(border.select(*place, *axes, F.col("part").alias("b")), [*place, *axes]).select("a", "b").distinct()
-    roots = checked_broadcast(cut(reachable(edges, few=FEW_EDGES).withColumnRenamed("id", "part"), "roots"))
+    edges = asks.join(border.select(*place, *axes, F.col("part").alias("b")).hint("merge"), [*place, *axes]).select("a", "b").distinct()
+    roots = light_broadcast(cut(reachable(edges, few=FEW_EDGES).withColumnRenamed("id", "part"), "roots"))
     return parts.join(roots, "part", "left").select(*voxels.columns, F.coalesce("component", "part").alias("component"))
 
 
@@ -97,7 +97,7 @@ def hysteresis(voxels: DataFrame, place: list[str], axes: list[str], value: str,
     """voxels >= low with their component (smallest key), for components that hold a voxel >= high."""
     found = labelled(voxels.where(F.col(value) >= low), place, axes, key, diagonal)
     seeds = found.groupBy("component").agg(F.max(value).alias("_top")).where(F.col("_top") >= high)
-    return found.join(checked_broadcast(cut(seeds.select("component"), "seeds")), "component", "left_semi")
+    return found.join(light_broadcast(cut(seeds.select("component"), "seeds")), "component", "left_semi")
 
 
 def features(objects: DataFrame, place: list[str], axes: list[str], value: str, high: float) -> DataFrame:
@@ -121,7 +121,7 @@ def surface_ratio(objects: DataFrame, place: list[str], axes: list[str], key: st
     """(component, surface): share of a component's voxels with a face on something else."""
     n = neighbours(objects, place, axes, key)
     inside = n.select(F.col("a").alias(key)).unionByName(n.select(F.col("b").alias(key))).groupBy(key).count().where(F.col("count") == 2 * len(axes))
-    marked = objects.join(inside.select(key, F.lit(1).alias("in")), key, "left")
+    marked = objects.join(inside.select(key, F.lit(1).alias("in")).hint("merge"), key, "left")
     return marked.groupBy("component").agg((1 - F.sum(F.coalesce("in", F.lit(0))) / F.count("*")).alias("surface"))
 
 

@@ -30,29 +30,31 @@ def running(rows: DataFrame, keys: list[str], order: list[str], sums: list[str],
     """rows with, for each column c of sums, c_before (its sum over the rows of the same keys that come earlier
     in order) and c_all (over all rows of the keys).
 
-    Rows are sorted into ranges of keys and order, which are written; totals of the ranges are windowed,
-    and only within a range are rows summed in order. So a group of any size takes many tasks. Where `few` is
-    given, rows are written first, and if there are at most so many, plain windows sum them.
+    Rows are sorted into ranges of keys and order, which are written; totals of the groups that reach over an edge
+    between ranges are windowed, and only within a range are rows summed in order. So a group of any size takes many
+    tasks, and the totals, at most two for each edge, don't grow with the groups. Where `few` is given, rows are
+    written first, and if there are at most so many, plain windows sum them.
     """
     if few:
         rows = cut(rows, "counted")
         if is_small(rows, few):
             return _summed(rows, keys, order, sums)
     parts = cut(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
-    totals = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
-    early = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
+    totals = parts.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{c}") for c in sums]).withColumn("_parts", F.count("*").over(every)).where("_parts > 1")
+    early = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"),
-        *[F.coalesce(F.sum(f"_{c}").over(early), F.lit(0)).alias(f"_{c}_early") for c in sums], *[F.sum(f"_{c}").over(every).alias(f"{c}_all") for c in sums],
+        *[F.sum(f"_{c}").over(early).alias(f"_{c}_early") for c in sums], *[F.sum(f"_{c}").over(every).alias(f"_{c}_all") for c in sums],
     )
     same = F.col("_part") == F.col("_p")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    local = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = parts.join(checked_broadcast(cut(totals, "totals")), same)
-    before = [(F.col(f"_{c}_early") + F.coalesce(F.sum(c).over(local), F.lit(0))).alias(f"{c}_before") for c in sums]
-    return out.select(*rows.columns, *before, *[f"{c}_all" for c in sums])
+    local = Window.partitionBy(*keys, "_part").orderBy(*order)
+    here, whole = local.rowsBetween(Window.unboundedPreceding, -1), local.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = parts.join(F.broadcast(cut(totals, "totals")), same, "left")
+    before = [(F.coalesce(f"_{c}_early", F.lit(0)) + F.coalesce(F.sum(c).over(here), F.lit(0))).alias(f"{c}_before") for c in sums]
+    return out.select(*rows.columns, *before, *[F.when(F.col("_p").isNull(), F.sum(c).over(whole)).otherwise(F.col(f"_{c}_all")).alias(f"{c}_all") for c in sums])
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
